@@ -61,3 +61,24 @@ def prefix_sums(values: Column, chunk: int = 512) -> Column:
     )
     ends = run(F.transform(parts, lambda p: p["acc"]))["out"]
     return F.flatten(F.zip_with(parts, ends, lambda p, e: F.transform(p["out"], lambda v: v + e - p["acc"])))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows of a text table per Arrow batch: texts can be long, so few of them go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def held_out() -> Column:
+    """Rows whose labels no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: int) -> DataFrame:
+    """doc_id, text, label of at most limit labelled rows outside the held-out fold, in a seeded order of doc_id.
+
+    limit is a documented bound (classifiers may be fitted on a bounded sample), so the list of ids can be broadcast.
+    A doc_id with several labels takes the largest; null labels and ids are left out.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from temporis.llm import chat, secrets
+from temporis.llm import chat, quality, secrets, toxicity
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {"op3_chat_format": chat.ORACLE}
