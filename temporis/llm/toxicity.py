@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from temporis.llm import common
 
-BITS, TRAIN_ROWS, FEATURES, SCREEN, RANK = 18, 20_000, 1024, 6.0, 6
+BITS, TRAIN_ROWS, FEATURES, SCREEN, RANK = 18, 20_000, 1024, 2.5, 6
 EPOCHS, BATCH, RATE, DECAY, SEED = 15, 128, 0.1, 1e-4, 7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _CACHE_MAX = 300_000
@@ -56,7 +56,7 @@ def _screen(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     smooth = counts + 0.5
     z = np.log(smooth[1] / (rows[1] + 1)) - np.log(smooth[0] / (rows[0] + 1))
     z = np.abs(z) / np.sqrt(1 / smooth[0] + 1 / smooth[1])
-    z[counts.sum(0) < 8] = 0
+    z[counts.sum(0) < 5] = 0
     best = np.lexsort((np.arange(len(z)), -z))[:FEATURES]
     return np.sort(best[z[best] >= SCREEN])
 
