@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from temporis.llm import chat, quality, secrets, toxicity
+from temporis.llm import chat, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
