@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from temporis.llm import chat, mixing, quality, secrets, toxicity
+from temporis.llm import ann, chat, mixing, quality, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_ann_search": ann.op1_ann_search,
     "op3_chat_format": chat.op3_chat_format,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op3_chat_format": chat.ORACLE}
+ORACLES = {"op3_chat_format": chat.ORACLE, "op8_exact_topk": topk.ORACLE}
