@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from temporis.llm import ann, chat, mixing, quality, secrets, topk, toxicity
+from temporis.llm import ann, chat, mixing, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_ann_search": ann.op1_ann_search,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_exact_topk": topk.op8_exact_topk,
