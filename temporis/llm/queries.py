@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from temporis.llm import ann, chat, mixing, packing, quality, secrets, topk, toxicity
+from temporis.llm import ann, chat, mixing, packing, quality, secrets, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_ann_search": ann.op1_ann_search,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
