@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from temporis.llm import ann, chat, mixing, packing, quality, secrets, suffixes, topk, toxicity
+from temporis.llm import ann, chat, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_ann_search": ann.op1_ann_search,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_exact_topk": topk.op8_exact_topk,
