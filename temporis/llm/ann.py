@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from temporis.llm import common, vectors
 
 TRAIN_ROWS, MAX_LISTS, PARTS, CODES, RECALL, RERANK = 20_000, 1024, 16, 256, 0.96, 160
-CELL, QUERY_CELL, SEED = 2048, 1024, 3
+CELL, QUERY_CELL, SEED = 4096, 1024, 3
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -106,11 +106,10 @@ def _layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query holds for, the k nearest found."""
     spark = rows.sparkSession
-    schema = "query_id long, vec_id long, score double"
     valid = vectors.clean(rows, zeros=False)
     lengths = valid.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not lengths:
-        return vectors.best(spark.createDataFrame([], schema), k)
+        return vectors.best(spark.createDataFrame([], "query_id long, vec_id long, score double"), k)
     dim, n = lengths[0]["dim"], lengths[0]["count"]
     valid = valid.where(F.size("v") == dim)
     sample = valid.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(TRAIN_ROWS).toPandas()
@@ -163,7 +162,7 @@ def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
 
     def local(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         x = x.sort_values("vec_id", kind="stable")
         ids, own = x.vec_id.to_numpy(), x["list"].to_numpy()
         vs = np.frombuffer(b"".join(x.own)).reshape(len(x), -1)
@@ -182,12 +181,12 @@ def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
                 near = np.flatnonzero((s >= t) & (s > -np.inf) & (ids != i))
                 exact = (vs[near] * v).sum(1)
                 first = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near[first]], "score": exact[first]}))
-        return pd.concat(out)
+                out.append((i, ids[near[first]], exact[first]))
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     keys = ("cell", "block", "part")
-    found = data.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(local, schema)
-    return vectors.best(found, k)
+    found = data.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(local, "query_id long, ids array<long>, scores array<double>")
+    return vectors.best_of_arrays(found, k)
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

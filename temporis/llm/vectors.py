@@ -28,3 +28,11 @@ def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def best_of_arrays(found: DataFrame, k: int) -> DataFrame:
+    """As best, where a row has a query's results in one cell as arrays ids and scores: one row goes through the shuffle a cell."""
+    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((F.lit(0.0) - x["scores"]).alias("below"), x["ids"].alias("vec_id")))
+    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("first"))
+    ranked = merged.select("query_id", F.posexplode("first").alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (F.lit(0.0) - F.col("x.below")).alias("score"))
