@@ -129,17 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score of every row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if "a" not in model or not len(p):
-                yield pd.DataFrame({"doc_id": p.doc_id, "score": np.full(len(p), float(model["prior"]))})
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            if "a" not in model or not len(texts):
+                yield pd.Series(np.full(len(texts), float(model["prior"])))
                 continue
-            x = np.vstack([statistics(t) for t in p.text])
+            x = np.vstack([statistics(t or "") for t in texts])
             z, _ = _forward(np.clip((x - model["mean"]) / model["scale"], -6, 6), model)
-            yield pd.DataFrame({"doc_id": p.doc_id, "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return docs.select("doc_id", run("text").alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

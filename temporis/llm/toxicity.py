@@ -136,37 +136,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     return {"kept": kept, "w": w, "v": v, "b": b}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score of every row of docs."""
+def scorer(model: dict):
+    """A function of a text column: the score of each text."""
     place = np.full(1 << BITS, -1, np.int64)
     place[model["kept"]] = np.arange(len(model["kept"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = Terms()
-        for p in batches:
-            found = [place[of(t)] for t in p.text]
-            z = log_odds([i[i >= 0] for i in found], model)
-            yield pd.DataFrame({"doc_id": p.doc_id, "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+        for texts in batches:
+            found = [place[of(t or "")] for t in texts]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(log_odds([i[i >= 0] for i in found], model), -30, 30))), dtype="float64")
+
+    return run
 
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, score of every row of docs."""
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return docs.select("doc_id", scorer(model)("text").alias("score"))
 
 
 def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that score under one half, with all their columns."""
-    names = docs.columns
-
-    place = np.full(1 << BITS, -1, np.int64)
-    place[model["kept"]] = np.arange(len(model["kept"]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Terms()
-        for p in batches:
-            found = [place[of(t or "")] for t in p.text]
-            yield p[log_odds([i[i >= 0] for i in found], model) < 0]
-
     common.small_batches(docs.sparkSession)
-    return docs.mapInPandas(run, docs.schema).select(*names)
+    return docs.withColumn("_score", scorer(model)("text")).where("_score < 0.5").drop("_score")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
