@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 
 BATCH_BYTES, BUCKET_KEYS = 4_000_000, 1_500_000
-ASKED = "bucket int, batch long, keys binary, low binary, high binary"
+ASKED = "bucket int, batch long, keys binary, low binary"
 
 
 class Layout:
@@ -39,34 +39,31 @@ class Layout:
         edges = np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], np.uint64)
         return np.r_[0, np.searchsorted(keys, edges), len(keys)].astype(np.int64)
 
-    def rows(self, batch: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> pd.DataFrame:
-        """What a batch asks: sorted distinct keys, and numbers of each key."""
+    def rows(self, batch: int, keys: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        """What a batch asks: sorted distinct keys, and a number of each key."""
         cuts = self.cuts(keys)
         used = np.flatnonzero(np.diff(cuts))
-        part = lambda a, b: None if a is None else a[cuts[b] : cuts[b + 1]].tobytes()
-        return pd.DataFrame(
-            {"bucket": used.astype(np.int32), "batch": batch, "keys": [part(keys, b) for b in used], "low": [part(low, b) for b in used], "high": [part(high, b) for b in used]}
-        )
+        part = lambda a, b: _squeeze(a[cuts[b] : cuts[b + 1]])
+        return pd.DataFrame({"bucket": used.astype(np.int32), "batch": batch, "keys": [part(keys, b) for b in used], "low": [part(value, b) for b in used]})
 
 
-def answer(asked: DataFrame, reply: Callable[..., np.ndarray], low: str, high: str | None = None) -> DataFrame:
-    """batch, bucket, reply (packed by the callable's result type). reply gets, in key order, low and high, the entries' own places
-    in that order and the starts of equal keys, and returns a value for each entry in the order asked."""
+def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> DataFrame:
+    """batch, bucket, reply (packed by the callable's result type). reply gets the numbers of all entries in key order, the
+    starts of equal keys in that order and how many each has, and returns a value for each entry."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("batch")
-        keys = np.frombuffer(b"".join(p["keys"]), np.uint64)
+        own = [_widen(x, "<u8") for x in p["keys"]]
+        ends, keys = np.cumsum([len(x) for x in own]), np.concatenate(own)
+        del own
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         del ordered
-        lows = np.frombuffer(b"".join(p["low"]), low)[order]
-        highs = np.frombuffer(b"".join(p["high"]), high)[order] if high else None
-        lengths = np.diff(np.r_[starts, len(keys)])
-        got = reply(lows, highs, starts, lengths)
+        values = np.concatenate([_widen(x, kind) for x in p["low"]])[order]
+        got = reply(values, starts, np.diff(np.r_[starts, len(keys)]))
         out = np.empty(len(keys), got.dtype)
         out[order] = got
-        ends = np.cumsum(p["keys"].map(len).to_numpy() // 8)
         parts = np.split(out, ends[:-1])
         packed = [np.packbits(x).tobytes() if x.dtype == bool else _squeeze(x) for x in parts]
         return pd.DataFrame({"batch": p.batch.to_numpy(), "bucket": p.bucket.to_numpy(), "reply": packed})
@@ -75,15 +72,24 @@ def answer(asked: DataFrame, reply: Callable[..., np.ndarray], low: str, high: s
 
 
 def _squeeze(x: np.ndarray) -> bytes:
+    """Packed numbers, byte by byte of equal weight: sorted keys differ little in their first bytes, and doc_ids too."""
     import zstandard
 
-    return zstandard.ZstdCompressor(1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _widen(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def bits(replies: pd.DataFrame, layout: Layout, keys: np.ndarray) -> np.ndarray:
     """A batch's answers of one bit, in the order of its sorted keys."""
     cuts, out = layout.cuts(keys), np.zeros(len(keys), bool)
-    for b, r in zip(replies.bucket, replies.reply, strict=True):
+    for b, r in zip(replies.bucket.astype(int), replies.reply, strict=True):
         n = cuts[b + 1] - cuts[b]
         out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(r, np.uint8), count=int(n)).astype(bool)
     return out
@@ -91,11 +97,9 @@ def bits(replies: pd.DataFrame, layout: Layout, keys: np.ndarray) -> np.ndarray:
 
 def numbers(replies: pd.DataFrame, layout: Layout, keys: np.ndarray, dtype: str) -> np.ndarray:
     """A batch's answers of whole numbers, in the order of its sorted keys."""
-    import zstandard
-
     cuts, out = layout.cuts(keys), np.zeros(len(keys), dtype)
-    for b, r in zip(replies.bucket, replies.reply, strict=True):
-        out[cuts[b] : cuts[b + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r), dtype)
+    for b, r in zip(replies.bucket.astype(int), replies.reply, strict=True):
+        out[cuts[b] : cuts[b + 1]] = _widen(r, dtype)
     return out
 
 

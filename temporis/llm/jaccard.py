@@ -89,7 +89,7 @@ class Sets:
         self.keys, self.counts = every[starts], np.diff(np.r_[starts, len(every)]).astype("<u4")
 
 
-def _total(low, high, starts, lengths):
+def _total(low, starts, lengths):
     """The number of texts, of all batches, that hold an entry's shingle."""
     return np.repeat(np.add.reduceat(low, starts, dtype="<u4"), lengths)
 

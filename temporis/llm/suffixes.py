@@ -1,10 +1,11 @@
 """Removal of repeated passages by prefix doubling over byte positions.
 
 A position's rank of length h stands for the h bytes from it. Ranks double: the first 8 bytes are a number; ranks of
-16, 24, 32 and then SPAN (50) bytes are those of the pairs (position, position + offset) at offsets 8, 16, 16 and 18.
-Positions go on only until they are unique, by two censuses of ranks over all documents:
+16, 32 and then SPAN (50) bytes are those of the pairs (position, position + offset) at offsets 8, 16 and 18.
+Documents whose whole text occurs in an earlier one go first. Positions of the others go on only until they are unique,
+by two censuses of ranks over all documents:
 
-1. Each SPAN-byte string is named by the least rank of 24 bytes within it, the same wherever the string occurs. A name
+1. Each SPAN-byte string is named by the least rank of 32 bytes within it, the same wherever the string occurs. A name
    that occurs in one document only proves its strings unique there; these positions end here, most of them at once.
 2. The positions left, with full ranks of SPAN bytes: those whose rank also starts in a document of smaller doc_id are
    repeated, and their SPAN bytes go.
@@ -28,139 +29,152 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 from temporis.llm.census import ASKED, Layout, answer, bits, distinct_low_high, mix, slices
 
-SPAN, GRAM, SLICE = 50, 24, 1 << 16
+SPAN, GRAM, SLICE = 50, 32, 1 << 15
 _NONE = np.iinfo(np.int64).min
 
 
 class Batch:
-    """The texts of a batch, end to end, in order of doc_id; positions are those from which SPAN bytes lie in one text."""
+    """The texts of a batch, end to end, in order of doc_id; positions are those from which SPAN bytes lie in one text.
 
-    def __init__(self, p: pd.DataFrame) -> None:
+    Names are kept as runs: neighbouring positions of a text mostly share theirs.
+    """
+
+    def __init__(self, p: pd.DataFrame, copies: np.ndarray) -> None:
         p = p.assign(_id=p.doc_id.fillna(_NONE).astype("int64")).sort_values(["_id", "text"], kind="stable")
-        self.rows, self.ids = p, p["_id"].to_numpy()
         self.lengths = p.text.map(len).to_numpy(np.int64)
+        copy = np.isin(p["_id"].to_numpy(), copies) & (self.lengths >= SPAN)
+        self.copies, self.rows, self.lengths = p[copy], p[~copy], self.lengths[~copy]
+        self.ids = self.rows["_id"].to_numpy()
         self.starts = np.r_[0, np.cumsum(self.lengths)]
-        self.bytes = np.frombuffer(b"".join(p.text) + bytes(SPAN + 16), np.uint8)
+        self.bytes = np.frombuffer(b"".join(self.rows.text) + bytes(2 * SPAN), np.uint8)
         self.n = int(self.starts[-1])
+        self.eight = np.ndarray((self.n + SPAN,), "<u8", self.bytes, 0, (1,))  # rank of 8 bytes: overlapping views
+        self._name()
 
-    def ranks(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of 8 and 16 bytes from a on, with as many more positions as later pairs need."""
-        eight = np.ndarray((b - a + SPAN,), "<u8", self.bytes, a, (1,)).copy()  # overlapping 8-byte views
-        return eight, mix(eight[:-8], eight[8:])
-
-    def slices(self):
-        """For slices of positions: their places, the documents' numbers there, names, and a function for full ranks."""
+    def _name(self) -> None:
         whose = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         left = self.starts[1:][whose] - np.arange(self.n)
+        first, names, docs, sizes = [], [], [], []
         for a, b in slices(self.n, SLICE):
-            eight, sixteen = self.ranks(a, b)
-            gram = mix(sixteen[: b - a + SPAN - GRAM], eight[16 : b - a + SPAN - GRAM + 16])
-            name, width = gram, 1
+            inside = np.flatnonzero(left[a:b] >= SPAN)
+            if not len(inside):
+                continue
+            eight = self.eight[a : b + SPAN].copy()
+            sixteen = mix(eight[:-8], eight[8:])
+            gram = mix(sixteen[: b - a + SPAN - GRAM], sixteen[GRAM - 16 : b - a + SPAN - 16])
+            width = 1
             while width < SPAN - GRAM + 1:  # least of `width` neighbours, doubled up to the window
                 step = min(width, SPAN - GRAM + 1 - width)
-                name = np.minimum(name[:-step], name[step:])
+                gram = np.minimum(gram[:-step], gram[step:])
                 width += step
-            inside = np.flatnonzero(left[a:b] >= SPAN)
-
-            def full(at: np.ndarray, sixteen=sixteen) -> np.ndarray:
-                return mix(mix(sixteen[at], sixteen[at + 16]), mix(sixteen[at + 18], sixteen[at + 34]))
-
-            yield a, inside, whose[a:b], name, full
-
-
-def _runs(names: np.ndarray, whose: np.ndarray) -> np.ndarray:
-    """Starts of runs of positions that share a name and a document."""
-    return np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (whose[1:] != whose[:-1])]) if len(names) else np.zeros(0, np.int64)
-
-
-def batch_names(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names of a batch with the least and largest doc_id of each."""
-    keys, ids = [], []
-    for _, inside, whose, name, _ in batch.slices():
-        n, w = name[inside], whose[inside]
-        starts = _runs(n, w)
-        keys.append(n[starts])
-        ids.append(batch.ids[w[starts]])
-    return distinct_low_high(np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(ids or [np.zeros(0, np.int64)]))
-
-
-def batch_ranks(batch: Batch, names: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, full ranks and documents' numbers of the positions whose name is shared."""
-    places, ranks, docs = [], [], []
-    for a, inside, whose, name, full in batch.slices():
-        n, w = name[inside], whose[inside]
-        starts = _runs(n, w)
-        if not len(starts):
-            continue
-        keep = shared[np.searchsorted(names, n[starts])]
-        at = inside[np.repeat(keep, np.diff(np.r_[starts, len(n)]))]
-        places.append(a + at)
-        ranks.append(full(at))
-        docs.append(whose[at])
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else none.astype(t) for x, t in ((places, np.int64), (ranks, np.uint64), (docs, np.int32)))
-
-
-def _shared(low, high, starts, lengths):
-    """An entry's name occurs in more than one document."""
-    return np.repeat(np.minimum.reduceat(low, starts) != np.maximum.reduceat(high, starts), lengths)
-
-
-def _earlier(low, high, starts, lengths):
+            n, w = gram[inside], whose[a:b][inside]
+            run = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (w[1:] != w[:-1])])
+            first.append(a + inside[run])
+            names.append(n[run])
+            docs.append(w[run])
+            sizes.append(np.diff(np.r_[run, len(n)]))
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        self.run_at, self.run_name, self.run_doc, self.run_size = join(first, np.int64), join(names, np.uint64), join(docs, np.int32), join(sizes, np.int64)
+
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names with the least and largest doc_id of each."""
+        return distinct_low_high(self.run_name, self.ids[self.run_doc])
+
+    def ranks(self, shared: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, full ranks and doc_ids of the positions whose name is shared."""
+        keep = shared[np.searchsorted(names, self.run_name)] if len(names) else np.zeros(0, bool)
+        sizes = self.run_size[keep]
+        at = np.repeat(self.run_at[keep] - np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else self.run_at[keep], sizes) + np.arange(sizes.sum())
+        out = np.empty(len(at), np.uint64)
+        for a, b in slices(len(at), SLICE):
+            out[a:b] = self._full(at[a:b])
+        return at, out, np.repeat(self.ids[self.run_doc[keep]], sizes)
+
+    def _full(self, at: np.ndarray) -> np.ndarray:
+        sixteen = lambda k: mix(self.eight[at + k], self.eight[at + k + 8])
+        return mix(mix(sixteen(0), sixteen(16)), mix(sixteen(18), sixteen(34)))
+
+
+def _shared(several, starts, lengths):
+    """An entry's name occurs in more than one document: of different batches, or of one."""
+    return np.repeat((lengths > 1) | (np.maximum.reduceat(several, starts) > 0), lengths)
+
+
+def _earlier(low, starts, lengths):
     """An entry's rank occurs in a document before the batch's own first."""
     return np.repeat(np.minimum.reduceat(low, starts), lengths) < low
 
 
+def later_copies(dealt: DataFrame) -> DataFrame:
+    """batch, ids: documents whose whole text occurs in a document of smaller doc_id. Only digests are shuffled."""
+    known = dealt.where("doc_id is not null").select("batch", "doc_id", F.md5("text").alias("digest"))
+    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    later = known.join(firsts, "digest").where("doc_id > first")
+    return later.groupBy("batch").agg(F.collect_set("doc_id").alias("ids"))  # no more than a batch holds
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes left), spans: array of (start, end) of what was removed."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     layout = Layout(texts, 0.25)
     dealt = layout.batched(texts)
+    none = lambda kind: F.lit(None).cast(kind)
+    copies = later_copies(dealt).select("batch", none("int").alias("bucket"), none("binary").alias("reply"), F.lit(0).alias("kind"), "ids")
+    known = common.materialize(copies, "suffix-copies")
 
-    def ask_names(p: pd.DataFrame) -> pd.DataFrame:
-        return layout.rows(int(p.batch.iloc[0]), *batch_names(Batch(p)))
+    def opened(p: pd.DataFrame, r: pd.DataFrame) -> Batch:
+        ids = r[r.kind == 0].ids.tolist()
+        return Batch(p, np.concatenate([np.zeros(0, np.int64), *ids]))
 
-    asked = dealt.groupBy("batch").applyInPandas(ask_names, ASKED)
-    first = common.materialize(answer(asked, _shared, "<i8", "<i8").withColumn("kind", F.lit(1)), "suffix-names")
-    common.release_shuffles(spark)
+    def ask_names(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame({"bucket": [], "batch": [], "keys": [], "low": []})
+        names, least, largest = opened(p, r).names()
+        return layout.rows(int(p.batch.iloc[0]), names, (least != largest).astype(np.uint8))
 
     def ask_ranks(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame({"bucket": [], "batch": [], "keys": [], "low": [], "high": []})
-        batch = Batch(p)
-        names = batch_names(batch)[0]
-        _, ranks, own = batch_ranks(batch, names, bits(r, layout, names))
-        keys, low, _ = distinct_low_high(ranks, batch.ids[own])
+            return pd.DataFrame({"bucket": [], "batch": [], "keys": [], "low": []})
+        batch = opened(p, r)
+        names = batch.names()[0]
+        _, ranks, ids = batch.ranks(bits(r[r.kind == 1], layout, names), names)
+        keys, low, _ = distinct_low_high(ranks, ids)
         return layout.rows(int(p.batch.iloc[0]), keys, low)
 
-    asked = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInPandas(ask_ranks, ASKED)
-    second = common.materialize(answer(asked, _earlier, "<i8").withColumn("kind", F.lit(2)), "suffix-ranks")
-    common.release_shuffles(spark)
+    def told(asked: DataFrame, reply, kind: str, number: int) -> DataFrame:
+        return answer(asked, reply, kind).select("batch", "bucket", "reply", F.lit(number).alias("kind"), none("array<bigint>").alias("ids"))
+
+    for number, (ask, reply, kind) in enumerate(((ask_names, _shared, "u1"), (ask_ranks, _earlier, "<i8")), 1):
+        asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(ask, ASKED)
+        known = known.unionByName(common.materialize(told(asked, reply, kind, number), f"suffix-replies-{number}"))
+        common.release_shuffles(spark)
 
     def cut(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "kept": [], "spans": []})
-        batch = Batch(p)
-        names = batch_names(batch)[0]
-        places, ranks, own = batch_ranks(batch, names, bits(r[r.kind == 1], layout, names))
-        ids = batch.ids[own]
+        batch = opened(p, r)
+        names = batch.names()[0]
+        places, ranks, ids = batch.ranks(bits(r[r.kind == 1], layout, names), names)
         keys, low, _ = distinct_low_high(ranks, ids)
         earlier = bits(r[r.kind == 2], layout, keys)
         at = np.searchsorted(keys, ranks)
         gone = places[(ids > low[at]) | earlier[at]]
         edge = np.zeros(batch.n + SPAN + 1, np.int32)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + SPAN, -1)
+        edge[gone] += 1  # places are distinct
+        edge[gone + SPAN] -= 1
         covered = np.cumsum(edge)[: batch.n] > 0
         kept, spans = [], []
         for a, b in zip(batch.starts, batch.starts[1:], strict=False):
             c = np.diff(np.r_[0, covered[a:b].astype(np.int8), 0])
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(c == 1), np.flatnonzero(c == -1), strict=True)])
             kept.append(batch.bytes[a:b][~covered[a:b]].tobytes())
-        return pd.DataFrame({"doc_id": batch.rows.doc_id.to_numpy(), "n_bytes": batch.lengths, "kept": kept, "spans": spans})
+        out = pd.DataFrame({"doc_id": batch.rows.doc_id.to_numpy(), "n_bytes": batch.lengths, "kept": kept, "spans": spans})
+        lengths = batch.copies.text.map(len).to_numpy(np.int64)
+        whole = pd.DataFrame({"doc_id": batch.copies.doc_id.to_numpy(), "n_bytes": lengths, "kept": [b""] * len(lengths), "spans": [[{"start": 0, "end": int(n)}] for n in lengths]})
+        return pd.concat([out, whole]) if len(whole) else out
 
-    both = dealt.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch"))
+    both = dealt.groupBy("batch").cogroup(known.groupBy("batch"))
     return both.applyInPandas(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
