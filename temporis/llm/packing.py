@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,11 @@ from temporis.llm import common
 LIMIT, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, POPULATION, CROSSINGS, FULL, LOOSE, SEED = 2000, 2, 2, 4, 6, 0.995, 0.97, 23
 VOCABULARY = "word_bpe_49k.json"
-_KNOWN_MAX = 250_000
+_KNOWN_MAX = 600_000
 #: Characters for which the vocabulary's own normalising and splitting equal lower() and _PIECES.
 _OTHER = re.compile("[^\t-\r -~À-įĲ-ſ]").search
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+_PIECES = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ſ0-9]+").findall
+_PLAIN = bytes([*range(9, 14), *range(32, 127)])
 
 
 class Encoder:
@@ -49,17 +51,24 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or _OTHER(text):
+        odd = text.encode().translate(None, _PLAIN) if text.isascii() else _OTHER(text)
+        if odd or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, pieces = self.known, _PIECES(text.lower())
-        new = list({p for p in pieces if p not in known})
+        new = list(set(pieces).difference(known))
         if new:
             if len(known) + len(new) > _KNOWN_MAX:
                 known.clear()
                 new = list(set(pieces))
             for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[piece] = np.array(got.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        return b"".join(map(known.__getitem__, pieces))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The Encoder of a worker process: tasks that run in it one after the other share what it remembers."""
+    return Encoder(path)
 
 
 def default_vocabulary() -> str:
@@ -75,7 +84,7 @@ def pieces(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ())
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(path or default_vocabulary()), np.array([END], "<u4").tobytes()
+        encode, end = encoder(path or default_vocabulary()), np.array([END], "<u4").tobytes()
         for p in batches:
             out: list[tuple] = []
             for i, text in zip(p.doc_id, p.text, strict=True):
