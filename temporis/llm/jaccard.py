@@ -4,8 +4,9 @@ A text's set is its distinct word shingles. A census over all texts (see census.
 shingle; a text's shingles are ordered rarest first. Texts of similarity t or more share a shingle among the first
 n - ceil(t * n) + 1 of each, so only these prefixes are joined, and of them only shingles that more than one text holds.
 A pair must pass three filters before its sets are compared: sizes within t of each other; room for the needed overlap
-after the places of the shared shingle; and partition counts of both sets (PARTS ranges of the numbers) whose
-differences don't exceed what the needed overlap allows.
+after the places of the shared shingle; and, for the suffix filter, both sets dealt to PARTS ranges of the numbers: a
+range in which their counts differ in parity holds a shingle of one set only, so the number of such ranges bounds the
+Hamming distance from below and may not exceed what the needed overlap allows.
 
 Texts with equal sets are one class, of which one text takes part. As links only have to connect, a group of m near copies
 need not give m * m pairs: in rounds, the texts that share a shingle are compared with one leader, linked texts become one
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 from temporis.llm.census import ASKED, Layout, answer, mix, numbers
 
-WORDS, PERCENT, PARTS, ROUNDS = 5, 80, 16, 5
+WORDS, PERCENT, PARTS, ROUNDS = 5, 80, 1024, 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -94,12 +95,17 @@ def _total(low, starts, lengths):
     return np.repeat(np.add.reduceat(low, starts, dtype="<u4"), lengths)
 
 
-PREFIXES = "doc_id long, n int, class binary, tokens array<long>, places array<int>, members array<long>, parts array<short>"
+def _parities(x: np.ndarray) -> np.ndarray:
+    counts = np.bincount((x >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
+PREFIXES = "doc_id long, n int, class binary, tokens array<long>, places array<int>, members array<long>, parts array<long>"
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
     """A row for each text: n (size of its set), class (a digest of the set) and, for the first text of a class in its batch that
-    shares a shingle of its prefix with any text: tokens (these shingles), places, members (the set), parts (its partition counts)."""
+    shares a shingle of its prefix with any text: tokens (these shingles), places, members (the set), parts (parities of its partition counts, as bits)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     layout = Layout(texts, 0.16)
@@ -128,7 +134,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     first = np.lexsort((x, held))[: int(prefix_length(len(x)))]
                     place = np.flatnonzero(held[first] > 1)
                     if len(place):
-                        row[3:] = x[first][place].view(np.int64), place.astype(np.int32), x.view(np.int64), np.bincount((x >> np.uint64(60)).astype(int), minlength=PARTS).clip(max=32767).astype(np.int16)
+                        row[3:] = x[first][place].view(np.int64), place.astype(np.int32), x.view(np.int64), _parities(x)
                 out.append(row)
         return pd.DataFrame(out, columns=["doc_id", "n", "class", "tokens", "places", "members", "parts"])
 
@@ -145,9 +151,8 @@ def _may_link(a: str, b: str) -> F.Column:
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = _least_overlap(n, m)
     room = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
-    differ = F.aggregate(F.zip_with(F.col(f"{a}.parts"), F.col(f"{b}.parts"), lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    capped = F.greatest(n, m) > 32767
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (room >= need) & (capped | (differ <= n + m - 2 * need))
+    differ = sum((F.bit_count(F.col(f"{a}.parts.b{k}").bitwiseXOR(F.col(f"{b}.parts.b{k}"))) for k in range(PARTS // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (room >= need) & (differ <= n + m - 2 * need)
 
 
 def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -187,7 +192,8 @@ def _apply(rows: DataFrame, moved: DataFrame) -> DataFrame:
 def connect(nodes: DataFrame) -> DataFrame:
     """node, comp: for the nodes (node, n, tokens, places, members, parts) that links connect, the least node reachable."""
     spark = nodes.sparkSession
-    rows = nodes.select("node", F.col("node").alias("comp"), "n", "parts", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    parts = F.struct(*[F.get("parts", F.lit(k)).alias(f"b{k}") for k in range(PARTS // 64)]).alias("parts")
+    rows = nodes.select("node", F.col("node").alias("comp"), "n", parts, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", F.col("t.places").alias("place"), "parts")
     shared = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
     rows = common.materialize(rows.join(shared, "token", "left_semi"), "jaccard-tokens")
