@@ -248,12 +248,15 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, and those without one; all columns."""
+    """The rows of docs whose doc_id is the smallest of their component, and those without one; all columns.
+
+    Of rows that repeat a doc_id the one with the smallest text stays.
+    """
     firsts = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    kept = kept.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    kept = rows.join(firsts, "doc_id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

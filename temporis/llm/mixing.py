@@ -60,14 +60,19 @@ def sainte_lague(share: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     The divisor between winning and losing quotients is bisected, and the few seats at it are then dealt one by one, so
     the cost doesn't depend on the number of seats.
     """
+    most = np.where(share > 0, most, 0)  # a quotient of 0 wins nothing
     seats = int(min(seats, most.sum()))
     if not seats:
         return np.zeros(len(share), np.int64)
-    won = lambda q: np.minimum(np.floor(share / (2 * q) + 0.5).astype(np.int64), most)  # noqa: E731  quotients of at least q
+
+    def won(q: float) -> np.ndarray:
+        """Seats whose quotients are at least q."""
+        return np.floor(np.minimum(share / (2 * q) + 0.5, most)).astype(np.int64)
+
     low, high = 0.0, float(share.max()) + 1.0
     for _ in range(200):
         mid = (low + high) / 2
-        if won(mid).sum() >= seats if mid > 0 else True:
+        if won(mid).sum() >= seats:
             low = mid
         else:
             high = mid
@@ -176,15 +181,19 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Equal rows get equal texts.
     """
-    names = docs.columns
-    numbered = docs.withColumn("_key", F.concat_ws("#", F.col("doc_id").cast("string"), F.xxhash64(*names).cast("string")))
-    plan = mix(numbered, "_key")
-    plan = plan.groupBy("_key").agg(*[F.first(c).alias(f"_{c}") for c in ("size", "whole", "head", "tail", "head_at", "taken")])
-    both = numbered.join(plan, "_key").where("_taken > 0")
-    whole = F.when(F.col("_whole") >= 1, F.array_repeat(F.col("text"), F.col("_whole").cast("int"))).otherwise(F.expr("cast(array() as array<string>)"))
-    part = lambda start, n: F.when(n == F.col("_size"), F.array(F.col("text"))).when(n > 0, F.array(word_slice(F.col("text"), start, n))).otherwise(F.expr("cast(array() as array<string>)"))
-    text = F.array_join(F.concat(whole, part(F.lit(0), F.col("_tail")), part(F.col("_head_at"), F.col("_head"))), "\n")
-    out = both.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+    key = F.concat_ws("#", F.col("doc_id").cast("string"), F.xxhash64("doc_id", "text", "source").cast("string"))
+    rows = docs.select(key.alias("key"), "text", "source", F.struct(*docs.columns).alias("row"))
+    plan = mix(rows.select("key", "text", "source"), "key")
+    plan = plan.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "whole", "head", "tail", "head_at", "taken")])
+    both = rows.join(plan, "key").where("taken > 0")
+    none = F.expr("cast(array() as array<string>)")
+    whole = F.when(F.col("whole") >= 1, F.array_repeat(F.col("text"), F.col("whole").cast("int"))).otherwise(none)
+
+    def part(start: Column, n: Column) -> Column:
+        return F.when(n == F.col("size"), F.array(F.col("text"))).when(n > 0, F.array(word_slice(F.col("text"), start, n))).otherwise(none)
+
+    text = F.array_join(F.concat(whole, part(F.lit(0), F.col("tail")), part(F.col("head_at"), F.col("head"))), "\n")
+    own = {"text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+    return both.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -4,7 +4,8 @@ Only DataFrame expressions. The two first-order models (random strings, ordinary
 a labelled sample that this module generates (``SAMPLES`` strings of each label, a documented bound); their smoothed
 log-likelihood ratio per character pair is one constant table of 128 x 128 doubles. A word of at least ``MIN_LENGTH``
 characters of the token alphabet that doesn't touch a pattern's span is added when its summed ratio exceeds
-``MIN_TOTAL`` and its mean ratio per pair exceeds ``MIN_MEAN``.
+``MIN_TOTAL``, its mean ratio per pair exceeds ``MIN_MEAN``, and it has a letter, a digit and ``MIN_DISTINCT`` different
+characters (rules and fillers have few).
 
 Defined cases: a null text is empty and has no span; texts of any length are scanned whole; repeated rows each give
 their row; other columns are ignored; an empty table gives no rows.
@@ -25,7 +26,7 @@ ASSIGN_MIN = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-MIN_LENGTH, MIN_TOTAL, MIN_MEAN, SAMPLES = 16, 12.0, 0.6, 6000
+MIN_LENGTH, MIN_TOTAL, MIN_MEAN, MIN_DISTINCT, SAMPLES = 16, 12.0, 0.4, 8, 6000
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 PARTS = (
     "get set user name file path read write index count total value order item list map key node tree table column row "
@@ -125,7 +126,10 @@ def mean_ratio(word: Column, table: Column) -> Column:
 
 
 def scan(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with ``base`` and ``added``: arrays of (start, end, kind), sorted by start, then kind as listed."""
+    """docs with base and spans: the fixed patterns' and all spans, arrays of (start, end, kind) by start, then kind as listed.
+
+    Columns of docs that have these names are replaced.
+    """
     table = ratio_table(docs.sparkSession)
     text = F.coalesce(F.col(column), F.lit(""))
 
@@ -144,7 +148,8 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     def random(s: Column) -> Column:
         ratio = mean_ratio(s["word"], table)
         apart = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (ratio["total"] > MIN_TOTAL) & (ratio["mean"] > MIN_MEAN) & apart
+        mixed = s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["word"], ""))) >= MIN_DISTINCT)
+        return mixed & apart & (ratio["total"] > MIN_TOTAL) & (ratio["mean"] > MIN_MEAN)
 
     out = out.withColumn("_added", F.transform(F.filter(words, random), order))
     fields = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
@@ -154,8 +159,7 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with each span of a secret (overlapping ones joined) replaced by mask; other columns as they were."""
-    names = docs.columns
-    scanned = scan(docs)
+    scanned = scan(docs.select(F.struct(*docs.columns).alias("row"), "text"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     pieces = F.aggregate(
         "spans",
@@ -169,7 +173,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
     )
     clean = F.concat(F.array_join(pieces["out"], ""), F.substring(F.col("text"), (pieces["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*names)
+    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    return scanned.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
