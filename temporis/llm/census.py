@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from temporis.llm import common
 
-BATCH_BYTES, BUCKET_KEYS = 4_000_000, 1_500_000
+BATCH_BYTES, BUCKET_KEYS = 4_000_000, 1_000_000
 ASKED = "bucket int, batch long, keys binary, low binary"
 
 
@@ -66,6 +66,7 @@ def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> Dat
         out[order] = got
         parts = np.split(out, ends[:-1])
         packed = [np.packbits(x).tobytes() if x.dtype == bool else _squeeze(x) for x in parts]
+        common.trim()
         return pd.DataFrame({"batch": p.batch.to_numpy(), "bucket": p.bucket.to_numpy(), "reply": packed})
 
     return asked.groupBy("bucket").applyInPandas(run, "batch long, bucket int, reply binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import tempfile
 import time
@@ -39,6 +41,14 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system: workers are reused, and what one stage held stays otherwise."""
+    gc.collect()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+        ctypes.CDLL(libc).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

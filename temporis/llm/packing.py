@@ -31,7 +31,7 @@ from temporis.llm import common
 LIMIT, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, POPULATION, CROSSINGS, FULL, LOOSE, SEED = 2000, 2, 2, 4, 6, 0.995, 0.97, 23
 VOCABULARY = "word_bpe_49k.json"
-_KNOWN_MAX = 600_000
+_KNOWN_MAX = 400_000
 #: Characters for which the vocabulary's own normalising and splitting equal lower() and _PIECES.
 _OTHER = re.compile("[^\t-\r -~À-įĲ-ſ]").search
 _PIECES = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ſ0-9]+").findall

@@ -27,7 +27,7 @@ from temporis.llm import common
 BITS, TRAIN_ROWS, FEATURES, SCREEN, RANK = 18, 20_000, 1024, 2.5, 6
 EPOCHS, BATCH, RATE, DECAY, SEED = 15, 128, 0.1, 1e-4, 7
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_CACHE_MAX = 300_000
+_CACHE_MAX = 100_000
 
 
 class Terms:
@@ -105,6 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         of = Terms()
         for p in batches:
             yield pd.DataFrame({"doc_id": p.doc_id, "label": p.label, "terms": [np.sort(of(t)).astype("<i4").tobytes() for t in p.text]})
+        of.known.clear()
+        common.trim()
 
     rows = common.materialize(sample.mapInPandas(terms, "doc_id long, label int, terms binary"), "toxicity-terms")
 
@@ -147,6 +149,8 @@ def scorer(model: dict):
         for texts in batches:
             found = [place[of(t or "")] for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(log_odds([i[i >= 0] for i in found], model), -30, 30))), dtype="float64")
+        of.known.clear()
+        common.trim()
 
     return run
 
@@ -160,7 +164,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that score under one half, with all their columns."""
     common.small_batches(docs.sparkSession)
-    return docs.withColumn("_score", scorer(model)("text")).where("_score < 0.5").drop("_score")
+    return docs.where(scorer(model)(F.col("text")) < 0.5)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
