@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from temporis.llm import common, vectors
 
-TRAIN_ROWS, MAX_LISTS, PARTS, CODES, RECALL, RERANK = 20_000, 1024, 16, 256, 0.96, 160
+TRAIN_ROWS, MAX_LISTS, PARTS, CODES, RECALL, RERANK = 20_000, 1024, 16, 256, 0.97, 640
 CELL, QUERY_CELL, SEED = 4096, 1024, 3
 
 
