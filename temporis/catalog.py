@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from temporis.plans import media_queries, relational_queries, tool_queries, vector_queries
+from temporis.plans import media_queries, relational_queries, source_queries, tool_queries, vector_queries
 from temporis.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "media_queries", "relational_queries", "tool_queries", "vector_queries"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "media_queries", "relational_queries", "source_queries", "tool_queries", "vector_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. A temporary folder serves only where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="temporis-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """A function that writes a table and reads it back. A temporary folder serves only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="temporis-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """A function that writes a table and reads it back."""
 
     def save(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = folder(spark, name)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

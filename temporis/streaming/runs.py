@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="temporis-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from temporis.plans.saving import folder
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +16,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def outcome(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Take all that is there; each micro-batch replaces (complete) or adds to (append, update) the table."""
     spark = stream.sparkSession
-    out, marks = _folder(spark, name), _folder(spark, name + "-marks")
+    out, marks = folder(spark, name), folder(spark, name + "-marks")
 
     def put(batch: DataFrame, number: int) -> None:
         if mode == "complete":
