@@ -21,6 +21,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +41,12 @@ class Batch:
     Names are kept as runs: neighbouring positions of a text mostly share theirs.
     """
 
-    def __init__(self, p: pd.DataFrame, copies: np.ndarray) -> None:
+    def __init__(self, p: pd.DataFrame, earlier: set[str]) -> None:
         p = p.assign(_id=p.doc_id.fillna(_NONE).astype("int64")).sort_values(["_id", "text"], kind="stable")
         self.lengths = p.text.map(len).to_numpy(np.int64)
-        copy = np.isin(p["_id"].to_numpy(), copies) & (self.lengths >= SPAN)
+        digests = p.text.map(lambda t: hashlib.md5(t).hexdigest())
+        first = p["_id"].groupby(digests).transform("min")  # a null doc_id is the smallest
+        copy = (digests.isin(earlier) & p.doc_id.notna() | (p["_id"] > first)).to_numpy() & (self.lengths >= SPAN)
         self.copies, self.rows, self.lengths = p[copy], p[~copy], self.lengths[~copy]
         self.ids = self.rows["_id"].to_numpy()
         self.starts = np.r_[0, np.cumsum(self.lengths)]
@@ -105,12 +109,15 @@ def _earlier(low, starts, lengths):
     return np.repeat(np.minimum.reduceat(low, starts), lengths) < low
 
 
-def later_copies(dealt: DataFrame) -> DataFrame:
-    """batch, ids: documents whose whole text occurs in a document of smaller doc_id. Only digests are shuffled."""
-    known = dealt.where("doc_id is not null").select("batch", "doc_id", F.md5("text").alias("digest"))
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    later = known.join(firsts, "digest").where("doc_id > first")
-    return later.groupBy("batch").agg(F.collect_set("doc_id").alias("ids"))  # no more than a batch holds
+def earlier_texts(dealt: DataFrame) -> DataFrame:
+    """batch, digests: of a batch's texts those whose whole text occurs in another batch in a document of smaller doc_id.
+
+    Digests are summed up by batch before they are joined, so copies of one text are as many rows as there are batches.
+    """
+    known = dealt.where("doc_id is not null").groupBy(F.md5("text").alias("digest"), "batch").agg(F.min("doc_id").alias("own"))
+    firsts = known.groupBy("digest").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = known.join(firsts, "digest").where("own > first")
+    return later.groupBy("batch").agg(F.collect_set("digest").alias("digests"))  # no more than a batch has texts
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -120,12 +127,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     layout = Layout(texts, 0.25)
     dealt = layout.batched(texts)
     none = lambda kind: F.lit(None).cast(kind)
-    copies = later_copies(dealt).select("batch", none("int").alias("bucket"), none("binary").alias("reply"), F.lit(0).alias("kind"), "ids")
+    copies = earlier_texts(dealt).select("batch", none("int").alias("bucket"), none("binary").alias("reply"), F.lit(0).alias("kind"), "digests")
     known = common.materialize(copies, "suffix-copies")
 
     def opened(p: pd.DataFrame, r: pd.DataFrame) -> Batch:
-        ids = r[r.kind == 0].ids.tolist()
-        return Batch(p, np.concatenate([np.zeros(0, np.int64), *ids]))
+        return Batch(p, {d for own in r[r.kind == 0].digests for d in own})
 
     def ask_names(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
@@ -143,7 +149,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return layout.rows(int(p.batch.iloc[0]), keys, low)
 
     def told(asked: DataFrame, reply, kind: str, number: int) -> DataFrame:
-        return answer(asked, reply, kind).select("batch", "bucket", "reply", F.lit(number).alias("kind"), none("array<bigint>").alias("ids"))
+        return answer(asked, reply, kind).select("batch", "bucket", "reply", F.lit(number).alias("kind"), none("array<string>").alias("digests"))
 
     for number, (ask, reply, kind) in enumerate(((ask_names, _shared, "u1"), (ask_ranks, _earlier, "<i8")), 1):
         asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(ask, ASKED)
