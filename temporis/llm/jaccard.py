@@ -196,7 +196,8 @@ def connect(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.col("node").alias("comp"), "n", parts, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", F.col("t.places").alias("place"), "parts")
     shared = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
-    rows = common.materialize(rows.join(shared, "token", "left_semi"), "jaccard-tokens")
+    # what is joined with the rows is a table of its own, so that Spark can split the rows of a frequent shingle
+    rows = common.materialize(rows.join(common.materialize(shared, "jaccard-shared"), "token", "left_semi"), "jaccard-tokens")
     known = nodes.select("node").distinct().withColumn("comp", F.col("node"))
     tested = None
     for number in range(ROUNDS + 1):
@@ -209,6 +210,7 @@ def connect(nodes: DataFrame) -> DataFrame:
         else:
             picked = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "comp", "n", "place", "parts")).alias("h"))
             heads = picked.select("token", "h.node", "h.comp", "h.n", "h.place", "h.parts")
+        heads = common.materialize(heads, "jaccard-heads")
         met = rows.alias("x").join(heads.alias("h"), F.expr("x.token = h.token and x.comp <> h.comp") & _may_link("x", "h"))
         pairs = met.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct()
         if tested is not None:
@@ -224,7 +226,7 @@ def connect(nodes: DataFrame) -> DataFrame:
             if not last:
                 rows = _apply(rows, moved)
                 apart = rows.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
-                rows = common.materialize(rows.join(apart, "token", "left_semi"), "jaccard-tokens")
+                rows = common.materialize(rows.join(common.materialize(apart, "jaccard-apart"), "token", "left_semi"), "jaccard-tokens")
         common.release_shuffles(spark)
         if rows.isEmpty():
             break
