@@ -13,6 +13,9 @@ from temporis.schemas import FRAMES_SQL, SUBTITLES_SQL, VIDEOS_SQL
 from temporis.session import table
 from temporis.sources import subtitles as subs
 
+#: How loudness is standardised by default.
+AUDIO_MEAN, AUDIO_STD = 0.5, 0.5
+
 _GRID = VIDEOS_SQL + """, grid AS (
   SELECT video_id, duration, CAST(unnest(range(CAST(ceil(duration / 10) AS BIGINT))) AS INTEGER) AS clip_no FROM videos WHERE duration > 0
 )"""
@@ -367,11 +370,11 @@ def mth_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.select("user_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("power"))
 
 
-@query("mth4_audio_standardise", f"WITH {_SIGNAL}, r AS (SELECT user_id, v, len(v) AS n FROM sig), p AS (SELECT user_id, v[CAST(i % n AS BIGINT) + 1] AS x FROM r, range(500) g(i)) SELECT user_id, round(sum((x - (-4.2677393)) / (4.5689974 * 2)), 4) AS total FROM p GROUP BY 1")
+@query("mth4_audio_standardise", f"WITH {_SIGNAL}, r AS (SELECT user_id, v, len(v) AS n FROM sig), p AS (SELECT user_id, v[CAST(i % n AS BIGINT) + 1] AS x FROM r, range(500) g(i)) SELECT user_id, round(sum((x - 0.5) / (0.5 * 2)), 4) AS total FROM p GROUP BY 1")
 def mth_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
     signal = table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("v"))
-    done = numeric.standardised(numeric.repeat_to(F.col("v"), 500), -4.2677393, 4.5689974)
+    done = numeric.standardised(numeric.repeat_to(F.col("v"), 500), AUDIO_MEAN, AUDIO_STD)
     return signal.select("user_id", F.round(F.aggregate(done, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
