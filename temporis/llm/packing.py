@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from temporis.llm import common
 LIMIT, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, POPULATION, CROSSINGS, FULL, LOOSE, SEED = 2000, 2, 2, 4, 6, 0.995, 0.97, 23
 VOCABULARY = "word_bpe_49k.json"
-_KNOWN_MAX = 400_000
+_KNOWN_MAX = 700_000
 #: Characters for which the vocabulary's own normalising and splitting equal lower() and _PIECES.
 _OTHER = re.compile("[^\t-\r -~À-įĲ-ſ]").search
 _PIECES = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ſ0-9]+").findall
@@ -61,7 +62,7 @@ class Encoder:
                 known.clear()
                 new = list(set(pieces))
             for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
+                known[piece] = array("I", got.ids).tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
 
