@@ -128,6 +128,13 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def scatter(x: np.ndarray) -> np.ndarray:
+    """Different numbers for different numbers, spread evenly over 64 bits: least ranks crowd near zero, buckets are ranges."""
+    x = x * _A
+    x ^= x >> np.uint64(32)
+    return x * _C
+
+
 def slices(n: int, size: int) -> Iterator[tuple[int, int]]:
     for a in range(0, n, size):
         yield a, min(n, a + size)

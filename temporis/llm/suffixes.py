@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temporis.llm import common
-from temporis.llm.census import ASKED, Layout, answer, bits, distinct_low_high, mix, slices
+from temporis.llm.census import ASKED, Layout, answer, bits, distinct_low_high, mix, scatter, slices
 
 SPAN, GRAM, SLICE = 50, 32, 1 << 15
 _NONE = np.iinfo(np.int64).min
@@ -78,7 +78,7 @@ class Batch:
             docs.append(w[run])
             sizes.append(np.diff(np.r_[run, len(n)]))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.run_at, self.run_name, self.run_doc, self.run_size = join(first, np.int64), join(names, np.uint64), join(docs, np.int32), join(sizes, np.int64)
+        self.run_at, self.run_name, self.run_doc, self.run_size = join(first, np.int64), scatter(join(names, np.uint64)), join(docs, np.int32), join(sizes, np.int64)
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names with the least and largest doc_id of each."""
