@@ -88,6 +88,26 @@ def logits(texts: DataFrame, images: DataFrame, logit_scale: float) -> DataFrame
     return pairs.select("text_id", "image_id", (vector.dot(F.col("t"), F.col("i")) * F.exp(F.lit(logit_scale))).alias("logit"))
 
 
+def logits_blocks(texts: DataFrame, images: DataFrame, logit_scale: float, block: int = 2048) -> DataFrame:
+    """As logits, for many texts: matrix products over blocks of texts and of images. Pairs with a zero or null vector have a null logit."""
+    n_i, n_t = max(1, -(-images.count() // block)), max(1, -(-texts.count() // block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = images.select("image_id", vector.normalise(F.col("image_embedding")).alias("e"), deal("image_id", n_i).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("b"))
+    right = texts.select("text_id", vector.normalise(F.col("text_embedding")).alias("e"), deal("text_id", n_t).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("a"))
+
+    def cell(i: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(i) or not len(t):
+            return pd.DataFrame({"text_id": [], "image_ids": [], "logits": []})
+        dim = next((len(v) for v in [*i.e, *t.e] if v is not None), 1)
+        e, ts = (np.stack([np.full(dim, np.nan) if v is None else v for v in x.e]) for x in (i, t))
+        ids = i.image_id.to_numpy()
+        return pd.DataFrame({"text_id": t.text_id, "image_ids": [ids] * len(t), "logits": list(ts @ e.T * np.exp(logit_scale))})
+
+    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, "text_id long, image_ids array<long>, logits array<double>")
+    pairs = got.select("text_id", F.explode(F.arrays_zip("image_ids", "logits")).alias("x"))
+    return pairs.select("text_id", F.col("x.image_ids").alias("image_id"), F.when(~F.isnan("x.logits"), F.col("x.logits")).alias("logit"))
+
+
 def search_blocks(queries: DataFrame, items: DataFrame, k: int, dim: int, block: int = 8192) -> DataFrame:
     """query_id, clip_no, score, rank for many queries: cosine by matrix products over blocks of items and of queries.
 

@@ -123,6 +123,15 @@ def vec_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.logits(texts, images, 1.5).withColumn("logit", F.round("logit", 5))
 
 
+@query("vec11_contrastive_logits_whole", f"WITH {_V} SELECT t.vec_id AS text_id, i.vec_id AS image_id, round(list_inner_product(t.e, i.e) / (t.n * i.n) * exp(1.5), 5) AS logit FROM v t JOIN v i ON t.vec_id % 50 = 0")
+def vec_logits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is an image, every row whose vec_id is divisible by 50 a text."""
+    rows = table(spark, sf_dir, "embeddings")
+    texts = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("text_embedding"))
+    images = rows.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image_embedding"))
+    return retrieval.logits_blocks(texts, images, 1.5).withColumn("logit", F.round("logit", 5))
+
+
 @query(
     "vec13_status_tolerance",
     "SELECT label AS video_id, CAST(count_if(vec_id % 7 <> 0) AS BIGINT) AS ok, CAST(count_if(vec_id % 7 = 0) AS BIGINT) AS failed FROM embeddings GROUP BY label",
