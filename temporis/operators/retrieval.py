@@ -97,7 +97,7 @@ def logits_blocks(texts: DataFrame, images: DataFrame, logit_scale: float, block
 
     def cell(i: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(t):
-            return pd.DataFrame({"text_id": [], "image_ids": [], "logits": []})
+            return pd.DataFrame([], columns=["text_id", "image_ids", "logits"])
         dim = next((len(v) for v in [*i.e, *t.e] if v is not None), 1)
         e, ts = (np.stack([np.full(dim, np.nan) if v is None else v for v in x.e]) for x in (i, t))
         ids = i.image_id.to_numpy()
@@ -108,25 +108,29 @@ def logits_blocks(texts: DataFrame, images: DataFrame, logit_scale: float, block
     return pairs.select("text_id", F.col("x.image_ids").alias("image_id"), F.when(~F.isnan("x.logits"), F.col("x.logits")).alias("logit"))
 
 
-def search_blocks(queries: DataFrame, items: DataFrame, k: int, dim: int, block: int = 8192) -> DataFrame:
-    """query_id, clip_no, score, rank for many queries: cosine by matrix products over blocks of items and of queries.
+def search_blocks(queries: DataFrame, items: DataFrame, k: int, dim: int, block: int = 8192, on: list[str] | None = None, normalised: bool = True, digits: int | None = None) -> DataFrame:
+    """query_id, clip_no, score, rank for many queries: cosine (or the raw inner product) by matrix products over blocks of items
+    and of queries, of the same `on` values. Scores that are equal when rounded to `digits`, where given, are ties.
 
     Both sides are dealt to blocks of about `block` rows; a cell of two blocks yields the k best of each query, one packed row
     a query, so the shuffle carries blocks and short lists, never a score matrix.
     """
     n_i, n_q = max(1, -(-items.count() // block)), max(1, -(-queries.count() // block))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = items.select("clip_no", F.col("embedding").cast("array<double>").alias("e"), deal("clip_no", n_i).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("b"))
-    right = queries.select("query_id", F.col("query").cast("array<double>").alias("q"), deal("query_id", n_q).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("a"))
+    on = on or []
+    left = items.select(*on, "clip_no", F.col("embedding").cast("array<double>").alias("e"), deal("clip_no", n_i).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("b"))
+    right = queries.select(*on, "query_id", F.col("query").cast("array<double>").alias("q"), deal("query_id", n_q).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("a"))
 
     def unit(x: pd.Series) -> np.ndarray:
         m = np.stack(x.to_list()) if len(x) else np.zeros((0, dim))
+        if not normalised:
+            return m
         n = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
     def cell(i: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(q):
-            return pd.DataFrame({"query_id": [], "clips": [], "scores": []})
+            return pd.DataFrame([], columns=["query_id", "clips", "scores"])
         i = i.sort_values("clip_no")
         ids, out = i.clip_no.to_numpy(), []
         e, qs = unit(i.e), unit(q.q)
@@ -134,14 +138,14 @@ def search_blocks(queries: DataFrame, items: DataFrame, k: int, dim: int, block:
         for name, v in zip(q.query_id.to_numpy(), qs, strict=True):
             if np.isnan(v[0]) or not len(ids):
                 continue
-            s = (e * v).sum(1)
+            s = (e * v).sum(1) if digits is None else (e * v).sum(1).round(digits)
             best = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
             best = np.flatnonzero(s >= s[best].min())
             best = best[np.lexsort((ids[best], -s[best]))][:k]
             out.append((name, ids[best], s[best]))
         return pd.DataFrame(out, columns=["query_id", "clips", "scores"])
 
-    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, "query_id long, clips array<long>, scores array<double>")
+    got = left.groupBy("a", "b", *on).cogroup(right.groupBy("a", "b", *on)).applyInPandas(cell, "query_id long, clips array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("scores", "clips"), lambda x: F.struct((0.0 - x["scores"]).alias("below"), x["clips"].alias("clip_no")))
     first = got.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("x"))
     return first.select("query_id", F.posexplode("x").alias("at", "x")).select("query_id", "x.clip_no", (0.0 - F.col("x.below")).alias("score"), (F.col("at") + 1).alias("rank"))

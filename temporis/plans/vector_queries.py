@@ -184,6 +184,100 @@ def vec_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(retrieval.image_search(queries, _items(spark, sf_dir), 5))
 
 
+#: As above for whole tables: every row is an item, every row whose vec_id is divisible by 50 a query.
+_TOP_WHOLE = f"""WITH {_V}, s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_no) AS rank FROM s)
+SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE """
+
+
+def _search_whole(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.search_blocks(queries, _items(spark, sf_dir), k, 64)
+
+
+@query("vec3_topk_whole", _TOP_WHOLE + "rank <= 8")
+def vec_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_search_whole(spark, sf_dir, 8))
+
+
+@query("vec4_threshold_whole", _TOP_WHOLE + "rank <= 100 AND score > 0.2")
+def vec_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_search_whole(spark, sf_dir, retrieval.THRESHOLD_CANDIDATES).where("score > 0.2"))
+
+
+@query("vec5_topk_similarity_whole", _TOP_WHOLE + "rank <= 100")
+def vec_topk_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_search_whole(spark, sf_dir, retrieval.THRESHOLD_CANDIDATES))
+
+
+@query(
+    "vec8_fused_query_whole",
+    f"""WITH {_V}, s AS (
+  SELECT a.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) + list_inner_product(b.e, c.e) / (b.n * c.n) AS score
+  FROM v a JOIN v b ON b.vec_id = a.vec_id + 10 AND a.vec_id % 50 = 0 JOIN v c ON true
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, clip_no) AS rank FROM s)
+SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+)
+def vec_fused_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's text is the row ten further on; a row without one is no fused query.
+
+    Both rows of a query are items too, and tie: each scores 1 and their cosine."""
+    rows = table(spark, sf_dir, "embeddings")
+    video = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("video_query"))
+    text = rows.select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("text_query"))
+    queries = retrieval.fused(video.join(text, "query_id")).where("query is not null")
+    items = _items(spark, sf_dir).withColumn("embedding", vector.normalise(F.col("embedding"))).where("embedding is not null")
+    return _shown(retrieval.search_blocks(queries, items, 5, 64, normalised=False, digits=9))
+
+
+@query(
+    "vec9_subtitle_topk_whole",
+    """WITH s AS (
+  SELECT q.vec_id AS query_id, c.label AS video_id, c.vec_id AS seq, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM s)
+SELECT query_id, video_id, seq, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
+)
+def vec_subtitles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), F.col("embedding").alias("query"))
+    items = rows.select(F.col("label").alias("video_id"), F.col("vec_id").alias("clip_no"), "embedding")
+    hits = retrieval.search_blocks(queries, items, 3, 64, on=["video_id"], normalised=False).join(queries.select("query_id", "video_id"), "query_id")
+    return hits.select("query_id", "video_id", F.col("clip_no").alias("seq"), F.round("score", 6).alias("score"), "rank")
+
+
+#: Three queries in a row are the sub-queries of a call.
+_SUB_WHOLE = f"""{_V}, s AS (
+  SELECT q.vec_id // 150 AS call_id, CAST(q.vec_id // 50 % 3 AS INTEGER) AS sub_no, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY call_id, sub_no ORDER BY score DESC, clip_no) AS rank FROM s)"""
+
+
+def _sub_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _search_whole(spark, sf_dir, 10)
+    return hits.select(F.expr("query_id div 150").alias("call_id"), F.expr("cast(query_id div 50 % 3 as int)").alias("sub_no"), "clip_no", "score", "rank")
+
+
+@query("vec14_multi_query_whole", f"WITH {_SUB_WHOLE} SELECT call_id, sub_no, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def vec_multi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sub_hits_whole(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "set1_sub_query_union_whole",
+    f"""WITH {_SUB_WHOLE}, d AS (SELECT *, row_number() OVER (PARTITION BY call_id, clip_no // 4 ORDER BY sub_no, rank) AS first FROM r WHERE rank <= 10)
+SELECT call_id, clip_no // 4 AS start_s, sub_no, CAST(rank AS INTEGER) AS rank FROM d WHERE first = 1""",
+)
+def set_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _sub_hits_whole(spark, sf_dir).withColumn("start_s", F.expr("clip_no div 4"))
+    return retrieval.merge_sub_queries(hits, ["call_id"]).select("call_id", "start_s", "sub_no", "rank")
+
+
+@query("vec15_image_exclude_whole", _TOP_WHOLE + "rank <= 6 AND NOT (clip_no * 10 <= query_id * 10 AND query_id * 10 <= clip_no * 10 + 10)")
+def vec_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.excluding_own(_search_whole(spark, sf_dir, 6), F.col("query_id") * 10.0))
+
+
 @query(
     "agg6_mean_pooling",
     """WITH x AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings), m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, pos)

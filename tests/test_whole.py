@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from temporis import catalog
 from temporis.operators import retrieval
@@ -32,3 +33,34 @@ def test_logits_by_blocks_equal_logits(spark):
     want = plain(retrieval.logits(texts, images, 1.5))
     assert plain(retrieval.logits_blocks(texts, images, 1.5, block=8)) == want
     assert len(want) == 17 * 42
+
+
+@pytest.mark.parametrize("name", ["vec3_topk", "vec4_threshold", "vec5_topk_similarity", "vec8_fused_query", "vec9_subtitle_topk", "vec15_image_exclude"])
+def test_every_query_is_answered(spark, sf, name):
+    ids, v = unit_vectors(spark, sf)
+    got = catalog.QUERIES[f"{name}_whole"](spark, sf).collect()
+    assert {r["query_id"] for r in got} == set(ids[ids % 50 == 0].tolist())
+    if name == "vec3_topk":
+        at = {i: k for k, i in enumerate(ids.tolist())}
+        for q in ids[ids % 50 == 0].tolist():
+            s = v @ v[at[q]]
+            assert [r["clip_no"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == ids[np.lexsort((ids, -s.round(12)))][:8].tolist()
+
+
+@pytest.mark.parametrize("name", ["vec14_multi_query", "set1_sub_query_union"])
+def test_every_sub_query_is_answered(spark, sf, name):
+    ids, _ = unit_vectors(spark, sf)
+    got = {(r["call_id"], r["sub_no"]) for r in catalog.QUERIES[f"{name}_whole"](spark, sf).collect()}
+    assert got == {(i // 150, i // 50 % 3) for i in ids[ids % 50 == 0].tolist()}
+
+
+def test_fused_queries_meet_every_item(spark, sf):
+    assert {r["clip_no"] for r in catalog.QUERIES["vec8_fused_query_whole"](spark, sf).collect()} & set(range(20))
+
+
+def test_blocks_by_group_and_raw_product_equal_search(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, i % 3, [round(x, 1) for x in rng.normal(size=3).tolist()]) for i in range(60)], "clip_no long, video_id int, embedding array<double>")
+    queries = rows.where("clip_no < 20").selectExpr("clip_no AS query_id", "video_id", "embedding AS query")
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["clip_no"], round(r["score"], 9)) for r in df.collect())
+    assert plain(retrieval.search_blocks(queries, rows, 4, 3, block=16, on=["video_id"], normalised=False)) == plain(retrieval.search(queries, rows, on=["video_id"], normalised=False, top_k=4))
