@@ -126,6 +126,27 @@ def tool_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_search(queries, clips, 3).select(F.col("query_id").alias("conv_id"), "clip_no", "rank")
 
 
+@query(
+    "tool4_image_query_whole",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+  q AS (SELECT DISTINCT conv_id, conv_id * 10 AS t FROM conversations),
+  s AS (SELECT q.conv_id, q.t, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) AS score FROM q JOIN v a ON a.vec_id = q.conv_id JOIN v c ON true),
+  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, clip_no) AS rank FROM s)
+SELECT conv_id, clip_no, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4 AND NOT (clip_no * 10 <= t AND t <= clip_no * 10 + 10)""",
+)
+def tool_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation asks by the frame of the clip of its number."""
+    from temporis.operators.retrieval import excluding_own, search_blocks
+
+    ask = F.concat(F.lit(f"<{_IMAGE}>"), (F.col("conv_id") * 10).cast("string"), F.lit(f".0</{_IMAGE}><topk>3</topk>"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.lit(0).alias("turn"), ask.alias("text"))
+    calls = toolcall.parse(rows).where(F.col("tool") == _IMAGE).select(F.col("conv_id").alias("query_id"), F.col("body").try_cast("double").alias("t"))
+    clips = schemas.clip_vectors(spark, sf_dir).select("clip_no", "embedding")
+    queries = calls.join(clips.select(F.col("clip_no").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    hits = search_blocks(queries.select("query_id", "query"), clips, 4, 64).join(calls, "query_id")
+    return excluding_own(hits, F.col("t")).select(F.col("query_id").alias("conv_id"), "clip_no", "rank")
+
+
 @query(
     "tool6_extractor",
     f"WITH {schemas.SUBTITLES_SQL}, {_PARSED}, p AS (SELECT conv_id, turn, unnest(string_split(body, ';')) AS part FROM calls WHERE tool = 'subtitle_extractor'), r AS (SELECT conv_id, turn, CAST(split_part(part, ':', 1) AS DOUBLE) AS b, CAST(split_part(part, ':', 2) AS DOUBLE) AS e FROM p) SELECT r.conv_id, r.turn, s.seq, CAST(floor(s.start_s) AS BIGINT) AS start_s FROM r JOIN subtitles s ON s.video_id = r.conv_id AND s.start_s BETWEEN r.b AND r.e",

@@ -64,3 +64,18 @@ def test_blocks_by_group_and_raw_product_equal_search(spark):
     queries = rows.where("clip_no < 20").selectExpr("clip_no AS query_id", "video_id", "embedding AS query")
     plain = lambda df: sorted((r["query_id"], r["rank"], r["clip_no"], round(r["score"], 9)) for r in df.collect())
     assert plain(retrieval.search_blocks(queries, rows, 4, 3, block=16, on=["video_id"], normalised=False)) == plain(retrieval.search(queries, rows, on=["video_id"], normalised=False, top_k=4))
+
+
+def test_every_conversation_asks_by_image(spark, sf):
+    asking = {r["conv_id"] for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().collect()}
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert {r["conv_id"] for r in catalog.QUERIES["tool4_image_query_whole"](spark, sf).collect()} == asking & {r["vec_id"] for r in table.select("vec_id").collect()}
+
+
+def test_conversations_from_twenty_on_ask_too(spark, tmp_path):
+    vectors = np.random.default_rng(6).normal(size=(40, 4))
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, 0, "user", "x") for i in range(30)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    unit = vectors / np.sqrt((vectors**2).sum(1, keepdims=True))
+    want = {(q, int(i), k + 1) for q in range(30) for k, i in enumerate(np.argsort(-(unit @ unit[q]))[:4]) if not i <= q <= i + 1}
+    assert {(r["conv_id"], r["clip_no"], r["rank"]) for r in catalog.QUERIES["tool4_image_query_whole"](spark, str(tmp_path)).collect()} == want
