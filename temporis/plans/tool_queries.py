@@ -340,6 +340,37 @@ def eval_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.unprocessed(q, a, "literal").select("item")
 
 
+#: As above for whole texts: a labelled document is an answered question.
+_QA_WHOLE = "q AS (SELECT doc_id AS item, text AS question, source AS video_path FROM documents), a AS (SELECT DISTINCT question, video_path FROM q WHERE item IN (SELECT doc_id FROM labels))"
+
+
+def _qa_whole(spark: SparkSession, sf_dir: str, digest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Questions and answered ones, told by a digest of the whole text, or by the text itself."""
+    key = F.sha2("text", 256) if digest else F.col("text")
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), key.alias("question"), F.col("source").alias("video_path"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"))
+    return q, q.join(labelled, "item", "left_semi").select("question", "video_path").distinct()
+
+
+@query("join6_cached_semi_whole", f"WITH {_QA_WHOLE} SELECT DISTINCT question, video_path FROM q WHERE (question, video_path) IN (SELECT question, video_path FROM a)")
+def join_cached_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are cached, the labelled ones asked for."""
+    q, a = _qa_whole(spark, sf_dir, digest=False)
+    return validity.cached_for(q.select("question", "video_path").distinct(), a)
+
+
+@query("join7_resume_anti_whole", f"WITH {_QA_WHOLE} SELECT item FROM q ANTI JOIN a USING (question, video_path)")
+def join_resume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, a = _qa_whole(spark, sf_dir)
+    return validity.unprocessed(q, a).select("item")
+
+
+@query("eval2_resume_literal_whole", f"WITH {_QA_WHOLE} SELECT item FROM q WHERE question NOT IN (SELECT question FROM a)")
+def eval_resume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, a = _qa_whole(spark, sf_dir)
+    return validity.unprocessed(q, a, "literal").select("item")
+
+
 @query("set2_distinct_calls", "SELECT conv_id, role AS query, turn % 2 AS match_set, min(turn) AS turn FROM conversations GROUP BY 1, 2, 3")
 def set_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("query"), (F.col("turn") % 2).alias("match_set"), "turn", F.lit(0).alias("call_no"))

@@ -79,3 +79,13 @@ def test_conversations_from_twenty_on_ask_too(spark, tmp_path):
     unit = vectors / np.sqrt((vectors**2).sum(1, keepdims=True))
     want = {(q, int(i), k + 1) for q in range(30) for k, i in enumerate(np.argsort(-(unit @ unit[q]))[:4]) if not i <= q <= i + 1}
     assert {(r["conv_id"], r["clip_no"], r["rank"]) for r in catalog.QUERIES["tool4_image_query_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_questions_of_equal_openings_differ(spark, tmp_path):
+    docs = [(0, "the same opening, one", "a"), (1, "the same opening, two", "a"), (2, "the same opening, one", "a"), (3, "the same opening, one", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("join7_resume_anti_whole") == [(1,), (3,)]
+    assert run("eval2_resume_literal_whole") == [(1,)]
+    assert run("join6_cached_semi_whole") == [("the same opening, one", "a")]
