@@ -22,9 +22,11 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Unit vectors of hashed words; equal texts have equal vectors. A null or empty value is unreadable."""
+    """Unit vectors of hashed words; equal texts have equal vectors. A null or empty value is unreadable.
 
-    def __init__(self, dim: int = 64, most_tokens: int = 77) -> None:
+    Words after the first most_tokens take no part, as in the reference's tokenizer; with None all do."""
+
+    def __init__(self, dim: int = 64, most_tokens: int | None = 77) -> None:
         self.dim, self.most_tokens = dim, most_tokens
 
     def __call__(self, values: list) -> list[list[float] | None]:

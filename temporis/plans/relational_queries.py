@@ -66,6 +66,12 @@ def lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where("word <> ''").withColumn("word_no", F.col("word_no").cast("long"))
 
 
+@query("rel_lateral_whole", "SELECT doc_id, i AS word_no, w AS word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WHERE w <> ''")
+def lateral_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    return words.where("word <> ''").withColumn("word_no", F.col("word_no").cast("long"))
+
+
 @query("rel_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

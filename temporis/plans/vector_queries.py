@@ -290,9 +290,9 @@ def agg_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("enc1_modalities")
 def enc_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoder plug-ins by modality; unit length. No SQL equals a plug-in: tests check its properties."""
+    """Encoder plug-ins by modality, over whole texts; unit length. No SQL equals a plug-in: tests check its properties."""
     from temporis.plans.plugins import HashingEncoder, encode_modalities
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "subtitle").otherwise("smell").alias("modality"), F.col("text").alias("value"))
-    done = encode_modalities(rows, {"text": HashingEncoder(64), "subtitle": HashingEncoder(32)})
+    done = encode_modalities(rows, {"text": HashingEncoder(64, None), "subtitle": HashingEncoder(32, None)})
     return done.select("item_id", "modality", "status", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))

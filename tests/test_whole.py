@@ -89,3 +89,23 @@ def test_questions_of_equal_openings_differ(spark, tmp_path):
     assert run("join7_resume_anti_whole") == [(1,), (3,)]
     assert run("eval2_resume_literal_whole") == [(1,)]
     assert run("join6_cached_semi_whole") == [("the same opening, one", "a")]
+
+
+def test_every_word_of_a_document(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(100))
+    spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["rel_lateral_whole"](spark, str(tmp_path)).orderBy("word_no").collect()
+    assert [(r["word_no"], r["word"]) for r in got] == list(enumerate(text.split(" ")))
+
+
+def test_encoders_read_words_past_the_77th(spark, sf, monkeypatch):
+    from temporis.plans import plugins
+
+    seen, real = {}, plugins.encode_modalities
+    monkeypatch.setattr(plugins, "encode_modalities", lambda rows, registry: seen.update(registry) or real(rows, registry))
+    catalog.QUERIES["enc1_modalities"](spark, sf)
+    same = " ".join(f"word{i}" for i in range(77))
+    assert set(seen) == {"text", "subtitle"}
+    for encoder in seen.values():
+        a, b = encoder([same, same + " more"])
+        assert a != b
