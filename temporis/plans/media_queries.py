@@ -326,6 +326,12 @@ def win_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.neighbours(_clips(spark, sf_dir).where("clip_no % 10 = 0").join(last, "video_id"))
 
 
+@query("win5_neighbours_whole", f"WITH {_CLIPS}, l AS (SELECT video_id, max(clip_no) AS last_no FROM expected GROUP BY 1) SELECT DISTINCT c.video_id, CAST(c.clip_no + d AS INTEGER) AS clip_no FROM clips c JOIN l USING (video_id), range(-1, 2) r(d) WHERE c.clip_no + d BETWEEN 0 AND l.last_no")
+def win_neighbours_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _expected(spark, sf_dir).groupBy("video_id").agg(F.max("clip_no").alias("last_no"))
+    return evaluate.neighbours(_clips(spark, sf_dir).join(last, "video_id"))
+
+
 @query("win6_segments_merge", f"WITH {_CLIPS}, i AS (SELECT video_id, clip_no, clip_no - row_number() OVER (PARTITION BY video_id ORDER BY clip_no) AS g FROM clips), p AS (SELECT *, (row_number() OVER (PARTITION BY video_id, g ORDER BY clip_no) - 1) // 2 AS part FROM i) SELECT video_id, min(clip_no) AS first_no, max(clip_no) AS last_no FROM p GROUP BY video_id, g, part")
 def win_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.merge_adjacent(_clips(spark, sf_dir))

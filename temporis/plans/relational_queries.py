@@ -50,6 +50,14 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN
         return c.join(table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
 
 
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
+
+    @query(f"rel_join_{_how}_whole", f"SELECT c_custkey, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey")
+    def _join_whole(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
+        c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+
+
 @query("rel_join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
@@ -131,6 +139,16 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.exceptAll(b)
 
 
+for _name, _sql, _set in (
+    ("union_all", "UNION ALL", lambda a, b: a.unionByName(b)), ("union", "UNION", lambda a, b: a.unionByName(b).distinct()),
+    ("intersect", "INTERSECT", DataFrame.intersect), ("except_all", "EXCEPT ALL", DataFrame.exceptAll),
+):
+
+    @query(f"rel_{_name}_whole", f"SELECT o_custkey AS k FROM orders {_sql} SELECT c_custkey AS k FROM customer")
+    def _set_whole(spark: SparkSession, sf_dir: str, of=_set) -> DataFrame:
+        return of(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+
+
 @query("rel_window_ranking", "SELECT o_orderkey, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d, CAST(ntile(4) OVER v AS INTEGER) AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), v AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = Window.partitionBy("o_custkey").orderBy("o_orderstatus"), Window.partitionBy("o_custkey").orderBy("o_orderkey")

@@ -109,3 +109,24 @@ def test_encoders_read_words_past_the_77th(spark, sf, monkeypatch):
     for encoder in seen.values():
         a, b = encoder([same, same + " more"])
         assert a != b
+
+
+def test_joins_and_sets_over_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (1, 2, 3)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 3), (11, 3), (13, 1), (14, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: sorted((tuple(r) for r in catalog.QUERIES[f"rel_{name}_whole"](spark, str(tmp_path)).collect()), key=repr)
+    inner = [(1, 13), (3, 10), (3, 11)]
+    assert run("join_inner") == inner
+    assert run("join_left") == [(1, 13), (2, None), (3, 10), (3, 11)]
+    assert run("join_full") == [(1, 13), (2, None), (3, 10), (3, 11), (None, 14)]
+    assert run("union_all") == [(k,) for k in (1, 1, 2, 3, 3, 3, 9)]
+    assert run("union") == [(k,) for k in (1, 2, 3, 9)]
+    assert run("intersect") == [(1,), (3,)]
+    assert run("except_all") == [(3,), (9,)]
+
+
+def test_every_clip_has_its_neighbours(spark, sf):
+    from temporis.plans import media_queries
+
+    clips = {(r["video_id"], r["clip_no"]) for r in media_queries._clips(spark, sf).collect()}
+    assert clips <= {(r["video_id"], r["clip_no"]) for r in catalog.QUERIES["win5_neighbours_whole"](spark, sf).collect()}
