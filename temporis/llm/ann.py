@@ -3,7 +3,8 @@ asymmetric distance tables, exact reranking.
 
 Coarse centroids (about the square root of the number of vectors, at most MAX_LISTS) and codebooks are fitted on at most
 TRAIN_ROWS vectors in a seeded order (a documented bound); every vector is indexed. The number of lists to probe is the
-least that finds RECALL of the sample's own nearest neighbours, so it follows the data. Lists are gathered to cells of
+least that finds RECALL of the sample's own nearest neighbours, and LOW_RECALL of those of all but LOW_SHARE of its queries,
+so it follows the data; a query whose lists hold too few vectors for k others goes on to the next ones. Lists are gathered to cells of
 about CELL vectors; a longer list is split over blocks of that size, and so are the queries that probe it, so neither a
 hot list nor a hot query reaches one task whole. In a cell each query scores codes by table and reranks the best
 RERANK, with all that tie with the last of them, by exact double inner products.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from temporis.llm import common, vectors
 
 TRAIN_ROWS, MAX_LISTS, PARTS, CODES, RECALL, RERANK = 20_000, 1024, 16, 256, 0.97, 640
+LOW_RECALL, LOW_SHARE = 0.8, 0.01
 CELL, QUERY_CELL, SEED = 4096, 1024, 3
 
 
@@ -57,6 +59,11 @@ class Model:
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.books = [_means(rest[:10_000, a:b], min(CODES, len(rest)), 6, rng) for a, b in zip(self.edges, self.edges[1:], strict=False)]
         self.probes = self._calibrate(sample, rng, k)
+        self.counts, self.least = np.zeros(self.lists, np.int64), 0
+
+    def hold(self, counts: np.ndarray, least: int) -> None:
+        """How many vectors each list holds, and how many those probed for a query must hold at least."""
+        self.counts, self.least = counts, least
 
     def _calibrate(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> int:
         at = rng.permutation(len(sample))[:256]
@@ -67,8 +74,11 @@ class Model:
             return self.lists
         near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         place = np.argsort(np.argsort(-(sample[at] @ self.coarse.T), axis=1, kind="stable"), axis=1)
-        needed = np.sort(np.take_along_axis(place, _nearest(sample, self.coarse)[near], axis=1).ravel())
-        return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
+        needed = np.sort(np.take_along_axis(place, _nearest(sample, self.coarse)[near], axis=1), axis=1)
+        each = np.sort(needed[:, int(np.ceil(LOW_RECALL * k)) - 1])
+        low = each[int(np.ceil((1 - LOW_SHARE) * len(each))) - 1]
+        needed = np.sort(needed.ravel())
+        return int(max(low, needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))])) + 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = _nearest(x, self.coarse)
@@ -79,7 +89,13 @@ class Model:
         return list(zip(self.edges.tolist(), self.edges[1:].tolist(), strict=False))
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, : self.probes]
+        """Queries x lists: whether it is probed. The first lists are, and more while those before hold too few vectors."""
+        order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+        n = self.counts[order]
+        first = (np.arange(self.lists) < self.probes) | (np.cumsum(n, axis=1) - n < self.least)
+        out = np.zeros(first.shape, bool)
+        np.put_along_axis(out, order, first, axis=1)
+        return out
 
     def table_scores(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Queries x vectors: coarse inner product and that of the residual's code, looked up part by part."""
@@ -127,6 +143,7 @@ def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
     counts = np.zeros(model.lists, np.int64)
     for r in index.groupBy("list").count().collect():  # at most MAX_LISTS rows
         counts[r["list"]] = r["count"]
+    model.hold(counts, k + 1)  # a query is in a list itself
     cell, blocks = _layout(counts)
 
     def cells_of(q: np.ndarray):
@@ -162,7 +179,7 @@ def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
 
     def local(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame([], columns=["query_id", "ids", "scores"])
         x = x.sort_values("vec_id", kind="stable")
         ids, own = x.vec_id.to_numpy(), x["list"].to_numpy()
         vs = np.frombuffer(b"".join(x.own)).reshape(len(x), -1)
@@ -172,9 +189,7 @@ def search(rows: DataFrame, is_query: F.Column, k: int) -> DataFrame:
             part = q.iloc[a : a + 256]
             qs = np.frombuffer(b"".join(part.v)).reshape(len(part), -1)
             scores = model.table_scores(qs, own, codes)
-            probed = np.zeros((len(part), model.lists), bool)
-            np.put_along_axis(probed, model.probed(qs), True, axis=1)
-            scores[~probed[:, own]] = -np.inf
+            scores[~model.probed(qs)[:, own]] = -np.inf
             keep = min(max(RERANK, 4 * k), len(x))
             last = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
             for i, v, s, t in zip(part.query_id.to_numpy(), qs, scores, last, strict=True):
