@@ -1,6 +1,7 @@
-"""Removal of repeated passages by prefix doubling over byte positions.
+"""Removal of repeated passages by censuses of fingerprints of byte positions, in place of prefix doubling by sorted ranks.
 
-A position's rank of length h stands for the h bytes from it. Ranks double: the first 8 bytes are a number; ranks of
+A position's rank of length h is a hash of the h bytes from it, computed in its batch; nothing is sorted or reranked over all
+positions. Ranks double: the first 8 bytes are a number; ranks of
 16, 32 and then SPAN (50) bytes are those of the pairs (position, position + offset) at offsets 8, 16 and 18.
 Documents whose whole text occurs in an earlier one go first. Positions of the others go on only until they are unique,
 by two censuses of ranks over all documents:
@@ -8,7 +9,7 @@ by two censuses of ranks over all documents:
 1. Each SPAN-byte string is named by the least rank of 32 bytes within it, the same wherever the string occurs. A name
    that occurs in one document only proves its strings unique there; these positions end here, most of them at once.
 2. The positions left, with full ranks of SPAN bytes: those whose rank also starts in a document of smaller doc_id are
-   repeated, and their SPAN bytes go.
+   repeated, and their SPAN bytes go, on equal ranks, without a comparison of the bytes.
 
 Ranks are 64-bit numbers computed from the pair, not dense numbers from a global sort: equal strings have equal ranks, and
 n positions are expected to hold n * n / 2**65 pairs of different strings with equal ranks. Whole ranks never leave a batch
