@@ -50,5 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        common.release_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

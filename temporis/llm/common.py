@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import ctypes.util
 import gc
+import shutil
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +20,65 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Without one a local session (tests) takes a temporary
+    folder of the machine; on a cluster its absence is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="temporis-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="temporis-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+@contextmanager
+def set_for(spark: SparkSession, **conf: str):
+    """Session settings (dots as __) that hold inside the block; the caller's come back after it."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of the run that wrote it go with its end: no later job reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with set_for(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote and that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs now instead of at its next garbage collection."""
-    for _ in range(2):  # the cleaner works beside the driver: what the first round frees may hold more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def replace(old: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
+    """materialize df, then drop the table that it replaces."""
+    out = materialize(df, name)
+    drop(old)
+    return out
 
 
 def trim() -> None:
@@ -75,9 +115,13 @@ def prefix_sums(values: Column, chunk: int = 512) -> Column:
     return F.flatten(F.zip_with(parts, ends, lambda p, e: F.transform(p["out"], lambda v: v + e - p["acc"])))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of a text table per Arrow batch: texts can be long, so few of them go to a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as the session has cores, where a small file gives fewer: heavy work on few rows then
+    uses them all. A table of that many files or more stays as it is read, without a shuffle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) >= cores or docs.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return docs
+    return docs.repartition(cores)
 
 
 def held_out() -> Column:

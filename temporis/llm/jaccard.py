@@ -116,7 +116,6 @@ def prefixes(docs: DataFrame) -> DataFrame:
         return layout.rows(int(p.batch.iloc[0]), own.keys, own.counts)
 
     counts = common.materialize(answer(dealt.groupBy("batch").applyInPandas(ask, ASKED), _total, "<u4"), "jaccard-counts")
-    common.release_shuffles(spark)
 
     def order(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         import xxhash
@@ -227,7 +226,6 @@ def connect(nodes: DataFrame) -> DataFrame:
                 rows = _apply(rows, moved)
                 apart = rows.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
                 rows = common.materialize(rows.join(common.materialize(apart, "jaccard-apart"), "token", "left_semi"), "jaccard-tokens")
-        common.release_shuffles(spark)
         if rows.isEmpty():
             break
     return known
@@ -237,7 +235,6 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     spark = docs.sparkSession
     small = common.materialize(prefixes(docs), "jaccard-prefixes")
-    common.release_shuffles(spark)
     classes = common.materialize(small.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")), "jaccard-classes")
     one = Window.partitionBy("class").orderBy(F.col("doc_id").asc_nulls_last())
     held = small.where("tokens is not null").withColumn("k", F.row_number().over(one)).where("k = 1").join(classes, "class")

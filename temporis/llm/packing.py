@@ -1,16 +1,21 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
 A document is its token ids and END; documents longer than LIMIT are cut to pieces of LIMIT ids, the last one shorter. Pieces are dealt
-to shards of about SHARD pieces, in a seeded order, so each shard is a bounded bin-packing problem. Each shard
-evolves on ISLANDS islands, tasks of their own. A genome is a grouping: pieces by bin. The first ones are best fits
-of pieces in falling and in perturbed order; crossover injects the well-filled bins of one parent whole into the other,
-drops the bins that share a piece with them and best-fits the displaced pieces; mutation empties a few ill-filled bins. The
-fewest bins win, then the largest sum of squared fills. After each epoch an island's elite moves to the next island.
-Pieces in bins filled under LOOSE of a shard's best genome meet those of other shards in a last round, so that shards
-leave no open bins behind.
-
-Defined cases: a null text is empty, so one END; an empty text too; repeated rows are documents of their own (told
-apart by their order among rows of equal doc_id); other columns are ignored; an empty table gives no rows.
+to shards of about SHARD pieces, so each shard is a bounded bin-packing problem. A genome is a grouping: the bin of each
+piece. Each shard evolves on ISLANDS islands, tasks of their own, for EPOCHS epochs of CROSSINGS crossings, whatever the first
+genomes reach: there is no early stop. The first genomes of an island are best fits of pieces in falling and in perturbed
+order. Crossover injects a random part of one parent's well-filled bins whole into the other; that one's bins which hold
+a duplicate of an injected piece go, and some ill-filled ones with them; the displaced pieces are put back by best fit. The
+fewest bins win, then the largest sum of squared fills, which gathers the free space in few bins. Islands keep their
+genomes between epochs; an island's elite then takes the place of the worst genome of the next.
+Pieces in bins filled under LOOSE of a shard's best genome meet those of other shards in a last round of the same
+search, so that shards leave no open bins behind.
+
+Rows are told apart by a number that they get when the tokenised pieces are written, so repeated and null doc_ids spread
+over shards as others do, and no group of them meets in a task.
+
+Defined cases: a null text is empty, so one END; an empty text too; repeated rows are documents of their own; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 
 LIMIT, END = 4096, 1
-SHARD, ISLANDS, EPOCHS, POPULATION, CROSSINGS, FULL, LOOSE, SEED = 2000, 2, 2, 4, 6, 0.995, 0.97, 23
+SHARD, ISLANDS, EPOCHS, POPULATION, CROSSINGS, SEED = 2000, 3, 3, 6, 30, 23
+#: Fills that count as well-filled and as loose; the largest share of the well-filled bins that a crossing injects.
+FULL, LOOSE, INJECTED = 0.995, 0.97, 0.3
 VOCABULARY = "word_bpe_49k.json"
 _KNOWN_MAX = 700_000
 #: Characters for which the vocabulary's own normalising and splitting equal lower() and _PIECES.
@@ -95,174 +102,167 @@ def pieces(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ())
                     out.append((i, k, k * LIMIT, len(part) // 4, zlib.crc32(part), *[part] * len(more)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
-    common.small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {m} binary" for m in more))
+    return common.spread(texts).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {m} binary" for m in more))
 
 
-class Bins:
-    """Open bins by free space; best fit takes the least free space that is enough, of equal ones the oldest."""
+Genome = tuple[np.ndarray, np.ndarray]  # the bin of each piece, and the fill of each bin (0: no such bin)
 
-    def __init__(self) -> None:
-        self.free: list[tuple[int, int]] = []
-        self.items: list[list[int]] = []
 
-    def add(self, items: list[int], used: int) -> None:
-        self.items.append(items)
-        if used < LIMIT:
-            insort(self.free, (LIMIT - used, len(self.items) - 1))
+def fill_in(own: np.ndarray, fills: np.ndarray, loose: np.ndarray, sizes: np.ndarray, unused: list[int]) -> None:
+    """Put the pieces of loose, in order, into bins by best fit: the least free space that is enough, else an unused bin."""
+    if not len(loose):
+        return
+    least, to = int(sizes[loose].min()), []
+    open_ = np.flatnonzero((fills > 0) & (LIMIT - fills >= least))
+    free = sorted(zip((LIMIT - fills[open_]).tolist(), open_.tolist(), strict=True))
+    for length in sizes[loose].tolist():
+        at = bisect_left(free, (length, -1))
+        left, k = free.pop(at) if at < len(free) else (LIMIT, unused.pop())
+        to.append(k)
+        if left - length >= least:
+            insort(free, (left - length, k))
+    own[loose] = to
+    np.add.at(fills, to, sizes[loose])
 
-    def fit(self, item: int, length: int) -> None:
-        at = bisect_left(self.free, (length, -1))
-        if at == len(self.free):
-            self.add([item], length)
-            return
-        free, k = self.free.pop(at)
-        self.items[k].append(item)
-        if free > length:
-            insort(self.free, (free - length, k))
 
+def best_fit(order: np.ndarray, sizes: np.ndarray) -> Genome:
+    """The pieces, in order, put into bins by best fit."""
+    own, fills = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+    fill_in(own, fills, order, sizes, list(range(len(sizes) - 1, -1, -1)))
+    return own, fills
 
-def best_fit(bins: list[list[int]], loose: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
-    """bins, with the pieces of loose put in one by one."""
-    out, lengths = Bins(), sizes.tolist()
-    for items in bins:
-        out.add(list(items), sum(lengths[i] for i in items))
-    for i in loose.tolist():
-        out.fit(i, lengths[i])
-    return out.items
 
+def best_fit_decreasing(sizes: np.ndarray) -> Genome:
+    return best_fit(np.argsort(-sizes, kind="stable"), sizes)
 
-def fitness(bins: list[list[int]], sizes: np.ndarray) -> tuple[int, float]:
+
+def fitness(g: Genome) -> tuple[int, float]:
     """The fewer bins the better, then the more uneven their fills; larger is better."""
-    fills = np.array([sizes[b].sum() for b in bins]) / LIMIT
-    return -len(bins), float((fills**2).sum())
-
-
-def cross(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, rng: np.random.Generator) -> list[list[int]]:
-    """A child: a random run of b's well-filled bins goes into a whole; a's bins that hold one of their pieces go, and what
-    they held besides is put back by best fit, the longest first."""
-    good = [x for x in b if sizes[x].sum() >= FULL * LIMIT]
-    if good:
-        n = int(rng.integers(1, len(good) + 1))
-        good = [good[k] for k in np.sort(rng.permutation(len(good))[:n])]
-    taken = np.zeros(len(sizes), bool)
-    for x in good:
-        taken[x] = True
-    kept = [x for x in a if not taken[x].any()]
-    fills = np.array([sizes[x].sum() for x in kept])
-    drop = set(rng.permutation(np.flatnonzero(fills < FULL * LIMIT))[: max(1, len(kept) // 20)].tolist()) if len(kept) else set()
-    kept = [x for k, x in enumerate(kept) if k not in drop]
-    held = taken.copy()
-    for x in kept:
-        held[x] = True
-    loose = np.flatnonzero(~held)
-    return best_fit(good + kept, loose[np.argsort(-sizes[loose], kind="stable")], sizes)
-
-
-def genome(bins: list[list[int]], n: int) -> bytes:
-    out = np.zeros(n, "<i4")
-    for k, x in enumerate(bins):
-        out[x] = k
-    return out.tobytes()
-
-
-def bins_of(data: bytes) -> list[list[int]]:
-    own = np.frombuffer(data, "<i4")
+    fills = g[1][g[1] > 0] / LIMIT
+    return -len(fills), float((fills**2).sum())
+
+
+def cross(a: Genome, b: Genome, sizes: np.ndarray, rng: np.random.Generator) -> Genome:
+    """A child: some of b's well-filled bins go into a whole; a's bins that hold one of their pieces go, with some of its
+    ill-filled bins, and what they held besides is put back by best fit, the longest first (half of the times about so)."""
+    own, fills = a[0].copy(), a[1].copy()
+    good = rng.permutation(np.flatnonzero(b[1] >= FULL * LIMIT))
+    good = good[: int(rng.integers(1, max(2, int(INJECTED * len(good)) + 1)))]
+    injected = np.zeros(len(sizes), bool)
+    injected[good] = True
+    taken = injected[b[0]]
+    gone = np.zeros(len(sizes), bool)
+    gone[own[taken]] = True
+    ill = np.flatnonzero((fills > 0) & (fills < FULL * LIMIT) & ~gone)
+    gone[rng.permutation(ill)[: max(1, len(ill) // 8)]] = True
+    loose = np.flatnonzero(gone[own] & ~taken)
+    fills[gone] = 0
+    unused = np.flatnonzero(fills == 0)[::-1].tolist()
+    place = np.zeros(len(sizes), np.int64)
+    place[good] = [unused.pop() for _ in good]
+    own[taken] = place[b[0][taken]]
+    fills[place[good]] = b[1][good]
+    weight = sizes[loose] * (rng.uniform(0.8, 1.25, len(loose)) if rng.random() < 0.5 else 1.0)
+    fill_in(own, fills, loose[np.argsort(-weight, kind="stable")], sizes, unused)
+    return own, fills
+
+
+def evolve(sizes: np.ndarray, seed: list[int], people: list[np.ndarray], crossings: int = CROSSINGS) -> list[np.ndarray]:
+    """One epoch of an island: its genomes after it, the fittest first. people: those it begins with, an immigrant among them;
+    none in the first epoch."""
+    rng, n = np.random.default_rng(seed), len(sizes)
+    known = [(own, np.bincount(own, sizes, n).astype(np.int64)) for own in people] or [best_fit_decreasing(sizes)]
+    while len(known) < POPULATION:
+        known.append(best_fit(np.argsort(-(sizes * rng.uniform(0.6, 1.5, n)), kind="stable"), sizes))
+    ranked = sorted(((*fitness(g), -k, g) for k, g in enumerate(known)), key=lambda x: x[:3], reverse=True)[:POPULATION]
+    for k in range(crossings):
+        a, b = (ranked[j][3] for j in rng.permutation(len(ranked))[:2])
+        child = cross(a, b, sizes, rng)
+        found = (*fitness(child), -POPULATION - k - 1, child)
+        if found[:3] > ranked[-1][:3] and all(found[:2] != r[:2] for r in ranked):  # no twin: the genomes stay different
+            ranked = sorted([*ranked[:-1], found], key=lambda x: x[:3], reverse=True)
+    return [r[3][0] for r in ranked]
+
+
+def offsets(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece begins in its bin, and its bin's fill."""
     order = np.argsort(own, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)] if len(own) else []
-
-
-def evolve(sizes: np.ndarray, seed: list[int], elites: list[bytes]) -> bytes:
-    """One epoch of an island: its elite, from what immigrated and from seeded best fits."""
-    rng = np.random.default_rng(seed)
-    people = [bins_of(e) for e in elites]
-    falling = np.argsort(-sizes, kind="stable")
-    if not people:
-        people.append(best_fit([], falling, sizes))
-    least = -(-int(sizes.sum()) // LIMIT)
-    while len(people) < POPULATION and min(map(len, people)) > least:
-        noisy = np.argsort(-(sizes * rng.uniform(0.8, 1.25, len(sizes))), kind="stable")
-        people.append(best_fit([], noisy, sizes))
-    ranked = sorted(((fitness(p, sizes), p) for p in people), key=lambda x: x[0], reverse=True)
-    for _ in range(CROSSINGS):
-        if len(ranked) < 2 or len(ranked[0][1]) <= least:
-            break
-        a, b = rng.permutation(len(ranked))[:2]
-        child = cross(ranked[min(a, b)][1], ranked[max(a, b)][1], sizes, rng)
-        ranked = sorted([*ranked, (fitness(child, sizes), child)], key=lambda x: x[0], reverse=True)[:POPULATION]
-    return genome(ranked[0][1], len(sizes))
-
-
-def pack(rows: DataFrame, shard_rows: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """rows (doc_id, copy, piece, length) with sequence_id and offset."""
-    first = common.materialize(_packed_by_shard(rows, shard_rows, islands, epochs, 0), "pack-first")
-    loose = first.where(F.col("fill") < LOOSE * LIMIT).select("doc_id", "copy", "piece", "length")
-    again = _packed_by_shard(loose, 2 * shard_rows, 1, 1, 1)
-    return first.where(F.col("fill") >= LOOSE * LIMIT).unionByName(again).drop("fill")
+    fills = np.bincount(own, sizes).astype(np.int64)
+    offset = np.zeros(len(own), np.int64)
+    offset[order] = np.cumsum(sizes[order]) - sizes[order] - np.r_[0, np.cumsum(fills)][own[order]]
+    return offset, fills[own]
 
 
-def _packed_by_shard(rows: DataFrame, shard_rows: int, islands: int, epochs: int, level: int) -> DataFrame:
-    shards = max(1, -(-rows.count() // shard_rows))
-    draw = F.xxhash64(F.lit(SEED + level), "doc_id", "copy", "piece")
-    dealt = rows.select("doc_id", "copy", "piece", "length", F.pmod(draw, F.lit(shards)).cast("long").alias("shard"))
-    none = F.lit(None).cast("binary")
+_STATE = "shard long, island long, sizes array<int>, people binary, bins int, squares double"
 
-    def epoch(number: int):
-        def run(p: pd.DataFrame) -> pd.DataFrame:
-            items = p[p.elite.isna()].sort_values(["doc_id", "copy", "piece"])
-            elites = p[p.elite.notna()].sort_values("copy").elite.tolist()
-            island, shard = int(p.island.iloc[0]), int(p.shard.iloc[0])
-            best = evolve(items.length.to_numpy(np.int64), [SEED, level, number, shard, island], elites)
-            return pd.DataFrame({"shard": [shard], "island": [island], "elite": [best]})
 
-        return run
-
-    each = dealt.select("*", none.alias("elite"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))).alias("island"))
-    elites = None
+def _epoch(level: int, number: int, crossings: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for shard, island, lengths, people in zip(p.shard, p.island, p.sizes, p.people, strict=True):
+                sizes = np.asarray(lengths, np.int64)
+                begun = list(np.frombuffer(people, "<i4").astype(np.int64).reshape(-1, len(sizes))) if people is not None else []
+                done = evolve(sizes, [SEED, level, number, shard, island], begun, crossings)
+                bins, squares = fitness((done[0], np.bincount(done[0], sizes, len(sizes)).astype(np.int64)))
+                out.append((shard, island, lengths, np.concatenate(done).astype("<i4").tobytes(), -bins, squares))
+            yield pd.DataFrame(out, columns=["shard", "island", "sizes", "people", "bins", "squares"])
+
+    return run
+
+
+def _migrate(state: DataFrame, islands: int) -> DataFrame:
+    """Each island's worst genome gives way to the elite of the island before it."""
+    genome = F.size("sizes") * 4
+    elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.substring("people", F.lit(1), genome).alias("elite"))
+    kept = F.expr("substring(people, 1, octet_length(people) - 4 * size(sizes))")
+    return state.join(elites, ["shard", "island"]).select("shard", "island", "sizes", F.concat(kept, F.col("elite")).alias("people"))
+
+
+def _packed_by_shard(rows: DataFrame, shard_rows: int, islands: int, epochs: int, crossings: int, level: int) -> DataFrame:
+    spark = rows.sparkSession
+    n = max(1, -(-rows.count() // shard_rows))
+    draw = F.pmod(F.xxhash64(F.lit(SEED + level), "uid"), F.lit(n))
+    held = rows.groupBy(draw.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "ids_crc32", "uid", "start", "length"))).alias("items"))
+    shards = common.materialize(held, "pack-shards")  # a shard has about shard_rows items, whatever their doc_ids
+    lengths = F.transform("items", lambda x: x["length"].cast("int"))
+    state = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))).alias("island"), lengths.alias("sizes"), F.lit(None).cast("binary").alias("people"))
     for number in range(epochs):
-        cast = each
-        if elites is not None:  # an island keeps its elite and gets that of the island before it
-            step = F.explode(F.array(F.lit(0), F.lit(1))) if islands > 1 else F.lit(0)
-            moved = elites.withColumn("step", step).select(
-                F.lit(None).cast("long").alias("doc_id"), F.col("step").cast("long").alias("copy"), F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("length"),
-                "shard", "elite", F.pmod(F.col("island") + F.col("step"), F.lit(islands)).cast("long").alias("island"),
-            )
-            cast = each.unionByName(moved)
-        elites = common.materialize(cast.groupBy("shard", "island").applyInPandas(epoch(number), "shard long, island long, elite binary"), "pack-elites")
-
-    def place(p: pd.DataFrame) -> pd.DataFrame:
-        items = p[p.elite.isna()].sort_values(["doc_id", "copy", "piece"]).reset_index(drop=True)
-        sizes = items.length.to_numpy(np.int64)
-        best = max(((fitness(bins_of(e), sizes), e) for e in p[p.elite.notna()].sort_values("island").elite), key=lambda x: x[0])[1]
-        own = np.frombuffer(best, "<i4")
-        order = np.argsort(own, kind="stable")
-        ends = np.cumsum(sizes[order])
-        offset = np.zeros(len(own), np.int64)
-        fills = np.bincount(own, sizes).astype(np.int64)
-        starts = np.r_[0, np.cumsum(fills)][own[order]]
-        offset[order] = ends - sizes[order] - starts
-        sequence = ((2 * int(p.shard.iloc[0]) + level) << 24) + own.astype(np.int64)
-        return items[["doc_id", "copy", "piece", "length"]].assign(sequence_id=sequence, offset=offset, fill=fills[own])
-
-    last = elites.select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copy"), F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("length"), "shard", "elite", "island"
-    )
-    whole = dealt.select("*", none.alias("elite"), F.lit(0).cast("long").alias("island")).unionByName(last)
-    return whole.groupBy("shard").applyInPandas(place, "doc_id long, copy long, piece int, length long, sequence_id long, offset long, fill long")
+        if number and islands > 1:
+            state = _migrate(state, islands)
+        # a count of its own: the rows are small and heavy, so partitions must not be put together by their size
+        dealt = state.repartition(common.partitions(spark), "shard", "island")
+        state = common.replace(state, dealt.mapInPandas(_epoch(level, number, crossings), _STATE), "pack-islands")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for shard, lengths, elite in zip(p.shard, p.sizes, p.elite, strict=True):
+                own, sizes = np.frombuffer(elite, "<i4").astype(np.int64), np.asarray(lengths, np.int64)
+                out.append((shard, own, *offsets(own, sizes)))
+            yield pd.DataFrame(out, columns=["shard", "own", "offset", "fill"])
+
+    elite = F.struct((-F.col("bins")).alias("b"), "squares", (-F.col("island")).alias("i"), "sizes", F.substring("people", F.lit(1), F.size("sizes") * 4).alias("elite"))
+    best = state.groupBy("shard").agg(F.max_by(elite, F.struct((-F.col("bins")), "squares", (-F.col("island")))).alias("x")).select("shard", "x.sizes", "x.elite")
+    placed = best.mapInPandas(place, "shard long, own array<long>, offset array<long>, fill array<long>")
+    both = shards.join(placed, "shard").select("shard", F.explode(F.arrays_zip("items", "own", "offset", "fill")).alias("x"))
+    sequence = F.shiftleft(2 * F.col("shard") + level, 24) + F.col("x.own")
+    return both.select("x.items.*", sequence.alias("sequence_id"), "x.offset", "x.fill")
+
+
+def pack(rows: DataFrame, shard_rows: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, crossings: int = CROSSINGS) -> DataFrame:
+    """rows (doc_id, piece, start, length, ids_crc32, and uid, different in each) with sequence_id and offset."""
+    first = common.materialize(_packed_by_shard(rows, shard_rows, islands, epochs, crossings, 0), "pack-first")
+    loose = first.where(F.col("fill") < LOOSE * LIMIT).select(*rows.columns)
+    again = _packed_by_shard(loose, shard_rows, islands, epochs, crossings, 1)
+    return first.where(F.col("fill") >= LOOSE * LIMIT).unionByName(again).drop("fill")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = pieces(docs, path)
-    # rows that repeat a doc_id get numbers by place: equal rows may swap them, which changes nothing
-    order = F.struct("ids_crc32", "length", "start")
-    grouped = rows.groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    rows = common.materialize(grouped.select("doc_id", "piece", F.posexplode("all").alias("copy", "x")).select("doc_id", F.col("copy").cast("long").alias("copy"), "piece", "x.start", "x.length", "x.ids_crc32"), "pack-pieces")
-    placed = pack(rows.select("doc_id", "copy", "piece", "length"))
-    return rows.withColumnRenamed("doc_id", "_d").withColumnRenamed("piece", "_p").withColumnRenamed("copy", "_c").drop("length").join(
-        placed, F.expr("_d <=> doc_id and _p = piece and _c = copy")
-    ).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    rows = common.materialize(pieces(docs, path).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
+    return pack(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,6 @@ def _with_statistics(rows: DataFrame, *more: str) -> DataFrame:
         for p in batches:
             yield p[["doc_id", *more]].assign(stats=[statistics(t).astype("<f8").tobytes() for t in p.text])
 
-    common.small_batches(rows.sparkSession)
     return rows.select("doc_id", *more, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *more)) + ", stats binary")
 
 
@@ -139,12 +138,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             z, _ = _forward(np.clip((x - model["mean"]) / model["scale"], -6, 6), model)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", run("text").alias("score"))
+    return common.spread(docs.select("doc_id", "text")).select("doc_id", run("text").alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    common.small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

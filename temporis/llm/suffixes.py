@@ -155,7 +155,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     for number, (ask, reply, kind) in enumerate(((ask_names, _shared, "u1"), (ask_ranks, _earlier, "<i8")), 1):
         asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(ask, ASKED)
         known = known.unionByName(common.materialize(told(asked, reply, kind, number), f"suffix-replies-{number}"))
-        common.release_shuffles(spark)
 
     def cut(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):

@@ -157,19 +157,16 @@ def scorer(model: dict):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score of every row of docs."""
-    common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", scorer(model)("text").alias("score"))
+    return common.spread(docs.select("doc_id", "text")).select("doc_id", scorer(model)("text").alias("score"))
 
 
 def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that score under one half, with all their columns."""
-    common.small_batches(docs.sparkSession)
     return docs.where(scorer(model)(F.col("text")) < 0.5)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    common.small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, model)
     return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

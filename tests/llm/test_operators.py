@@ -166,13 +166,61 @@ def test_encoder_equals_the_tokenizer():
         assert encode(text) == want, text
 
 
+def gapless(rows, key) -> dict:
+    """Pieces by sequence; they begin at 0, one after the other, within the limit."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length, key(r)))
+    for x in by.values():
+        x.sort(key=lambda t: t[0])
+        assert [t[0] for t in x] == list(np.cumsum([0, *[t[1] for t in x]])[:-1]) and sum(t[1] for t in x) <= packing.LIMIT
+    return by
+
+
+def test_packing_query_equals_plain_tokenisation(spark, sf):
+    from tokenizers import Tokenizer
+
+    plain, want = Tokenizer.from_file(packing.default_vocabulary()), []
+    for i, text in pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"]).itertuples(index=False):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = np.array(ids[k : k + 4096], "<u4").tobytes()
+            want.append((i, k // 4096, k, len(part) // 4, zlib.crc32(part)))
+    got = QUERIES["op4_best_fit_packing"](spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    lengths = np.array([w[3] for w in want])
+    assert len(gapless(got, lambda r: (r.doc_id, r.piece))) <= -packing.fitness(packing.best_fit_decreasing(lengths))[0]
+
+
 def test_crossover_keeps_every_piece():
     rng, sizes = np.random.default_rng(3), np.random.default_rng(4).integers(1, 3000, 300)
-    a = packing.best_fit([], np.argsort(-sizes), sizes)
-    b = packing.best_fit([], rng.permutation(300), sizes)
-    child = packing.cross(a, b, sizes, rng)
-    assert sorted(i for x in child for i in x) == list(range(300)) and max(sizes[x].sum() for x in child) <= packing.LIMIT
-    assert packing.bins_of(packing.genome(child, 300)) and packing.fitness(a, sizes)[0] >= packing.fitness(b, sizes)[0]
+    a, b = packing.best_fit_decreasing(sizes), packing.best_fit(rng.permutation(300), sizes)
+    for _ in range(50):
+        own, fills = packing.cross(a, b, sizes, rng)
+        assert (own >= 0).all() and (np.bincount(own, sizes, 300) == fills).all() and fills.max() <= packing.LIMIT
+        b, a = a, (own, fills)
+    assert packing.fitness(packing.best_fit_decreasing(sizes))[0] >= packing.fitness(packing.best_fit(np.arange(300), sizes))[0]
+
+
+def test_packing_islands_beat_best_fit_decreasing(spark):
+    """Pieces of a fifth to a half of a sequence, where best fit in falling order needs well over the bound: the islands need fewer
+    sequences than it, more epochs fewer still, and the search never ends with more than it began with."""
+    sizes = np.random.default_rng(0).integers(820, 2049, 2400)
+    rows = spark.createDataFrame([(None, 0, 0, int(n), 7, k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, uid long")
+    count = lambda **kw: len(gapless(packing.pack(rows, shard_rows=800, **kw).collect(), lambda r: r.uid))
+    falling = -packing.fitness(packing.best_fit_decreasing(sizes))[0]
+    short, long = count(), count(epochs=6)
+    assert long <= short < falling - 8
+
+
+def test_packing_many_null_ids(spark):
+    """A thousand rows of one null doc_id, most of them alike: each comes back, over several shards."""
+    rows = spark.createDataFrame([(None, "the same words again" if k % 3 else f"number {k}") for k in range(1000)], "doc_id long, text string")
+    got = packing.pack_documents(rows).collect()
+    assert len(got) == 1000 and len({r.ids_crc32 for r in got}) == len({f"number {k}" for k in range(0, 1000, 3)}) + 1
+    gapless(got, lambda r: None)
+    tokens = packing.pieces(rows).withColumn("uid", F.monotonically_increasing_id())
+    assert packing.pack(tokens, shard_rows=100).select(F.shiftright("sequence_id", 25)).distinct().count() > 3
 
 
 def test_secrets_odd(odd, empty):
