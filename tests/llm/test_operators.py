@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -301,6 +301,7 @@ def vector_rows() -> list[tuple]:
     out = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     out += [(300 + k, [0.5] * 8) for k in range(200)]  # one common vector
     out += [(600, None), (620, [0.0] * 8), (640, [1.0, None] + [0.0] * 6), (660, [float("nan")] + [0.0] * 7), (680, [float("inf")] + [0.0] * 7), (700, []), (5, [0.1] * 8)]
+    out += [(20, [0.2] * 8), out[40], (60, [-x for x in out[60][1]])]  # queries that repeat, with another vector and with the same
     return out
 
 
@@ -314,32 +315,59 @@ def valid_vectors(zeros: bool):
     return [(i, v) for i, v in ok if zeros or v.any()]
 
 
-def test_topk_odd(spark, vector_table):
-    got = defaultdict(list)
-    for r in topk.search(vector_table, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    rows = [(i, np.floor(256 * v).astype(int)) for i, v in valid_vectors(True)]
-    for i, q in rows:
+def wanted(rows: list[tuple], k: int) -> list[tuple]:
+    """query_id, rank, vec_id, score of each query row, against every other row."""
+    out = []
+    for a, (i, q) in enumerate(rows):
         if i % 20 == 0:
-            assert got[i] == sorted(((j, int(x @ q)) for j, x in rows if j != i), key=lambda t: (-t[1], t[0]))[:5], i
+            first = sorted(((j, (x * q).sum().item()) for b, (j, x) in enumerate(rows) if a != b), key=lambda t: (-t[1], t[0]))[:k]
+            out += [(i, rank, *t) for rank, t in enumerate(first, 1)]
+    return sorted(out)
+
+
+def test_topk_odd(spark, vector_table):
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(vector_table, F.col("vec_id") % 20 == 0, 5).collect())
+    assert got == wanted([(i, np.floor(256 * v).astype(int)) for i, v in valid_vectors(True)], 5)
     assert topk.search(vector_table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
 def test_ann_odd(spark, vector_table):
-    got = defaultdict(list)
-    for r in ann.search(vector_table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    rows, hits, n = valid_vectors(False), 0, 0
-    for i, q in rows:
-        if i % 20 == 0:
-            want = sorted(((j, float((x * q).sum())) for j, x in rows if j != i), key=lambda t: (-t[1], t[0]))[:20]
-            assert len(got[i]) == 20 and got[i] == sorted(got[i], key=lambda t: (-t[1], t[0]))
-            hits += len({j for j, _ in want} & {j for j, _ in got[i]})
-            n += 20
-    assert hits / n >= 0.9
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vector_table, F.col("vec_id") % 20 == 0, 20).collect()]
+    want = wanted(valid_vectors(False), 20)
+    assert sorted(t[:2] for t in got) == sorted(t[:2] for t in want)  # 20 rows of each query row, of 40 where a vec_id repeats
+    for i in {t[0] for t in got}:
+        own = sorted((t for t in got if t[0] == i), key=lambda t: t[1])
+        if len(own) == 20:
+            assert [t[2:] for t in own] == sorted((t[2:] for t in own), key=lambda t: (-t[1], t[0])) and len(set(t[2:] for t in own)) == 20
+    hits = sum((Counter(t[::2] for t in got) & Counter(t[::2] for t in want)).values())
+    assert hits / len(want) >= 0.9
     assert ann.search(vector_table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_ann_codes_decide(spark):
+    """Exact reranking sees few of the rows that a query's tables score, and still recall holds; a common vector is no flood."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 16))
+    x[:1500] = x[0]
+    seen, table, exact = [0, 0], ann.Model.table_scores, None
+    model = ann.Model(x, len(x), 10)
+    own, codes = model.encode(x)
+    hits = 0
+    for q in range(1500, 6000, 150):
+        s = table(model, x[q : q + 1], own, codes)[0]
+        s[q] = -np.inf
+        near = np.flatnonzero(s >= np.sort(s)[-10] - model.margin)
+        exact = x[near] @ x[q]
+        found = set(near[np.argsort(-exact, kind="stable")][:10].tolist())
+        whole = x @ x[q]
+        whole[q] = -np.inf
+        hits += len(found & set(np.argsort(-whole, kind="stable")[:10].tolist()))
+        seen = [seen[0] + len(near), seen[1] + len(x)]
+    assert hits / 300 >= 0.9 and seen[0] / seen[1] < 0.05
+    few = ann._distinct_enough(pd.DataFrame({"vec_id": np.arange(6000), "row": np.arange(6000), "own": [v.tobytes() for v in x]}), 10)
+    assert len(few) == 4500 + 11 and few.vec_id.tolist()[:11] == list(range(11))
+
+
 def test_ann_recall(spark):
     sf = "/root/testdata/sf0.01"
     got = defaultdict(set)
@@ -358,10 +386,16 @@ def test_ann_recall(spark):
 def test_topk_stops_early_and_stays_exact():
     rng = np.random.default_rng(6)
     x, q = rng.integers(-128, 128, (3000, 6)), rng.integers(-128, 128, (5, 6))
-    for got, v in zip(topk.no_random_access(x, np.arange(3000), q, np.full(5, -1), 7), q, strict=True):
-        s = x @ v
-        want = np.lexsort((np.arange(3000), -s))[:7]
-        assert (got[0] == want).all() and (got[1] == s[want]).all()
+    q[0, 2:], x[:900] = 0, x[0]  # lists that are not read, rows that tie
+    lists, ids = topk.Lists(x), rng.permutation(3000)
+    for v in q:
+        for own in (None, 17):
+            at, scores, read = lists.top(ids, v, own, 7)
+            s = x @ v
+            want = [r for r in np.lexsort((ids, -s)) if r != own][:7]
+            assert at.tolist() == want and (scores == s[want]).all()
+            assert read < x.size
+    assert len(lists.top(ids, np.zeros(6, int), None, 7)[0]) == 7 and len(topk.Lists(x[:4]).top(ids[:4], q[1], 2, 7)[0]) == 3
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op9_toxicity", "toxic", 0.97), ("op10_quality", "quality", 0.97)])
