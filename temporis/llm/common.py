@@ -125,16 +125,22 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Rows whose labels no model may learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Rows whose labels no model may learn from; a null doc_id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: int) -> DataFrame:
-    """doc_id, text, label of at most limit labelled rows outside the held-out fold, in a seeded order of doc_id.
+    """doc_id, text, label of the rows of at most limit labelled doc_ids outside the held-out fold, in a seeded order of doc_id.
 
     limit is a documented bound (classifiers may be fitted on a bounded sample), so the list of ids can be broadcast.
-    A doc_id with several labels takes the largest; null labels and ids are left out.
+    A doc_id with several labels takes the largest; null labels and ids are left out. Rows that repeat a doc_id are to be
+    made one by one_a_document, once their texts are small statistics.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def one_a_document(rows: DataFrame, column: str, *more: str) -> DataFrame:
+    """One row of each doc_id, that of the smallest column: a sample bounded by ids is bounded by rows too."""
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in more], F.min(column).alias(column))

@@ -2,22 +2,24 @@
 
 A document's size is its number of words. Sources, by code point with null last, weigh 5, 2, 1, repeating; they share
 SHARE times all words in these proportions, and no source gets more than twice its own words: what is above is shared
-again by weight. Blocks of BLOCK words (one word for small corpora, more as they grow, at most MAX_SEATS blocks in
-all) go to sources by highest quotients (divisors 1, 3, 5, ...), then each source's blocks to its shards in the same
-way by their words. A shard holds the source's documents in a seeded order, which is a sequence of words; its quota
-of blocks is taken from a seeded start, around the end, twice over at most. The words left of a target after whole
-blocks are under one block a source, and are taken by its first shard.
+again by weight. Blocks of BLOCK words go to sources by highest quotients (divisors 1, 3, 5, ...), then each source's blocks to its
+shards in the same way by their words. A shard holds the source's documents in a seeded order, which is a sequence of words cut to
+blocks; it gives them all as often as its quota holds them whole, and of the blocks once more those that come first in a
+seeded permutation of the shard's blocks. What rounding to whole blocks adds to or leaves of a source's target, under a block or two, is
+settled in words by its first shards, so a source's taken words are its target, rounded.
 
 All steps but the apportionment are DataFrame operators. Apportionment sees one row for each source, then one
-row for each shard: metadata, not documents. A hot source has many shards, so no task holds a whole source.
+row for each shard: metadata, not documents. Shards hold at least SHARD_ROWS documents and about as many times
+the square root of a source's documents more as it grows, so neither a shard nor the list of a source's shards outgrows a task.
 
 Defined cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own, the last;
-repeated rows are documents of their own; other columns are ignored; an empty table gives no rows.
+repeated rows are documents of their own, null ids too (rows are dealt by id and text together, so only rows equal in both
+meet in one shard); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from temporis.llm import common
 #: Fixed values of the contract.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 
-MAX_SEATS, SHARD_ROWS, SEED = 1 << 20, 4_000, 17
+BLOCK, SHARD_ROWS, SEED = 64, 4_000, 17
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -84,80 +86,92 @@ def sainte_lague(share: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
 
 
 def source_targets(sources: DataFrame) -> DataFrame:
-    """source, source_size -> also target (words), seats (blocks), block (words of a block), rest (words after them)."""
+    """source, source_size -> also target (words), seats (blocks), rest (words that these are under the target, or over it: below 0)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         key = p.source.map(lambda s: (s is None, s or ""))
         p = p.iloc[sorted(range(len(p)), key=lambda k: key.iloc[k])].reset_index(drop=True)
         size = p.source_size.to_numpy(np.int64)
         target = water_fill(size, np.array([WEIGHTS[k % len(WEIGHTS)] for k in range(len(p))], float))
-        block = max(1, -(-int(SHARE * size.sum()) // MAX_SEATS))
-        seats = sainte_lague(target, int(target.sum() // block), MOST * size // block)
-        rest = np.clip(np.round(target - seats * block), 0, MOST * size - seats * block).astype(np.int64)
-        return p.assign(target=target, seats=seats, block=block, rest=np.where(block > 1, rest, 0))
+        seats = sainte_lague(target, int(target.sum() // BLOCK), MOST * size // BLOCK)
+        return p.assign(target=target, seats=seats, rest=np.clip(np.round(target), 0, MOST * size).astype(np.int64) - seats * BLOCK)
 
-    return sources.groupBy().applyInPandas(run, "source string, source_size long, target double, seats long, block long, rest long")
+    return sources.groupBy().applyInPandas(run, "source string, source_size long, target double, seats long, rest long")
+
+
+def stride(n: int) -> int:
+    """A step that visits all of n blocks, spread evenly: the least number from the golden section on that has no divisor with n."""
+    a = max(1, int(n * 0.6180339887498949))
+    while gcd(a, n) > 1:
+        a += 1
+    return a
 
 
 def shard_quotas(shards: DataFrame) -> DataFrame:
-    """source, shard, shard_size, seats, block, rest of a source -> source, shard, quota (words)."""
+    """source, shard, shard_size, seats, rest of a source -> source, shard, shard_size, quota (words), step (of the order of blocks)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("shard").reset_index(drop=True)
-        size, block = p.shard_size.to_numpy(np.int64), int(p.block.iloc[0])
-        quota = block * sainte_lague(size.astype(float), int(p.seats.iloc[0]), MOST * size // block)
-        left = int(p.seats.iloc[0]) * block - int(quota.sum()) + int(p.rest.iloc[0])
+        size = p.shard_size.to_numpy(np.int64)
+        quota = BLOCK * sainte_lague(size.astype(float), int(p.seats.iloc[0]), MOST * size // BLOCK)
+        left = int(p.seats.iloc[0]) * BLOCK - int(quota.sum()) + int(p.rest.iloc[0])
         for k in range(len(p)):
-            more = min(left, int(MOST * size[k] - quota[k]))
+            if not left:
+                break
+            more = int(np.clip(left, -quota[k], MOST * size[k] - quota[k]))
             quota[k] += more
             left -= more
-        return p[["source", "shard"]].assign(quota=quota)
+        return p[["source", "shard", "shard_size"]].assign(quota=quota, step=[stride(int(n) // BLOCK) for n in size])
 
-    return shards.groupBy("source").applyInPandas(run, "source string, shard long, quota long")
+    return shards.groupBy("source").applyInPandas(run, "source string, shard long, shard_size long, quota long, step long")
 
 
-def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Words that [a, b) and [c, d) share."""
-    return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
+def chosen_words(at: Column, stop: Column, n: Column, rest: Column, step: Column, first: Column) -> Column:
+    """array of (begin, end), words of a document that a shard's chosen blocks hold, counted in the document.
 
+    The document holds the words [at, stop) of the shard's n; rest words are to be chosen: whole blocks in the order
+    (step * block + first) mod blocks, and the words that are under a block from the next in this order (the words after the last
+    whole block are its last).
+    """
+    blocks = F.floor(n / BLOCK)
+    whole, more = F.floor(rest / BLOCK), rest % BLOCK
 
-def mix(docs: DataFrame, key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """key, source, size, source_size, target, and the words to take: whole (full copies), first and last.
+    def part(b: Column) -> Column:
+        turn = F.when(b < blocks, F.pmod(step * b + first, F.greatest(blocks, F.lit(1)))).otherwise(blocks)
+        held = F.when(turn < whole, F.lit(BLOCK)).when(turn == whole, more).otherwise(F.lit(0))
+        return F.struct((F.greatest(at, b * BLOCK) - at).alias("begin"), (F.least(stop, b * BLOCK + held) - at).alias("end"))
 
-    first and last bound the words [first, last) of the document that are taken once more than whole times, and wrapped
-    tells that these are the words outside of [first, last) instead. taken is their number in all.
-    """
-    spark = docs.sparkSession
-    rows = common.materialize(sizes(docs).select(key, "source", "size", F.xxhash64(F.lit(SEED), key).alias("draw")), "mix-sizes")
+    parts = F.transform(F.sequence(F.floor(at / BLOCK), F.floor((stop - 1) / BLOCK)), part)
+    none = F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")
+    return F.when((stop > at) & (rest > 0), F.filter(parts, lambda p: p["begin"] < p["end"])).otherwise(none)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """key, source, size, source_size, target, and the words to take: whole (full copies), parts (begin, end: words taken once more)
+    and taken, their number in all. docs has key, text and source."""
+    draw = F.xxhash64(F.lit(SEED), key, F.xxhash64("text"))
+    rows = common.materialize(sizes(docs).select(key, "source", "size", draw.alias("draw")), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = common.materialize(
         source_targets(sources.select("source", "source_size")).join(sources.select(F.col("source").alias("s"), "n"), F.expr("source <=> s")).drop("s"), "mix-targets"
     )
-    spread = targets.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("long"))
+    held = F.greatest(F.lit(shard_rows), F.sqrt("n") * 4)
+    spread = targets.withColumn("shards", F.ceil(F.col("n") / held).cast("long"))
     same = F.expr("d.source <=> t.source")
     dealt = rows.alias("d").join(F.broadcast(spread.alias("t")) if _small(spread) else spread.alias("t"), same)
-    dealt = dealt.select(
-        f"d.{key}", "d.source", "d.size", "d.draw", "t.source_size", "t.target", "t.seats", "t.block", "t.rest", F.pmod(F.xxhash64("d.draw"), F.col("t.shards")).alias("shard")
-    )
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), *[F.first(c).alias(c) for c in ("seats", "block", "rest")])
-    quotas = common.materialize(
-        shard_quotas(shards).alias("q").join(shards.alias("s"), F.expr("q.source <=> s.source and q.shard = s.shard")).select("q.source", "q.shard", "q.quota", "s.shard_size"),
-        "mix-quotas",
-    )
+    dealt = dealt.select(f"d.{key}", "d.source", "d.size", "d.draw", "t.source_size", "t.target", "t.seats", "t.rest", F.pmod(F.xxhash64("d.draw"), F.col("t.shards")).alias("shard"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), *[F.first(c).alias(c) for c in ("seats", "rest")])
+    quotas = common.materialize(shard_quotas(shards), "mix-quotas")
     order = Window.partitionBy("source", "shard").orderBy("draw", key, "size")
     placed = dealt.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = placed.alias("p").join(quotas.alias("q"), F.expr("p.source <=> q.source and p.shard = q.shard"))
     n, quota = F.col("q.shard_size"), F.col("q.quota")
-    begin = F.pmod(F.xxhash64(F.lit(SEED + 1), "p.source", "p.shard"), F.greatest(n, F.lit(1)))
-    again = F.when(n > 0, quota % F.greatest(n, F.lit(1))).otherwise(F.lit(0))
-    out = joined.select(
-        f"p.{key}", "p.source", "p.size", "p.source_size", "p.target", (F.col("p.stop") - F.col("p.size")).alias("at"), "p.stop",
-        F.when(n > 0, F.floor(quota / F.greatest(n, F.lit(1)))).otherwise(F.lit(0)).cast("long").alias("whole"), begin.alias("begin"), (begin + again).alias("end"), n.alias("n"),
-    )
-    head = _overlap(F.col("at"), F.col("stop"), F.col("begin"), F.least("end", "n"))
-    tail = _overlap(F.col("at"), F.col("stop"), F.lit(0), F.col("end") - F.col("n"))
-    out = out.withColumns({"head": head, "tail": tail, "head_at": F.greatest(F.col("begin") - F.col("at"), F.lit(0))})
-    return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("head") + F.col("tail")).drop("at", "stop", "begin", "end", "n")
+    some = F.greatest(n, F.lit(1))
+    first = F.pmod(F.xxhash64(F.lit(SEED + 1), "p.source", "p.shard"), F.greatest(F.floor(n / BLOCK), F.lit(1)))
+    parts = chosen_words(F.col("p.stop") - F.col("p.size"), F.col("p.stop"), n, quota % some, F.col("q.step"), first)
+    out = joined.select(f"p.{key}", "p.source", "p.size", "p.source_size", "p.target", F.floor(quota / some).alias("whole"), parts.alias("parts"))
+    more = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["end"] - p["begin"])
+    return out.withColumn("taken", F.col("whole") * F.col("size") + more)
 
 
 def _small(sources: DataFrame) -> bool:
@@ -170,30 +184,26 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def word_slice(text: Column, start: Column, count: Column) -> Column:
-    """count words of text from word number start, joined by spaces."""
-    words = F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0))
-    return F.array_join(F.slice(words, (start + 1).cast("int"), count.cast("int")), " ")
+def words_of(text: Column, parts: Column) -> Column:
+    """The words of text in parts (begin, end), each with the space before it as it stands there."""
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{common.WORD}"), F.lit(0))
+    held = F.flatten(F.transform(parts, lambda p: F.slice(words, (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int"))))
+    return F.regexp_replace(F.array_join(held, ""), r"^[\x20\x09-\x0D]+", "")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row's text has the words taken of it (all of it, repeated or cut); others go.
-
-    Equal rows get equal texts.
-    """
+    """docs as the mix takes them: a row for each whole copy of a document, and one for the words that are taken once more, spaced
+    as they stand in it; documents of which nothing is taken go. Equal rows are taken alike."""
     key = F.concat_ws("#", F.col("doc_id").cast("string"), F.xxhash64("doc_id", "text", "source").cast("string"))
     rows = docs.select(key.alias("key"), "text", "source", F.struct(*docs.columns).alias("row"))
     plan = mix(rows.select("key", "text", "source"), "key")
-    plan = plan.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "whole", "head", "tail", "head_at", "taken")])
+    plan = plan.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "whole", "parts", "taken")])
     both = rows.join(plan, "key").where("taken > 0")
+    some = F.when(F.col("taken") == (F.col("whole") + 1) * F.col("size"), F.col("text")).otherwise(words_of(F.col("text"), F.col("parts")))
     none = F.expr("cast(array() as array<string>)")
-    whole = F.when(F.col("whole") >= 1, F.array_repeat(F.col("text"), F.col("whole").cast("int"))).otherwise(none)
-
-    def part(start: Column, n: Column) -> Column:
-        return F.when(n == F.col("size"), F.array(F.col("text"))).when(n > 0, F.array(word_slice(F.col("text"), start, n))).otherwise(none)
-
-    text = F.array_join(F.concat(whole, part(F.lit(0), F.col("tail")), part(F.col("head_at"), F.col("head"))), "\n")
-    own = {"text": text}
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.size("parts") > 0, F.array(some)).otherwise(none))
+    out = both.select("row", F.explode(texts).alias("taken_text"))
+    own = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
-    return both.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+        own["n_chars"] = F.length("taken_text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,9 @@
 """Quality: positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are labelled rows of quality 1 outside the held-out fold; unlabelled text is a seeded sample of all
-documents; the class prior is estimated as the smoothed share of quality 1 among the labelled rows of the training fold.
+documents; rows labelled 0 are not read. The class prior is estimated from these two alone: a first network, fitted on half of
+each, orders the other halves; above any score the unlabelled rows' share over the positives' share bounds the prior from above
+(nearly no others are left where the score is high), and the bound is taken where it is least with the noise of both shares added.
 A small network (one hidden layer) on text statistics minimises, with logistic loss,
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)),
@@ -10,8 +12,8 @@ and where the second term falls under -SLACK (the noise of a batch) a step ascen
 TRAIN_ROWS (a documented bound). Statistics are shares of letters, cases, digits and signs, repeats of words, neighbours
 and lines, and lengths of words and texts; every text is read whole.
 
-Defined cases: a null or empty text has all-zero statistics; repeated rows score alike; other columns are ignored;
-without trusted positives every score is the prior.
+Defined cases: a null doc_id is not held out; training takes one of the rows that repeat a doc_id; a null or empty text has all-zero
+statistics; repeated rows score alike; other columns are ignored; without trusted positives every score is one half.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from temporis.llm import common
 
-TRAIN_ROWS, HIDDEN, STEPS, BATCH, RATE, DECAY, SLACK, SEED = 12_000, 24, 1200, 2048, 0.01, 1e-5, 0.02, 11
+TRAIN_ROWS, HIDDEN, STEPS, BATCH, RATE, DECAY, SLACK, NOISE, SEED = 12_000, 24, 1200, 2048, 0.01, 1e-5, 0.02, 0.1, 11
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _GROUPS = np.zeros((256, 6 + len(_SIGNS)))
 _GROUPS[65:91, 0] = _GROUPS[97:123, 1] = _GROUPS[48:58, 2] = _GROUPS[128:, 3] = _GROUPS[10, 4] = _GROUPS[32, 5] = 1
@@ -112,17 +114,32 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows.stats), "<f8").reshape(-1, WIDTH)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from scores of rows that the scorer wasn't fitted on."""
+    at = np.unique(positive)
+    share = lambda z: 1 - np.searchsorted(np.sort(z), at, "left") / len(z)
+    of_p, of_u = share(positive), share(unlabelled)
+    noise = np.sqrt(np.log(4 / NOISE) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = int(np.argmin((of_u + noise) / of_p))
+    return float(np.clip(of_u[best] / of_p[best], 1 / (len(unlabelled) + 2), 1 - 1 / (len(unlabelled) + 2)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> dict:
-    """Train on bounded samples: labelled rows of the training fold, and as many documents at large."""
+    """Train on bounded samples: trusted positives of the training fold, and as many documents at large."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = _with_statistics(common.training_rows(docs, labels, label, limit, SEED), "label").toPandas()
+    trusted = labels.where(F.col(label) > 0)
+    positive = common.one_a_document(_with_statistics(common.training_rows(docs, trusted, label, limit, SEED)), "stats").toPandas()
     ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").limit(limit)
-    unlabelled = _with_statistics(texts.join(F.broadcast(ids), "doc_id")).toPandas()
-    positive = known[known.label > 0]
-    prior = (len(positive) + 1) / (len(known) + 2)
+    unlabelled = common.one_a_document(_with_statistics(texts.join(F.broadcast(ids), "doc_id")), "stats").toPandas()
     if not len(positive) or not len(unlabelled):
-        return {"prior": prior}
-    return train_network(_matrix(positive), _matrix(unlabelled), prior)
+        return {"prior": 0.5}
+    p, u = _matrix(positive), _matrix(unlabelled)
+    rng = np.random.default_rng(SEED)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    first = train_network(p[::2], u[::2], 0.5)
+    of = lambda x: _forward(np.clip((x - first["mean"]) / first["scale"], -6, 6), first)[0]
+    prior = estimate_prior(of(p[1::2]), of(u[1::2])) if len(p) > 1 and len(u) > 1 else 0.5
+    return train_network(p, u, prior)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -7,7 +7,7 @@ of these the machine learns linear weights and pairwise interactions as factors
 
 score = sigmoid(b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)).
 
-Defined cases: a null or empty text scores as the bias alone; texts of any length are scored whole; repeated rows
+Defined cases: a null doc_id is not held out; training takes one of the rows that repeat a doc_id; a null or empty text scores as the bias alone; texts of any length are scored whole; repeated rows
 score alike; other columns are ignored. With no labels, or labels of one class, every score is the smoothed base rate.
 """
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         of.known.clear()
         common.trim()
 
-    rows = common.materialize(sample.mapInPandas(terms, "doc_id long, label int, terms binary"), "toxicity-terms")
+    rows = common.materialize(common.one_a_document(sample.mapInPandas(terms, "doc_id long, label int, terms binary"), "terms", "label"), "toxicity-terms")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = np.zeros((2, 1 << BITS), "<i4"), [0, 0]

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from temporis.llm import ann, chat, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
+from temporis.llm import ann, chat, common, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
 from temporis.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -327,8 +327,60 @@ def test_sainte_lague_equals_seat_by_seat():
         most = rng.integers(0, 30, 6)
         own = np.zeros(6, int)
         for _ in range(int(min(seats, most.sum()))):
-            own[int(np.argmax(np.where(own < most, share / (2 * own + 1), -1)))] += 1
-        assert (mixing.sainte_lague(share, seats, most) == own).all() or (share == 0).any()
+            quotient = np.where((own < most) & (share > 0), share / (2 * own + 1), -1)
+            if quotient.max() < 0:
+                break  # a share of 0 wins nothing
+            own[int(np.argmax(quotient))] += 1
+        assert (mixing.sainte_lague(share, seats, most) == own).all()
+
+
+def test_chosen_words_are_whole_blocks_and_the_quota():
+    """Stride and order of blocks in plain Python: every quota is met exactly, by blocks that are whole but for one."""
+    for n in (0, 1, 63, 64, 65, 700, 6400, 6411):
+        blocks, step = n // mixing.BLOCK, mixing.stride(n // mixing.BLOCK)
+        assert blocks == 0 or sorted(step * b % blocks for b in range(blocks)) == list(range(blocks))
+
+
+def test_mixing_query_equals_plain_sums(spark):
+    """size, source_size and target by plain Python; taken sums to the target of each source, in blocks of words."""
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text", "source"])
+    docs["size"] = docs.text.map(lambda t: len(words(t)))
+    own = docs.groupby("source", dropna=False)["size"].sum()
+    order = sorted(own.index, key=lambda s: (s is None, s or ""))
+    left, target, free = 1.5 * docs["size"].sum(), {}, [(s, (5, 2, 1)[k % 3]) for k, s in enumerate(order)]
+    while free:
+        total = sum(w for _, w in free)
+        full = [s for s, w in free if left * w / total >= 2 * own[s]]
+        if not full:
+            target |= {s: left * w / total for s, w in free}
+            break
+        target |= {s: 2.0 * own[s] for s in full}
+        left, free = left - sum(2 * own[s] for s in full), [x for x in free if x[0] not in full]
+    got = QUERIES["op7_source_mixing"](spark, sf).toPandas().merge(docs, on="doc_id", suffixes=("", "_plain"))
+    assert len(got) == len(docs) and (got["size"] == got["size_plain"]).all() and got.taken.between(0, 2 * got["size"]).all()
+    assert (got.source_size == got.source.map(own)).all() and np.allclose(got.target, got.source.map(target), rtol=1e-12)
+    taken = got.groupby("source")["taken"].sum()
+    assert all(taken[s] == round(target[s]) for s in order)
+
+
+def test_mixing_takes_words_as_they_stand(spark):
+    """Copies are rows of their own; a partly taken text keeps the spaces and line ends between its words."""
+    rows = [(k, f"  line {k}\n\tword   two\r\nthree {' '.join(f'w{j}' for j in range(k % 90))}  ", "a" if k % 3 else "b") for k in range(300)]
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string, source string"), {i: t for i, t, _ in rows}
+    done = mixing.apply_mix(docs).collect()
+    taken, size = defaultdict(int), defaultdict(int)
+    for r in done:
+        assert r.text == texts[r.doc_id] or len(r.text) < len(texts[r.doc_id]) and set(words(r.text)) < set(words(texts[r.doc_id]))
+        taken[r.source] += len(words(r.text))
+    for _, t, source in rows:
+        size[source] += len(words(t))
+    want = mixing.water_fill(np.array([size["a"], size["b"]]), np.array([5.0, 2.0]))
+    assert [taken["a"], taken["b"]] == np.round(want).astype(int).tolist() and len(done) > len({r.doc_id for r in done})
+    parts = F.array(*[F.struct(F.lit(a).cast("long").alias("begin"), F.lit(b).cast("long").alias("end")) for a, b in ((1, 3), (4, 6))])
+    for r in docs.select("text", mixing.words_of(F.col("text"), parts).alias("own")).collect():
+        own = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r.text)
+        assert r.own == "".join([*own[1:3], *own[4:6]]).lstrip(" \t\r\n")
 
 
 def test_mixing_is_the_same_again(spark, sf):
@@ -462,6 +514,27 @@ def test_held_out_accuracy(spark, name, label, least):
     assert own.score.between(0, 1).all() and (own.predicted == own[label]).mean() >= least
 
 
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.8):
+        positive, unlabelled = rng.normal(2, 1, 3000), np.where(rng.random(4000) < share, rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000))
+        assert abs(quality.estimate_prior(positive, unlabelled) - share) < 0.06
+
+
+def test_quality_does_not_read_negatives(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    a, b = quality.fit(docs, labels), quality.fit(docs, labels.where("quality = 1"))
+    assert a["prior"] == b["prior"] and all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_a_repeated_labelled_row_is_one_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = common.training_rows(docs, labels, "toxic", 10, 1)
+    assert sorted(map(tuple, common.one_a_document(rows, "text", "label").collect())) == [(1, 1, "text 0"), (2, 0, "other")]
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_odd(spark, odd, empty, module, label):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (1, 0), (9, 1), (10, 0)], f"doc_id long, {label} int")
