@@ -1,5 +1,11 @@
 """Training-data pipeline over documents: reject toxic ones, keep one of each group of near copies, mask secrets, mix
-sources to their target weights, and pack what is left into sequences."""
+sources to their target weights, and pack what is left into sequences.
+
+Defined cases: a null text stays null through the filters and has no words to mix, so the mix drops it, as it does empty texts; a
+null doc_id is linked with nothing and kept; of rows that repeat a doc_id the n-gram Jaccard stage keeps the one of smallest
+text; a document that the mix takes more than once is as many rows; extra columns come along up to packing, which
+returns pieces; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -49,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = common.replace(docs, stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

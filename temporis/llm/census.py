@@ -1,7 +1,7 @@
 """Census: tell each batch of documents, for each of its keys, what all batches together know of that key.
 
-Documents are dealt to batches by doc_id, so a later pass over the same documents meets the same batches. A batch sends its
-distinct keys (64-bit numbers) in sorted order, cut to buckets by range, as packed arrays: one row for each batch and
+Documents are dealt to batches by doc_id and text, so a later pass over the same documents meets the same batches. A batch sends its
+distinct keys (64-bit numbers, with more bits where a census needs them) in sorted order, cut to buckets by their first bits, as packed arrays: one row for each batch and
 bucket that has keys. A bucket's task joins the rows of all batches and answers each with one value a key, in
 the order the keys came. A key sends one entry a batch however often it occurs, so a hot key costs as much as there are
 batches, and the answer is small. A task holds one batch's text, or one bucket's keys; both have set sizes.
@@ -18,33 +18,57 @@ from pyspark.sql import functions as F
 
 from temporis.llm import common
 
-BATCH_BYTES, BUCKET_KEYS = 4_000_000, 1_000_000
-ASKED = "bucket int, batch long, keys binary, low binary"
+BATCH_BYTES, BUCKET_KEYS, GROWS_FROM = 4_000_000, 1_000_000, 500_000_000
+ASKED = "bucket int, batch long, keys binary, extra binary, low binary"
 
 
 class Layout:
-    """How many batches and buckets the documents take."""
+    """How many batches and buckets the documents take.
+
+    Rows are batches times buckets, so both grow in size as well as in number: by the fourth root of the input beyond
+    GROWS_FROM bytes, 21-fold at 100 TB, where a batch is 84 MB of text and a row still packs some 17 keys.
+    """
 
     def __init__(self, docs: DataFrame, keys_per_byte: float) -> None:
         total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
         least = common.partitions(docs.sparkSession)
-        self.batches = int(max(least, -(-total // BATCH_BYTES)))
-        self.buckets = int(max(least, total * keys_per_byte // BUCKET_KEYS + 1))
+        grown = max(1.0, total / GROWS_FROM) ** 0.25
+        self.batches = int(max(least, -(-total // (BATCH_BYTES * grown))))
+        self.bits = int(max(least, total * keys_per_byte // (BUCKET_KEYS * grown) + 1) - 1).bit_length()
 
     def batched(self, docs: DataFrame) -> DataFrame:
-        return docs.withColumn("batch", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(self.batches)))
-
-    def cuts(self, keys: np.ndarray) -> np.ndarray:
-        """Where sorted keys are cut to buckets: bucket b has keys[cuts[b]:cuts[b + 1]]."""
-        edges = np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], np.uint64)
-        return np.r_[0, np.searchsorted(keys, edges), len(keys)].astype(np.int64)
-
-    def rows(self, batch: int, keys: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-        """What a batch asks: sorted distinct keys, and a number of each key."""
-        cuts = self.cuts(keys)
-        used = np.flatnonzero(np.diff(cuts))
-        part = lambda a, b: _squeeze(a[cuts[b] : cuts[b + 1]])
-        return pd.DataFrame({"bucket": used.astype(np.int32), "batch": batch, "keys": [part(keys, b) for b in used], "low": [part(value, b) for b in used]})
+        """docs with batch, by id and text: null and repeated ids spread as others do; only rows equal in both meet in one."""
+        return docs.withColumn("batch", F.pmod(F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")), F.lit(self.batches)))
+
+    def cuts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets (first bits of a key) that sorted keys fall in, and where each begins, with the end."""
+        own = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        return own[starts], np.r_[starts, len(keys)]
+
+    def rows(self, batch: int, keys: np.ndarray, value: np.ndarray, extra: np.ndarray | None = None, state: bytes | None = None) -> pd.DataFrame:
+        """What a batch asks: sorted distinct keys, more bits of each (extra), and a number of each. state comes back with the
+        answers as it is, in a row of its own."""
+        used, cuts = self.cuts(keys)
+        part = lambda x, k: _squeeze(x[cuts[k] : cuts[k + 1]]) if x is not None else None
+        out = [(int(b), batch, part(keys, k), part(extra, k), part(value, k)) for k, b in enumerate(used)]
+        if state is not None:
+            out.append((-1 - batch % (1 << self.bits), batch, state, None, None))
+        return pd.DataFrame(out, columns=["bucket", "batch", "keys", "extra", "low"])
+
+
+def distinct(keys: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """order, starts: an order of positions by (key, extra), and where in it different ones begin."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]][: len(k)]
+    if extra is not None and len(k):
+        e = extra[order]
+        if (~new[1:] & (e[1:] != e[:-1])).any():  # equal keys of different strings
+            order = np.lexsort((extra, keys))
+            k, e = keys[order], extra[order]
+            new = np.r_[True, (k[1:] != k[:-1]) | (e[1:] != e[:-1])]
+    return order, np.flatnonzero(new)
 
 
 def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> DataFrame:
@@ -52,17 +76,18 @@ def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> Dat
     starts of equal keys in that order and how many each has, and returns a value for each entry."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("batch")
+        if p.bucket.iloc[0] < 0:
+            return pd.DataFrame({"batch": p.batch, "bucket": p.bucket, "reply": p["keys"]})
         own = [_widen(x, "<u8") for x in p["keys"]]
         ends, keys = np.cumsum([len(x) for x in own]), np.concatenate(own)
         del own
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        del ordered
+        extra = np.concatenate([_widen(x, "<u4") for x in p["extra"]]) if p["extra"].notna().all() else None
+        order, starts = distinct(keys, extra)
+        n = len(keys)
+        del keys, extra
         values = np.concatenate([_widen(x, kind) for x in p["low"]])[order]
-        got = reply(values, starts, np.diff(np.r_[starts, len(keys)]))
-        out = np.empty(len(keys), got.dtype)
+        got = reply(values, starts, np.diff(np.r_[starts, n]))
+        out = np.empty(n, got.dtype)
         out[order] = got
         parts = np.split(out, ends[:-1])
         packed = [np.packbits(x).tobytes() if x.dtype == bool else _squeeze(x) for x in parts]
@@ -72,6 +97,14 @@ def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> Dat
     return asked.groupBy("bucket").applyInPandas(run, "batch long, bucket int, reply binary")
 
 
+def pack(x: np.ndarray) -> bytes:
+    return _squeeze(x)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    return _widen(data, kind)
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Packed numbers, byte by byte of equal weight: sorted keys differ little in their first bytes, and doc_ids too."""
     import zstandard
@@ -87,31 +120,23 @@ def _widen(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _filled(replies: pd.DataFrame, layout: Layout, keys: np.ndarray, dtype, read: Callable[[bytes, int], np.ndarray]) -> np.ndarray:
+    used, cuts = layout.cuts(keys)
+    out = np.zeros(len(keys), dtype)
+    own = replies[replies.bucket >= 0]
+    for k, r in zip(np.searchsorted(used, own.bucket.to_numpy(np.int64)), own.reply, strict=True):
+        out[cuts[k] : cuts[k + 1]] = read(r, int(cuts[k + 1] - cuts[k]))
+    return out
+
+
 def bits(replies: pd.DataFrame, layout: Layout, keys: np.ndarray) -> np.ndarray:
     """A batch's answers of one bit, in the order of its sorted keys."""
-    cuts, out = layout.cuts(keys), np.zeros(len(keys), bool)
-    for b, r in zip(replies.bucket.astype(int), replies.reply, strict=True):
-        n = cuts[b + 1] - cuts[b]
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(r, np.uint8), count=int(n)).astype(bool)
-    return out
+    return _filled(replies, layout, keys, bool, lambda r, n: np.unpackbits(np.frombuffer(r, np.uint8), count=n).astype(bool))
 
 
 def numbers(replies: pd.DataFrame, layout: Layout, keys: np.ndarray, dtype: str) -> np.ndarray:
     """A batch's answers of whole numbers, in the order of its sorted keys."""
-    cuts, out = layout.cuts(keys), np.zeros(len(keys), dtype)
-    for b, r in zip(replies.bucket.astype(int), replies.reply, strict=True):
-        out[cuts[b] : cuts[b + 1]] = _widen(r, dtype)
-    return out
-
-
-def distinct_low_high(keys: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and the least and largest value of each."""
-    if not len(keys):
-        return keys, value, value
-    order = np.argsort(keys, kind="stable")
-    keys, value = keys[order], value[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[starts], np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
+    return _filled(replies, layout, keys, dtype, lambda r, n: _widen(r, dtype))
 
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)

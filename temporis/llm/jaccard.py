@@ -9,9 +9,16 @@ range in which their counts differ in parity holds a shingle of one set only, so
 Hamming distance from below and may not exceed what the needed overlap allows.
 
 Texts with equal sets are one class, of which one text takes part. As links only have to connect, a group of m near copies
-need not give m * m pairs: in rounds, the texts that share a shingle are compared with one leader, linked texts become one
-component, and shingles all of whose texts are in one component drop out. What is left in the end is joined in full, between
-different components only, so no link between components is lost. Numbers of shingles are 64-bit.
+need not give m * m pairs: in rounds, the texts that share a shingle are dealt to chunks of about CHUNK, anew for each shingle and round, and
+each is compared with its chunk's leader; linked texts become one component, and shingles all of whose texts are in one
+component drop out. So a frequent shingle is as many small groups, not one large. Rounds go on while they join components and the
+full join would still meet more than MEETS pairs for each row. The full join then ends it, between different
+components only, so no link between components is lost: it goes by shingle and range of sizes, as sizes of linked sets are within a
+quarter of each other, and Spark can split a frequent shingle's rows on both sides.
+
+Numbers of shingles are 64-bit. A number that stands for two shingles can only matter where both are in one text or one compared
+pair: of m shingles about m * m / 2**65, one in a million over 10**9 texts of a thousand words. Counts that collide change the order
+of prefixes, which is the same for all texts, and no link.
 
 Defined cases: a null or empty text has no set and is linked with nothing; a text of fewer words has one shingle; a null
 doc_id is linked with nothing and its component is null; rows that repeat a doc_id pool their links; other columns are
@@ -28,7 +35,8 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 from temporis.llm.census import ASKED, Layout, answer, mix, numbers
 
-WORDS, PERCENT, PARTS, ROUNDS = 5, 80, 1024, 2
+WORDS, PERCENT, PARTS = 5, 80, 1024
+CHUNK, MEETS, MOST_ROUNDS = 256, 16, 8
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -106,7 +114,6 @@ PREFIXES = "doc_id long, n int, class binary, tokens array<long>, places array<i
 def prefixes(docs: DataFrame) -> DataFrame:
     """A row for each text: n (size of its set), class (a digest of the set) and, for the first text of a class in its batch that
     shares a shingle of its prefix with any text: tokens (these shingles), places, members (the set), parts (parities of its partition counts, as bits)."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     layout = Layout(texts, 0.16)
     dealt = layout.batched(texts)
@@ -174,10 +181,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = common.materialize(small.distinct(), name)
+        edges = common.replace(edges, small.distinct(), name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
+            out._written = edges._written
+            return out
         state = now
 
 
@@ -190,50 +199,67 @@ def _apply(rows: DataFrame, moved: DataFrame) -> DataFrame:
 
 def connect(nodes: DataFrame) -> DataFrame:
     """node, comp: for the nodes (node, n, tokens, places, members, parts) that links connect, the least node reachable."""
-    spark = nodes.sparkSession
     parts = F.struct(*[F.get("parts", F.lit(k)).alias(f"b{k}") for k in range(PARTS // 64)]).alias("parts")
     rows = nodes.select("node", F.col("node").alias("comp"), "n", parts, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", F.col("t.places").alias("place"), "parts")
-    shared = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    # ranges are a little wider than the ratio of linked sizes, so a set meets those of its own range and of its neighbours only
+    rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", F.floor(F.log(100 / PERCENT + 0.05, F.col("n"))).alias("range"), F.col("t.places").alias("place"), "parts")
+    shared = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("token", "k")
     # what is joined with the rows is a table of its own, so that Spark can split the rows of a frequent shingle
-    rows = common.materialize(rows.join(common.materialize(shared, "jaccard-shared"), "token", "left_semi"), "jaccard-tokens")
+    found = common.materialize(shared, "jaccard-shared")
+    rows = common.materialize(rows.join(found, "token"), "jaccard-tokens")
+    common.drop(found)
     known = nodes.select("node").distinct().withColumn("comp", F.col("node"))
-    tested = None
-    for number in range(ROUNDS + 1):
-        last = number == ROUNDS
-        draw = F.struct(F.xxhash64(F.lit(number), "node"), F.col("node"))
+    tested, number, last = None, 0, rows.isEmpty()
+    while not last:
+        last = number >= MOST_ROUNDS or number > 0 and (not joined or _meets(rows) <= MEETS)
         if last:  # all against those outside of the largest component of the shingle
-            size = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-            most = size.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
+            size = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
+            most = common.materialize(size.groupBy("token").agg(F.max(F.struct("m", "comp"))["comp"].alias("most")), "jaccard-largest")
             heads = rows.join(most, "token").where("comp <> most").drop("most")
+            heads = heads.withColumn("range", F.explode(F.array(*[F.col("range") + k for k in (-1, 0, 1)])))
+            by, dealt = "x.token = h.token and x.range = h.range", rows
         else:
-            picked = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "comp", "n", "place", "parts")).alias("h"))
-            heads = picked.select("token", "h.node", "h.comp", "h.n", "h.place", "h.parts")
+            chunk = F.pmod(F.xxhash64(F.lit(number), "token", "node"), F.ceil(F.col("k") / CHUNK)).alias("chunk")
+            dealt = rows.select("*", chunk)
+            draw = F.struct(F.xxhash64(F.lit(number), "node").alias("draw"), "node", "comp", "n", "place", "parts")
+            heads = dealt.groupBy("token", "chunk").agg(F.min(draw).alias("h")).select("token", "chunk", "h.node", "h.comp", "h.n", "h.place", "h.parts")
+            by = "x.token = h.token and x.chunk = h.chunk"
         heads = common.materialize(heads, "jaccard-heads")
-        met = rows.alias("x").join(heads.alias("h"), F.expr("x.token = h.token and x.comp <> h.comp") & _may_link("x", "h"))
+        met = dealt.alias("x").join(heads.alias("h"), F.expr(f"{by} and x.comp <> h.comp") & _may_link("x", "h"))
         pairs = met.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = common.materialize(verify(pairs, nodes).groupBy("a", "b").agg(F.max("linked").alias("linked")), "jaccard-verified")
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
+        common.drop(heads)
         links = done.where("linked").select("a", "b")
-        if not links.isEmpty():
+        joined = not links.isEmpty()
+        if joined:
             of = known.select("node", "comp")
             between = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
             moved = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard-stars")
-            known = common.materialize(_apply(known, moved), "jaccard-components")
+            known = common.replace(known, _apply(known, moved), "jaccard-components")
             if not last:
-                rows = _apply(rows, moved)
-                apart = rows.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
-                rows = common.materialize(rows.join(common.materialize(apart, "jaccard-apart"), "token", "left_semi"), "jaccard-tokens")
-        if rows.isEmpty():
-            break
+                now = common.materialize(_apply(rows, moved), "jaccard-moved")
+                apart = common.materialize(now.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token"), "jaccard-apart")
+                rows = common.replace(rows, now.join(apart, "token", "left_semi"), "jaccard-tokens")
+                common.drop(now, apart)
+                last = rows.isEmpty()
+            common.drop(moved)
+        number += 1
     return known
 
 
+def _meets(rows: DataFrame) -> float:
+    """Pairs that the full join would meet before its filters, as a multiple of the rows."""
+    size = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    outside = size.groupBy("token").agg(F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("out"))
+    r = outside.agg(F.sum(F.col("all").cast("double") * F.col("out")).alias("pairs"), F.sum("all").alias("rows")).first()
+    return r["pairs"] / r["rows"] if r["rows"] else 0.0
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    spark = docs.sparkSession
     small = common.materialize(prefixes(docs), "jaccard-prefixes")
     classes = common.materialize(small.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")), "jaccard-classes")
     one = Window.partitionBy("class").orderBy(F.col("doc_id").asc_nulls_last())

@@ -11,13 +11,16 @@ by two censuses of ranks over all documents:
 2. The positions left, with full ranks of SPAN bytes: those whose rank also starts in a document of smaller doc_id are
    repeated, and their SPAN bytes go, on equal ranks, without a comparison of the bytes.
 
-Ranks are 64-bit numbers computed from the pair, not dense numbers from a global sort: equal strings have equal ranks, and
-n positions are expected to hold n * n / 2**65 pairs of different strings with equal ranks. Whole ranks never leave a batch
-but as distinct sorted arrays (see census.py); a passage that a third of all documents share costs one entry a batch.
+Ranks are numbers computed from the pair, not dense numbers from a global sort: equal strings have equal ranks. The first
+census needs 64 bits, as equal names of different strings only leave positions for the second one. There a rank has 96 bits (64 of
+the pair and 32 of a linear hash of the same bytes): n positions are expected to hold n * n / 2**97 pairs of different strings
+of equal rank, one in a thousand runs over 10**13 positions. Whole ranks never leave a batch but as distinct sorted arrays (see
+census.py); a passage that a third of all documents share costs one entry a batch. A batch is named once: its places left after the
+first census come back to it with the answers of the second.
 
 Defined cases: a null text is empty; texts under SPAN bytes are kept whole; a document may repeat itself freely; rows
 that repeat a doc_id are judged alike, none against the other; a null doc_id is the smallest; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows. Rows of null ids spread over batches by their texts.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temporis.llm import common
-from temporis.llm.census import ASKED, Layout, answer, bits, distinct_low_high, mix, scatter, slices
+from temporis.llm.census import ASKED, Layout, answer, bits, distinct, mix, pack, scatter, slices, unpack
 
 SPAN, GRAM, SLICE = 50, 32, 1 << 15
 _NONE = np.iinfo(np.int64).min
+#: Where 8 bytes are read so that all SPAN are, and the odd numbers that they are multiplied by.
+_READ = (0, 8, 16, 24, 18, 26, 34, 42)
+_ODD = np.random.default_rng(0xC0DE).integers(0, 1 << 63, len(_READ), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 class Batch:
@@ -42,7 +48,7 @@ class Batch:
     Names are kept as runs: neighbouring positions of a text mostly share theirs.
     """
 
-    def __init__(self, p: pd.DataFrame, earlier: set[str]) -> None:
+    def __init__(self, p: pd.DataFrame, earlier: set[str], named: bool = True) -> None:
         p = p.assign(_id=p.doc_id.fillna(_NONE).astype("int64")).sort_values(["_id", "text"], kind="stable")
         self.lengths = p.text.map(len).to_numpy(np.int64)
         digests = p.text.map(lambda t: hashlib.md5(t).hexdigest())
@@ -54,7 +60,8 @@ class Batch:
         self.bytes = np.frombuffer(b"".join(self.rows.text) + bytes(2 * SPAN), np.uint8)
         self.n = int(self.starts[-1])
         self.eight = np.ndarray((self.n + SPAN,), "<u8", self.bytes, 0, (1,))  # rank of 8 bytes: overlapping views
-        self._name()
+        if named:
+            self._name()
 
     def _name(self) -> None:
         whose = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
@@ -82,22 +89,29 @@ class Batch:
         self.run_at, self.run_name, self.run_doc, self.run_size = join(first, np.int64), scatter(join(names, np.uint64)), join(docs, np.int32), join(sizes, np.int64)
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names with the least and largest doc_id of each."""
-        return distinct_low_high(self.run_name, self.ids[self.run_doc])
-
-    def ranks(self, shared: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, full ranks and doc_ids of the positions whose name is shared."""
-        keep = shared[np.searchsorted(names, self.run_name)] if len(names) else np.zeros(0, bool)
-        sizes = self.run_size[keep]
-        at = np.repeat(self.run_at[keep] - np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else self.run_at[keep], sizes) + np.arange(sizes.sum())
-        out = np.empty(len(at), np.uint64)
+        """Distinct names, whether each is in several documents, and the number of each run's name."""
+        order, starts = distinct(self.run_name)
+        ids = self.ids[self.run_doc][order]
+        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+        return self.run_name[order][starts], several, number
+
+    def left(self, shared: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places and sizes of the runs whose name is shared."""
+        keep = shared[number]
+        return self.run_at[keep], self.run_size[keep]
+
+    def ranks(self, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places in these runs, their ranks and more bits of these, and doc_ids."""
+        at = np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else first, sizes) + np.arange(sizes.sum())
+        rank, extra = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
         for a, b in slices(len(at), SLICE):
-            out[a:b] = self._full(at[a:b])
-        return at, out, np.repeat(self.ids[self.run_doc[keep]], sizes)
-
-    def _full(self, at: np.ndarray) -> np.ndarray:
-        sixteen = lambda k: mix(self.eight[at + k], self.eight[at + k + 8])
-        return mix(mix(sixteen(0), sixteen(16)), mix(sixteen(18), sixteen(34)))
+            read = [self.eight[at[a:b] + k] for k in _READ]
+            pairs = [mix(x, y) for x, y in zip(read[::2], read[1::2], strict=True)]
+            rank[a:b] = mix(mix(*pairs[:2]), mix(*pairs[2:]))
+            extra[a:b] = sum(x * odd for x, odd in zip(read, _ODD, strict=True)) >> np.uint64(32)
+        return at, rank, extra, self.ids[np.searchsorted(self.starts, at, "right") - 1]
 
 
 def _shared(several, starts, lengths):
@@ -131,41 +145,52 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = earlier_texts(dealt).select("batch", none("int").alias("bucket"), none("binary").alias("reply"), F.lit(0).alias("kind"), "digests")
     known = common.materialize(copies, "suffix-copies")
 
-    def opened(p: pd.DataFrame, r: pd.DataFrame) -> Batch:
-        return Batch(p, {d for own in r[r.kind == 0].digests for d in own})
+    def opened(p: pd.DataFrame, r: pd.DataFrame, named: bool = True) -> Batch:
+        return Batch(p, {d for own in r[r.kind == 0].digests for d in own}, named)
+
+    none_asked = pd.DataFrame({"bucket": [], "batch": [], "keys": [], "extra": [], "low": []})
 
     def ask_names(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame({"bucket": [], "batch": [], "keys": [], "low": []})
-        names, least, largest = opened(p, r).names()
-        return layout.rows(int(p.batch.iloc[0]), names, (least != largest).astype(np.uint8))
+            return none_asked
+        names, several, _ = opened(p, r).names()
+        return layout.rows(int(p.batch.iloc[0]), names, several.astype(np.uint8))
+
+    def ranked(batch: Batch, first: np.ndarray, sizes: np.ndarray):
+        """Places left, the order of their ranks, where in it different ones begin, and doc_id, rank and more bits by it."""
+        at, rank, extra, ids = batch.ranks(first, sizes)
+        order, starts = distinct(rank, extra)
+        return at, order, starts, ids[order], rank[order][starts], extra[order][starts]
 
     def ask_ranks(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame({"bucket": [], "batch": [], "keys": [], "low": []})
+            return none_asked
         batch = opened(p, r)
-        names = batch.names()[0]
-        _, ranks, ids = batch.ranks(bits(r[r.kind == 1], layout, names), names)
-        keys, low, _ = distinct_low_high(ranks, ids)
-        return layout.rows(int(p.batch.iloc[0]), keys, low)
+        names, _, number = batch.names()
+        first, sizes = batch.left(bits(r[r.kind == 1], layout, names), number)
+        _, _, starts, ids, rank, extra = ranked(batch, first, sizes)
+        low = np.minimum.reduceat(ids, starts) if len(starts) else ids
+        return layout.rows(int(p.batch.iloc[0]), rank, low, extra, pack(np.r_[len(first), first, sizes]))
 
     def told(asked: DataFrame, reply, kind: str, number: int) -> DataFrame:
         return answer(asked, reply, kind).select("batch", "bucket", "reply", F.lit(number).alias("kind"), none("array<string>").alias("digests"))
 
     for number, (ask, reply, kind) in enumerate(((ask_names, _shared, "u1"), (ask_ranks, _earlier, "<i8")), 1):
         asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(ask, ASKED)
-        known = known.unionByName(common.materialize(told(asked, reply, kind, number), f"suffix-replies-{number}"))
+        found = common.materialize(told(asked, reply, kind, number), f"suffix-replies-{number}")
+        known = known.where("kind = 0").unionByName(found)  # the second answers hold what was left after the first
 
     def cut(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "kept": [], "spans": []})
-        batch = opened(p, r)
-        names = batch.names()[0]
-        places, ranks, ids = batch.ranks(bits(r[r.kind == 1], layout, names), names)
-        keys, low, _ = distinct_low_high(ranks, ids)
-        earlier = bits(r[r.kind == 2], layout, keys)
-        at = np.searchsorted(keys, ranks)
-        gone = places[(ids > low[at]) | earlier[at]]
+        batch = opened(p, r, named=False)
+        r = r[r.kind == 2]
+        n, *_ = state = unpack(r[r.bucket < 0].reply.iloc[0], "<i8")
+        first, sizes = state[1 : n + 1], state[n + 1 :]
+        places, order, starts, ids, rank, _ = ranked(batch, first, sizes)
+        low = np.minimum.reduceat(ids, starts) if len(starts) else ids
+        n = np.diff(np.r_[starts, len(order)])
+        gone = places[order[(ids > np.repeat(low, n)) | np.repeat(bits(r, layout, rank), n)]]
         edge = np.zeros(batch.n + SPAN + 1, np.int32)
         edge[gone] += 1  # places are distinct
         edge[gone + SPAN] -= 1

@@ -130,6 +130,75 @@ def test_jaccard_random(spark):
     assert got == want and 6 < len(set(want.values())) < 240
 
 
+def test_jaccard_frequent_shingles_that_do_not_link(spark):
+    """Texts that share their rarest shingles but little else, in chunks of a few rows, beside a chain and a large group."""
+    rng, rows = np.random.default_rng(19), []
+    shared = [f"s{k}" for k in range(14)]
+    for g in range(150):
+        rows.append((len(rows), " ".join([*shared, *rng.choice([f"c{k}" for k in range(30)], 60)])))
+    base = [f"b{k}" for k in range(100)]
+    for k in range(60):
+        rows.append((len(rows), " ".join([*base[: k % 20], "x" + str(k), *base[k % 20 + 1 :]])))
+    for k in range(40):
+        rows.append((len(rows), " ".join(f"d{j}" for j in range(3 * k, 3 * k + 100))))
+    docs, old = spark.createDataFrame(rows, "doc_id long, text string"), (jaccard.CHUNK, jaccard.MEETS)
+    want = brute_components(rows)
+    try:
+        for jaccard.CHUNK, jaccard.MEETS in ((8, 1), (16, 10**9), (256, 16)):
+            assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == want
+    finally:
+        jaccard.CHUNK, jaccard.MEETS = old
+    assert len(set(want.values())) < 160
+
+
+def plain_removal(rows: list[tuple]) -> dict:
+    """doc_id -> n_bytes, n_removed, n_spans, digest of what is left, from rows in order of doc_id."""
+    seen, out = set(), {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        own = [raw[k : k + 50] for k in range(len(raw) - 49)]
+        gone = np.zeros(len(raw) + 1, bool)
+        for k, s in enumerate(own):
+            if s in seen:
+                gone[k : k + 50] = True
+        seen.update(own)
+        kept = bytes(c for k, c in enumerate(raw) if not gone[k])
+        out[i] = (len(raw), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_query_equals_brute_force(spark, sf):
+    docs = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"]).sort_values("doc_id")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op2_suffix_dedup"](spark, sf).collect()}
+    assert got == plain_removal(list(docs.itertuples(index=False)))
+
+
+def test_jaccard_query_equals_brute_force(spark, sf):
+    rows = list(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"]).itertuples(index=False))
+    want = brute_components(rows)
+    got = QUERIES["op5_ngram_jaccard"](spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(shingle_set(t)), want[i]) for i, t in rows}
+
+
+def test_null_and_repeated_ids_spread_over_batches(spark):
+    from temporis.llm.census import Layout
+
+    rows = spark.createDataFrame([(None, f"text {k}") for k in range(200)] + [(5, f"other {k}") for k in range(200)], "doc_id long, text string")
+    layout = Layout(rows, 0.2)
+    layout.batches = 20
+    sizes = [r["count"] for r in layout.batched(rows).groupBy("batch", F.col("doc_id").isNull()).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 40
+
+
+def test_census_tells_equal_keys_with_other_bits_apart():
+    from temporis.llm.census import distinct
+
+    keys, extra = np.array([7, 3, 7, 7, 3], np.uint64), np.array([2, 1, 1, 2, 1], np.uint32)
+    order, starts = distinct(keys, extra)
+    assert [(int(keys[k]), int(extra[k])) for k in order[starts]] == [(3, 1), (7, 1), (7, 2)]
+    assert len(distinct(keys)[1]) == 2 and len(distinct(keys[:0], extra[:0])[1]) == 0
+
+
 def test_word_numbers_follow_the_words():
     same = lambda a, b: (jaccard.word_numbers(a.encode()) == jaccard.word_numbers(b.encode())).all()
     assert same("One two\tTHREE", "one  two three") and not same("one two", "two one")
