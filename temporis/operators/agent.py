@@ -15,6 +15,7 @@ MAX_ROUNDS = 20
 INVALID = "Invalid output format! Please use the provided XML format for tools or provide final answer in <answer></answer>."
 FORCE = "Maximum rounds reached! Please provide your final answer in <answer></answer> format!"
 NO_ANSWER = "No final answer provided within maximum rounds"
+ROUNDS_LEFT = ("\nYou have ", " rounds remaining. Please make the most of each opportunity!")
 TOOL_TAGS = ("<video_reader_question>", "<video_browser_question>", "<video_segment_retriever_textual_query>", "<video_segment_retriever_image_query>", "<subtitle_retriever>", "<subtitle_extractor>")
 
 
@@ -41,13 +42,13 @@ def rounds_left(round_no: Column, most: int = MAX_ROUNDS) -> Column:
 def reply(text: Column, tool_result: Column, round_no: Column, most: int = MAX_ROUNDS, compat: str = "fixed") -> Column:
     """The host's message after a turn without an accepted answer. The call for a final answer comes in time for the model to
     see it (fixed), or in the last round, when it is never sent (literal)."""
-    told = F.concat(tool_result, F.lit("\nYou have "), rounds_left(round_no, most).cast("string"), F.lit(" rounds remaining. Please make the most of each opportunity!"))
+    told = F.concat(tool_result, F.lit(ROUNDS_LEFT[0]), rounds_left(round_no, most).cast("string"), F.lit(ROUNDS_LEFT[1]))
     force_at = most - 1 if compat == "literal" else most - 2
     return F.when(F.coalesce(tool_result, F.lit("")) != "", told).when(round_no >= force_at, F.lit(FORCE)).otherwise(F.lit(INVALID))
 
 
 def replay(turns: DataFrame, evaluation: bool = False, most: int = MAX_ROUNDS) -> DataFrame:
-    """conv_id, rounds, answer, n_messages, tools_used of recorded transcripts (conv_id, turn, role, text).
+    """conv_id, rounds, answer, n_messages, tool_turns of recorded transcripts (conv_id, turn, role, text).
 
     The first accepted assistant turn ends a conversation; later turns don't count.
     """
@@ -105,7 +106,7 @@ def run_rounds(
 
     A round is one step over all live conversations: ask the model, run the tools (a function of conv_id, turn, text that returns
     conv_id, tool_result), answer. save(df, name) writes a table and reads it back, so plans stay short and rounds survive
-    lost executors. The driver only asks whether any conversation is live.
+    lost executors; each round adds its own two tables to the log, and none is written again. The driver only asks whether any conversation is live.
     """
     columns = ["conv_id", "turn", "role", "text", "status"]
     log = save(start.select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text", F.lit("ok").alias("status")), "rounds-log")
@@ -123,7 +124,7 @@ def run_rounds(
             "conv_id", F.lit(2 * round_no + 2).cast("long").alias("turn"), F.lit("user").alias("role"), reply(F.col("text"), F.col("tool_result"), F.lit(round_no), most).alias("text"), F.lit("ok").alias("status")
         )
         host = save(host, f"rounds-host-{round_no}")
-        log = save(log.select(*columns).unionByName(spoken.select(*columns)).unionByName(host.select(*columns)), f"rounds-log-{round_no}")
+        log = log.select(*columns).unionByName(spoken.select(*columns)).unionByName(host.select(*columns))
         live = host.select("conv_id")
         if live.isEmpty():
             break

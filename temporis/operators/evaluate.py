@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shard(items: DataFrame, order: list[str], n: int) -> DataFrame:
+def shard(items: DataFrame, order: list[str], n: int, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """items with shard, in contiguous parts of len div n + 1 rows of a stated order.
 
-    The literal slices of the reference; on a cluster repartition() deals work more evenly.
+    Rows are dealt to partitions by ranges of the order and numbered in each; the partitions' counts, a row each, tell where
+    a partition begins. save(df, name) writes the numbered rows, so that both steps see the same ranges. The literal
+    slices of the reference; on a cluster repartition() deals work more evenly.
     """
-    size = items.count() // n + 1
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("shard", F.floor(place / size).cast("int"))
+    part = F.spark_partition_id()
+    dealt = items.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", part)
+    inner = Window.partitionBy("_part").orderBy(*order)
+    numbered = save(dealt.withColumn("_at", F.row_number().over(inner).cast("long")), "shard-rows")
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    starts = counts.select("_part", before.alias("_before"))
+    total = numbered.count()
+    place = F.col("_before") + F.col("_at") - 1
+    return numbered.join(F.broadcast(starts), "_part").withColumn("shard", F.floor(place / (total // n + 1)).cast("int")).drop("_part", "_at", "_before")
 
 
 def score(answer: Column, gold: Column) -> Column:

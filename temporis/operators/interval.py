@@ -49,22 +49,34 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> D
     return l.join(r, cond).where(overlaps(F.col("l.start_s"), F.col("l.end_s"), F.col("r.start_s"), F.col("r.end_s")) & (F.col("l_cell") == home)).select("l", "r")
 
 
-def nearest_join(points: DataFrame, items: DataFrame, key: str, point: str = "t", item: str = "t_s") -> DataFrame:
-    """points with struct `nearest` (the item of the same key nearest in time, of equal ones the earlier; NULL without any).
+def nearest_join(points: DataFrame, items: DataFrame, key: str, point: str = "t", item: str = "t_s", width: float = 60.0) -> DataFrame:
+    """points with struct `nearest`: the item of the same key nearest in time. Of two equally near the earlier; of items
+    of one time the smallest. NULL without any item, and for a null point; items without a time take no part.
 
-    One sort of both sides together: each point takes the last item up to it and the first after it, and keeps the closer.
+    Both sides go to cells of `width` seconds. A cell's first and last item are carried to the cells where the next points and items
+    lie, past empty cells, so each cell is sorted by itself: a long or hot key spreads over as many tasks as it has cells, and
+    only one row a cell meets the others of its key.
     """
     fields = [c for c in items.columns if c != key]
-    kind = dict(items.dtypes)
-    none = F.lit(None).cast("struct<" + ",".join(f"{c}:{kind[c]}" for c in fields) + ">")
-    p = points.select(F.col(key), F.col(point).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_p"), none.alias("_i"))
-    empty = F.lit(None).cast(p.schema["_p"].dataType)
-    i = items.select(F.col(key), F.col(item).alias("_t"), F.lit(0).alias("_side"), empty.alias("_p"), F.struct(*fields).alias("_i"))
-    both = p.unionByName(i)
-    order = Window.partitionBy(key).orderBy("_t", "_side", F.col("_i"))
-    before = F.last("_i", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_i", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = both.select("*", before.alias("_b"), after.alias("_a")).where("_side = 1")
-    # equal times before: the first of them in item order is wanted, as for ties after
+    cell = lambda t: F.floor(t / width)
+    i = items.where(F.col(item).isNotNull()).select(F.col(key).alias("_k"), F.col(item).alias("_t"), F.struct(*fields).alias("_i"))
+    i = i.groupBy("_k", "_t").agg(F.min("_i").alias("_i")).withColumn("_c", cell(F.col("_t")))
+    p = points.select(F.col(key).alias("_k"), F.col(point).alias("_t"), F.struct(*points.columns).alias("_p")).withColumn("_c", cell(F.col("_t")))
+    asked = p.where("_c is not null").select("_k", "_c").distinct()
+    ends = i.groupBy("_k", "_c").agg(F.min(F.struct("_t", "_i")).alias("first"), F.max(F.struct("_t", "_i")).alias("last"))
+    cells = ends.join(asked, ["_k", "_c"], "full")
+    order = Window.partitionBy("_k").orderBy("_c")
+    before = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    beside = cells.select("_k", "_c", before.alias("before"), after.alias("after")).join(asked, ["_k", "_c"], "left_semi")
+    carried = beside.select("_k", "_c", F.explode(F.array("before", "after")).alias("x")).where("x is not null").select("_k", "x._t", "x._i", "_c")
+    here = i.join(asked, ["_k", "_c"], "left_semi").unionByName(carried)
+    none, empty = F.lit(None).cast(i.schema["_i"].dataType), F.lit(None).cast(p.schema["_p"].dataType)
+    both = p.select("_k", "_c", "_t", F.lit(1).alias("_side"), "_p", none.alias("_i")).unionByName(here.select("_k", "_c", "_t", F.lit(0).alias("_side"), empty.alias("_p"), "_i"))
+    inner = Window.partitionBy("_k", "_c").orderBy("_t", "_side")
+    earlier = F.last("_i", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.first("_i", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    out = both.select("*", earlier.alias("_b"), later.alias("_a")).where("_side = 1")
     closer = (F.col("_t") - F.col(f"_b.{item}")) <= (F.col(f"_a.{item}") - F.col("_t"))
-    return out.select("_p.*", F.when(F.col("_a").isNull() | closer, F.col("_b")).otherwise(F.col("_a")).alias("nearest"))
+    nearest = F.when(F.col("_t").isNotNull(), F.when(F.col("_a").isNull() | closer, F.col("_b")).otherwise(F.col("_a")))
+    return out.select("_p.*", nearest.alias("nearest"))

@@ -26,30 +26,11 @@ def modes(top_k: int | None = None, threshold: float | None = None, top_k_simila
     return k, threshold
 
 
-def rank(scored: DataFrame, query: list[str], item: str, k: int, threshold: float | None = None) -> DataFrame:
-    """rank: by falling score, ties to the smaller item, at most k a query; then scores above the threshold only."""
-    order = Window.partitionBy(*query).orderBy(F.desc("score"), item)
-    out = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out if threshold is None else out.where(F.col("score") > threshold)
-
-
-def score(queries: DataFrame, items: DataFrame, on: list[str] | None = None, normalised: bool = True) -> DataFrame:
-    """Every query with every item (of the same `on` values): cosine, or the raw inner product.
-
-    The item side stays where it is read; queries are the small, stated side. For many queries use search_blocks.
-    """
-    q, i = queries, items
-    if normalised:
-        q, i = q.withColumn("query", vector.normalise(F.col("query"))), i.withColumn("embedding", vector.normalise(F.col("embedding")))
-    q, i = q.where(F.col("query").isNotNull()), i.where(F.col("embedding").isNotNull())
-    pairs = i.join(q, on) if on else i.join(q)
-    return pairs.withColumn("score", vector.dot(F.col("embedding"), F.col("query"))).drop("embedding", "query")
-
-
 def search(queries: DataFrame, items: DataFrame, query: str = "query_id", item: str = "clip_no", on: list[str] | None = None, normalised: bool = True, **mode) -> DataFrame:
-    """queries (query_id, query) x items (clip_no, embedding) -> query_id, clip_no, score, rank."""
+    """queries (query_id, query) x items (clip_no, embedding), of the same `on` values -> query_id, clip_no, score, rank."""
     k, threshold = modes(**mode)
-    return rank(score(queries, items, on, normalised), [query], item, k, threshold)
+    hits = search_blocks(queries, items, k, query=query, item=item, on=on, normalised=normalised)
+    return hits if threshold is None else hits.where(F.col("score") > threshold)
 
 
 def fused(queries: DataFrame) -> DataFrame:
@@ -57,11 +38,13 @@ def fused(queries: DataFrame) -> DataFrame:
     return queries.withColumn("query", vector.add(vector.normalise(F.col("video_query")), vector.normalise(F.col("text_query")))).drop("video_query", "text_query")
 
 
-def search_fused(queries: DataFrame, items: DataFrame, query: str = "query_id", item: str = "clip_no", **mode) -> DataFrame:
-    """As search for fused queries; scores lie in [-2, 2]."""
+def search_fused(queries: DataFrame, items: DataFrame, query: str = "query_id", item: str = "clip_no", on: list[str] | None = None, **mode) -> DataFrame:
+    """As search for fused queries; scores lie in [-2, 2]. Scores equal to nine digits are ties: a query's own two rows, where
+    they are items, each score one and their cosine."""
     k, threshold = modes(**mode)
     unit = items.withColumn("embedding", vector.normalise(F.col("embedding")))
-    return rank(score(fused(queries), unit, normalised=False), [query], item, k, threshold)
+    hits = search_blocks(fused(queries), unit, k, query=query, item=item, on=on, normalised=False, digits=9)
+    return hits if threshold is None else hits.where(F.col("score") > threshold)
 
 
 def excluding_own(hits: DataFrame, t: Column, seconds: float = 10) -> DataFrame:
@@ -70,10 +53,17 @@ def excluding_own(hits: DataFrame, t: Column, seconds: float = 10) -> DataFrame:
     return hits.where(~((own["start_s"] <= t) & (t <= own["end_s"])))
 
 
-def image_search(queries: DataFrame, items: DataFrame, k: Column | int | None = None, seconds: float = 10) -> DataFrame:
-    """Queries with their time t: one hit more than asked for (or 10), then without the query's own clip."""
-    top = 10 if k is None else int(k) + 1
-    return excluding_own(search(queries, items, top_k=top), F.col("t"), seconds)
+def image_search(queries: DataFrame, items: DataFrame, k: int | None = None, seconds: float = 10, on: list[str] | None = None, query: str = "query_id") -> DataFrame:
+    """Queries with their time t: one hit more than asked for, then without the query's own clip.
+
+    What is asked for is k, or each query's own topk where queries have that column; where it is null, nine. Columns of queries but the vector stay.
+    """
+    asked = F.col("topk").cast("int") if k is None and "topk" in queries.columns else F.lit(k).cast("int")
+    wanted = queries.withColumn("_most", F.greatest(F.lit(0), F.coalesce(asked + 1, F.lit(10))))
+    most = wanted.agg(F.max("_most")).first()[0] or 1
+    named = wanted.drop("query") if not on else wanted.drop("query", *on)
+    hits = search_blocks(queries, items, max(1, most), query=query, on=on).join(named, query).where("rank <= _most").drop("_most")
+    return excluding_own(hits, F.col("t"), seconds)
 
 
 def merge_sub_queries(hits: DataFrame, call: list[str], start: str = "start_s") -> DataFrame:
@@ -82,73 +72,106 @@ def merge_sub_queries(hits: DataFrame, call: list[str], start: str = "start_s")
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def logits(texts: DataFrame, images: DataFrame, logit_scale: float) -> DataFrame:
-    """text_id, image_id, logit: inner products of unit vectors times exp(logit_scale)."""
-    pairs = texts.withColumn("t", vector.normalise(F.col("text_embedding"))).join(images.withColumn("i", vector.normalise(F.col("image_embedding"))))
-    return pairs.select("text_id", "image_id", (vector.dot(F.col("t"), F.col("i")) * F.exp(F.lit(logit_scale))).alias("logit"))
+def _dealt(rows: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+    """rows with their block, and once for each block of the other side."""
+    block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0])
+    return rows.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+
 
+def _matrix(vectors: pd.Series, dim: int, unit: bool) -> np.ndarray:
+    """A row for each vector, of unit length if asked for; NaN where it is null, of another length, or has no direction."""
+    out = np.full((len(vectors), dim), np.nan)
+    for k, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[k] = v
+    if unit:
+        n = np.sqrt((out * out).sum(1, keepdims=True))
+        out = np.divide(out, n, out=np.full_like(out, np.nan), where=n > 0)
+    return out
 
-def logits_blocks(texts: DataFrame, images: DataFrame, logit_scale: float, block: int = 2048) -> DataFrame:
-    """As logits, for many texts: matrix products over blocks of texts and of images. Pairs with a zero or null vector have a null logit."""
+
+def _dim(*sides: pd.Series) -> int:
+    return next((len(v) for side in sides for v in side if v is not None), 1)
+
+
+def logits(texts: DataFrame, images: DataFrame, logit_scale: float, block: int = 2048) -> DataFrame:
+    """text_id, image_ids, logits: for each text and block of images the inner products of unit vectors times exp(logit_scale), by
+    matrix products over blocks of texts and of images. Pairs with a zero or null vector have a null logit."""
     n_i, n_t = max(1, -(-images.count() // block)), max(1, -(-texts.count() // block))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = images.select("image_id", vector.normalise(F.col("image_embedding")).alias("e"), deal("image_id", n_i).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("b"))
-    right = texts.select("text_id", vector.normalise(F.col("text_embedding")).alias("e"), deal("text_id", n_t).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("a"))
+    left = _dealt(images.select("image_id", F.col("image_embedding").alias("e")), "image_id", n_i, n_t, ("a", "b"))
+    right = _dealt(texts.select("text_id", F.col("text_embedding").alias("e")), "text_id", n_t, n_i, ("b", "a"))
 
     def cell(i: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(t):
             return pd.DataFrame([], columns=["text_id", "image_ids", "logits"])
-        dim = next((len(v) for v in [*i.e, *t.e] if v is not None), 1)
-        e, ts = (np.stack([np.full(dim, np.nan) if v is None else v for v in x.e]) for x in (i, t))
-        ids = i.image_id.to_numpy()
-        return pd.DataFrame({"text_id": t.text_id, "image_ids": [ids] * len(t), "logits": list(ts @ e.T * np.exp(logit_scale))})
+        i = i.sort_values("image_id")
+        dim = _dim(i.e, t.e)
+        found = _matrix(t.e, dim, True) @ _matrix(i.e, dim, True).T * np.exp(logit_scale)
+        return pd.DataFrame({"text_id": t.text_id, "image_ids": [i.image_id.to_numpy()] * len(t), "logits": list(found)})
 
     got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, "text_id long, image_ids array<long>, logits array<double>")
-    pairs = got.select("text_id", F.explode(F.arrays_zip("image_ids", "logits")).alias("x"))
-    return pairs.select("text_id", F.col("x.image_ids").alias("image_id"), F.when(~F.isnan("x.logits"), F.col("x.logits")).alias("logit"))
+    return got.withColumn("logits", F.transform("logits", lambda x: F.when(~F.isnan(x), x)))
+
 
+def logit_pairs(blocks: DataFrame) -> DataFrame:
+    """text_id, image_id, logit of every pair."""
+    pairs = blocks.select("text_id", F.explode(F.arrays_zip("image_ids", "logits")).alias("x"))
+    return pairs.select("text_id", F.col("x.image_ids").alias("image_id"), F.col("x.logits").alias("logit"))
 
-def search_blocks(queries: DataFrame, items: DataFrame, k: int, dim: int, block: int = 8192, on: list[str] | None = None, normalised: bool = True, digits: int | None = None) -> DataFrame:
-    """query_id, clip_no, score, rank for many queries: cosine (or the raw inner product) by matrix products over blocks of items
-    and of queries, of the same `on` values. Scores that are equal when rounded to `digits`, where given, are ties.
+
+def logit_rows(blocks: DataFrame) -> DataFrame:
+    """text_id, n_images, best_image, best_logit, log_sum_exp: what softmax over all images needs of a text's row, summed up
+    block by block, so that the square of texts and images never leaves its cells."""
+    pairs = F.filter(F.arrays_zip("image_ids", "logits"), lambda x: x["logits"].isNotNull())
+    each = blocks.select("text_id", pairs.alias("p")).where(F.size("p") > 0)
+    first = F.array_min(F.transform("p", lambda x: F.struct((0.0 - x["logits"]).alias("below"), x["image_ids"].alias("image_id"))))
+    each = each.select("text_id", F.size("p").cast("long").alias("n"), first.alias("first"), F.aggregate("p", F.lit(0.0), lambda s, x: s + F.exp(x["logits"])).alias("e"))
+    out = each.groupBy("text_id").agg(F.sum("n").alias("n_images"), F.min("first").alias("first"), F.sum("e").alias("e"))
+    return out.select("text_id", "n_images", F.col("first.image_id").alias("best_image"), (0.0 - F.col("first.below")).alias("best_logit"), F.log("e").alias("log_sum_exp"))
+
+
+def search_blocks(
+    queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "clip_no", on: list[str] | None = None, normalised: bool = True, digits: int | None = None, block: int = 8192
+) -> DataFrame:
+    """query_id, clip_no, score, rank, and the `on` columns: the k best items of each query, of the same `on` values, by cosine (or the raw inner
+    product). Scores that are equal when rounded to `digits`, where given, are ties; ties go to the smaller item.
 
     Both sides are dealt to blocks of about `block` rows; a cell of two blocks yields the k best of each query, one packed row
-    a query, so the shuffle carries blocks and short lists, never a score matrix.
+    a query, so the shuffle carries blocks and short lists, never a score matrix. One matrix product a tile of queries finds the
+    candidates, whose scores are then summed in order of components. Null, zero (for cosines) and other-length vectors take no part.
     """
     n_i, n_q = max(1, -(-items.count() // block)), max(1, -(-queries.count() // block))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     on = on or []
-    left = items.select(*on, "clip_no", F.col("embedding").cast("array<double>").alias("e"), deal("clip_no", n_i).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("b"))
-    right = queries.select(*on, "query_id", F.col("query").cast("array<double>").alias("q"), deal("query_id", n_q).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("a"))
-
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack(x.to_list()) if len(x) else np.zeros((0, dim))
-        if not normalised:
-            return m
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+    left = _dealt(items.select(*on, item, F.col("embedding").cast("array<double>").alias("e")), item, n_i, n_q, ("_a", "_b"))
+    right = _dealt(queries.select(*on, query, F.col("query").cast("array<double>").alias("q")), query, n_q, n_i, ("_b", "_a"))
+    kinds = dict(items.dtypes) | dict(queries.dtypes)
+    names = [*on, query, "items", "scores"]
 
     def cell(i: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(q):
-            return pd.DataFrame([], columns=["query_id", "clips", "scores"])
-        i = i.sort_values("clip_no")
-        ids, out = i.clip_no.to_numpy(), []
-        e, qs = unit(i.e), unit(q.q)
-        ids, e = ids[~np.isnan(e[:, 0])], e[~np.isnan(e[:, 0])]
-        for name, v in zip(q.query_id.to_numpy(), qs, strict=True):
-            if np.isnan(v[0]) or not len(ids):
-                continue
-            s = (e * v).sum(1) if digits is None else (e * v).sum(1).round(digits)
-            best = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
-            best = np.flatnonzero(s >= s[best].min())
-            best = best[np.lexsort((ids[best], -s[best]))][:k]
-            out.append((name, ids[best], s[best]))
-        return pd.DataFrame(out, columns=["query_id", "clips", "scores"])
-
-    got = left.groupBy("a", "b", *on).cogroup(right.groupBy("a", "b", *on)).applyInPandas(cell, "query_id long, clips array<long>, scores array<double>")
-    pairs = F.transform(F.arrays_zip("scores", "clips"), lambda x: F.struct((0.0 - x["scores"]).alias("below"), x["clips"].alias("clip_no")))
-    first = got.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("x"))
-    return first.select("query_id", F.posexplode("x").alias("at", "x")).select("query_id", "x.clip_no", (0.0 - F.col("x.below")).alias("score"), (F.col("at") + 1).alias("rank"))
+            return pd.DataFrame([], columns=names)
+        i = i.sort_values(item)
+        dim = _dim(i.e, q.q)
+        e, qs = _matrix(i.e, dim, normalised), _matrix(q.q, dim, normalised)
+        whole, asks = ~np.isnan(e).any(1), ~np.isnan(qs).any(1)
+        ids, e, q, qs = i[item].to_numpy()[whole], e[whole], q[asks], qs[asks]
+        out, slack = [], 10.0**-digits if digits is not None else 1e-9
+        for a in range(0, len(qs) if len(ids) else 0, 256):
+            near = qs[a : a + 256] @ e.T
+            bars = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(near), -np.inf)
+            for row, v, n, bar in zip(q[[*on, query]].iloc[a : a + 256].itertuples(index=False), qs[a : a + 256], near, bars, strict=True):
+                at = np.flatnonzero(n >= bar - slack * max(1.0, abs(bar)))
+                s = (e[at] * v).sum(1)
+                s = s if digits is None else s.round(digits)
+                first = np.lexsort((ids[at], -s))[:k]
+                out.append((*row, ids[at[first]], s[first]))
+        return pd.DataFrame(out, columns=names)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*on, query)), f"items array<{kinds[item]}>", "scores array<double>"])
+    got = left.groupBy("_a", "_b", *on).cogroup(right.groupBy("_a", "_b", *on)).applyInPandas(cell, schema)
+    pairs = F.transform(F.arrays_zip("scores", "items"), lambda x: F.struct((0.0 - x["scores"]).alias("below"), x["items"].alias("item")))
+    first = got.groupBy(*on, query).agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("x"))
+    return first.select(*on, query, F.posexplode("x").alias("at", "x")).select(*on, query, F.col("x.item").alias(item), (0.0 - F.col("x.below")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def pool_mean(vectors: DataFrame, key: str) -> DataFrame:

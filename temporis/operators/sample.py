@@ -28,10 +28,31 @@ def clip_points(clip_no: Column, seconds: float = 10, fps: float = 2) -> Column:
 
 
 def nearest_frames(points: DataFrame, frames: DataFrame, key: str = "video_id") -> DataFrame:
-    """points (key, t) with the nearest frame, then only readable ones."""
+    """points (key, t) with the nearest frame (t_s, and what else frames have), readable or not."""
     return interval.nearest_join(points, frames, key)
 
 
+def readable_frames(points: DataFrame, frames: DataFrame, key: str = "video_id") -> DataFrame:
+    """As nearest_frames, without the points whose nearest frame is missing or unreadable: no other frame takes its place."""
+    return nearest_frames(points, frames, key).where("nearest.is_valid")
+
+
+def thinned(frames: DataFrame, keys: list[str], order: list[str], how: str = "uniform", most: int = MAX_FRAMES, least: int = 0) -> DataFrame:
+    """keys, n (of all frames) and frames: array of structs of `order`, by it, at most `most` of a key's, evenly (uniform) or every (n div most)-th
+    (stride), and repeated up to `least`. Places to keep follow from the count, so no more than `most` frames of a key are gathered."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    counts = frames.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    numbered = frames.select(*keys, *order, place.alias("_at")).join(counts, keys)
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most).cast("int"))
+    if how == "stride":
+        kept = (F.col("_at") % step == 0) & (F.col("_at") / step < most)
+    else:
+        kept = (F.col("n") <= most) | F.array_contains(indices(F.col("n"), most), F.col("_at"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", F.struct(*order).alias("f"))))
+    out = numbered.where(kept).groupBy(*keys, "n").agg(F.transform(ordered, lambda x: x["f"]).alias("frames"))
+    return out.withColumn("frames", repeated(F.col("frames"), least)) if least else out
+
+
 def stride(frames: Column, most: int = MAX_FRAMES) -> Column:
     """Every (n div most)-th frame, at most `most` of them: the literal thinning, which keeps the head of 33 to 63 frames."""
     step = F.greatest(F.lit(1), F.floor(F.size(frames) / most).cast("int"))

@@ -88,9 +88,17 @@ def results(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "turn").agg(F.array_join(F.transform(ordered, lambda x: x["result"]), "").alias("tool_result"), F.array_sort(F.collect_set("tool")).alias("tools"))
 
 
+#: How a call's result is told to the model, of the tools that ask a vision model and of those that search.
+TOLD = {"video_reader": ("The tool result of <video_reader>", "</video_reader> is:\n "), "video_browser": ("The tool result of <video_browser_question>", "</video_browser_question> is:\n ")}
+TOLD_SEARCH = ("The tool results for <", "> are:\n")
+
+
 def result_text(tool: Column, body: Column, found: Column) -> Column:
-    """How a call's result is told to the model."""
-    return F.concat(F.lit("The tool results for <"), tool, F.lit(">"), body, F.lit("</"), tool, F.lit("> are:\n"), found, F.lit("\n"))
+    """How a call's result is told to the model. body is the question for the browser."""
+    out = F.concat(F.lit(TOLD_SEARCH[0]), tool, F.lit(">"), body, F.lit("</"), tool, F.lit(TOLD_SEARCH[1]), found, F.lit("\n"))
+    for name, (before, after) in TOLD.items():
+        out = F.when(tool == name, F.concat(F.lit(before), body, F.lit(after), found, F.lit("\n"))).otherwise(out)
+    return out
 
 
 def answers_by_call(queries: DataFrame, answers: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ class Engine:
         return retrieval.search(queries, vectors, "query_id", "clip_no", ["video_id"], True, **mode)
 
     def informative_clips_with_video(self, queries: DataFrame, vectors: DataFrame, **mode) -> DataFrame:
-        return retrieval.search_fused(queries, vectors, "query_id", "clip_no", **mode)
+        """As informative_clips, by the sum of a video's and a text's unit vectors (video_query, text_query)."""
+        return retrieval.search_fused(queries, vectors, "query_id", "clip_no", ["video_id"], **mode)
 
     def informative_subtitles(self, queries: DataFrame, vectors: DataFrame, top_k: int = 1) -> DataFrame:
         """Raw inner products: subtitle vectors come normalised from their encoder."""
@@ -42,6 +43,40 @@ class Engine:
         listed = listed.withColumn("points", sample.clip_points(F.col("n"), self.settings.clip_duration, self.settings.clip_fps))
         keys = ["conv_id", "turn", "call_no", "video_id", "question"]
         points = spans.select(*keys, F.explode("points").alias("t")).unionByName(listed.select(*keys, F.explode("points").alias("t")))
-        near = sample.nearest_frames(points, frames).where("nearest.is_valid")
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", F.col("nearest.t_s").alias("t_s")))), lambda x: x["t_s"])
-        return near.groupBy(*keys).agg(sample.reader_frames(ordered, compat).alias("frames"))
+        return self._frames_at(points, frames, keys, compat)
+
+    def browser_plan(self, calls: DataFrame, videos: DataFrame, frames: DataFrame, compat: str = "fixed") -> DataFrame:
+        """conv_id, turn, video_id, question, frames: the times of the frames of the whole video that each video_browser call gets.
+
+        The frames are those of [0, duration], found once for each video that is asked about.
+        """
+        asked = calls.where("tool = 'video_browser'")
+        whole = videos.join(asked.select("video_id").distinct(), "video_id", "left_semi")
+        points = whole.select("video_id", F.explode(sample.interval_points(F.lit(0.0), F.col("duration"), self.settings.clip_fps)).alias("t"))
+        return asked.select("conv_id", "turn", "video_id", "question").join(self._frames_at(points, frames, ["video_id"], compat), "video_id")
+
+    def _frames_at(self, points: DataFrame, frames: DataFrame, keys: list[str], compat: str) -> DataFrame:
+        """keys, frames: the times of the readable frames nearest to the points (t), thinned and filled up."""
+        near = sample.readable_frames(points, frames).select(*keys, "t", F.col("nearest.t_s").alias("t_s"))
+        kept = sample.thinned(near, keys, ["t", "t_s"], "stride" if compat == "literal" else "uniform", self.settings.max_frames, self.settings.min_frames)
+        return kept.select(*keys, F.transform("frames", lambda x: x["t_s"]).alias("frames"))
+
+    def segment_hits(self, calls: DataFrame, vectors: DataFrame, encoded: DataFrame) -> DataFrame:
+        """conv_id, turn, call_no, sub_no, sub_query, clip_no, score, rank of each textual retriever call's sub-queries: the topk clips of the call's
+        video each. encoded: sub_query -> query, the vectors that an encoder gives for them."""
+        return self._sub_hits(calls, "video_segment_retriever_textual_query", vectors, encoded, "clip_no", True)
+
+    def subtitle_hits(self, calls: DataFrame, subtitles: DataFrame, vectors: DataFrame, encoded: DataFrame) -> DataFrame:
+        """conv_id, turn, call_no, body, seq, start_s, end_s, text of each subtitle_retriever call: the topk subtitles of each sub-query, of those that
+        start at the same time the first."""
+        hits = self._sub_hits(calls, "subtitle_retriever", vectors, encoded, "seq", False)
+        timed = hits.join(subtitles, ["video_id", "seq"])
+        return retrieval.merge_sub_queries(timed, ["conv_id", "turn", "call_no"])
+
+    def _sub_hits(self, calls: DataFrame, tool: str, vectors: DataFrame, encoded: DataFrame, item: str, normalised: bool) -> DataFrame:
+        keys = ["conv_id", "turn", "call_no", "sub_no"]
+        subs = toolcall.sub_calls(calls.where(F.col("tool") == tool)).where("topk > 0").join(encoded, "sub_query")
+        queries = subs.select(F.concat_ws(":", *keys).alias("query_id"), *keys, "body", "sub_query", "topk", "video_id", "query")
+        most = queries.agg(F.max("topk")).first()[0] or 1
+        hits = retrieval.search_blocks(queries, vectors, most, item=item, on=["video_id"], normalised=normalised)
+        return hits.join(queries.drop("query", "video_id"), "query_id").where("rank <= topk").drop("query_id", "topk")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from temporis import schemas
@@ -117,7 +117,7 @@ def smp_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = _ASK + """, j AS (
-  SELECT p.video_id, p.ask, p.i, p.t, f.frame_no, f.is_valid, row_number() OVER (PARTITION BY p.video_id, p.ask, p.i ORDER BY abs(f.t_s - p.t), f.t_s) AS n
+  SELECT p.video_id, p.ask, p.i, p.t, f.frame_no, f.is_valid, row_number() OVER (PARTITION BY p.video_id, p.ask, p.i ORDER BY abs(f.t_s - p.t), f.t_s, f.frame_no) AS n
   FROM pts p JOIN frames f ON p.video_id = f.video_id
 ), near AS (SELECT * FROM j WHERE n = 1)"""
 
@@ -130,41 +130,41 @@ def smp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("smp5_readable_frames", f"WITH {_NEAR} SELECT video_id, ask, count(*) AS n FROM near WHERE is_valid GROUP BY 1, 2")
 def smp_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = sample.nearest_frames(_points(spark, sf_dir), schemas.frames(spark, sf_dir).select("video_id", "t_s", "frame_no", "is_valid"))
-    return near.where("nearest.is_valid").groupBy("video_id", "ask").agg(F.count("*").alias("n"))
+    near = sample.readable_frames(_points(spark, sf_dir), schemas.frames(spark, sf_dir).select("video_id", "t_s", "frame_no", "is_valid"))
+    return near.groupBy("video_id", "ask").agg(F.count("*").alias("n"))
 
 
 _LISTS = FRAMES_SQL + ", lists AS (SELECT video_id, list(frame_no ORDER BY t_s, frame_no) AS f, len(list(frame_no)) AS n FROM frames WHERE is_valid GROUP BY 1)"
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("t_s", "frame_no")))
-    return schemas.frames(spark, sf_dir).where("is_valid").groupBy("video_id").agg(F.transform(ordered, lambda x: x["frame_no"]).alias("f"))
-
-
-def _exploded(rows: DataFrame, frames) -> DataFrame:
-    return rows.select("video_id", F.posexplode(frames).alias("pos", "frame_no"))
+def _thinned(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    kept = sample.thinned(schemas.frames(spark, sf_dir).where("is_valid"), ["video_id"], ["t_s", "frame_no"], how)
+    return kept.select("video_id", F.posexplode("frames").alias("pos", "f")).select("video_id", "pos", "f.frame_no")
 
 
 @query("smp6_stride", f"WITH {_LISTS} SELECT video_id, CAST(p AS INTEGER) AS pos, f[p * greatest(1, n // 32) + 1] AS frame_no FROM lists, range(32) r(p) WHERE p * greatest(1, n // 32) < n")
 def smp_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(_lists(spark, sf_dir), sample.stride(F.col("f")))
+    return _thinned(spark, sf_dir, "stride")
 
 
 @query("smp7_uniform", f"WITH {_LISTS} SELECT video_id, CAST(p AS INTEGER) AS pos, CASE WHEN n > 32 THEN f[CAST(floor(p * (n / 32.0::DOUBLE)) AS BIGINT) + 1] ELSE f[p + 1] END AS frame_no FROM lists, range(32) r(p) WHERE p < n")
 def smp_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(_lists(spark, sf_dir), sample.uniform(F.col("f")))
+    return _thinned(spark, sf_dir, "uniform")
 
 
 @query("smp8_repeat", f"WITH {_LISTS}, few AS (SELECT video_id, f[1:CAST(1 + video_id % 9 AS BIGINT)] AS f FROM lists), m AS (SELECT *, len(f) AS n FROM few) SELECT video_id, CAST(p AS INTEGER) AS pos, f[CAST(floor(p * (n / 10.0::DOUBLE)) AS BIGINT) + 1] AS frame_no FROM m, range(10) r(p)")
 def smp_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _lists(spark, sf_dir).withColumn("f", F.slice("f", F.lit(1), (1 + F.col("video_id") % 9).cast("int")))
-    return _exploded(few, sample.repeated(F.col("f")))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("t_s", "frame_no"))
+    few = schemas.frames(spark, sf_dir).where("is_valid").withColumn("place", place).where(F.col("place") <= 1 + F.col("video_id") % 9)
+    filled = sample.thinned(few, ["video_id"], ["t_s", "frame_no"], least=sample.MIN_FRAMES)
+    return filled.select("video_id", F.posexplode("frames").alias("pos", "f")).select("video_id", "pos", "f.frame_no")
 
 
 @query("smp9_required", f"WITH {_LISTS} SELECT video_id, CAST(n AS INTEGER) AS n FROM lists WHERE n > 0")
 def smp_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir).select("video_id", F.size(sample.required(F.transform("f", lambda x: x.cast("double")))).alias("n"))
+    counts = sample.thinned(schemas.frames(spark, sf_dir).where("is_valid"), ["video_id"], ["t_s", "frame_no"])
+    held = sample.required(F.transform("frames", lambda x: x["t_s"]))
+    return counts.select("video_id", F.when(F.size(held) > 0, F.col("n")).alias("n"))
 
 
 @query("smp10_fixed_rate", f"WITH {FRAMES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_s, frame_no) - 1 AS pos FROM frames) SELECT video_id, frame_no, CAST(pos // 12 AS INTEGER) AS ordinal FROM o WHERE pos % 12 = 0")
@@ -320,14 +320,8 @@ def src_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.without_font(tagged).alias("text"))
 
 
-@query("win5_neighbours", f"WITH {_CLIPS}, l AS (SELECT video_id, max(clip_no) AS last_no FROM expected GROUP BY 1) SELECT DISTINCT c.video_id, CAST(c.clip_no + d AS INTEGER) AS clip_no FROM clips c JOIN l USING (video_id), range(-1, 2) r(d) WHERE c.clip_no % 10 = 0 AND c.clip_no + d BETWEEN 0 AND l.last_no")
+@query("win5_neighbours", f"WITH {_CLIPS}, l AS (SELECT video_id, max(clip_no) AS last_no FROM expected GROUP BY 1) SELECT DISTINCT c.video_id, CAST(c.clip_no + d AS INTEGER) AS clip_no FROM clips c JOIN l USING (video_id), range(-1, 2) r(d) WHERE c.clip_no + d BETWEEN 0 AND l.last_no")
 def win_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = _expected(spark, sf_dir).groupBy("video_id").agg(F.max("clip_no").alias("last_no"))
-    return evaluate.neighbours(_clips(spark, sf_dir).where("clip_no % 10 = 0").join(last, "video_id"))
-
-
-@query("win5_neighbours_whole", f"WITH {_CLIPS}, l AS (SELECT video_id, max(clip_no) AS last_no FROM expected GROUP BY 1) SELECT DISTINCT c.video_id, CAST(c.clip_no + d AS INTEGER) AS clip_no FROM clips c JOIN l USING (video_id), range(-1, 2) r(d) WHERE c.clip_no + d BETWEEN 0 AND l.last_no")
-def win_neighbours_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _expected(spark, sf_dir).groupBy("video_id").agg(F.max("clip_no").alias("last_no"))
     return evaluate.neighbours(_clips(spark, sf_dir).join(last, "video_id"))
 

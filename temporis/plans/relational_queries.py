@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +46,28 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.sum("x").cast("double").alias("revenue"))
 
 
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
 
-    @query(f"rel_join_{_how}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) {_sql} (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON c_custkey = o_custkey")
+    @query(f"rel_join_{_how}", f"SELECT c_custkey, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey")
     def _join(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
-        c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey")
-        return c.join(table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+        c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
 
 
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
+@query("rel_join_cross", "SELECT n_name, r_name, count(*) AS customers FROM nation CROSS JOIN region JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation with every region: two tables of fixed size, of which the smaller is broadcast."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_name")))
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    return n.join(counts, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "customers")
 
-    @query(f"rel_join_{_how}_whole", f"SELECT c_custkey, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey")
-    def _join_whole(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
-        c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+
+@query("rel_join_range", "SELECT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey AND l_quantity BETWEEN p_size - 2 AND p_size + 2")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    near = F.col("l_quantity").between(F.col("p_size") - 2, F.col("p_size") + 2)
+    return p.join(l, (F.col("p_partkey") == F.col("l_partkey")) & near).select("p_partkey", "l_orderkey", "l_linenumber")
 
 
 @query("rel_join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -63,19 +75,13 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("rel_join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+@query("rel_join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("rel_lateral", "SELECT doc_id, i AS word_no, w AS word FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 60), ' ')) AS w, unnest(range(len(string_split(substr(text, 1, 60), ' ')))) AS i FROM documents) WHERE w <> ''")
+@query("rel_lateral", "SELECT doc_id, i AS word_no, w AS word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WHERE w <> ''")
 def lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("word_no", "word"))
-    return words.where("word <> ''").withColumn("word_no", F.col("word_no").cast("long"))
-
-
-@query("rel_lateral_whole", "SELECT doc_id, i AS word_no, w AS word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WHERE w <> ''")
-def lateral_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
     return words.where("word <> ''").withColumn("word_no", F.col("word_no").cast("long"))
 
@@ -107,45 +113,14 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("l_returnflag", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
 
 
-_A, _B = "SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0"
-
-
-def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"))
-    return a, table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-
-
-@query("rel_union_all", f"{_A} UNION ALL {_B}")
-def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _sets(spark, sf_dir)
-    return a.unionByName(b)
-
-
-@query("rel_union", f"{_A} UNION {_B}")
-def union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _sets(spark, sf_dir)
-    return a.unionByName(b).distinct()
-
-
-@query("rel_intersect", f"{_A} INTERSECT {_B}")
-def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _sets(spark, sf_dir)
-    return a.intersect(b)
-
-
-@query("rel_except_all", f"{_A} EXCEPT ALL {_B}")
-def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _sets(spark, sf_dir)
-    return a.exceptAll(b)
-
-
 for _name, _sql, _set in (
     ("union_all", "UNION ALL", lambda a, b: a.unionByName(b)), ("union", "UNION", lambda a, b: a.unionByName(b).distinct()),
-    ("intersect", "INTERSECT", DataFrame.intersect), ("except_all", "EXCEPT ALL", DataFrame.exceptAll),
+    ("intersect", "INTERSECT", DataFrame.intersect), ("intersect_all", "INTERSECT ALL", DataFrame.intersectAll),
+    ("except", "EXCEPT", DataFrame.subtract), ("except_all", "EXCEPT ALL", DataFrame.exceptAll),
 ):
 
-    @query(f"rel_{_name}_whole", f"SELECT o_custkey AS k FROM orders {_sql} SELECT c_custkey AS k FROM customer")
-    def _set_whole(spark: SparkSession, sf_dir: str, of=_set) -> DataFrame:
+    @query(f"rel_{_name}", f"SELECT o_custkey AS k FROM orders {_sql} SELECT c_custkey AS k FROM customer")
+    def _sets(spark: SparkSession, sf_dir: str, of=_set) -> DataFrame:
         return of(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
 
 
@@ -172,10 +147,42 @@ def top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(25)
 
 
-@query("rel_approximate")
+@query("rel_approximate", "SELECT o_orderstatus, true AS customers_near, true AS prices_near FROM orders GROUP BY 1")
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches: an approximate distinct count and percentiles. Their values are Spark's own, so SQL has none to match."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey").alias("customers"), F.percentile_approx("o_totalprice", [0.5, 0.9]).alias("prices"))
+    """Sketches against exact figures: a distinct count within 15 % (its standard error is 5 %), and percentiles whose rank is off by 1 % at most."""
+    rows = table(spark, sf_dir, "orders")
+    exact = rows.groupBy("o_orderstatus").agg(
+        F.count_distinct("o_custkey").alias("n"), F.approx_count_distinct("o_custkey", 0.05).alias("a"), F.percentile_approx("o_totalprice", [0.5, 0.9], 1000).alias("p"),
+        F.percentile("o_totalprice", [0.49, 0.89]).alias("low"), F.percentile("o_totalprice", [0.51, 0.91]).alias("high"),
+    )
+    near = F.forall(F.arrays_zip("p", "low", "high"), lambda x: (x["p"] >= x["low"]) & (x["p"] <= x["high"]))
+    return exact.select("o_orderstatus", (F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n") + 1).alias("customers_near"), near.alias("prices_near"))
+
+
+@query("rel_udaf", "SELECT event_type AS kind, round(exp(avg(ln(1 + abs(value)))), 6) AS mean FROM events GROUP BY 1")
+def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate of one's own, a geometric mean, in two steps: each partition's sums by Arrow batches, then one row a partition and group."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.assign(s=np.log1p(p.value.abs()), n=1).groupby("kind", as_index=False)[["s", "n"]].sum()
+
+    part = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value").mapInPandas(sums, "kind string, s double, n long")
+    return part.groupBy("kind").agg(F.round(F.exp(F.sum("s") / F.sum("n")), 6).alias("mean"))
+
+
+@query("rel_udtf", "SELECT conv_id, turn, i AS place, CAST(ascii(substr(role, CAST(i AS BIGINT) + 1, 1)) AS INTEGER) AS code FROM conversations, range(3) r(i)")
+def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function of one's own, applied to each row."""
+
+    @F.udtf(returnType="place long, code int")
+    class FirstCodes:
+        def eval(self, role: str):
+            for place, c in enumerate(role[:3]):
+                yield place, ord(c)
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return rows.lateralJoin(FirstCodes(F.col("role").outer())).select("conv_id", "turn", "place", "code")
 
 
 @query("stream_tumbling_batch", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -197,6 +204,34 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(
+    "stream_sliding",
+    "SELECT time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events, range(3) r(i) GROUP BY 1, 2",
+)
+def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a quarter of an hour, a new one every five minutes, as a stream."""
+    done = runs.outcome(live.windowed_counts(runs.source(spark, sf_dir, "events"), "15 minutes", "5 minutes"), "sliding")
+    return done.withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_sessions_live",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.outcome(live.sessions(runs.source(spark, sf_dir, "events")), "sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_pairs",
+    "SELECT v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 2 HOUR",
+)
+def pairs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined: views and the clicks of the same user within two hours after them."""
+    events = runs.source(spark, sf_dir, "events")
+    return runs.outcome(live.followed(events.where("event_type = 'view'"), events.where("event_type = 'click'"), "2 hours"), "pairs", "append").drop("batch")
+
+
 @query("stream_conversations", "SELECT conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS rounds, count(*) AS n_messages FROM conversations GROUP BY 1")
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = runs.outcome(live.conversation_state(runs.source(spark, sf_dir, "conversations")), "conversations", "update")

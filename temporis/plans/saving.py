@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one. A temporary folder serves only where the session names none."""
+    """A new folder in the shared one, spark.checkpoint.dir. Where that is unset a local session (tests) takes a temporary folder of
+    the machine; on a cluster it is an error, as executors would not see each other's files."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="temporis-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + _local()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local() -> str:
+    made = tempfile.mkdtemp(prefix="temporis-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     """A function that writes a table and reads it back."""
 

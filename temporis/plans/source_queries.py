@@ -34,7 +34,8 @@ def _shown(rows: DataFrame) -> DataFrame:
 def src_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "questions")
     rows = _questions(spark, sf_dir)
-    whole = rows.groupBy().agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("value"))  # one list is one file, by its format
+    # a fixture: one list is one file, by its format, so its rows meet in one cell
+    whole = rows.groupBy().agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("value"))
     whole.write.text(path)
     return _shown(files.read_questions(spark, path))
 
@@ -63,16 +64,65 @@ def src_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "part=([0-9])", 1).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("src9_media_metadata", "SELECT count(*) AS n, CAST(count(*) * 2.0 AS DOUBLE) AS fps, 'ok' AS status FROM (SELECT DISTINCT item_id % 5 FROM benchmark)")
-def src_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _media(spark: SparkSession, sf_dir: str) -> str:
+    """A stand-in file for each event type, which is the video: a line an event, by which a plug-in tells its frames; that of errors can't be opened."""
     path = folder(spark, "media")
-    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("part"), "text")
-    rows.repartition(1, "part").write.partitionBy("part").text(path)
+    line = F.when(F.col("event_type") != "error", "0123456789").otherwise("x")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("v_"), F.col("event_type")).alias("part"), line.alias("value"))
+    rows.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+def _probe(content: bytes) -> dict | None:
+    """A plug-in's answer for a stand-in: a line a frame, two frames a second."""
+    n = content.count(b"0")
+    return {"duration": n / 2, "fps": 2.0, "width": 4, "height": 3} if n else None
+
+
+@query(
+    "src9_media_metadata",
+    "SELECT 'v_' || event_type AS video, CASE WHEN event_type <> 'error' THEN count(*) / 2.0::DOUBLE END AS duration, CASE WHEN event_type <> 'error' THEN 2.0::DOUBLE END AS fps, CASE WHEN event_type <> 'error' THEN 'ok' ELSE 'failed' END AS status FROM events GROUP BY event_type",
+)
+def src_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata by a probe plug-in, of files that open and of one that doesn't."""
+    from temporis.plans.saving import saver
+
+    found = files.probe_media(spark, _media(spark, sf_dir), _probe, "*.txt")
+    return saver(spark)(found.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("video"), "duration", "fps", "status"), "media-metadata")
+
+
+@query("src11_decoded_frames", "SELECT 'v_' || event_type AS video, count(*) AS n, CAST(sum(48) AS BIGINT) AS total FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def src_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by a decoder plug-in: one for each line of a stand-in, valued by its first byte."""
+    from temporis.plans.saving import saver
+
+    path = _media(spark, sf_dir)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    kept = folder(spark, "media-rows")
-    files.decode_media(raw, lambda p, c: [(p, len(c), 2.0)], "path string, bytes long, fps double").write.parquet(kept)
-    got = spark.read.parquet(kept)
-    return got.agg(F.count("*").alias("n"), F.sum("fps").alias("fps"), F.when(F.min("bytes") > 0, "ok").otherwise("failed").alias("status"))
+    decoded = files.decode_media(raw, lambda p, c: [(p, k, c[0]) for k in range(c.count(b"0"))], "path string, frame_no long, value long")
+    return saver(spark)(decoded.groupBy(F.regexp_extract("path", "part=([^/]+)", 1).alias("video")).agg(F.count("*").alias("n"), F.sum("value").alias("total")), "media-frames")
+
+
+for _format in ("csv", "orc", "json", "parquet"):
+
+    @query(f"src14_{_format}", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+    def _written(spark: SparkSession, sf_dir: str, kind: str = _format) -> DataFrame:
+        """A table written and read in another format."""
+        path = folder(spark, kind)
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+        rows.write.format(kind).save(path)
+        return spark.read.schema(rows.schema).format(kind).load(path)
+
+
+@query("mth4_three_chunks", "SELECT conv_id, count(*) AS n, CAST(count(*) AS BIGINT) * 3 AS samples FROM conversations GROUP BY 1")
+def mth_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audio cut to three chunks of as many samples as there are turns, from a signal six times as long."""
+    from temporis.functions import numeric
+
+    counts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    signal = F.transform(F.sequence(F.lit(0), (6 * F.col("n") - 1).cast("int")), lambda k: k.cast("double"))
+    three = counts.select("conv_id", "n", numeric.three_chunks(signal, 4).alias("c"))
+    fixed = three.select("conv_id", "n", F.aggregate("c", F.lit(0), lambda s, x: s + F.size(x)).alias("held"), F.size("c").alias("chunks"))
+    return fixed.select("conv_id", "n", (F.when((F.col("held") == 12) & (F.col("chunks") == 3), F.col("n") * 3)).alias("samples"))
 
 
 @query("src12_examples", "SELECT * FROM (VALUES ('film', 7200.0::DOUBLE), ('hour', 3300.0), ('short', 360.0)) t(name, duration_s)")
@@ -157,7 +207,6 @@ def loop_vision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vision-model step for all conversations of a round: frames are thinned, then asked about in tasks."""
     from temporis.operators import agent
 
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("t_s", "frame_no"))), lambda x: x["frame_no"])
-    lists = schemas.frames(spark, sf_dir).where("is_valid").groupBy("video_id").agg(ordered.alias("f"))
-    prompts = lists.select(F.col("video_id").alias("conv_id"), F.size(sample.uniform(F.col("f"))).cast("string").alias("prompt"))
+    kept = sample.thinned(schemas.frames(spark, sf_dir).where("is_valid"), ["video_id"], ["t_s", "frame_no"])
+    prompts = kept.select(F.col("video_id").alias("conv_id"), F.size("frames").cast("string").alias("prompt"))
     return agent.ask(prompts, lambda p: f"saw {p}", tries=5).select(F.col("conv_id").alias("video_id"), "text")

@@ -14,6 +14,7 @@ from temporis.functions import text as T
 from temporis.operators import agent, evaluate, toolcall, validity
 from temporis.registry import query
 from temporis.session import table
+from temporis.sources.files import Settings
 
 _RETRIEVE, _SUBS, _IMAGE = "video_segment_retriever_textual_query", "subtitle_retriever", "video_segment_retriever_image_query"
 
@@ -100,51 +101,139 @@ def tool_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("conv_id", "turn", "question", F.array_join(T.clip_numbers(F.col("body")).cast("array<string>"), ",").alias("clips"))
 
 
-@query("tool2_browser", "SELECT conv_id, turn, 'what happens in ' || conv_id || '?' AS question FROM conversations WHERE role = 'user'")
-def tool_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Frames that calls get: of the readable frames nearest to the points, 32 at even distances where there are more, repeated up to 10 where there are fewer.
+_KEPT = "CASE WHEN m > 32 THEN 32 WHEN m < 10 THEN 10 ELSE m END"
+_THIN = f"round(list_sum(list_transform(range(CAST({_KEPT} AS BIGINT)), lambda p: l[CAST(CASE WHEN m > 32 THEN floor(p * (m / 32.0::DOUBLE)) WHEN m < 10 THEN floor(p * (m / 10.0::DOUBLE)) ELSE p END AS BIGINT) + 1])), 4)"
+
+
+@query(
+    "tool1_reader_frames",
+    f"""WITH {schemas.FRAMES_SQL}, {_PARSED},
+  c AS (SELECT conv_id, turn, call_no, question, k, CASE k WHEN 0 THEN turn ELSE 3 END AS clip FROM calls, range(2) r(k) WHERE tool = 'video_reader'),
+  p AS (SELECT *, clip * 10.0::DOUBLE + i * 0.5 AS t FROM c, range(20) r(i)),
+  j AS (SELECT p.*, f.t_s, f.is_valid, row_number() OVER (PARTITION BY p.conv_id, p.turn, p.call_no, p.k, p.i ORDER BY abs(f.t_s - p.t), f.t_s, f.frame_no) AS n FROM p JOIN frames f ON f.video_id = p.conv_id),
+  v AS (SELECT conv_id, turn, question, list(t_s ORDER BY t, t_s) AS l, count(*) AS m FROM j WHERE n = 1 AND is_valid GROUP BY conv_id, turn, call_no, question)
+SELECT conv_id, turn, question, CAST({_KEPT} AS INTEGER) AS n_frames, {_THIN} AS seconds FROM v""",
+)
+def tool_reader_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader's frames: calls to clips, points, nearest readable frames, thinned and filled up. A conversation is about the video of its number."""
+    from temporis.plans.engine import Engine
+
+    calls = toolcall.parse(_spoken(spark, sf_dir)).withColumn("video_id", F.col("conv_id"))
+    plan = Engine(spark, Settings()).reader_plan(calls, schemas.frames(spark, sf_dir).select("video_id", "t_s", "frame_no", "is_valid"))
+    return plan.select("conv_id", "turn", "question", F.size("frames").alias("n_frames"), _total("frames"))
+
+
+def _total(times: str):
+    return F.round(F.aggregate(times, F.lit(0.0), lambda s, t: s + t), 4).alias("seconds")
+
+
+def _browser_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.concat(F.lit("<thinking>x</thinking><video_browser_question>what happens in "), F.col("conv_id").cast("string"), F.lit("?</video_browser_question><video_browser_question>no</video_browser_question>"))
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", ask.alias("text"))
-    return toolcall.parse(rows).where("tool = 'video_browser'").select("conv_id", "turn", "question")
+    return toolcall.parse(rows).where("tool = 'video_browser'")
+
+
+@query("tool2_browser", "SELECT conv_id, turn, 'The tool result of <video_browser_question>what happens in ' || conv_id || '?</video_browser_question> is:' || chr(10) || ' seen' || chr(10) AS told FROM conversations WHERE role = 'user'")
+def tool_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _browser_calls(spark, sf_dir)
+    return calls.select("conv_id", "turn", toolcall.result_text(F.col("tool"), F.col("question"), F.lit("seen")).alias("told"))
 
 
 @query(
-    "tool4_image_query",
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-  q AS (SELECT DISTINCT conv_id, conv_id * 10 AS t FROM conversations WHERE conv_id < 20),
-  s AS (SELECT q.conv_id, q.t, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) AS score FROM q JOIN v a ON a.vec_id = q.conv_id JOIN v c ON true),
-  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, clip_no) AS rank FROM s)
-SELECT conv_id, clip_no, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4 AND NOT (clip_no * 10 <= t AND t <= clip_no * 10 + 10)""",
+    "tool2_browser_frames",
+    f"""WITH {schemas.VIDEOS_SQL}, a AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'),
+  w AS (SELECT video_id, CASE WHEN duration < 1 THEN duration + 0.5 ELSE duration END AS until FROM videos WHERE video_id IN (SELECT conv_id FROM a)),
+  p AS (SELECT video_id, i, i * 0.5::DOUBLE AS t FROM (SELECT video_id, unnest(range(CAST(floor(until * 2) AS BIGINT))) AS i FROM w)),
+  j AS (SELECT p.*, f.t_s, f.is_valid, row_number() OVER (PARTITION BY p.video_id, p.i ORDER BY abs(f.t_s - p.t), f.t_s, f.frame_no) AS n FROM p JOIN frames f USING (video_id)),
+  v AS (SELECT video_id, list(t_s ORDER BY t, t_s) AS l, count(*) AS m FROM j WHERE n = 1 AND is_valid GROUP BY video_id)
+SELECT c.conv_id, c.turn, CAST({_KEPT} AS INTEGER) AS n_frames, {_THIN} AS seconds FROM v JOIN conversations c ON c.conv_id = v.video_id AND c.role = 'user'""",
 )
-def tool_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from temporis.operators.retrieval import image_search
+def tool_browser_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The browser's frames: the whole video, sampled and thinned."""
+    from temporis.plans.engine import Engine
 
-    ask = F.concat(F.lit(f"<{_IMAGE}>"), (F.col("conv_id") * 10).cast("string"), F.lit(f".0</{_IMAGE}><topk>3</topk>"))
-    rows = table(spark, sf_dir, "conversations").where("conv_id < 20").select("conv_id").distinct().select("conv_id", F.lit(0).alias("turn"), ask.alias("text"))
-    calls = toolcall.parse(rows).where(F.col("tool") == _IMAGE).select("conv_id", F.col("body").try_cast("double").alias("t"), "topk")
-    clips = schemas.clip_vectors(spark, sf_dir).select("clip_no", "embedding")
-    queries = calls.join(clips.withColumnRenamed("clip_no", "conv_id"), "conv_id").select(F.col("conv_id").alias("query_id"), "t", F.col("embedding").alias("query"))
-    return image_search(queries, clips, 3).select(F.col("query_id").alias("conv_id"), "clip_no", "rank")
+    calls = _browser_calls(spark, sf_dir).withColumn("video_id", F.col("conv_id"))
+    plan = Engine(spark, Settings()).browser_plan(calls, schemas.videos(spark, sf_dir), schemas.frames(spark, sf_dir).select("video_id", "t_s", "frame_no", "is_valid"))
+    return plan.select("conv_id", "turn", F.size("frames").alias("n_frames"), _total("frames"))
+
+
+#: Stand-ins for encoders: a sub-query's vector is the row numbered by its first character's code and its length; a conversation's video is its number's last digit.
+_CODE = "ascii(sub_query) + length(sub_query)"
+_SUB_SQL = f"subs AS (SELECT *, unnest(string_split(body, ';')) AS sub_query, unnest(range(len(string_split(body, ';')))) AS sub_no FROM calls)"
+
+
+def _encoded(spark: SparkSession, sf_dir: str, calls: DataFrame) -> DataFrame:
+    subs = toolcall.sub_calls(calls).select("sub_query").distinct().withColumn("vec_id", (F.ascii("sub_query") + F.length("sub_query")).cast("long"))
+    return subs.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("query")), "vec_id").select("sub_query", "query")
+
+
+def _scoped_calls(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    return toolcall.parse(_spoken(spark, sf_dir)).where(F.col("tool") == tool).withColumn("video_id", (F.col("conv_id") % 10).cast("int"))
 
 
 @query(
-    "tool4_image_query_whole",
+    "tool3_segment_hits",
+    f"""WITH {_PARSED}, {_SUB_SQL}, s AS (
+  SELECT b.conv_id, b.turn, b.call_no, b.sub_no, b.sub_query, b.topk, c.vec_id AS clip_no, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+  FROM subs b JOIN embeddings a ON a.vec_id = {_CODE} JOIN embeddings c ON c.label = b.conv_id % 10 WHERE b.tool = '{_RETRIEVE}'
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, call_no, sub_no ORDER BY round(score, 12) DESC, clip_no) AS rank FROM s)
+SELECT conv_id, turn, CAST(call_no AS INTEGER) AS call_no, CAST(sub_no AS INTEGER) AS sub_no, sub_query, string_agg(clip_no, ',' ORDER BY rank) AS clips FROM r WHERE rank <= topk GROUP BY 1, 2, 3, 4, 5""",
+)
+def tool_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sub-query of a textual retriever call with the topk clips of the conversation's video, best first."""
+    from temporis.plans.engine import Engine
+
+    calls = _scoped_calls(spark, sf_dir, _RETRIEVE)
+    hits = Engine(spark, Settings()).segment_hits(calls, schemas.clip_vectors(spark, sf_dir), _encoded(spark, sf_dir, calls))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "clip_no")))
+    clips = F.array_join(F.transform(ordered, lambda x: x["clip_no"].cast("string")), ",")
+    return hits.groupBy("conv_id", "turn", "call_no", "sub_no", "sub_query").agg(clips.alias("clips"))
+
+
+@query(
+    "tool5_subtitle_results",
+    f"""WITH {_PARSED}, {_SUB_SQL}, s AS (
+  SELECT b.conv_id, b.turn, b.call_no, b.sub_no, b.body, b.topk, c.vec_id AS seq, c.vec_id // 4 AS start_s, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+  FROM subs b JOIN embeddings a ON a.vec_id = {_CODE} JOIN embeddings c ON c.label = b.conv_id % 10 WHERE b.tool = '{_SUBS}'
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, call_no, sub_no ORDER BY round(score, 12) DESC, seq) AS rank FROM s
+), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, call_no, start_s ORDER BY sub_no, rank) AS n FROM r WHERE rank <= topk
+), t AS (SELECT conv_id, turn, call_no, body, string_agg(start_s || '-' || (start_s + 3) || ' ' || seq, '; ' ORDER BY start_s) AS found FROM u WHERE n = 1 GROUP BY 1, 2, 3, 4)
+SELECT conv_id, turn, string_agg('The tool results for <{_SUBS}>' || body || '</{_SUBS}> are:' || chr(10) || found || chr(10), '' ORDER BY call_no) AS tool_result, CAST(1 AS BIGINT) AS n_tools FROM t GROUP BY 1, 2""",
+)
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitle retriever calls as the model is told of them: the topk subtitles of each sub-query, those that start together once, in order of start."""
+    from temporis.plans.engine import Engine
+
+    calls = _scoped_calls(spark, sf_dir, _SUBS)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("seq"), "embedding")
+    timed = vectors.select("video_id", "seq", F.expr("seq div 4").alias("start_s"), F.expr("seq div 4 + 3").alias("end_s"), F.col("seq").cast("string").alias("text"))
+    hits = Engine(spark, Settings()).subtitle_hits(calls, timed, vectors, _encoded(spark, sf_dir, calls))
+    said = F.concat(F.col("start_s").cast("string"), F.lit("-"), F.col("end_s").cast("string"), F.lit(" "), F.col("text"))
+    found = hits.groupBy("conv_id", "turn", "call_no", "body").agg(F.array_sort(F.collect_list(F.struct("start_s", said.alias("x")))).alias("all"))
+    told = toolcall.result_text(F.lit(_SUBS), F.col("body"), F.array_join(F.transform("all", lambda x: x["x"]), "; "))
+    done = toolcall.results(found.select("conv_id", "turn", "call_no", F.lit(4).alias("priority"), F.lit(_SUBS).alias("tool"), told.alias("result")))
+    return done.select("conv_id", "turn", "tool_result", F.size("tools").cast("long").alias("n_tools"))
+
+
+@query(
+    "tool4_image_query",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-  q AS (SELECT DISTINCT conv_id, conv_id * 10 AS t FROM conversations),
-  s AS (SELECT q.conv_id, q.t, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) AS score FROM q JOIN v a ON a.vec_id = q.conv_id JOIN v c ON true),
+  q AS (SELECT DISTINCT conv_id, conv_id * 10 AS t, 2 + conv_id % 3 AS topk FROM conversations),
+  s AS (SELECT q.conv_id, q.t, q.topk, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) AS score FROM q JOIN v a ON a.vec_id = q.conv_id JOIN v c ON true),
   r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, clip_no) AS rank FROM s)
-SELECT conv_id, clip_no, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4 AND NOT (clip_no * 10 <= t AND t <= clip_no * 10 + 10)""",
+SELECT conv_id, clip_no, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= topk + 1 AND NOT (clip_no * 10 <= t AND t <= clip_no * 10 + 10)""",
 )
-def tool_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation asks by the frame of the clip of its number."""
-    from temporis.operators.retrieval import excluding_own, search_blocks
+def tool_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation asks by the frame of the clip of its number, for as many clips as its call says."""
+    from temporis.operators.retrieval import image_search
 
-    ask = F.concat(F.lit(f"<{_IMAGE}>"), (F.col("conv_id") * 10).cast("string"), F.lit(f".0</{_IMAGE}><topk>3</topk>"))
+    ask = F.concat(F.lit(f"<{_IMAGE}>"), (F.col("conv_id") * 10).cast("string"), F.lit(f".0</{_IMAGE}><topk>"), (2 + F.col("conv_id") % 3).cast("string"), F.lit("</topk>"))
     rows = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.lit(0).alias("turn"), ask.alias("text"))
-    calls = toolcall.parse(rows).where(F.col("tool") == _IMAGE).select(F.col("conv_id").alias("query_id"), F.col("body").try_cast("double").alias("t"))
+    calls = toolcall.parse(rows).where(F.col("tool") == _IMAGE).select(F.col("conv_id").alias("query_id"), F.col("body").try_cast("double").alias("t"), "topk")
     clips = schemas.clip_vectors(spark, sf_dir).select("clip_no", "embedding")
     queries = calls.join(clips.select(F.col("clip_no").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    hits = search_blocks(queries.select("query_id", "query"), clips, 4, 64).join(calls, "query_id")
-    return excluding_own(hits, F.col("t")).select(F.col("query_id").alias("conv_id"), "clip_no", "rank")
+    return image_search(queries, clips).select(F.col("query_id").alias("conv_id"), "clip_no", "rank")
 
 
 @query(
@@ -158,17 +247,6 @@ def tool_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.where(F.col("start_s").between(F.col("begin_s"), F.col("until_s"))).select("conv_id", "turn", "seq", F.col("start_s").cast("long").alias("start_s"))
 
 
-@query(
-    "tool5_subtitle_results",
-    f"WITH {_PARSED}, r AS (SELECT conv_id, turn, priority, call_no, tool, 'The tool results for <' || tool || '>' || body || '</' || tool || '> are:' || chr(10) || coalesce(topk, 0) || chr(10) AS result FROM calls) SELECT conv_id, turn, string_agg(result, '' ORDER BY priority, call_no) AS tool_result, CAST(length(string_agg(result, '')) AS INTEGER) AS n_chars, count(DISTINCT tool) AS n_tools FROM r GROUP BY 1, 2",
-)
-def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = toolcall.parse(_spoken(spark, sf_dir))
-    told = toolcall.result_text(F.col("tool"), F.col("body"), F.coalesce("topk", F.lit(0)).cast("string"))
-    done = toolcall.results(calls.withColumn("result", told))
-    return done.select("conv_id", "turn", "tool_result", F.length("tool_result").alias("n_chars"), F.size("tools").cast("long").alias("n_tools"))
-
-
 @query("str5_after_thinking", f"WITH {_TURNS} SELECT conv_id, turn, CASE WHEN contains(text, '</thinking>') THEN split_part(text, '</thinking>', 2) ELSE text END AS text FROM turns")
 def str_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", T.after_thinking(F.col("text")).alias("text"))
@@ -237,21 +315,43 @@ def loop_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spoken(spark, sf_dir).select("conv_id", "turn", agent.rounds_left(F.row_number().over(order) - 1).alias("rounds_left"))
 
 
-@query("loop1_live_rounds")
+@query("loop1_live_rounds", "SELECT DISTINCT conv_id, CAST(3 AS BIGINT) AS rounds, 'C' AS answer, CAST(6 AS BIGINT) AS n_messages FROM conversations")
 def loop_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations through the live loop with a scripted model: two tool rounds, then an answer."""
+    """All conversations through the live loop with a scripted model: a tool round, a turn without form, then an answer."""
     from temporis.plans.plugins import scripted_model
     from temporis.plans.saving import saver
 
-    start = table(spark, sf_dir, "conversations").where("turn <= 1").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    start = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     model = scripted_model([f"<{_SUBS}>who</{_SUBS}><topk>2</topk>", "no format", "<answer>C</answer>"])
+    log = agent.run_rounds(start, model, _no_hits, saver(spark))
+    return agent.replay(log).select("conv_id", "rounds", "answer", "n_messages")
 
-    def tools(rows: DataFrame) -> DataFrame:
-        calls = toolcall.parse(rows)
-        return toolcall.results(calls.withColumn("result", toolcall.result_text(F.col("tool"), F.col("body"), F.lit("[]"))))
 
-    log = agent.run_rounds(start, model, tools, saver(spark))
-    return agent.replay(log).select("conv_id", "rounds", "answer", "n_messages")
+def _no_hits(rows: DataFrame) -> DataFrame:
+    calls = toolcall.parse(rows)
+    return toolcall.results(calls.withColumn("result", toolcall.result_text(F.col("tool"), F.col("body"), F.lit("[]"))))
+
+
+@query(
+    "eval4_run",
+    """WITH q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'count' ELSE 'order' END AS task, chr(CAST(65 + item_id % 4 AS INTEGER)) AS gold FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels))
+SELECT task, count(*) AS n, round(avg(CASE WHEN gold = 'B' THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM q GROUP BY 1""",
+)
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation from questions to accuracy: those answered before (labelled numbers) are skipped, the others go through the rounds, an answer
+    beside a tool call isn't taken, and the letter is scored against the gold one."""
+    from temporis.plans.plugins import scripted_model
+    from temporis.plans.saving import saver
+
+    i = F.col("item_id")
+    asked = table(spark, sf_dir, "benchmark").select(i.alias("item"), F.concat(F.lit("Q: "), F.col("text")).alias("question"), i.cast("string").alias("video_path"), F.when(i % 2 == 0, "count").otherwise("order").alias("task"), F.char(65 + i % 4).alias("gold"))
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item")).join(asked, "item").select("question", "video_path")
+    left = validity.unprocessed(asked, done)
+    model = scripted_model([f"<answer>A</answer><{_SUBS}>who</{_SUBS}>", "<answer>option (B)</answer>"])
+    log = agent.run_rounds(left.select(F.col("item").alias("conv_id"), F.col("question").alias("text")), model, _no_hits, saver(spark), evaluation=True)
+    answers = agent.replay(log, evaluation=True).select(F.col("conv_id").alias("item"), "answer")
+    scored = left.join(answers, "item").withColumn("score", evaluate.score(F.col("answer"), F.col("gold")))
+    return evaluate.accuracy(scored, ["task"])
 
 
 @query("loop8_step_events", f"WITH {_PARSED}, b AS (SELECT conv_id, turn, priority, call_no, tool, s AS status FROM calls, (VALUES ('started'), ('completed')) v(s)) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, priority, call_no, status DESC) AS seq, status, tool FROM b")
@@ -314,37 +414,11 @@ def join_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcall.answers_by_call(calls, after)
 
 
-_QA = "q AS (SELECT doc_id AS item, substr(text, 1, 12) AS question, source AS video_path FROM documents), a AS (SELECT DISTINCT question, video_path FROM q WHERE item % 3 = 0)"
-
-
-def _qa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.substring("text", 1, 12).alias("question"), F.col("source").alias("video_path"))
-    return q, q.where("item % 3 = 0").select("question", "video_path").distinct()
-
-
-@query("join6_cached_semi", f"WITH {_QA} SELECT question, video_path FROM a WHERE (question, video_path) IN (SELECT question, video_path FROM q WHERE item % 2 = 0)")
-def join_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = _qa(spark, sf_dir)
-    return validity.cached_for(a, q.where("item % 2 = 0"))
-
-
-@query("join7_resume_anti", f"WITH {_QA} SELECT item FROM q ANTI JOIN a USING (question, video_path)")
-def join_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = _qa(spark, sf_dir)
-    return validity.unprocessed(q, a).select("item")
-
-
-@query("eval2_resume_literal", f"WITH {_QA} SELECT item FROM q WHERE question NOT IN (SELECT question FROM a)")
-def eval_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = _qa(spark, sf_dir)
-    return validity.unprocessed(q, a, "literal").select("item")
-
+#: A question is a whole text; a labelled document is an answered one.
+_QA = "q AS (SELECT doc_id AS item, text AS question, source AS video_path FROM documents), a AS (SELECT DISTINCT question, video_path FROM q WHERE item IN (SELECT doc_id FROM labels))"
 
-#: As above for whole texts: a labelled document is an answered question.
-_QA_WHOLE = "q AS (SELECT doc_id AS item, text AS question, source AS video_path FROM documents), a AS (SELECT DISTINCT question, video_path FROM q WHERE item IN (SELECT doc_id FROM labels))"
 
-
-def _qa_whole(spark: SparkSession, sf_dir: str, digest: bool = True) -> tuple[DataFrame, DataFrame]:
+def _qa(spark: SparkSession, sf_dir: str, digest: bool = True) -> tuple[DataFrame, DataFrame]:
     """Questions and answered ones, told by a digest of the whole text, or by the text itself."""
     key = F.sha2("text", 256) if digest else F.col("text")
     q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), key.alias("question"), F.col("source").alias("video_path"))
@@ -352,22 +426,22 @@ def _qa_whole(spark: SparkSession, sf_dir: str, digest: bool = True) -> tuple[Da
     return q, q.join(labelled, "item", "left_semi").select("question", "video_path").distinct()
 
 
-@query("join6_cached_semi_whole", f"WITH {_QA_WHOLE} SELECT DISTINCT question, video_path FROM q WHERE (question, video_path) IN (SELECT question, video_path FROM a)")
-def join_cached_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("join6_cached_semi", f"WITH {_QA} SELECT DISTINCT question, video_path FROM q WHERE (question, video_path) IN (SELECT question, video_path FROM a)")
+def join_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are cached, the labelled ones asked for."""
-    q, a = _qa_whole(spark, sf_dir, digest=False)
+    q, a = _qa(spark, sf_dir, digest=False)
     return validity.cached_for(q.select("question", "video_path").distinct(), a)
 
 
-@query("join7_resume_anti_whole", f"WITH {_QA_WHOLE} SELECT item FROM q ANTI JOIN a USING (question, video_path)")
-def join_resume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = _qa_whole(spark, sf_dir)
+@query("join7_resume_anti", f"WITH {_QA} SELECT item FROM q ANTI JOIN a USING (question, video_path)")
+def join_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, a = _qa(spark, sf_dir)
     return validity.unprocessed(q, a).select("item")
 
 
-@query("eval2_resume_literal_whole", f"WITH {_QA_WHOLE} SELECT item FROM q WHERE question NOT IN (SELECT question FROM a)")
-def eval_resume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = _qa_whole(spark, sf_dir)
+@query("eval2_resume_literal", f"WITH {_QA} SELECT item FROM q WHERE question NOT IN (SELECT question FROM a)")
+def eval_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, a = _qa(spark, sf_dir)
     return validity.unprocessed(q, a, "literal").select("item")
 
 
@@ -379,7 +453,9 @@ def set_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("eval1_shard", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // ((SELECT count(*) FROM documents) // 16 + 1) AS INTEGER) AS shard FROM documents")
 def eval_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.shard(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 16)
+    from temporis.plans.saving import saver
+
+    return evaluate.shard(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 16, saver(spark))
 
 
 @query("eval3_score", "SELECT l.doc_id, CASE WHEN d.lang = '' THEN false ELSE substr(d.lang, 1, 1) = CASE WHEN l.quality = 1 THEN 'e' ELSE 'f' END END AS score FROM labels l JOIN documents d USING (doc_id)")

@@ -18,17 +18,19 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.clip_vectors(spark, sf_dir).select("clip_no", "embedding")
 
 
-def _queries(spark: SparkSession, sf_dir: str, below: int = 5) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < below)
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose vec_id is divisible by 50 asks."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search(_queries(spark, sf_dir, 1), _items(spark, sf_dir), top_k=8).orderBy("rank")
+    return retrieval.search(_queries(spark, sf_dir).where("query_id = 0"), _items(spark, sf_dir), top_k=8).orderBy("rank")
 
 
+#: Every row is an item, every row whose vec_id is divisible by 50 a query.
 _TOP = f"""WITH {_V}, s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id < 5
+  SELECT q.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_no) AS rank FROM s)
 SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE """
 
@@ -52,6 +54,19 @@ def vec_topk_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(retrieval.search(_queries(spark, sf_dir), _items(spark, sf_dir), top_k_similarity=1))
 
 
+@query("vec6_modes", "SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 100 WHEN 2 THEN 100 END AS k, CASE WHEN vec_id % 4 = 1 THEN 0.5::DOUBLE END AS threshold, vec_id % 4 < 3 AS valid FROM embeddings")
+def vec_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which candidates and threshold a call's mode gives: top k, threshold, top similarity, and two modes at once, which is refused."""
+    asked, rows = ({"top_k": 3}, {"threshold": 0.5}, {"top_k_similarity": 7}, {"top_k": 3, "threshold": 0.5}), []
+    for kind, mode in enumerate(asked):
+        try:
+            rows.append((kind, *retrieval.modes(**mode), True))
+        except ValueError:
+            rows.append((kind, None, None, False))
+    known = spark.createDataFrame(rows, "kind long, k int, threshold double, valid boolean")
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 4).alias("kind")).join(F.broadcast(known), "kind").drop("kind")
+
+
 @query(
     "vec3_topk_all_pairs",
     f"""WITH {_V}, s AS (
@@ -61,7 +76,7 @@ SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS ran
 )
 def vec_topk_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _shown(retrieval.search_blocks(queries, _items(spark, sf_dir), 5, 64))
+    return _shown(retrieval.search_blocks(queries, _items(spark, sf_dir), 5))
 
 
 @query("vec1_normalise", f"WITH {_V} SELECT vec_id, round(n, 6) AS norm, round(list_inner_product(e, e) / (n * n), 6) AS unit FROM v")
@@ -82,22 +97,42 @@ def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     "vec8_fused_query",
     f"""WITH {_V}, s AS (
   SELECT a.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) + list_inner_product(b.e, c.e) / (b.n * c.n) AS score
-  FROM v a JOIN v b ON b.vec_id = a.vec_id + 10 AND a.vec_id < 5 JOIN v c ON c.vec_id >= 20
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_no) AS rank FROM s)
+  FROM v a JOIN v b ON b.vec_id = a.vec_id + 10 AND a.vec_id % 50 = 0 JOIN v c ON true
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, clip_no) AS rank FROM s)
 SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def vec_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's text is the row ten further on; a row without one is no fused query."""
+    return _shown(retrieval.search_fused(_fused_queries(spark, sf_dir), _items(spark, sf_dir), top_k=5))
+
+
+def _fused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    video = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("video_query"))
-    text = rows.where("vec_id between 10 and 14").select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("text_query"))
-    return _shown(retrieval.search_fused(video.join(text, "query_id"), _items(spark, sf_dir).where("clip_no >= 20"), top_k=5))
+    video = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), F.col("embedding").alias("video_query"))
+    return video.join(rows.select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("text_query")), "query_id")
+
+
+@query(
+    "vec7_fused_in_video",
+    f"""WITH {_V}, s AS (
+  SELECT a.vec_id AS query_id, a.label AS video_id, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) + list_inner_product(b.e, c.e) / (b.n * c.n) AS score
+  FROM v a JOIN v b ON b.vec_id = a.vec_id + 10 AND a.vec_id % 50 = 0 JOIN v c ON c.label = a.label
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, clip_no) AS rank FROM s)
+SELECT query_id, video_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+)
+def vec_fused_in_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vec8_fused_query among the clips of the query's own video."""
+    from temporis.plans.engine import Engine
+
+    hits = Engine(spark).informative_clips_with_video(_fused_queries(spark, sf_dir), schemas.clip_vectors(spark, sf_dir), top_k=5)
+    return hits.select("query_id", "video_id", "clip_no", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "vec9_subtitle_topk",
     """WITH s AS (
   SELECT q.vec_id AS query_id, c.label AS video_id, c.vec_id AS seq, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
-  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 10
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM s)
 SELECT query_id, video_id, seq, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
 )
@@ -105,7 +140,7 @@ def vec_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from temporis.plans.engine import Engine
 
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), F.col("embedding").alias("query"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), F.col("embedding").alias("query"))
     items = rows.select(F.col("label").alias("video_id"), F.col("vec_id").alias("seq"), "embedding")
     return Engine(spark).informative_subtitles(queries, items, 3).select("query_id", "video_id", "seq", F.round("score", 6).alias("score"), "rank")
 
@@ -115,21 +150,19 @@ def vec_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(vector.scale(F.col("embedding"), F.lit(2.5))), 5).alias("scaled_norm"))
 
 
-@query("vec11_contrastive_logits", f"WITH {_V} SELECT t.vec_id AS text_id, i.vec_id AS image_id, round(list_inner_product(t.e, i.e) / (t.n * i.n) * exp(1.5), 5) AS logit FROM v t JOIN v i ON t.vec_id < 10 AND i.vec_id BETWEEN 10 AND 39")
+@query(
+    "vec11_contrastive_logits",
+    f"""WITH {_V}, l AS (SELECT t.vec_id AS text_id, i.vec_id AS image_id, list_inner_product(t.e, i.e) / (t.n * i.n) * exp(1.5) AS logit FROM v t JOIN v i ON t.vec_id % 50 = 0)
+SELECT text_id, count(*) AS n_images, arg_max(image_id, logit) AS best_image, round(max(logit), 5) AS best_logit, round(ln(sum(exp(logit))), 5) AS log_sum_exp FROM l GROUP BY text_id""",
+)
 def vec_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    texts = rows.where("vec_id < 10").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("text_embedding"))
-    images = rows.where("vec_id between 10 and 39").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image_embedding"))
-    return retrieval.logits(texts, images, 1.5).withColumn("logit", F.round("logit", 5))
-
-
-@query("vec11_contrastive_logits_whole", f"WITH {_V} SELECT t.vec_id AS text_id, i.vec_id AS image_id, round(list_inner_product(t.e, i.e) / (t.n * i.n) * exp(1.5), 5) AS logit FROM v t JOIN v i ON t.vec_id % 50 = 0")
-def vec_logits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is an image, every row whose vec_id is divisible by 50 a text."""
+    """Every row is an image, every row whose vec_id is divisible by 50 a text: what a text's softmax over all images needs. The pairs
+    themselves are a square, which the operator yields block by block."""
     rows = table(spark, sf_dir, "embeddings")
     texts = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("text_embedding"))
     images = rows.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image_embedding"))
-    return retrieval.logits_blocks(texts, images, 1.5).withColumn("logit", F.round("logit", 5))
+    found = retrieval.logit_rows(retrieval.logits(texts, images, 1.5))
+    return found.select("text_id", "n_images", "best_image", F.round("best_logit", 5).alias("best_logit"), F.round("log_sum_exp", 5).alias("log_sum_exp"))
 
 
 @query(
@@ -144,21 +177,20 @@ def vec_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("video_id").agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+#: Three queries in a row are the sub-queries of a call.
 _SUB = f"""{_V}, s AS (
-  SELECT q.vec_id // 3 AS call_id, CAST(q.vec_id % 3 AS INTEGER) AS sub_no, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id < 12
+  SELECT q.vec_id // 150 AS call_id, CAST(q.vec_id // 50 % 3 AS INTEGER) AS sub_no, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY call_id, sub_no ORDER BY score DESC, clip_no) AS rank FROM s)"""
 
 
 def _sub_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 12")
-    queries = rows.select(F.expr("vec_id div 3").alias("call_id"), (F.col("vec_id") % 3).cast("int").alias("sub_no"), F.col("embedding").alias("query"))
-    scored = retrieval.score(queries, _items(spark, sf_dir))
-    return retrieval.rank(scored, ["call_id", "sub_no"], "clip_no", 10)
+    hits = retrieval.search(_queries(spark, sf_dir), _items(spark, sf_dir), top_k=10)
+    return hits.select(F.expr("query_id div 150").alias("call_id"), F.expr("cast(query_id div 50 % 3 as int)").alias("sub_no"), "clip_no", "score", "rank")
 
 
 @query("vec14_multi_query", f"WITH {_SUB} SELECT call_id, sub_no, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def vec_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sub_hits(spark, sf_dir).select("call_id", "sub_no", "clip_no", F.round("score", 6).alias("score"), "rank")
+    return _sub_hits(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -174,108 +206,17 @@ def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "vec15_image_exclude",
     f"""WITH {_V}, s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id < 8
+  SELECT q.vec_id AS query_id, q.label AS video_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.label = q.label
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_no) AS rank FROM s)
-SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r
-WHERE rank <= 6 AND NOT (clip_no * 10 <= query_id * 10 AND query_id * 10 <= clip_no * 10 + 10)""",
+SELECT query_id, video_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r
+WHERE rank <= 3 + query_id % 4 AND NOT (clip_no * 10 <= query_id * 10 AND query_id * 10 <= clip_no * 10 + 10)""",
 )
 def vec_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _queries(spark, sf_dir, 8).withColumn("t", F.col("query_id") * 10.0)
-    return _shown(retrieval.image_search(queries, _items(spark, sf_dir), 5))
-
-
-#: As above for whole tables: every row is an item, every row whose vec_id is divisible by 50 a query.
-_TOP_WHOLE = f"""WITH {_V}, s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_no) AS rank FROM s)
-SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE """
-
-
-def _search_whole(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.search_blocks(queries, _items(spark, sf_dir), k, 64)
-
-
-@query("vec3_topk_whole", _TOP_WHOLE + "rank <= 8")
-def vec_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_search_whole(spark, sf_dir, 8))
-
-
-@query("vec4_threshold_whole", _TOP_WHOLE + "rank <= 100 AND score > 0.2")
-def vec_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_search_whole(spark, sf_dir, retrieval.THRESHOLD_CANDIDATES).where("score > 0.2"))
-
-
-@query("vec5_topk_similarity_whole", _TOP_WHOLE + "rank <= 100")
-def vec_topk_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_search_whole(spark, sf_dir, retrieval.THRESHOLD_CANDIDATES))
-
-
-@query(
-    "vec8_fused_query_whole",
-    f"""WITH {_V}, s AS (
-  SELECT a.vec_id AS query_id, c.vec_id AS clip_no, list_inner_product(a.e, c.e) / (a.n * c.n) + list_inner_product(b.e, c.e) / (b.n * c.n) AS score
-  FROM v a JOIN v b ON b.vec_id = a.vec_id + 10 AND a.vec_id % 50 = 0 JOIN v c ON true
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, clip_no) AS rank FROM s)
-SELECT query_id, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
-)
-def vec_fused_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query's text is the row ten further on; a row without one is no fused query.
-
-    Both rows of a query are items too, and tie: each scores 1 and their cosine."""
-    rows = table(spark, sf_dir, "embeddings")
-    video = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("video_query"))
-    text = rows.select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("text_query"))
-    queries = retrieval.fused(video.join(text, "query_id")).where("query is not null")
-    items = _items(spark, sf_dir).withColumn("embedding", vector.normalise(F.col("embedding"))).where("embedding is not null")
-    return _shown(retrieval.search_blocks(queries, items, 5, 64, normalised=False, digits=9))
-
-
-@query(
-    "vec9_subtitle_topk_whole",
-    """WITH s AS (
-  SELECT q.vec_id AS query_id, c.label AS video_id, c.vec_id AS seq, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
-  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM s)
-SELECT query_id, video_id, seq, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
-)
-def vec_subtitles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), F.col("embedding").alias("query"))
-    items = rows.select(F.col("label").alias("video_id"), F.col("vec_id").alias("clip_no"), "embedding")
-    hits = retrieval.search_blocks(queries, items, 3, 64, on=["video_id"], normalised=False).join(queries.select("query_id", "video_id"), "query_id")
-    return hits.select("query_id", "video_id", F.col("clip_no").alias("seq"), F.round("score", 6).alias("score"), "rank")
-
-
-#: Three queries in a row are the sub-queries of a call.
-_SUB_WHOLE = f"""{_V}, s AS (
-  SELECT q.vec_id // 150 AS call_id, CAST(q.vec_id // 50 % 3 AS INTEGER) AS sub_no, c.vec_id AS clip_no, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY call_id, sub_no ORDER BY score DESC, clip_no) AS rank FROM s)"""
-
-
-def _sub_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _search_whole(spark, sf_dir, 10)
-    return hits.select(F.expr("query_id div 150").alias("call_id"), F.expr("cast(query_id div 50 % 3 as int)").alias("sub_no"), "clip_no", "score", "rank")
-
-
-@query("vec14_multi_query_whole", f"WITH {_SUB_WHOLE} SELECT call_id, sub_no, clip_no, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
-def vec_multi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sub_hits_whole(spark, sf_dir).withColumn("score", F.round("score", 6))
-
-
-@query(
-    "set1_sub_query_union_whole",
-    f"""WITH {_SUB_WHOLE}, d AS (SELECT *, row_number() OVER (PARTITION BY call_id, clip_no // 4 ORDER BY sub_no, rank) AS first FROM r WHERE rank <= 10)
-SELECT call_id, clip_no // 4 AS start_s, sub_no, CAST(rank AS INTEGER) AS rank FROM d WHERE first = 1""",
-)
-def set_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _sub_hits_whole(spark, sf_dir).withColumn("start_s", F.expr("clip_no div 4"))
-    return retrieval.merge_sub_queries(hits, ["call_id"]).select("call_id", "start_s", "sub_no", "rank")
-
-
-@query("vec15_image_exclude_whole", _TOP_WHOLE + "rank <= 6 AND NOT (clip_no * 10 <= query_id * 10 AND query_id * 10 <= clip_no * 10 + 10)")
-def vec_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(retrieval.excluding_own(_search_whole(spark, sf_dir, 6), F.col("query_id") * 10.0))
+    """Each query asks for its own number of clips of its own video."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("video_id"), (F.col("vec_id") * 10.0).alias("t"), (2 + F.col("vec_id") % 4).alias("topk"), F.col("embedding").alias("query"))
+    hits = retrieval.image_search(queries, schemas.clip_vectors(spark, sf_dir), on=["video_id"])
+    return hits.select("query_id", "video_id", "clip_no", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -288,9 +229,14 @@ def agg_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("video_id", F.size("embedding").alias("dim"), F.round(vector.dot(F.col("embedding"), F.col("embedding")), 8).alias("square"))
 
 
-@query("enc1_modalities")
+@query(
+    "enc1_modalities",
+    r"""WITH m AS (SELECT doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'subtitle' ELSE 'smell' END AS modality, regexp_matches(coalesce(text, ''), '\w') AS words FROM documents)
+SELECT item_id, modality, CASE WHEN modality = 'smell' THEN 'no encoder' WHEN words THEN 'ok' ELSE 'failed' END AS status,
+  CAST(CASE WHEN modality = 'smell' OR NOT words THEN NULL WHEN modality = 'text' THEN 64 ELSE 32 END AS INTEGER) AS dim, CASE WHEN modality <> 'smell' AND words THEN 1.0::DOUBLE END AS norm FROM m""",
+)
 def enc_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoder plug-ins by modality, over whole texts; unit length. No SQL equals a plug-in: tests check its properties."""
+    """Encoder plug-ins by modality, over whole texts; unit length. What SQL can't tell, the vectors, tests check."""
     from temporis.plans.plugins import HashingEncoder, encode_modalities
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "subtitle").otherwise("smell").alias("modality"), F.col("text").alias("value"))

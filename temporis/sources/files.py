@@ -14,8 +14,8 @@ from temporis import schemas
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list, or one JSON object a line."""
     whole = spark.read.schema(schemas.QUESTIONS).option("multiLine", True).json(path)
-    lines = spark.read.text(path, wholetext=True).select(F.ltrim("value").startswith("[").alias("is_list"))
-    is_list = lines.where("is_list").limit(1).count() == 1
+    # a file's lines, not its whole: a list begins with a bracket, an object a line with a brace
+    is_list = spark.read.text(path).where(F.ltrim("value").startswith("[")).limit(1).count() == 1
     return whole if is_list else spark.read.schema(schemas.QUESTIONS).json(path)
 
 
@@ -30,7 +30,7 @@ def probe_media(spark: SparkSession, path: str, probe, pattern: str = "*.mp4") -
 
     What the plug-in cannot open gets NULLs, and status "failed".
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

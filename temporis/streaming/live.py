@@ -27,6 +27,17 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+def followed(first: DataFrame, then: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
+    """view_id, click_id: events of `first` with those of `then` of the same user, from its time to `within` after it. Watermarks and the
+    bound on times let a stream forget what can't match any more."""
+    a = first.select(F.col("event_id").alias("view_id"), F.col("user_id").alias("a_user"), F.col("ts").cast("timestamp").alias("a_ts"))
+    b = then.select(F.col("event_id").alias("click_id"), F.col("user_id").alias("b_user"), F.col("ts").cast("timestamp").alias("b_ts"))
+    if first.isStreaming:
+        a, b = a.withWatermark("a_ts", late), b.withWatermark("b_ts", late)
+    near = F.expr(f"a_user = b_user and b_ts >= a_ts and b_ts <= a_ts + interval {within}")
+    return a.join(b, near).select("view_id", "click_id")
+
+
 STATE = "conv_id long, rounds long, n_messages long, answer string"
 
 

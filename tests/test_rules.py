@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from temporis.functions import numeric, text, timecode, vector
-from temporis.operators import agent, interval, retrieval, sample, segment, toolcall
+from temporis.operators import agent, evaluate, interval, retrieval, sample, segment, toolcall
 from temporis.plans.engine import Engine
 from temporis.plans.plugins import HashingEncoder, as_map, encode_modalities, scripted_model
 from temporis.plans.saving import saver
@@ -144,6 +147,87 @@ def test_nearest_join(spark):
     assert got == {("v", 0.0): 1, ("v", 1.5): 1, ("v", 2.0): 2, ("v", 9.0): 3, ("w", 1.0): None}
 
 
+def test_nearest_join_ties_and_nulls(spark):
+    """Of frames of one time the first, before a point and after it; a point without a time has none, a frame without a time isn't one."""
+    points = spark.createDataFrame([("v", t) for t in (1.0, 4.0, 5.0, 7.0, None)], "video_id string, t double")
+    items = spark.createDataFrame([("v", 4.0, 20), ("v", 4.0, 10), ("v", 10.0, 30), ("v", None, 1), ("v", 10.0, 31)], "video_id string, t_s double, frame_no int")
+    for width in (60.0, 1.0):
+        got = {r.t: r.nearest and r.nearest.frame_no for r in interval.nearest_join(points, items, "video_id", width=width).collect()}
+        assert got == {1.0: 10, 4.0: 10, 5.0: 10, 7.0: 10, None: None}
+
+
+def test_nearest_join_equals_brute_force(spark):
+    """Cells with and without frames, frames at borders, several keys, repeated points."""
+    rng = random.Random(3)
+    items = [(rng.choice("ab"), round(rng.uniform(-50, 400), 1), k) for k in range(60)]
+    points = [(rng.choice("abc"), round(rng.uniform(-80, 500), 1)) for _ in range(150)] * 2
+    p, i = spark.createDataFrame(points, "video_id string, t double"), spark.createDataFrame(items, "video_id string, t_s double, frame_no int")
+    want = []
+    for v, t in points:
+        own = sorted(((abs(round(s - t, 6)), s, n) for w, s, n in items if w == v))
+        want.append((v, t, own[0][2] if own else -1))
+    for width in (7.0, 1000.0):
+        got = sorted((r.video_id, r.t, r.nearest.frame_no if r.nearest else -1) for r in interval.nearest_join(p, i, "video_id", width=width).collect())
+        assert got == sorted(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 32, 33, 64, 100])
+def test_thinning_of_rows(spark, n):
+    rows = spark.createDataFrame([("v", k / 2, k) for k in range(n)], "video_id string, t_s double, frame_no int")
+    for how in ("stride", "uniform"):
+        got = [[f.frame_no for f in r.frames] for r in sample.thinned(rows, ["video_id"], ["t_s", "frame_no"], how, least=10).collect()]
+        kept = list(range(n))[:: max(1, n // 32)][:32] if how == "stride" else [int(i * n / 32) for i in range(32)] if n > 32 else list(range(n))
+        assert got == ([[int(i * n / 10) for i in range(10)] if n < 10 else kept] if n else [])
+
+
+def test_shards_are_contiguous(spark):
+    rows = spark.createDataFrame([((7 * k) % 101,) for k in range(101)], "doc_id long").repartition(5)
+    got = sorted(tuple(r) for r in evaluate.shard(rows, ["doc_id"], 4, saver(spark)).collect())
+    assert got == [(k, k // 26) for k in range(101)]
+
+
+def test_late_events_and_stream_pairs(spark, tmp_path):
+    """Append mode: a window comes once the watermark has passed it, and an event later than that is not counted."""
+    from temporis.streaming import live
+
+    path, out = tmp_path / "in", tmp_path / "out"
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    at = lambda m: f"2024-01-01T00:{m:02d}:00"
+    batches = [[(1, at(1), 1, "view", 1.0), (2, at(5), 1, "view", 2.0)], [(3, at(40), 1, "view", 4.0)], [(4, at(2), 1, "view", 8.0), (5, at(59), 1, "view", 16.0)]]
+    for number, rows in enumerate(batches):
+        (path / f"b{number}").mkdir(parents=True)
+        (path / f"b{number}" / "x.json").write_text("\n".join(json.dumps(dict(zip(("event_id", "ts", "user_id", "event_type", "value"), r, strict=True))) for r in rows))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(str(path))
+        done = live.windowed_counts(stream, late="10 minutes").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "marks")).format("parquet").option("path", str(out)).trigger(availableNow=True).start()
+        done.awaitTermination()
+    got = {str(r.start)[11:16]: (r.n, r.total) for r in spark.read.parquet(str(out)).collect()}
+    assert got == {"00:00": (2, 3.0)}  # the window of 00:40 still waits: the watermark stands at 00:49
+
+
+def test_image_query_takes_each_querys_topk_in_its_video(spark):
+    vectors = spark.createDataFrame([(v, k, [1.0, float(k)]) for v in "ab" for k in range(6)], "video_id string, clip_no int, embedding array<float>")
+    queries = spark.createDataFrame([(1, "a", [1.0, 2.0], 500.0, 2), (2, "b", [1.0, 2.0], 500.0, None), (3, "a", [0.0, 0.0], 0.0, 1), (4, "b", [1.0, 2.0], 500.0, 0)], "query_id int, video_id string, query array<float>, t double, topk int")
+    got = retrieval.image_search(queries, vectors, on=["video_id"]).groupBy("query_id", "video_id").count().collect()
+    assert {(r.query_id, r.video_id, r["count"]) for r in got} == {(1, "a", 3), (2, "b", 6), (4, "b", 1)}
+
+
+def test_results_are_told_by_tool(spark):
+    told = lambda tool: value(spark, toolcall.result_text(F.lit(tool), F.lit("x"), F.lit("y")))
+    assert told("video_reader") == "The tool result of <video_reader>x</video_reader> is:\n y\n"
+    assert told("video_browser") == "The tool result of <video_browser_question>x</video_browser_question> is:\n y\n"
+    assert told("subtitle_extractor") == "The tool results for <subtitle_extractor>x</subtitle_extractor> are:\ny\n"
+
+
+def test_shared_folder_is_required_on_clusters():
+    from types import SimpleNamespace
+
+    from temporis.plans import saving
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x"))
+    with pytest.raises(RuntimeError):
+        saving.folder(far, "x")
+
+
 def calls(spark, said: str, compat: str = "literal") -> list[tuple]:
     rows = toolcall.parse(spark.createDataFrame([(1, 0, said)], "conv_id long, turn long, text string"), compat)
     return [(r.tool, r.body, r.question, r.topk) for r in rows.orderBy("priority", "call_no").collect()]
@@ -189,7 +273,7 @@ def test_ranking_properties(spark):
     top = lambda q, k: [r.clip_no for r in retrieval.search(q, rows, top_k=k).orderBy("rank").collect()]
     scaled = queries.withColumn("query", vector.scale(F.col("query"), F.lit(2.0)).cast("array<float>"))
     assert top(queries, 10)[:5] == top(queries, 5) and top(scaled, 10) == top(queries, 10) and 99 not in top(queries, 100)
-    blocks = retrieval.search_blocks(queries, rows, 10, 3, block=16).orderBy("rank").collect()
+    blocks = retrieval.search_blocks(queries, rows, 10, block=16).orderBy("rank").collect()
     assert [r.clip_no for r in blocks] == top(queries, 10)
 
 
