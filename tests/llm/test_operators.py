@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from temporis.llm import ann, chat, common, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
+from temporis.llm import ann, chat, common, doubling, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
 from temporis.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,6 +81,16 @@ def test_suffixes_random(spark):
         assert got[i] == bytes(c for k, c in enumerate(raw) if k not in gone), i
 
 
+def test_plain_doubling_equals_censuses(spark, odd, empty):
+    rng = np.random.default_rng(15)
+    parts = ["".join(rng.choice(list("abcé "), n)) for n in (30, 49, 50, 51, 70, 120)]
+    rows = [(i if i % 7 else None, "".join(parts[k] for k in rng.integers(0, 6, rng.integers(0, 5)))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda df: sorted((r.doc_id or -1, r.n_bytes, bytes(r.kept), tuple(map(tuple, r.spans))) for r in df.collect())
+    assert plain(doubling.remove_repeats(docs)) == plain(suffixes.remove_repeats(docs))
+    assert doubling.remove_repeats(empty).count() == 0
+
+
 def shingle_set(text: str | None) -> frozenset:
     w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
