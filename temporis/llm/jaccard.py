@@ -36,7 +36,7 @@ from temporis.llm import common
 from temporis.llm.census import ASKED, Layout, answer, mix, numbers
 
 WORDS, PERCENT, PARTS = 5, 80, 1024
-CHUNK, MEETS, MOST_ROUNDS = 256, 16, 8
+CHUNK, MEETS, MOST_ROUNDS = 256, 256, 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
