@@ -42,7 +42,7 @@ def positions(texts: DataFrame) -> DataFrame:
 def reranked(ranks: DataFrame, offset: int) -> DataFrame:
     """Positions by the pair of their rank and that an offset further on; those whose pair is in one document only are left out."""
     after = ranks.select("row", (F.col("at") - offset).alias("at"), F.col("rank").alias("then"))
-    pairs = common.materialize(ranks.join(after, ["row", "at"]), "doubling-pairs")
+    pairs = common.materialize(ranks.select("row", "doc", "at", "pos", "rank").join(after, ["row", "at"]), "doubling-pairs")
     names = pairs.groupBy("rank", "then").agg(F.min("pos").alias("name"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     out = pairs.join(names, ["rank", "then"]).select("row", "doc", "at", "pos", F.col("name").alias("rank"), "first")
     return common.materialize(out, "doubling-ranks")
