@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from temporis.llm import ann, chat, jaccard, mixing, packing, quality, secrets, suffixes, topk, toxicity
+from temporis.llm import alignment, ann, chat, codes, jaccard, lattice, mixing, packing, quality, secrets, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_ann_search": ann.op1_ann_search,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_lm_scoring": lattice.op12_lm_scoring,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
-ORACLES = {"op3_chat_format": chat.ORACLE, "op8_exact_topk": topk.ORACLE}
+ORACLES = {"op3_chat_format": chat.ORACLE, "op8_exact_topk": topk.ORACLE, "op13_vector_codes": codes.ORACLE}
