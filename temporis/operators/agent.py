@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from temporis.functions import text as T
+from temporis.operators import calls
 
 #: The most rounds, and what the host says to the model.
 MAX_ROUNDS = 20
@@ -68,66 +69,54 @@ def replay(turns: DataFrame, evaluation: bool = False, most: int = MAX_ROUNDS) -
     )
 
 
-def with_retry(call: Callable[[str], str | None], tries: int = 3, wait: float = 0.0) -> Callable[[str], tuple[str | None, str]]:
-    """A model call that is tried again; (text, status), and status "failed" when all tries fail."""
-    import time
+def with_retry(call: calls.Model, tries: int = 3, wait: float = 0.0) -> Callable[[str], tuple[str | None, str]]:
+    """One model call that is tried again; (text, status), and status "failed" when all tries fail."""
 
     def run(prompt: str) -> tuple[str | None, str]:
-        for n in range(tries):
-            try:
-                out = call(prompt)
-                if out:
-                    return out, "ok"
-            except Exception:  # a plug-in may raise anything; what matters is that no text came
-                pass
-            if n + 1 < tries and wait:
-                time.sleep(wait)
-        return None, "failed"
-
-    return run
+        async def once() -> tuple[str | None, str, int]:
+            return await calls.Pool(call, 1, tries, wait).call(prompt)
 
+        return asyncio.run(once())[:2]
 
-def ask(prompts: DataFrame, model: Callable[[str], str | None], tries: int = 3, wait: float = 0.0) -> DataFrame:
-    """prompts (conv_id, prompt) -> conv_id, text, status; the plug-in runs inside the tasks, all live conversations at once."""
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(model, tries, wait)
-        for p in batches:
-            got = [call(x) for x in p.prompt]
-            yield pd.DataFrame({"conv_id": p.conv_id, "text": [g[0] for g in got], "status": [g[1] for g in got]})
 
-    return prompts.mapInPandas(run, "conv_id long, text string, status string")
+def ask(prompts: DataFrame, model: calls.Model, tries: int = 3, wait: float = 0.0, **limits) -> DataFrame:
+    """prompts (conv_id, prompt) -> conv_id, text, status; the plug-in runs inside the tasks, many conversations at once (see calls.py)."""
+    return calls.ask(prompts.select(F.col("conv_id").cast("long"), "prompt"), model, "prompt", tries=tries, wait=wait, **limits).select("conv_id", "text", "status")
 
 
 def run_rounds(
-    start: DataFrame, model: Callable[[str], str | None], tools: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, str], DataFrame], evaluation: bool = False, most: int = MAX_ROUNDS
+    start: DataFrame, model: calls.Model, tools: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, str], DataFrame], evaluation: bool = False, most: int = MAX_ROUNDS, drop: Callable[..., None] = lambda *_: None, **limits
 ) -> DataFrame:
     """conv_id, turn, role, text, status of all conversations that start (conv_id, text) opens.
 
     A round is one step over all live conversations: ask the model, run the tools (a function of conv_id, turn, text that returns
     conv_id, tool_result), answer. save(df, name) writes a table and reads it back, so plans stay short and rounds survive
-    lost executors; each round adds its own two tables to the log, and none is written again. The driver only asks whether any conversation is live.
+    lost executors; each round adds its own two tables to the log, and none is written again. What a conversation's model is told grows by a round's
+    turns: the prompts of the live ones are a table that the next round's takes the place of (drop deletes the old one); the log isn't
+    read again. The driver only asks whether any conversation is live.
     """
     columns = ["conv_id", "turn", "role", "text", "status"]
-    log = save(start.select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text", F.lit("ok").alias("status")), "rounds-log")
-    live = start.select("conv_id")
+    turn = lambda rows, k, role, status: rows.select("conv_id", F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.coalesce("text", F.lit("")).alias("text"), status)
+    ok = F.lit("ok").alias("status")
+    log = save(turn(start, 0, "user", ok), "rounds-log").select(*columns)
+    prompts = save(log.select("conv_id", F.concat(F.lit("user: "), "text").alias("prompt")), "rounds-prompts")
     for round_no in range(most):
-        ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-        prompts = log.join(live, "conv_id", "left_semi").groupBy("conv_id").agg(ordered.alias("m"))
-        prompts = prompts.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
-        said = save(ask(prompts, model), f"rounds-said-{round_no}")
-        spoken = said.select("conv_id", F.lit(2 * round_no + 1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"), "status")
+        said = save(ask(prompts, model, **limits), f"rounds-said-{round_no}")
         goes_on = said.where((F.col("status") == "ok") & ~accepted(F.coalesce("text", F.lit("")), evaluation))
         done = tools(goes_on.select("conv_id", F.lit(2 * round_no + 1).cast("long").alias("turn"), "text"))
-        answered = goes_on.join(done.select("conv_id", "tool_result"), "conv_id", "left")
-        host = answered.select(
-            "conv_id", F.lit(2 * round_no + 2).cast("long").alias("turn"), F.lit("user").alias("role"), reply(F.col("text"), F.col("tool_result"), F.lit(round_no), most).alias("text"), F.lit("ok").alias("status")
-        )
+        answered = goes_on.select("conv_id", "text").join(done.select("conv_id", "tool_result"), "conv_id", "left")
+        host = answered.select("conv_id", reply(F.col("text"), F.col("tool_result"), F.lit(round_no), most).alias("text"))
         host = save(host, f"rounds-host-{round_no}")
-        log = log.select(*columns).unionByName(spoken.select(*columns)).unionByName(host.select(*columns))
-        live = host.select("conv_id")
-        if live.isEmpty():
+        log = log.unionByName(turn(said, 2 * round_no + 1, "assistant", F.col("status"))).unionByName(turn(host, 2 * round_no + 2, "user", ok))
+        if host.isEmpty():
             break
+        told = goes_on.select("conv_id", F.col("text").alias("_said")).join(host.select("conv_id", F.col("text").alias("_host")), "conv_id")
+        longer = F.concat("prompt", F.lit("\nassistant: "), "_said", F.lit("\nuser: "), "_host")
+        before, prompts = prompts, save(prompts.join(told, "conv_id").select("conv_id", longer.alias("prompt")), "rounds-prompts")
+        drop(before)
+    drop(prompts)
     return log
 
 
@@ -142,7 +131,7 @@ def prompt_choice(has_subtitles: Column, dataset: Column, known: dict[str, str],
 def frame_content(frames: Column, times: Column, question: Column, timestamps: bool = True) -> Column:
     """The parts of a message to a vision model: each frame (after its time, if timestamps), then the question."""
     part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
-    said = lambda t: F.concat(F.lit("["), F.format_number(t, 2), F.lit(" second]"))
+    said = lambda t: F.concat(F.lit("["), t.cast("string"), F.lit(" second]"))
     each = F.transform(F.arrays_zip(frames.alias("f"), times.alias("t")), lambda x: F.array(*([part("text", said(x["t"]))] if timestamps else []), part("image_url", x["f"])))
     return F.concat(F.flatten(each), F.array(part("text", question)))
 

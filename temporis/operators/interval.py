@@ -31,22 +31,51 @@ def clamp(b: Column, e: Column, duration: Column) -> Column:
     return F.struct(F.when(inside(e) <= inside(b), inside(e) - 1).otherwise(inside(b)).alias("start_s"), inside(e).alias("end_s"))
 
 
+#: Cells of a level are as many times as wide as those of the level below; the highest level.
+FACTOR, LEVELS = 4, 16
+
+
+def _level(width: float) -> Column:
+    """The lowest level whose cells are as wide as the interval is long."""
+    sizes = (F.col("end_s") - F.col("start_s")) / F.lit(width)
+    out = F.lit(LEVELS)
+    for level in reversed(range(LEVELS)):
+        out = F.when(sizes <= float(FACTOR**level), F.lit(level)).otherwise(out)
+    return out
+
+
+def interval_cells(df: DataFrame, name: str, key: str, width: float, others: list[int]) -> DataFrame:
+    """df once for each cell that an interval touches: cells of its own level, two at most, and of those `others` levels
+    that are wider. Columns {name} (the row), {name}_key, {name}_own, {name}_level, {name}_cell."""
+    level = F.col("_own")
+    levels = F.array_union(F.array(level), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > level))
+    cell = lambda t, x: F.floor(t / (F.lit(float(width)) * F.pow(F.lit(float(FACTOR)), x))).cast("long")
+    cells = F.flatten(F.transform(levels, lambda x: F.transform(F.sequence(cell(F.col("start_s"), x), cell(F.col("end_s"), x)), lambda c: F.struct(x.alias("level"), c.alias("cell")))))
+    out = df.where(F.col("start_s") <= F.col("end_s")).withColumn("_own", _level(width))
+    out = out.select(F.col(key).alias(f"{name}_key"), F.struct(*df.columns).alias(name), F.col("_own").alias(f"{name}_own"), F.explode(cells).alias("_x"))
+    return out.select(name, f"{name}_key", f"{name}_own", F.col("_x.level").alias(f"{name}_level"), F.col("_x.cell").alias(f"{name}_cell"))
+
+
+def interval_levels(df: DataFrame, width: float) -> list[int]:
+    """The levels that a table's intervals have: LEVELS + 1 numbers at most."""
+    return sorted(r[0] for r in df.where(F.col("start_s") <= F.col("end_s")).select(_level(width)).distinct().collect())
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Pairs of the same key whose intervals (start_s, end_s) overlap, as l and r structs; each pair once.
 
-    Both sides go to every cell of `width` seconds that they touch and are joined on (key, cell): an equi join that spreads a
-    long video over many tasks. A pair is kept in the cell where the later of the two starts.
+    Cells have several widths: `width` seconds, and powers of FACTOR of it. An interval goes to the one or two cells of its own size that it touches, and
+    to cells of those wider sizes that intervals of the other side have; a pair meets in cells of the longer one's size,
+    and is kept in the cell where the later of the two starts. So an equi join on (key, level, cell) spreads a long video over many tasks, and an
+    interval of hours is a few rows, as one of seconds is. Null and turned intervals take no part.
     """
-
-    def cells(df: DataFrame, name: str) -> DataFrame:
-        first, last = F.floor(F.col("start_s") / width), F.floor(F.col("end_s") / width)
-        out = df.where(F.col("start_s") <= F.col("end_s"))
-        return out.select(F.col(key).alias(f"{name}_key"), F.struct(*df.columns).alias(name), F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias(f"{name}_cell"))
-
-    l, r = cells(left, "l"), cells(right, "r")
-    home = F.floor(F.greatest("l.start_s", "r.start_s") / width)
-    cond = (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell"))
-    return l.join(r, cond).where(overlaps(F.col("l.start_s"), F.col("l.end_s"), F.col("r.start_s"), F.col("r.end_s")) & (F.col("l_cell") == home)).select("l", "r")
+    l = interval_cells(left, "l", key, width, interval_levels(right, width))
+    r = interval_cells(right, "r", key, width, interval_levels(left, width))
+    cond = (F.col("l_key") == F.col("r_key")) & (F.col("l_level") == F.col("r_level")) & (F.col("l_cell") == F.col("r_cell"))
+    longer = F.col("l_level") == F.greatest("l_own", "r_own")
+    home = F.floor(F.greatest("l.start_s", "r.start_s") / (F.lit(float(width)) * F.pow(F.lit(float(FACTOR)), F.col("l_level")))).cast("long")
+    overlap = overlaps(F.col("l.start_s"), F.col("l.end_s"), F.col("r.start_s"), F.col("r.end_s"))
+    return l.join(r, cond).where(longer & overlap & (F.col("l_cell") == home)).select("l", "r")
 
 
 def nearest_join(points: DataFrame, items: DataFrame, key: str, point: str = "t", item: str = "t_s", width: float = 60.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from temporis.functions import vector
+from temporis.operators import tiles
 from temporis.operators.interval import of_clip
 
 #: Fixed value: threshold modes look at this many candidates.
@@ -72,44 +73,44 @@ def merge_sub_queries(hits: DataFrame, call: list[str], start: str = "start_s")
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def _dealt(rows: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-    """rows with their block, and once for each block of the other side."""
-    block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0])
-    return rows.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+def _lengths(vectors: pd.Series) -> np.ndarray:
+    return np.array([0 if v is None else len(v) for v in vectors], np.int64)
 
 
-def _matrix(vectors: pd.Series, dim: int, unit: bool) -> np.ndarray:
-    """A row for each vector, of unit length if asked for; NaN where it is null, of another length, or has no direction."""
-    out = np.full((len(vectors), dim), np.nan)
-    for k, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[k] = v
-    if unit:
-        n = np.sqrt((out * out).sum(1, keepdims=True))
-        out = np.divide(out, n, out=np.full_like(out, np.nan), where=n > 0)
-    return out
+def _dims(vectors: pd.Series) -> list[int]:
+    """The lengths that vectors have; null and empty ones have none."""
+    return [d for d in np.unique(_lengths(vectors)).tolist() if d]
 
 
-def _dim(*sides: pd.Series) -> int:
-    return next((len(v) for side in sides for v in side if v is not None), 1)
+def _whole(vectors: pd.Series, dim: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors can be compared (of that length, finite, and with a direction if unit), and a row for each, of unit length if asked for."""
+    at = np.flatnonzero(_lengths(vectors) == dim)
+    rows = np.array([vectors.iloc[k] for k in at], float).reshape(len(at), dim)
+    ok = np.isfinite(rows).all(1)
+    if unit:
+        with np.errstate(invalid="ignore", over="ignore"):
+            n = np.sqrt((rows * rows).sum(1, keepdims=True))
+            ok &= (n[:, 0] > 0) & np.isfinite(n[:, 0])
+        return at[ok], rows[ok] / n[ok]
+    return at[ok], rows[ok]
 
 
 def logits(texts: DataFrame, images: DataFrame, logit_scale: float, block: int = 2048) -> DataFrame:
     """text_id, image_ids, logits: for each text and block of images the inner products of unit vectors times exp(logit_scale), by
-    matrix products over blocks of texts and of images. Pairs with a zero or null vector have a null logit."""
-    n_i, n_t = max(1, -(-images.count() // block)), max(1, -(-texts.count() // block))
-    left = _dealt(images.select("image_id", F.col("image_embedding").alias("e")), "image_id", n_i, n_t, ("a", "b"))
-    right = _dealt(texts.select("text_id", F.col("text_embedding").alias("e")), "text_id", n_t, n_i, ("b", "a"))
+    matrix products over blocks of texts and of images. Pairs with a zero, null or not finite vector, or of unequal lengths, have a null logit."""
+    left, right = tiles.dealt(images.select("image_id", F.col("image_embedding").alias("e")), texts.select("text_id", F.col("text_embedding").alias("e")), "image_id", "text_id", None, block)
 
     def cell(i: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(t):
             return pd.DataFrame([], columns=["text_id", "image_ids", "logits"])
         i = i.sort_values("image_id")
-        dim = _dim(i.e, t.e)
-        found = _matrix(t.e, dim, True) @ _matrix(i.e, dim, True).T * np.exp(logit_scale)
+        found = np.full((len(t), len(i)), np.nan)
+        for dim in _dims(t.e):
+            (a, x), (b, y) = _whole(t.e, dim, True), _whole(i.e, dim, True)
+            found[np.ix_(a, b)] = x @ y.T * np.exp(logit_scale)
         return pd.DataFrame({"text_id": t.text_id, "image_ids": [i.image_id.to_numpy()] * len(t), "logits": list(found)})
 
-    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, "text_id long, image_ids array<long>, logits array<double>")
+    got = left.groupBy(*tiles.TILE).cogroup(right.groupBy(*tiles.TILE)).applyInPandas(cell, "text_id long, image_ids array<long>, logits array<double>")
     return got.withColumn("logits", F.transform("logits", lambda x: F.when(~F.isnan(x), x)))
 
 
@@ -125,9 +126,13 @@ def logit_rows(blocks: DataFrame) -> DataFrame:
     pairs = F.filter(F.arrays_zip("image_ids", "logits"), lambda x: x["logits"].isNotNull())
     each = blocks.select("text_id", pairs.alias("p")).where(F.size("p") > 0)
     first = F.array_min(F.transform("p", lambda x: F.struct((0.0 - x["logits"]).alias("below"), x["image_ids"].alias("image_id"))))
-    each = each.select("text_id", F.size("p").cast("long").alias("n"), first.alias("first"), F.aggregate("p", F.lit(0.0), lambda s, x: s + F.exp(x["logits"])).alias("e"))
-    out = each.groupBy("text_id").agg(F.sum("n").alias("n_images"), F.min("first").alias("first"), F.sum("e").alias("e"))
-    return out.select("text_id", "n_images", F.col("first.image_id").alias("best_image"), (0.0 - F.col("first.below")).alias("best_logit"), F.log("e").alias("log_sum_exp"))
+    each = each.select("text_id", "p", first.alias("first")).withColumn("most", 0.0 - F.col("first.below"))
+    rest = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.exp(x["logits"] - F.col("most")))
+    each = each.select("text_id", F.size("p").cast("long").alias("n"), "first", F.struct("most", rest.alias("e")).alias("x"))
+    # a number or two a block, shifted by the largest logit of all blocks: no scale overflows
+    out = each.groupBy("text_id").agg(F.sum("n").alias("n_images"), F.min("first").alias("first"), F.collect_list("x").alias("x")).withColumn("most", 0.0 - F.col("first.below"))
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x["e"] * F.exp(x["most"] - F.col("most")))
+    return out.select("text_id", "n_images", F.col("first.image_id").alias("best_image"), F.col("most").alias("best_logit"), (F.col("most") + F.log(total)).alias("log_sum_exp"))
 
 
 def search_blocks(
@@ -136,39 +141,44 @@ def search_blocks(
     """query_id, clip_no, score, rank, and the `on` columns: the k best items of each query, of the same `on` values, by cosine (or the raw inner
     product). Scores that are equal when rounded to `digits`, where given, are ties; ties go to the smaller item.
 
-    Both sides are dealt to blocks of about `block` rows; a cell of two blocks yields the k best of each query, one packed row
-    a query, so the shuffle carries blocks and short lists, never a score matrix. One matrix product a tile of queries finds the
-    candidates, whose scores are then summed in order of components. Null, zero (for cosines) and other-length vectors take no part.
+    Both sides are dealt to tiles (see tiles.py): blocks of about `block` rows of a group, small groups together; a tile yields the k best
+    of each of its queries, one packed row a query, so the shuffle carries blocks and short lists, never a score matrix. One matrix product a block of queries finds
+    the candidates, whose scores are then summed in order of components. A query meets the items of its own length; null, zero (for
+    cosines) and not finite vectors take no part.
     """
-    n_i, n_q = max(1, -(-items.count() // block)), max(1, -(-queries.count() // block))
     on = on or []
-    left = _dealt(items.select(*on, item, F.col("embedding").cast("array<double>").alias("e")), item, n_i, n_q, ("_a", "_b"))
-    right = _dealt(queries.select(*on, query, F.col("query").cast("array<double>").alias("q")), query, n_q, n_i, ("_b", "_a"))
+    left = items.select(*on, item, F.col("embedding").cast("array<double>").alias("e"))
+    right = queries.select(*on, query, F.col("query").cast("array<double>").alias("q"))
+    left, right = tiles.dealt(left, right, item, query, on, block)
     kinds = dict(items.dtypes) | dict(queries.dtypes)
     names = [*on, query, "items", "scores"]
+    slack = 10.0**-digits if digits is not None else 1e-9
+
+    def group(i: pd.DataFrame, q: pd.DataFrame) -> Iterator[tuple]:
+        for dim in _dims(q.q):
+            (own, e), (asks, qs) = _whole(i.e, dim, normalised), _whole(q.q, dim, normalised)
+            ids, names_of = i[item].to_numpy()[own], q[[*on, query]].iloc[asks]
+            for a in range(0, len(qs) if len(ids) else 0, 256):
+                near = qs[a : a + 256] @ e.T
+                bars = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(near), -np.inf)
+                for row, v, n, bar in zip(names_of.iloc[a : a + 256].itertuples(index=False), qs[a : a + 256], near, bars, strict=True):
+                    at = np.flatnonzero(n >= bar - slack * max(1.0, abs(bar)))
+                    s = (e[at] * v).sum(1)
+                    s = s if digits is None else s.round(digits)
+                    first = np.lexsort((ids[at], -s))[:k]
+                    yield *row, ids[at[first]], s[first]
 
     def cell(i: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(q):
             return pd.DataFrame([], columns=names)
         i = i.sort_values(item)
-        dim = _dim(i.e, q.q)
-        e, qs = _matrix(i.e, dim, normalised), _matrix(q.q, dim, normalised)
-        whole, asks = ~np.isnan(e).any(1), ~np.isnan(qs).any(1)
-        ids, e, q, qs = i[item].to_numpy()[whole], e[whole], q[asks], qs[asks]
-        out, slack = [], 10.0**-digits if digits is not None else 1e-9
-        for a in range(0, len(qs) if len(ids) else 0, 256):
-            near = qs[a : a + 256] @ e.T
-            bars = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(near), -np.inf)
-            for row, v, n, bar in zip(q[[*on, query]].iloc[a : a + 256].itertuples(index=False), qs[a : a + 256], near, bars, strict=True):
-                at = np.flatnonzero(n >= bar - slack * max(1.0, abs(bar)))
-                s = (e[at] * v).sum(1)
-                s = s if digits is None else s.round(digits)
-                first = np.lexsort((ids[at], -s))[:k]
-                out.append((*row, ids[at[first]], s[first]))
-        return pd.DataFrame(out, columns=names)
+        if not on:
+            return pd.DataFrame(list(group(i, q)), columns=names)
+        asked = dict(list(q.groupby(on, sort=False)))
+        return pd.DataFrame([x for key, own in i.groupby(on, sort=False) if key in asked for x in group(own, asked[key])], columns=names)
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*on, query)), f"items array<{kinds[item]}>", "scores array<double>"])
-    got = left.groupBy("_a", "_b", *on).cogroup(right.groupBy("_a", "_b", *on)).applyInPandas(cell, schema)
+    got = left.groupBy(*tiles.TILE).cogroup(right.groupBy(*tiles.TILE)).applyInPandas(cell, schema)
     pairs = F.transform(F.arrays_zip("scores", "items"), lambda x: F.struct((0.0 - x["scores"]).alias("below"), x["items"].alias("item")))
     first = got.groupBy(*on, query).agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("x"))
     return first.select(*on, query, F.posexplode("x").alias("at", "x")).select(*on, query, F.col("x.item").alias(item), (0.0 - F.col("x.below")).alias("score"), (F.col("at") + 1).alias("rank"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from temporis.functions import text as T
 
-#: Tools in the order they run, with the results each asks for by default.
+#: Tools in the order they run, with the results each asks for by default. An image query gets one more than is asked for, ten by default.
 TOOLS = (
     ("video_reader", None),
     ("video_browser", None),
     ("video_segment_retriever_textual_query", 5),
-    ("video_segment_retriever_image_query", 10),
+    ("video_segment_retriever_image_query", 9),
     ("subtitle_retriever", 15),
     ("subtitle_extractor", None),
 )
@@ -83,8 +83,10 @@ def ranges(calls: DataFrame, several: bool = False) -> DataFrame:
 
 
 def results(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, tool_result, tools: the results of a turn's calls one after the other, in order of tool and call."""
-    ordered = F.array_sort(F.collect_list(F.struct("priority", "call_no", "result")))
+    """conv_id, turn, tool_result, tools: the results of a turn's calls one after the other, in order of tool and call, and of sub-query
+    where rows have sub_no."""
+    order = [c for c in ("priority", "call_no", "sub_no") if c in rows.columns]
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "result")))
     return rows.groupBy("conv_id", "turn").agg(F.array_join(F.transform(ordered, lambda x: x["result"]), "").alias("tool_result"), F.array_sort(F.collect_set("tool")).alias("tools"))
 
 
@@ -101,11 +103,21 @@ def result_text(tool: Column, body: Column, found: Column) -> Column:
     return out
 
 
+def quoted(text: Column) -> Column:
+    """A string as the model is shown it within a list: in single quotes, or in double ones if it holds a single one only."""
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, said in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(said))
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    in_single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(in_single)
+
+
+def listed(parts: Column) -> Column:
+    """Strings as one list; an empty one for null."""
+    return F.concat(F.lit("["), F.coalesce(F.array_join(parts, ", "), F.lit("")), F.lit("]"))
+
+
 def answers_by_call(queries: DataFrame, answers: DataFrame) -> DataFrame:
     """Queries with their answers by (conv_id, turn, call_no), not by place in a list."""
     return queries.join(answers, ["conv_id", "turn", "call_no"], "left")
-
-
-def call_order(calls: DataFrame) -> DataFrame:
-    """place: of a call in its turn, in the order tools run."""
-    return calls.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("priority", "call_no")))

@@ -34,7 +34,8 @@ class Engine:
         return toolcall.parse(turns, compat, self.settings.subtitle_k)
 
     def reader_plan(self, calls: DataFrame, frames: DataFrame, compat: str = "fixed") -> DataFrame:
-        """conv_id, turn, call_no, question, frames: the times of the frames that each video_reader call gets."""
+        """conv_id, turn, call_no, video_id, question, frames, points: the times of the frames that each video_reader call gets, and the times that were
+        asked for."""
         reads = calls.where("tool = 'video_reader'")
         spans = toolcall.ranges(reads).withColumn("points", sample.interval_points(F.col("begin_s"), F.col("end_s"), self.settings.clip_fps))
         from temporis.functions.text import clip_numbers
@@ -46,7 +47,7 @@ class Engine:
         return self._frames_at(points, frames, keys, compat)
 
     def browser_plan(self, calls: DataFrame, videos: DataFrame, frames: DataFrame, compat: str = "fixed") -> DataFrame:
-        """conv_id, turn, video_id, question, frames: the times of the frames of the whole video that each video_browser call gets.
+        """conv_id, turn, video_id, question, frames, points: as reader_plan, of the whole video, for each video_browser call.
 
         The frames are those of [0, duration], found once for each video that is asked about.
         """
@@ -56,10 +57,10 @@ class Engine:
         return asked.select("conv_id", "turn", "video_id", "question").join(self._frames_at(points, frames, ["video_id"], compat), "video_id")
 
     def _frames_at(self, points: DataFrame, frames: DataFrame, keys: list[str], compat: str) -> DataFrame:
-        """keys, frames: the times of the readable frames nearest to the points (t), thinned and filled up."""
+        """keys, frames, points: the times of the readable frames nearest to the points (t), and those points, thinned and filled up."""
         near = sample.readable_frames(points, frames).select(*keys, "t", F.col("nearest.t_s").alias("t_s"))
         kept = sample.thinned(near, keys, ["t", "t_s"], "stride" if compat == "literal" else "uniform", self.settings.max_frames, self.settings.min_frames)
-        return kept.select(*keys, F.transform("frames", lambda x: x["t_s"]).alias("frames"))
+        return kept.select(*keys, F.transform("frames", lambda x: x["t_s"]).alias("frames"), F.transform("frames", lambda x: x["t"]).alias("points"))
 
     def segment_hits(self, calls: DataFrame, vectors: DataFrame, encoded: DataFrame) -> DataFrame:
         """conv_id, turn, call_no, sub_no, sub_query, clip_no, score, rank of each textual retriever call's sub-queries: the topk clips of the call's

@@ -36,6 +36,16 @@ def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     def save(df: DataFrame, name: str) -> DataFrame:
         path = folder(spark, name)
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        out._written = path
+        return out
 
     return save
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that a saver wrote and that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

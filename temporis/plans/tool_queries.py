@@ -315,40 +315,150 @@ def loop_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spoken(spark, sf_dir).select("conv_id", "turn", agent.rounds_left(F.row_number().over(order) - 1).alias("rounds_left"))
 
 
-@query("loop1_live_rounds", "SELECT DISTINCT conv_id, CAST(3 AS BIGINT) AS rounds, 'C' AS answer, CAST(6 AS BIGINT) AS n_messages FROM conversations")
-def loop_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations through the live loop with a scripted model: a tool round, a turn without form, then an answer."""
-    from temporis.plans.plugins import scripted_model
-    from temporis.plans.saving import saver
+#: Stand-ins of the live loop: a conversation is about the video of its number's last digit; a text's vector is the row numbered by its first character's code
+#: and its length; what is seen at a second, the row of that number; a subtitle lasts three seconds, from a quarter of its number on.
+_TEXT_ROW = "(ascii({0}) + 37 * length({0})) % 500"
 
-    start = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    model = scripted_model([f"<{_SUBS}>who</{_SUBS}><topk>2</topk>", "no format", "<answer>C</answer>"])
-    log = agent.run_rounds(start, model, _no_hits, saver(spark))
-    return agent.replay(log).select("conv_id", "rounds", "answer", "n_messages")
 
+class _ReadsResults:
+    """A model that asks all tools about its video, then breaks the form, then answers by the first clip that it was told of."""
+
+    def __call__(self, prompt: str) -> str:
+        rounds, n = prompt.count("\nassistant: "), int(prompt.removeprefix("user: video ")[0])
+        if rounds == 0:
+            return (
+                f"<thinking>all</thinking><video_reader>{n};3</video_reader><video_reader_question>who?</video_reader_question><video_browser_question>what happens?</video_browser_question>"
+                f"<{_RETRIEVE}>red car;dog {n}</{_RETRIEVE}><topk>3</topk><{_IMAGE}>{10 * n}.0</{_IMAGE}><{_SUBS}>who;where</{_SUBS}><subtitle_extractor>0:60;90:120;never</subtitle_extractor>"
+            )
+        return "no format" if rounds == 1 else f"<answer>({_letter(prompt)})</answer>"
+
+
+def _letter(prompt: str) -> str:
+    """By the first number in the first list of clips that the prompt holds."""
+    told = prompt.partition("are:\n[")[2]
+    number = told.partition("]")[0].partition(",")[0]
+    return chr(65 + int(number) % 4) if number else "-"
+
+
+class _Answers:
+    """An evaluated model: an answer beside a tool call, which isn't taken, then the letter of what it was told."""
+
+    def __call__(self, prompt: str) -> str:
+        if "\nassistant: " not in prompt:
+            return f"<answer>A</answer><{_RETRIEVE}>Q{len(prompt)}</{_RETRIEVE}>"
+        return f"<answer>option ({_letter(prompt)})</answer>"
 
-def _no_hits(rows: DataFrame) -> DataFrame:
-    calls = toolcall.parse(rows)
-    return toolcall.results(calls.withColumn("result", toolcall.result_text(F.col("tool"), F.col("body"), F.lit("[]"))))
+
+def _sees(parts) -> str:
+    """A vision model that says what it was shown."""
+    shown = [p["value"] for p in parts if p["type"] == "text"][:-1]
+    return f"{sum(p['type'] == 'image_url' for p in parts)} frames, {shown[0]} to {shown[-1]}"
+
+
+def toolbox(spark: SparkSession, sf_dir: str, subjects: DataFrame):
+    """The tools over the stand-ins. subjects: conv_id, video_id, question."""
+    from temporis.plans import saving
+    from temporis.plans.engine import Engine
+    from temporis.plans.toolbox import Toolbox
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), "vec_id", "embedding")
+    seq = F.col("vec_id")
+    text = F.concat(F.when(seq % 3 == 0, "it's ").otherwise("line "), seq.cast("string"))
+    subtitles = vectors.select("video_id", seq.alias("seq"), F.expr("cast(vec_id div 4 as double)").alias("start_s"), F.expr("cast(vec_id div 4 + 3 as double)").alias("end_s"), text.alias("text"))
+    row = ((F.ascii("text") + 37 * F.length("text")) % 500).cast("long")
+    encode = lambda texts: texts.select("text", row.alias("vec_id")).join(vectors.select("vec_id", F.col("embedding").alias("query")), "vec_id").drop("vec_id")
+    second = (F.col("t") % 500).cast("long")
+    moments = lambda rows: rows.withColumn("vec_id", second).join(vectors.select("vec_id", F.col("embedding").alias("video_query")), "vec_id").drop("vec_id")
+    return Toolbox(
+        Engine(spark, Settings()), subjects, schemas.videos(spark, sf_dir), schemas.frames(spark, sf_dir).select("video_id", "t_s", "frame_no", "is_valid"),
+        vectors.withColumnRenamed("vec_id", "clip_no"), subtitles, vectors.withColumnRenamed("vec_id", "seq"), encode, moments, _sees, saving.saver(spark), saving.drop,
+    )
+
+
+def _shown_sql(points: str) -> str:
+    """What the vision stand-in says of the points (v, k, t) whose nearest frame is readable."""
+    return f"""(SELECT v, CASE WHEN m > 32 THEN 32 WHEN m < 10 THEN 10 ELSE m END || ' frames, [' || l[1] || ' second] to [' ||
+    l[CAST(CASE WHEN m > 32 THEN floor(31 * (m / 32.0::DOUBLE)) WHEN m < 10 THEN floor(9 * (m / 10.0::DOUBLE)) ELSE m - 1 END AS BIGINT) + 1] || ' second]' AS said
+  FROM (SELECT v, list(t ORDER BY t, t_s) AS l, count(*) AS m FROM (
+    SELECT p.v, p.t, f.t_s, f.is_valid, row_number() OVER (PARTITION BY p.v, p.k, p.t ORDER BY abs(f.t_s - p.t), f.t_s, f.frame_no) AS n FROM {points} p JOIN frames f ON f.video_id = p.v
+  ) WHERE n = 1 AND is_valid GROUP BY v))"""
+
+
+def _hits_sql(text: str) -> str:
+    """v, told: the three clips of a video that are nearest to the text's vector."""
+    return f"""(SELECT v, '[' || string_agg(clip, ', ' ORDER BY rank) || ']' AS told FROM (
+    SELECT x.v, c.vec_id AS clip, row_number() OVER (PARTITION BY x.v ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) DESC, c.vec_id) AS rank
+    FROM (SELECT v, {text} AS s FROM about) x JOIN embeddings a ON a.vec_id = {_TEXT_ROW.format("s")} JOIN embeddings c ON c.label = x.v) WHERE rank <= 3 GROUP BY v)"""
+
+
+_TIMED_SQL = """timed AS (SELECT label AS v, vec_id AS seq, vec_id // 4 AS b, vec_id // 4 + 3 AS e, CASE WHEN vec_id % 3 = 0 THEN '"it''s ' || vec_id || '"' ELSE '''line ' || vec_id || '''' END AS said, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
+
+
+def _range_sql(b: int, e: int) -> str:
+    said = "string_agg('{''begin_timestamp'': ' || b || ', ''end_timestamp'': ' || e || ', ''subtitle'': ' || said || '}', ', ' ORDER BY b, seq)"
+    return f"(SELECT a.v, '[' || coalesce((SELECT {said} FROM timed t WHERE t.v = a.v AND b BETWEEN {b} AND {e}), '') || ']' AS told FROM about a)"
+
+
+def _told_sql(tool: str, body: str, found: str) -> str:
+    return f"'The tool results for <{tool}>' || {body} || '</{tool}> are:' || chr(10) || {found} || chr(10)"
+
+
+_LIVE = f"""WITH {schemas.VIDEOS_SQL}, {_TIMED_SQL},
+talks AS (SELECT conv_id, conv_id % 10 AS v, 'video ' || conv_id % 10 || ': ' || arg_min(text, turn) AS question FROM conversations GROUP BY conv_id),
+about AS (SELECT DISTINCT v FROM talks),
+read_points AS (SELECT v, k, (CASE k WHEN 0 THEN v ELSE 3 END) * 10.0::DOUBLE + i * 0.5 AS t FROM about, range(2) a(k), range(20) b(i)),
+seen_points AS (SELECT v, 0 AS k, i * 0.5::DOUBLE AS t FROM (SELECT video_id AS v, unnest(range(CAST(floor((CASE WHEN duration < 1 THEN duration + 0.5 ELSE duration END) * 2) AS BIGINT))) AS i FROM videos WHERE video_id IN (SELECT v FROM about))),
+readers AS (SELECT v, 'The tool result of <video_reader>' || v || ';3</video_reader> is:' || chr(10) || ' ' || said || chr(10) AS told FROM {_shown_sql("read_points")}),
+browsers AS (SELECT v, 'The tool result of <video_browser_question>what happens?</video_browser_question> is:' || chr(10) || ' ' || said || chr(10) AS told FROM {_shown_sql("seen_points")}),
+cars AS {_hits_sql("'red car'")}, dogs AS {_hits_sql("'dog ' || v")},
+image_scores AS (
+  SELECT q.conv_id, q.v, c.vec_id AS clip, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) + list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score
+  FROM talks q JOIN embeddings a ON a.vec_id = 10 * q.v JOIN embeddings b ON b.vec_id = {_TEXT_ROW.format("q.question")} JOIN embeddings c ON c.label = q.v),
+image_ranks AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, clip) AS rank FROM image_scores),
+images AS (SELECT q.conv_id, '[' || coalesce(string_agg(clip, ', ' ORDER BY rank), '') || ']' AS told FROM talks q LEFT JOIN image_ranks r ON r.conv_id = q.conv_id AND rank <= 4 AND NOT (clip * 10 <= 10 * q.v AND 10 * q.v <= clip * 10 + 10) GROUP BY q.conv_id),
+sub_scores AS (SELECT a.v, n, seq, b, e, said, row_number() OVER (PARTITION BY a.v, n ORDER BY round(list_inner_product(CAST(m.embedding AS DOUBLE[]), x), 12) DESC, seq) AS rank
+  FROM about a, (VALUES (0, 'who'), (1, 'where')) w(n, s) JOIN embeddings m ON m.vec_id = {_TEXT_ROW.format("s")} JOIN timed t ON t.v = a.v),
+sub_firsts AS (SELECT *, row_number() OVER (PARTITION BY v, b ORDER BY n, rank) AS first FROM sub_scores WHERE rank <= 3),
+subs AS (SELECT v, '[' || string_agg('{{''begin_timestamp'': ' || CAST(b AS DOUBLE) || ', ''end_timestamp'': ' || CAST(e AS DOUBLE) || ', ''text'': ' || said || '}}', ', ' ORDER BY b, n, rank) || ']' AS told FROM sub_firsts WHERE first = 1 GROUP BY v),
+told AS (SELECT q.conv_id, cars.told AS first, concat(readers.told, browsers.told, {_told_sql(_RETRIEVE, "'red car'", "cars.told")}, {_told_sql(_RETRIEVE, "'dog ' || q.v", "dogs.told")}, {_told_sql(_IMAGE, "10 * q.v || '.0'", "images.told")},
+  {_told_sql(_SUBS, "'who;where'", "subs.told")}, {_told_sql("subtitle_extractor", "'0:60'", "early.told")}, {_told_sql("subtitle_extractor", "'90:120'", "later.told")}) AS tool_result
+  FROM talks q LEFT JOIN readers USING (v) LEFT JOIN browsers USING (v) JOIN cars USING (v) JOIN dogs USING (v) JOIN images USING (conv_id) JOIN subs USING (v) JOIN {_range_sql(0, 60)} early USING (v) JOIN {_range_sql(90, 120)} later USING (v))
+SELECT conv_id, CAST(3 AS BIGINT) AS rounds, chr(CAST(65 + CAST(regexp_extract(first, '[0-9]+') AS BIGINT) % 4 AS INTEGER)) AS answer, CAST(6 AS BIGINT) AS n_messages, tool_result || chr(10) || 'You have 19 rounds remaining. Please make the most of each opportunity!' AS told FROM told"""
+
+
+@query("loop1_live_rounds", _LIVE)
+def loop_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations through the live loop: a turn that calls all six tools, a turn without form, then an answer by what the tools told."""
+    from temporis.plans import saving
+
+    start = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    video = (F.col("conv_id") % 10).cast("long")
+    start = start.select("conv_id", F.concat(F.lit("video "), video.cast("string"), F.lit(": "), "text").alias("text"))
+    tools = toolbox(spark, sf_dir, start.select("conv_id", video.alias("video_id"), F.col("text").alias("question")))
+    log = agent.run_rounds(start, _ReadsResults(), tools, saving.saver(spark), drop=saving.drop)
+    told = log.where("turn = 2").select("conv_id", F.col("text").alias("told"))
+    return agent.replay(log).join(told, "conv_id").select("conv_id", "rounds", "answer", "n_messages", "told")
 
 
 @query(
     "eval4_run",
-    """WITH q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'count' ELSE 'order' END AS task, chr(CAST(65 + item_id % 4 AS INTEGER)) AS gold FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels))
-SELECT task, count(*) AS n, round(avg(CASE WHEN gold = 'B' THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM q GROUP BY 1""",
+    f"""WITH q AS (SELECT item_id, item_id % 10 AS v, 'user: Q: ' || text AS prompt, CASE WHEN item_id % 2 = 0 THEN 'count' ELSE 'order' END AS task, chr(CAST(65 + item_id % 4 AS INTEGER)) AS gold FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)),
+  s AS (SELECT q.*, c.vec_id AS clip, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) DESC, c.vec_id) AS rank
+    FROM q JOIN embeddings a ON a.vec_id = {_TEXT_ROW.format("('Q' || length(prompt))")} JOIN embeddings c ON c.label = q.v)
+SELECT task, count(*) AS n, round(avg(CASE WHEN gold = chr(CAST(65 + clip % 4 AS INTEGER)) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM s WHERE rank = 1 GROUP BY 1""",
 )
 def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An evaluation from questions to accuracy: those answered before (labelled numbers) are skipped, the others go through the rounds, an answer
-    beside a tool call isn't taken, and the letter is scored against the gold one."""
-    from temporis.plans.plugins import scripted_model
-    from temporis.plans.saving import saver
+    """An evaluation from questions to accuracy: those answered before (labelled numbers) are skipped, the others go through the rounds with the tools, an answer
+    beside a tool call isn't taken, and the letter, which follows from what the tools told, is scored against the gold one."""
+    from temporis.plans import saving
 
     i = F.col("item_id")
     asked = table(spark, sf_dir, "benchmark").select(i.alias("item"), F.concat(F.lit("Q: "), F.col("text")).alias("question"), i.cast("string").alias("video_path"), F.when(i % 2 == 0, "count").otherwise("order").alias("task"), F.char(65 + i % 4).alias("gold"))
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item")).join(asked, "item").select("question", "video_path")
     left = validity.unprocessed(asked, done)
-    model = scripted_model([f"<answer>A</answer><{_SUBS}>who</{_SUBS}>", "<answer>option (B)</answer>"])
-    log = agent.run_rounds(left.select(F.col("item").alias("conv_id"), F.col("question").alias("text")), model, _no_hits, saver(spark), evaluation=True)
+    start = left.select(F.col("item").alias("conv_id"), F.col("question").alias("text"))
+    tools = toolbox(spark, sf_dir, start.select("conv_id", (F.col("conv_id") % 10).alias("video_id"), F.col("text").alias("question")))
+    log = agent.run_rounds(start, _Answers(), tools, saving.saver(spark), evaluation=True, drop=saving.drop)
     answers = agent.replay(log, evaluation=True).select(F.col("conv_id").alias("item"), "answer")
     scored = left.join(answers, "item").withColumn("score", evaluate.score(F.col("answer"), F.col("gold")))
     return evaluate.accuracy(scored, ["task"])
