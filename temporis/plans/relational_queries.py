@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from temporis.operators import agent
+from temporis.plans import tool_queries
 from temporis.registry import query
 from temporis.session import table
 from temporis.streaming import live, runs
 
-
 #: Revenue has four decimals; as decimals its sums don't depend on their order.
 REVENUE = "cast(l_extendedprice * (1 - l_discount) as decimal(18,4))"
 
@@ -159,30 +156,57 @@ def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select("o_orderstatus", (F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n") + 1).alias("customers_near"), near.alias("prices_near"))
 
 
+@query(
+    "rel_sketches",
+    """WITH d AS (SELECT date_trunc('month', ts) AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT month, CAST(sum(n) AS BIGINT) AS n, string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) AS top, true AS users_near, true AS one_pass_near, true AS ranks_near FROM d GROUP BY 1""",
+)
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of days, kept, then merged to months. Their counts and most frequent kinds are exact; distinct users and ranks of amounts are held against exact
+    figures, and against the sketch of a month made in one pass, within the stated errors."""
+    from temporis.functions import sketches as S
+    from temporis.plans.saving import saver
+
+    rows = table(spark, sf_dir, "events")
+    day, month = F.date_trunc("day", "ts").alias("day"), F.date_trunc("month", "day").alias("month")
+    kept = saver(spark)(S.sketched(rows, [day], "user_id", "value", "event_type"), "day-sketches")
+    told = S.read(S.merged(kept, [month]), ["month"], [0.5, 0.9], 8)
+    of_month = rows.withColumn("month", F.date_trunc("month", "ts"))
+    once = S.read(S.sketched(of_month, ["month"], "user_id", "value", "event_type"), ["month"], [0.5], 8).select("month", F.col("users").alias("users_once"), F.col("quantiles").alias("quantiles_once"))
+    exact = of_month.groupBy("month").agg(F.count_distinct("user_id").alias("exact"), F.percentile("value", [0.5 - S.RANK_ERROR, 0.9 - S.RANK_ERROR]).alias("low"), F.percentile("value", [0.5 + S.RANK_ERROR, 0.9 + S.RANK_ERROR]).alias("high"))
+    both = told.join(once, "month").join(exact, "month")
+    within = lambda q: F.forall(F.arrays_zip(F.col(q).alias("q"), F.slice("low", 1, F.size(q)).alias("low"), F.slice("high", 1, F.size(q)).alias("high")), lambda x: (x["q"] >= x["low"]) & (x["q"] <= x["high"]))
+    ordered = F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("below"), x["item"].alias("item"))))
+    said = F.array_join(F.transform(ordered, lambda x: F.concat_ws("=", x["item"], (-x["below"]).cast("string"))), ",")
+    return both.select(
+        F.col("month").cast("timestamp_ntz").alias("month"), "n", said.alias("top"), S.distinct_is_near(F.col("users"), F.col("exact")).alias("users_near"),
+        (S.distinct_is_near(F.col("users_once"), F.col("exact")) & within("quantiles_once")).alias("one_pass_near"), within("quantiles").alias("ranks_near"),
+    )
+
+
 @query("rel_udaf", "SELECT event_type AS kind, round(exp(avg(ln(1 + abs(value)))), 6) AS mean FROM events GROUP BY 1")
 def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregate of one's own, a geometric mean, in two steps: each partition's sums by Arrow batches, then one row a partition and group."""
+    """An aggregate function of one's own, a geometric mean, over what partitions have summed."""
+    from temporis.functions import own
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield p.assign(s=np.log1p(p.value.abs()), n=1).groupby("kind", as_index=False)[["s", "n"]].sum()
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value")
+    return own.geometric_means(rows, "kind", "value").withColumn("mean", F.round("mean", 6))
 
-    part = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value").mapInPandas(sums, "kind string, s double, n long")
-    return part.groupBy("kind").agg(F.round(F.exp(F.sum("s") / F.sum("n")), 6).alias("mean"))
 
+@query("rel_udf_arrow", "SELECT doc_id, list_sum(list_transform(string_split(text, ''), lambda c: CAST(ord(c) AS BIGINT))) AS codes FROM documents")
+def udf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar function of one's own over Arrow arrays, of whole texts."""
+    from temporis.functions import own
 
-@query("rel_udtf", "SELECT conv_id, turn, i AS place, CAST(ascii(substr(role, CAST(i AS BIGINT) + 1, 1)) AS INTEGER) AS code FROM conversations, range(3) r(i)")
-def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function of one's own, applied to each row."""
+    return table(spark, sf_dir, "documents").select("doc_id", own.code_point_sum("text").alias("codes"))
 
-    @F.udtf(returnType="place long, code int")
-    class FirstCodes:
-        def eval(self, role: str):
-            for place, c in enumerate(role[:3]):
-                yield place, ord(c)
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return rows.lateralJoin(FirstCodes(F.col("role").outer())).select("conv_id", "turn", "place", "code")
+@query("rel_udtf", "SELECT conv_id, turn, i AS place, CAST(ord(substr(role, i + 1, 1)) AS INTEGER) AS code FROM (SELECT conv_id, turn, role, unnest(range(length(role))) AS i FROM conversations)")
+def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function of one's own, applied to the whole table."""
+    from temporis.functions import own
+
+    return own.code_points(table(spark, sf_dir, "conversations"), "role")
 
 
 @query("stream_tumbling_batch", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -237,3 +261,21 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = runs.outcome(live.conversation_state(runs.source(spark, sf_dir, "conversations")), "conversations", "update")
     last = updates.groupBy("conv_id").agg(F.max_by(F.struct("rounds", "n_messages"), F.struct("batch", "n_messages")).alias("x"))
     return last.select("conv_id", "x.rounds", "x.n_messages")
+
+
+#: Turns of conversations with written-in calls, as a stream: those up to the second in a first batch, the others in another, then a turn a day later, by which the others' time is up.
+@query(
+    "stream_closed_conversations",
+    f"""WITH {tool_queries.REPLAY_SQL}, t AS (SELECT conv_id, CAST(sum({" + ".join(f"(length(text) - length(replace(text, '{tag}', ''))) // {len(tag)}" for tag in agent.TOOL_TAGS)}) AS BIGINT) AS calls FROM turns WHERE role = 'assistant' GROUP BY 1)
+SELECT l.conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS rounds, coalesce(max(CASE WHEN turn = stop THEN regexp_extract(regexp_extract(text, '<answer>(.*)</answer>', 1), '[A-Z]') END), 'No final answer provided within maximum rounds') AS answer,
+  count(*) AS n_messages, CAST(count_if(role = 'assistant' AND has_tool) AS BIGINT) AS tool_turns, coalesce(any_value(calls), 0) AS calls FROM l LEFT JOIN t USING (conv_id) GROUP BY l.conv_id""",
+)
+def closed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that a timer closes, equal to their replay."""
+    from temporis.streaming import stateful
+
+    turns = tool_queries.turns(spark, sf_dir).select("conv_id", "turn", "role", "text", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("turn"))).alias("at"))
+    later = spark.createDataFrame([(-1, 0, "user", "")], "conv_id long, turn long, role string, text string").withColumn("at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    stream = runs.in_turn(spark, [turns.where("turn <= 2"), turns.where("turn > 2"), later], "turns-in-turn")
+    done = runs.outcome(stateful.closed_conversations(stream), "closed-conversations", "append", rocks=True).where("kind = 'closed'")
+    return done.select("conv_id", "rounds", "answer", "n_messages", "tool_turns", F.aggregate(F.map_values("tools"), F.lit(0).cast("long"), lambda s, x: s + x).alias("calls"))

@@ -47,12 +47,25 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(files.read_questions(spark, path))
 
 
-@query("src7_vector_store", "SELECT CAST(label AS VARCHAR) AS video_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1")
-def src_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """Vectors of two encoders, written by ranges."""
     path = folder(spark, "vectors")
     rows = schemas.clip_vectors(spark, sf_dir).withColumn("video_id", F.col("video_id").cast("string"))
-    files.save_vectors(rows.withColumn("clip_duration", F.lit(10)).withColumn("encoder", F.when(F.col("clip_no") % 2 == 0, "a").otherwise("b")), path)
-    return files.load_vectors(spark, path, 10, "a").groupBy("video_id").agg(F.count("*").alias("n"), F.sum("clip_no").alias("total"))
+    files.save_vectors(rows.withColumn("clip_duration", F.lit(10)).withColumn("encoder", F.when(F.col("clip_no") % 2 == 0, "a").otherwise("b")), path, 200)
+    return path
+
+
+@query("src7_vector_store", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS encoder, CAST(label AS VARCHAR) AS video_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM embeddings GROUP BY 1, 2")
+def src_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _store(spark, sf_dir)
+    both = files.load_vectors(spark, path, 10, "a").unionByName(files.load_vectors(spark, path, 10, "b"))
+    return both.groupBy("encoder", "video_id").agg(F.count("*").alias("n"), F.sum("clip_no").alias("total"))
+
+
+@query("snk1_vector_ranges", "SELECT CAST(label AS VARCHAR) AS video_id, vec_id AS clip_no FROM embeddings WHERE label IN (3, 7)")
+def snk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two videos read from the store: only files whose ranges hold them."""
+    return files.load_vectors(spark, _store(spark, sf_dir), 10, videos=["3", "7"]).select("video_id", "clip_no")
 
 
 @query("src8_directory", "SELECT chr(CAST(48 + item_id % 3 AS INTEGER)) AS part, count(*) AS n FROM benchmark GROUP BY 1")
@@ -91,6 +104,41 @@ def src_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saver(spark)(found.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("video"), "duration", "fps", "status"), "media-metadata")
 
 
+def probe_path(path: str) -> dict | None:
+    """A plug-in that is given a path, as _probe: it opens what it needs."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return _probe(f.read())
+
+
+def _media_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from temporis.sources import media
+
+    media.register(spark)
+    options = {"path": _media(spark, sf_dir), "pattern": "*.txt", "probe": f"{__name__}:probe_path", "files_per_partition": "2"}
+    return spark.read.format("temporis_media").options(**options).load().withColumn("video", F.regexp_extract("path", "part=([^/]+)", 1))
+
+
+@query(
+    "src9_media_source",
+    "SELECT 'v_' || event_type AS video, CASE WHEN event_type <> 'error' THEN count(*) / 2.0::DOUBLE END AS duration, CASE WHEN event_type <> 'error' THEN 2.0::DOUBLE END AS fps, CASE WHEN event_type <> 'error' THEN 'ok' ELSE 'failed' END AS status FROM events GROUP BY event_type",
+)
+def src_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata by the media source: partitions of files, probed by path."""
+    return _media_rows(spark, sf_dir).select("video", "duration", "fps", "status")
+
+
+@query("src9_media_large", "WITH v AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT 'v_' || event_type AS video, 11 * n AS bytes FROM v WHERE event_type <> 'error' AND 11 * n >= (SELECT 11 * median(n) FROM v WHERE event_type <> 'error')")
+def src_media_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of at least the median size: the filter reaches the listing, and files that it leaves out aren't probed."""
+    rows = _media_rows(spark, sf_dir)
+    sizes = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy("event_type").count()
+    bar = sizes.agg(F.percentile(11 * F.col("count"), 0.5)).first()[0]
+    return rows.where((F.col("bytes") >= int(-(-bar // 1))) & (F.col("video") != "v_error")).select("video", "bytes")
+
+
 @query("src11_decoded_frames", "SELECT 'v_' || event_type AS video, count(*) AS n, CAST(sum(48) AS BIGINT) AS total FROM events WHERE event_type <> 'error' GROUP BY event_type")
 def src_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by a decoder plug-in: one for each line of a stand-in, valued by its first byte."""
@@ -125,16 +173,68 @@ def mth_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("conv_id", "n", (F.when((F.col("held") == 12) & (F.col("chunks") == 3), F.col("n") * 3)).alias("samples"))
 
 
-@query("src12_examples", "SELECT * FROM (VALUES ('film', 7200.0::DOUBLE), ('hour', 3300.0), ('short', 360.0)) t(name, duration_s)")
+@query(
+    "src12_examples",
+    "WITH c AS (SELECT item_id, text, row_number() OVER (PARTITION BY item_id % 3 ORDER BY length(text) DESC, item_id) AS n FROM benchmark) SELECT 'example ' || item_id % 3 AS name, text AS question, CAST(length(text) AS DOUBLE) AS duration_s FROM c WHERE n = 1",
+)
 def src_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.examples(spark).select("name", "duration_s")
+    """Ready questions as the demo offers them, one of each kind: stored as a list, and read by the examples source."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.length("text").cast("double").alias("duration_s"))
+    longest = rows.groupBy((F.col("item_id") % 3).alias("kind")).agg(F.max_by(F.struct("question", "duration_s"), F.struct("duration_s", -F.col("item_id"))).alias("x"))
+    path = folder(spark, "examples")
+    longest.select(F.concat(F.lit("example "), F.col("kind").cast("string")).alias("name"), "x.*").write.json(path)
+    return files.examples(spark, path)
 
 
-@query("src13_settings", "SELECT * FROM (VALUES ('clip_duration', '10'), ('max_frames', '32'), ('min_frames', '10'), ('max_rounds', '20')) t(name, value)")
+@query("src13_settings", "SELECT conv_id, CAST(3 + conv_id % 5 AS BIGINT) AS clips FROM (SELECT DISTINCT conv_id FROM conversations)")
 def src_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files.Settings().store(spark)
-    own = files.Settings.load(spark)
-    return spark.createDataFrame([(n, str(getattr(own, n))) for n in ("clip_duration", "max_frames", "min_frames", "max_rounds")], "name string, value string")
+    """Settings stored in the session and loaded again decide a grid: clips of five seconds, of videos of 11 to 31 seconds."""
+    from temporis.plans.engine import Engine
+
+    before = {f"temporis.{k}": spark.conf.get(f"temporis.{k}", None) for k in vars(files.Settings())}
+    files.Settings(clip_duration=5).store(spark)
+    try:
+        engine = Engine(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    videos = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("video_id"), (11.0 + 5 * (F.col("conv_id") % 5)).alias("duration"))
+    return engine.clips(videos).groupBy(F.col("video_id").alias("conv_id")).agg(F.count("*").alias("clips"))
+
+
+@query("snk2_results_commit", "SELECT doc_id, quality, toxic FROM labels")
+def snk_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by the committing sink: a run that is made again under its batch's name is written once."""
+    from temporis.sources import media
+
+    media.register(spark)
+    path, rows = folder(spark, "committed"), table(spark, sf_dir, "labels")
+    for _ in range(2):
+        rows.write.format("temporis_results").mode("append").options(path=path, batch="first").save()
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(
+    "vec12_embedding_cache",
+    r"""WITH d AS (SELECT lang, text, regexp_matches(coalesce(text, ''), '\w') AS ok FROM documents)
+SELECT 1 AS pass, count(*) FILTER (lang = 'en') AS asked, count(DISTINCT text) FILTER (lang = 'en' AND ok) AS encoded, count(*) FILTER (lang = 'en' AND ok) AS found FROM d
+UNION ALL SELECT 2, count(*), count(DISTINCT text) FILTER (ok) - count(DISTINCT text) FILTER (lang = 'en' AND ok), count(*) FILTER (ok) FROM d
+UNION ALL SELECT 3, count(*), 0, count(*) FILTER (ok) FROM d""",
+)
+def vec_embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one language, then all, then all again: each run encodes the texts that no run before it has seen."""
+    from temporis.plans.plugins import HashingEncoder
+    from temporis.sources.vector_cache import VectorCache
+
+    cache, held, out = VectorCache(spark, folder(spark, "vectors-by-content")), 0, []
+    docs = table(spark, sf_dir, "documents")
+    for number, rows in enumerate((docs.where("lang = 'en'"), docs, docs), 1):
+        done = cache.encoded(rows.select("doc_id", "text"), "text", "hashing-32", HashingEncoder(32, None))
+        asked, found = done.agg(F.count("*"), F.count_if(F.col("status") == "ok")).first()
+        now = cache.vectors("hashing-32").count()
+        out.append((number, asked, now - held, found))
+        held = now
+    return spark.createDataFrame(out, "pass int, asked long, encoded long, found long")
 
 
 @query("snk2_results_append", "SELECT doc_id % 2 AS part, count(*) AS n FROM labels GROUP BY 1")

@@ -282,7 +282,7 @@ def str_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", filled.alias("prompt"))
 
 
-_REPLAY = (
+REPLAY_SQL = (
     _TURNS
     + """, n AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS round_no,
     contains(text, '<video_reader_question>') OR contains(text, '<video_segment_retriever_textual_query>') OR contains(text, '<subtitle_retriever>') OR contains(text, '<subtitle_extractor>') AS has_tool FROM turns),
@@ -291,17 +291,17 @@ _REPLAY = (
 )
 
 
-@query("loop9_replay", f"WITH {_REPLAY} SELECT conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS rounds, coalesce(max(CASE WHEN turn = stop THEN regexp_extract(regexp_extract(text, '<answer>(.*)</answer>', 1), '[A-Z]') END), 'No final answer provided within maximum rounds') AS answer, count(*) AS n_messages, CAST(count_if(role = 'assistant' AND has_tool) AS BIGINT) AS tool_turns FROM l GROUP BY conv_id")
+@query("loop9_replay", f"WITH {REPLAY_SQL} SELECT conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS rounds, coalesce(max(CASE WHEN turn = stop THEN regexp_extract(regexp_extract(text, '<answer>(.*)</answer>', 1), '[A-Z]') END), 'No final answer provided within maximum rounds') AS answer, count(*) AS n_messages, CAST(count_if(role = 'assistant' AND has_tool) AS BIGINT) AS tool_turns FROM l GROUP BY conv_id")
 def loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.replay(turns(spark, sf_dir))
 
 
-@query("loop2_acceptance", f"WITH {_REPLAY} SELECT conv_id, turn, contains(text, '<answer>') AS demo, contains(text, '<answer>') AND NOT has_tool AS evaluation FROM e WHERE role = 'assistant'")
+@query("loop2_acceptance", f"WITH {REPLAY_SQL} SELECT conv_id, turn, contains(text, '<answer>') AS demo, contains(text, '<answer>') AND NOT has_tool AS evaluation FROM e WHERE role = 'assistant'")
 def loop_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spoken(spark, sf_dir).select("conv_id", "turn", agent.accepted(F.col("text")).alias("demo"), agent.accepted(F.col("text"), True).alias("evaluation"))
 
 
-@query("loop3_replies", f"WITH {_REPLAY} SELECT conv_id, turn, CASE WHEN has_tool THEN 'found' || chr(10) || 'You have ' || (20 - round_no - 1) || ' rounds remaining. Please make the most of each opportunity!' WHEN round_no >= 18 THEN 'Maximum rounds reached! Please provide your final answer in <answer></answer> format!' ELSE 'Invalid output format! Please use the provided XML format for tools or provide final answer in <answer></answer>.' END AS reply FROM e WHERE role = 'assistant'")
+@query("loop3_replies", f"WITH {REPLAY_SQL} SELECT conv_id, turn, CASE WHEN has_tool THEN 'found' || chr(10) || 'You have ' || (20 - round_no - 1) || ' rounds remaining. Please make the most of each opportunity!' WHEN round_no >= 18 THEN 'Maximum rounds reached! Please provide your final answer in <answer></answer> format!' ELSE 'Invalid output format! Please use the provided XML format for tools or provide final answer in <answer></answer>.' END AS reply FROM e WHERE role = 'assistant'")
 def loop_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = _spoken(spark, sf_dir).withColumn("round_no", F.row_number().over(order) - 1)
@@ -309,7 +309,7 @@ def loop_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", agent.reply(F.col("text"), found, F.col("round_no")).alias("reply"))
 
 
-@query("loop4_rounds_left", f"WITH {_REPLAY} SELECT conv_id, turn, CAST(20 - round_no - 1 AS INTEGER) AS rounds_left FROM e WHERE role = 'assistant'")
+@query("loop4_rounds_left", f"WITH {REPLAY_SQL} SELECT conv_id, turn, CAST(20 - round_no - 1 AS INTEGER) AS rounds_left FROM e WHERE role = 'assistant'")
 def loop_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     return _spoken(spark, sf_dir).select("conv_id", "turn", agent.rounds_left(F.row_number().over(order) - 1).alias("rounds_left"))
@@ -476,13 +476,19 @@ def loop_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", choice.alias("prompt"))
 
 
-@query("loop11_frame_content", f"WITH {schemas.FRAMES_SQL}, f AS (SELECT video_id, count(*) AS n, min(t_s) AS t FROM frames GROUP BY 1) SELECT video_id, CAST(2 * n + 1 AS INTEGER) AS parts, 'q' AS last FROM f")
+@query(
+    "loop11_frame_content",
+    f"""WITH {schemas.FRAMES_SQL}, f AS (SELECT video_id, frame_no, floor(t_s) + 0.5 AS t FROM frames)
+SELECT video_id, CAST(2 * count(*) + 1 AS INTEGER) AS parts, sha256(string_agg('text:[' || CAST(t AS BIGINT) - 1 || '.5 second]|image_url:' || frame_no || '|', '' ORDER BY t, frame_no) || 'text:q') AS content FROM (SELECT video_id, frame_no, t + 0.5 AS t FROM f) GROUP BY 1""",
+)
 def loop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("t_s", F.col("frame_no").cast("string").alias("f"))))
+    """The message about all frames of each video, told by a digest: each frame after its time, then the question."""
+    ordered = F.array_sort(F.collect_list(F.struct((F.floor("t_s") + F.lit(0.5)).alias("t"), "frame_no")))
     rows = schemas.frames(spark, sf_dir).groupBy("video_id").agg(ordered.alias("x"))
-    content = agent.frame_content(F.transform("x", lambda s: s["f"]), F.transform("x", lambda s: s["t_s"]), F.lit("q"))
+    content = agent.frame_content(F.transform("x", lambda s: s["frame_no"].cast("string")), F.transform("x", lambda s: s["t"]), F.lit("q"))
     done = rows.select("video_id", content.alias("c"))
-    return done.select("video_id", F.size("c").alias("parts"), F.element_at("c", -1)["value"].alias("last"))
+    said = F.array_join(F.transform("c", lambda p: F.concat_ws(":", p["type"], p["value"])), "|")
+    return done.select("video_id", F.size("c").alias("parts"), F.sha2(said, 256).alias("content"))
 
 
 @query("win3_last_user", "SELECT conv_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")

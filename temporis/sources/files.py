@@ -57,13 +57,31 @@ def decode_media(files: DataFrame, decode, schema: str) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
-def save_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors with clip_duration and encoder as partitions: an encoder's rows never mix with another's."""
-    vectors.repartition("clip_duration", "encoder").sortWithinPartitions("video_id").write.mode("append").partitionBy("clip_duration", "encoder").parquet(path)
+#: Vectors of a file: some 64 MB of 512 components.
+VECTORS_PER_FILE = 32_000
 
 
-def load_vectors(spark: SparkSession, path: str, clip_duration: int, encoder: str) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("clip_duration") == clip_duration) & (F.col("encoder") == encoder))
+def save_vectors(vectors: DataFrame, path: str, per_file: int = VECTORS_PER_FILE) -> None:
+    """Vectors with clip_duration and encoder as partitions: an encoder's rows never mix with another's.
+
+    They are written by ranges of (encoder, video, clip), so each file holds few videos, which a search for some videos then reads alone, and an encoder
+    or a long video is as many files, and tasks, as its rows take.
+    """
+    parts = max(1, -(-vectors.count() // per_file))
+    order = ["clip_duration", "encoder", "video_id", *(c for c in ("clip_no", "seq") if c in vectors.columns)]
+    vectors.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("append").partitionBy("clip_duration", "encoder").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, clip_duration: int, encoder: str | None = None, videos: list[str] | None = None) -> DataFrame:
+    """Of one encoder, or all; of some videos, or all: other folders, files and row groups aren't read."""
+    found = spark.read.parquet(path).where(F.col("clip_duration") == clip_duration)
+    found = found if encoder is None else found.where(F.col("encoder") == encoder)
+    return found if videos is None else found.where(F.col("video_id").isin(videos))
+
+
+def save_bucketed(vectors: DataFrame, name: str, buckets: int) -> None:
+    """Vectors as a table in buckets of videos: a join or search by video with another such table moves no row."""
+    vectors.write.mode("overwrite").bucketBy(buckets, "video_id").sortBy("video_id").saveAsTable(name)
 
 
 def append_results(results: DataFrame, path: str) -> None:
@@ -102,7 +120,12 @@ class Settings:
         return cls(**own)
 
 
-def examples(spark: SparkSession) -> DataFrame:
-    """A few ready questions, as the demo offers them: name, question, duration_s."""
+EXAMPLES = "name string, question string, duration_s double"
+
+
+def examples(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Ready questions, as the demo offers them: name, question, duration_s; those of a file of JSON lines, or a few of our own."""
+    if path:
+        return spark.read.schema(EXAMPLES).json(path)
     rows = [("short", "What does the person pick up first?", 360.0), ("hour", "In which order do the speakers appear?", 3300.0), ("film", "Why does the captain turn back?", 7200.0)]
-    return spark.createDataFrame(rows, "name string, question string, duration_s double")
+    return spark.createDataFrame(rows, EXAMPLES)

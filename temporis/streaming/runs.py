@@ -13,8 +13,33 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def outcome(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Take all that is there; each micro-batch replaces (complete) or adds to (append, update) the table."""
+#: Where state is kept that may outgrow memory, and that timers and list or map state ask for.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def in_turn(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
+    """A stream of some tables, one micro-batch each, in that order."""
+    path = folder(spark, name)
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{path}/part={k:03d}")
+    return spark.readStream.schema(parts[0].schema.add("part", "integer")).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
+
+
+def outcome(stream: DataFrame, name: str, mode: str = "complete", rocks: bool = False) -> DataFrame:
+    """Take all that is there; each micro-batch replaces (complete) or adds to (append, update) the table. rocks: state is kept by RocksDB."""
+    spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    try:
+        if rocks:
+            spark.conf.set(provider, ROCKS)
+        return _run(stream, name, mode)
+    finally:
+        if rocks:
+            spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+def _run(stream: DataFrame, name: str, mode: str) -> DataFrame:
     spark = stream.sparkSession
     out, marks = folder(spark, name), folder(spark, name + "-marks")
 
