@@ -8,9 +8,9 @@ spaces, which can't occur, crosses into another word, so the lattice of a text i
 log space, is run once for each distinct word of the corpus: log P(text) = sum of log P(word) + log P(end).
 
 By Spark: partitions count their distinct words, sums by word follow; each round maps over the training words and sums expected
-counts by unit, as decimals; the words' probabilities are a table. The HEAD most frequent short words are sent to all tasks, a bounded table; a
-document's other words are joined with the table, and as none of them holds more than one in HEAD of all tokens, no
-key is hot. Each sum over a document's words is exact or rounded once, whatever the order.
+counts by unit, as decimals; the words' probabilities are a table. The most frequent short words, HEAD at most, are sent to all tasks, a bounded
+table; a document's other words are joined with the table, and as there are more than HEAD words about as frequent as the first of them, no
+key is hot. Words of a batch are coded as numbers by Arrow, so that no Python runs for each of them.
 
 Defined cases: null and empty texts are an end alone; a null doc_id is in training; repeated rows count and score as often as they are there; without
 training rows every unit keeps its first guess, and the base gives every token probability one; bytes that form no
@@ -20,27 +20,43 @@ piece are byte pieces; words of any length are scored whole; an empty table give
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temporis.llm import common
 
 ROUNDS, PRIOR = 2, 10_000
-#: Words that all tasks know, and the bytes that these have at most; distinct words that a partition holds before it sends them; bytes of words whose lattices are worked on at once.
-HEAD, HEAD_BYTES, HELD, CHUNK = 65_536, 64, 400_000, 400_000
+#: Words that all tasks know, and the bytes that these have at most; distinct words that a partition holds before it sends them; bytes of words whose lattices, and
+#: of texts whose words, are worked on at once.
+HEAD, HEAD_BYTES, HELD, CHUNK, TEXTS = 262_144, 64, 400_000, 400_000, 8_000_000
 #: Expected counts are summed exactly, to as many places.
 EXACT = "decimal(38,14)"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z in lower case: bytes.split parts at just the six characters that the contract names."""
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, A-Z in lower case, one after the other, and how many each text has. Arrow splits at just the six
+    characters that the contract names."""
+    own = texts.cast(pa.large_string()).take(pa.array(range(len(texts))))  # a copy: ascii_lower reads a slice of an array from its wrong end
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
+    flat, rows = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    whole = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty string
+    return flat.filter(whole).dictionary_encode(), np.bincount(rows[whole.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def _text_chunks(batch: pa.RecordBatch, size: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of text; a longer text is one by itself."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    cuts = np.r_[0, np.flatnonzero(np.diff(sizes // size)) + 1, batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 class Units:
@@ -77,29 +93,30 @@ def units(pieces: str) -> Units:
 class Lattices:
     """The lattices of some words, one after the other: edge k is unit[k] from node start[k] to node end[k]."""
 
-    def __init__(self, words: list[bytes], known: Units) -> None:
-        ends, found, sizes = [], [], []
-        for w in words:
-            n = len(ends)
-            for end, unit in known.find.iter(" " + w.decode("latin-1")):
-                ends.append(end + 1)
-                found.append(unit)
-            sizes.append(len(ends) - n)
-        lengths = np.array([len(w) + 2 for w in words], np.int64)  # nodes: bytes with the space before them, and one
-        self.first = np.cumsum(lengths) - lengths
-        self.last = self.first + lengths - 1
-        self.unit, level = np.array(found, np.int64), np.array(ends, np.int64)
-        self.word = np.repeat(np.arange(len(words)), sizes)
+    def __init__(self, words: list[str], known: Units) -> None:
+        raw = [(" " + w).encode() for w in words]
+        sizes = np.array([len(w) for w in raw], np.int64)
+        found = known.find.iter(b"".join(raw).decode("latin-1"))  # in order of ends; no unit crosses into the next word
+        edges = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2)
+        starts = np.cumsum(sizes) - sizes
+        self.unit = edges[:, 1]
+        self.word = np.searchsorted(starts, edges[:, 0], "right") - 1
+        self.first = starts + np.arange(len(words))  # nodes: a word's bytes with the space before them, and one
+        self.last = self.first + sizes
+        level = edges[:, 0] + 1 - starts[self.word]
         self.end = self.first[self.word] + level
         self.start = self.end - known.sizes[self.unit]
-        self.nodes = int(lengths.sum())
-        self._by_end, self._by_start = (self._steps(*x) for x in ((level, self.end), (-(level - known.sizes[self.unit]), self.start)))
+        self.nodes = int(sizes.sum()) + len(words)
+        most = int(sizes.max(initial=0))
+        self._by_end, self._by_start = self._steps(level, self.end), self._steps(most - (level - known.sizes[self.unit]), self.start)
 
     @staticmethod
     def _steps(level: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Edges level by level, of all words at once, and where among them another node begins."""
-        order = np.lexsort((node, level))
-        cuts = np.flatnonzero(np.r_[True, level[order][1:] != level[order][:-1]][: len(order)])
+        """Edges level by level, of all words at once, and where among them another node begins. Edges come word by word, so a sort that keeps
+        the order of equals leaves those of a node together."""
+        order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
+        ranked = level[order]
+        cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(order)])
         out = []
         for part in np.split(order, cuts[1:]):
             own = node[part]
@@ -134,7 +151,7 @@ class Lattices:
         return np.bincount(self.unit, share * times[self.word], n)
 
 
-def _chunks(words: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def _chunks(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Words by length, in chunks of about CHUNK bytes: words of a chunk take about as many steps."""
     sizes = np.array([len(w) for w in words], np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -150,31 +167,45 @@ def in_training() -> Column:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary), c (times in training rows), f (times in all rows) of docs (text, training)."""
+    """word, c (times in training rows), f (times in all rows) of docs (text, training)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, every = Counter(), Counter()
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum"), ("f", "sum")]).rename_columns(["word", "c", "f"])
 
-        def taken() -> pa.RecordBatch:
-            for w, n in learnt.items():
-                every[w] += n
-            words = list(every)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([learnt[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64())], ["word", "c", "f"])
-            learnt.clear(), every.clear()
-            return out
-
-        for batch in batches:
-            for text, training in zip(batch.column("text"), batch.column("training"), strict=True):
-                (learnt if training.as_py() else every).update(words_of(text.as_py()))
-                if len(learnt) + len(every) > HELD:
-                    yield taken()
-        yield taken()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for part in (p for batch in batches for p in _text_chunks(batch)):
+            words, sizes = words_of(part.column("text"))
+            codes, n = words.indices.to_numpy(), len(words.dictionary)
+            learnt = np.repeat(part.column("training").to_numpy(zero_copy_only=False), sizes)
+            counts = [pa.array(np.bincount(x, minlength=n).astype(np.int64)) for x in (codes[learnt], codes)]
+            held.append(pa.table([words.dictionary.cast(pa.string()), *counts], ["word", "c", "f"]))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [merged(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged(held).to_batches()
         common.trim()
 
-    partial = docs.select("text", "training").mapInArrow(run, "word binary, c long, f long")
+    partial = docs.select("text", "training").mapInArrow(run, "word string, c long, f long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("f").alias("f"))
 
 
+def frequent(words: DataFrame, most: int) -> Column:
+    """Which words (f, word) all tasks are to know: short ones, from a frequency on above which there are no more than `most`. A count by eighths
+    of powers of two tells that frequency: some hundreds of numbers, whatever the words."""
+    short = F.octet_length("word") <= HEAD_BYTES
+    step = F.floor(F.log2("f") * 8).cast("int")
+    bars, held = None, 0
+    for at, n in sorted(map(tuple, words.where(short).groupBy(step.alias("at")).count().collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        bars = at
+    return short & (step >= bars) if bars is not None else F.lit(False)
+
+
 def learn(words: DataFrame, texts: int, pieces: str, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
     """Log probability of each unit and, last, of the end, from words (word, c) of so many training texts."""
     known = units(pieces)
@@ -226,36 +257,31 @@ def score(docs: DataFrame, pieces: str | None = None, rounds: int = ROUNDS, prio
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(out / math.log(10))], ["word", "c", "f", "base", "log"])
         common.trim()
 
-    words = common.replace(words, words.mapInArrow(spell, "word binary, c long, f long, base double, log double"), "lattice-words")
-    first = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("f"), "word").limit(head).collect()  # head short words
-    kept = {bytes(r["word"]): (r["base"], r["log"], r["c"] > 0) for r in first}
-    if len(first) == head:  # what the tasks don't know: words after the last one of the head, and long ones
-        last = first[-1]
-        after = (F.col("f") < last["f"]) | ((F.col("f") == last["f"]) & (F.col("word") > F.lit(bytes(last["word"]))))
-        others = words.where(after | (F.octet_length("word") > HEAD_BYTES))
-    else:
-        others = words.where(F.octet_length("word") > HEAD_BYTES)
-    tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    words = common.replace(words, words.mapInArrow(spell, "word string, c long, f long, base double, log double"), "lattice-words")
+    known = frequent(words, head)
+    shown = words.where(known).select("word", "base", "log", (F.col("c") > 0).cast("long").alias("known")).toArrow()  # head short words at most
+    others = words.where(~known)
+    values = [shown.column(c).to_numpy() for c in ("base", "log", "known")]
+    shown = shown.column("word").combine_chunks()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                own = words_of(text.as_py())
-                bases, scores, known, rest = [end[0]], [end[1]], int(texts > 0), []
-                for w, k in Counter(own).items():
-                    if (x := kept.get(w)) is None:
-                        rest.append((w, k))
-                    else:
-                        bases.append(k * x[0])
-                        scores.append(k * x[1])
-                        known += k * x[2]
-                out.append((len(own) + 1, known, math.fsum(bases), math.fsum(scores), [{"word": w, "n": k} for w, k in rest]))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("training"), *columns], ["doc_id", "training", "n_tokens", "n_known", "base", "log", "rest"])
+        rest_kind = pa.struct([("word", pa.string()), ("n", pa.int64())])
+        for part in (p for batch in batches for p in _text_chunks(batch)):
+            words, sizes = words_of(part.column("text"))
+            codes, rows = words.indices.to_numpy(), np.repeat(np.arange(part.num_rows), sizes)
+            at = pc.fill_null(pc.index_in(words.dictionary.cast(pa.string()), value_set=shown), -1).to_numpy()[codes]
+            told, rest = at >= 0, at < 0
+            sums = [np.bincount(rows[told], v[at[told]], part.num_rows) for v in values]
+            n_words = len(words.dictionary)
+            pairs, times = np.unique(rows[rest] * n_words + codes[rest], return_counts=True)
+            own = words.dictionary.take(pa.array(pairs % max(1, n_words))).cast(pa.string())
+            cuts = np.searchsorted(pairs // max(1, n_words), np.arange(part.num_rows + 1))
+            others = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([own, pa.array(times, pa.int64())], fields=list(rest_kind)))
+            columns = [pa.array(sizes + 1, pa.int64()), pa.array(sums[2].astype(np.int64) + int(texts > 0)), pa.array(sums[0] + end[0]), pa.array(sums[1] + end[1]), others]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("training"), *columns], ["doc_id", "training", "n_tokens", "n_known", "base", "log", "rest"])
         common.trim()
 
-    read_kinds = "doc_id long, training boolean, n_tokens long, n_known long, base double, log double, rest array<struct<word:binary,n:long>>"
+    read_kinds = "doc_id long, training boolean, n_tokens long, n_known long, base double, log double, rest array<struct<word:string,n:long>>"
     done = common.materialize(rows.mapInArrow(read, read_kinds).withColumn("row", F.monotonically_increasing_id()), "lattice-rows")
     asked = done.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     exact = lambda c: F.sum((F.col(c) * F.col("n")).cast("decimal(38,15)"))  # noqa: E731  the same whatever the order

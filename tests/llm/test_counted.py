@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -226,6 +227,17 @@ def test_rounds_raise_held_out_probability(spark, sf):
     assert total(0) < total(1) < total(2)
 
 
+def test_words_of_slices(documents):
+    """Arrow's words are those of plain Python, in parts of a batch too."""
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in documents] + [x for _, x in ODD])], ["text"])
+    for size in (1000, 50_000, 10**9):
+        parts = list(lattice._text_chunks(batch, size))
+        assert (len(parts) > 3) == (size < 10**9) and sum(p.num_rows for p in parts) == batch.num_rows
+        got = [(w, n) for p in parts for words, sizes in [lattice.words_of(p.column("text"))] for w, n in [(words.to_pylist(), sizes.tolist())]]
+        assert [w for words, _ in got for w in words] == [w for t in batch.column("text").to_pylist() for w in tokens(t)[:-1]]
+        assert [n for _, sizes in got for n in sizes] == [len(tokens(t)) - 1 for t in batch.column("text").to_pylist()]
+
+
 def test_long_word_does_not_underflow(spark):
     got = lattice.score(spark.createDataFrame([(1, "ab" * 20_000)], "doc_id long, text string")).first()
     assert -1e6 < got.score < -1000
