@@ -199,5 +199,6 @@ def encode(rows: DataFrame, encoder, column: str, out: str = "embedding") -> Dat
         for batch in batches:
             yield pd.Series(encoder(batch.tolist()))
 
-    done = rows.withColumn(out, run(F.col(column)))
+    # not deterministic, to the optimiser: a filter on what an encoder gives must not move below a join, where more rows would be encoded
+    done = rows.withColumn(out, run.asNondeterministic()(F.col(column)))
     return done.withColumn("status", F.when(F.col(out).isNull(), "failed").otherwise("ok"))
