@@ -185,10 +185,32 @@ def search_blocks(
 
 
 def pool_mean(vectors: DataFrame, key: str) -> DataFrame:
-    """key, embedding: the mean of a key's vectors, component by component."""
-    each = vectors.select(key, F.posexplode("embedding").alias("pos", "x"))
-    means = each.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("embedding"))
+    """key, embedding: the mean of a key's vectors, component by component; those that are null or empty take no part, and of several lengths each
+    component is the mean of the vectors that have it.
+
+    Each partition sums its own vectors, so what moves is a row for each key and component of a partition, not of a vector.
+    """
+    kind = dict(vectors.dtypes)[key]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for p in batches:
+            for k, v in zip(p.k, p.e, strict=True):
+                if v is not None and len(v):
+                    total, n = held.get(k, (np.zeros(0), np.zeros(0, np.int64)))
+                    grown = max(len(total), len(v))
+                    total, n = np.pad(total, (0, grown - len(total))), np.pad(n, (0, grown - len(n)))
+                    total[: len(v)] += v
+                    n[: len(v)] += 1
+                    held[k] = total, n
+            if len(held) > 10_000:  # many keys: send what there is
+                yield pd.DataFrame([(k, *x) for k, x in held.items()], columns=["k", "s", "n"])
+                held = {}
+        yield pd.DataFrame([(k, *x) for k, x in held.items()], columns=["k", "s", "n"])
+
+    parts = vectors.select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("e")).where("k is not null").mapInPandas(sums, f"k {kind}, s array<double>, n array<long>")
+    each = parts.select("k", F.posexplode(F.arrays_zip("s", "n")).alias("pos", "x")).groupBy("k", "pos").agg((F.sum("x.s") / F.sum("x.n")).alias("m"))
+    return each.groupBy(F.col("k").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("embedding"))
 
 
 def encode(rows: DataFrame, encoder, column: str, out: str = "embedding") -> DataFrame:

@@ -37,12 +37,35 @@ def readable_frames(points: DataFrame, frames: DataFrame, key: str = "video_id")
     return nearest_frames(points, frames, key).where("nearest.is_valid")
 
 
+#: Seconds of a cell in which rows are numbered by themselves.
+CELL = 300.0
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], name: str = "_at", total: str | None = None, cell: float = CELL) -> DataFrame:
+    """rows with their place (from 0) among those of their keys, by `order`, whose first column is a time; and, where named, how many there are.
+
+    Rows are numbered within cells of time, and cells by the sums of the counts before them, so a long or hot video is as many tasks as it has cells: the
+    only rows of a video that meet are a count for each of its cells. Rows without a time come first, as a cell of their own.
+    """
+    kinds = F.coalesce(F.floor(F.col(order[0]) / cell).cast("long"), F.lit(-(2**62)))
+    rows = rows.withColumn("_cell", kinds)
+    counts = rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    extra = [F.sum("_n").over(whole).cast("int").alias(total)] if total else []
+    counts = counts.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_cell").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), *extra)
+    same = F.col("_cell") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order)) - 1
+    out = rows.withColumn("_own", within).join(counts, same)
+    return out.withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_cell", "_of", "_before", "_own", *(f"_key{i}" for i in range(len(keys))))
+
+
 def thinned(frames: DataFrame, keys: list[str], order: list[str], how: str = "uniform", most: int = MAX_FRAMES, least: int = 0) -> DataFrame:
     """keys, n (of all frames) and frames: array of structs of `order`, by it, at most `most` of a key's, evenly (uniform) or every (n div most)-th
     (stride), and repeated up to `least`. Places to keep follow from the count, so no more than `most` frames of a key are gathered."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    counts = frames.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
-    numbered = frames.select(*keys, *order, place.alias("_at")).join(counts, keys)
+    numbered = placed(frames.select(*keys, *order), keys, order, "_at", "n")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / most).cast("int"))
     if how == "stride":
         kept = (F.col("_at") % step == 0) & (F.col("_at") / step < most)
@@ -78,9 +101,7 @@ def required(frames: Column, message: str = "no frames") -> Column:
 def fixed_rate(frames: DataFrame, rate: float, fps: float, key: str = "video_id") -> DataFrame:
     """Every floor(rate / fps)-th frame of a video in order of time, numbered by ordinal."""
     step = max(1, int(rate // fps))
-    order = Window.partitionBy(key).orderBy("t_s", "frame_no")
-    pos = F.row_number().over(order) - 1
-    out = frames.withColumn("_pos", pos).where(F.col("_pos") % step == 0)
+    out = placed(frames, [key], ["t_s", "frame_no"], "_pos").where(F.col("_pos") % step == 0)
     return out.withColumn("ordinal", F.floor(F.col("_pos") / step).cast("int")).drop("_pos")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temporis import schemas
@@ -154,8 +154,7 @@ def smp_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("smp8_repeat", f"WITH {_LISTS}, few AS (SELECT video_id, f[1:CAST(1 + video_id % 9 AS BIGINT)] AS f FROM lists), m AS (SELECT *, len(f) AS n FROM few) SELECT video_id, CAST(p AS INTEGER) AS pos, f[CAST(floor(p * (n / 10.0::DOUBLE)) AS BIGINT) + 1] AS frame_no FROM m, range(10) r(p)")
 def smp_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("t_s", "frame_no"))
-    few = schemas.frames(spark, sf_dir).where("is_valid").withColumn("place", place).where(F.col("place") <= 1 + F.col("video_id") % 9)
+    few = sample.placed(schemas.frames(spark, sf_dir).where("is_valid"), ["video_id"], ["t_s", "frame_no"], "place").where(F.col("place") <= F.col("video_id") % 9)
     filled = sample.thinned(few, ["video_id"], ["t_s", "frame_no"], least=sample.MIN_FRAMES)
     return filled.select("video_id", F.posexplode("frames").alias("pos", "f")).select("video_id", "pos", "f.frame_no")
 
@@ -336,11 +335,11 @@ def agg_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clips(spark, sf_dir).groupBy("video_id").agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), F.max("clip_no").alias("last_no"))
 
 
-@query("srt1_frame_order", f"WITH {FRAMES_SQL} SELECT video_id, frame_no, CAST(row_number() OVER (PARTITION BY video_id ORDER BY t_s) AS INTEGER) AS place FROM frames")
+@query("srt1_frame_order", f"WITH {FRAMES_SQL} SELECT video_id, frame_no, CAST(row_number() OVER (PARTITION BY video_id ORDER BY t_s, frame_no) AS INTEGER) AS place FROM frames")
 def srt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return schemas.frames(spark, sf_dir).select("video_id", "frame_no", F.row_number().over(Window.partitionBy("video_id").orderBy("t_s")).alias("place"))
+    """By time; of one time, by number."""
+    rows = sample.placed(schemas.frames(spark, sf_dir), ["video_id"], ["t_s", "frame_no"], "place")
+    return rows.select("video_id", "frame_no", (F.col("place") + 1).alias("place"))
 
 
 @query("mth2_resize", "SELECT p_partkey, CASE WHEN h > w THEN CAST(floor(w * (748 / h::DOUBLE)) AS INTEGER) ELSE 748 END AS width, CASE WHEN h > w THEN 748 ELSE CAST(floor(h * (748 / w::DOUBLE)) AS INTEGER) END AS height FROM (SELECT p_partkey, p_size + 100 AS w, p_partkey % 97 + 90 AS h FROM part)")

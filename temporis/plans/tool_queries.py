@@ -20,7 +20,7 @@ _RETRIEVE, _SUBS, _IMAGE = "video_segment_retriever_textual_query", "subtitle_re
 
 _TURNS = f"""turns AS (
   SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text
-    WHEN (conv_id + turn) % 4 = 0 THEN '<thinking>' || substr(text, 1, 20) || '</thinking><{_SUBS}>a' || turn || ';b</{_SUBS}><topk>' || (turn + 3) || '</topk>'
+    WHEN (conv_id + turn) % 4 = 0 THEN '<thinking>' || text || '</thinking><{_SUBS}>a' || turn || ';b</{_SUBS}><topk>' || (turn + 3) || '</topk>'
     WHEN (conv_id + turn) % 4 = 1 THEN '<thinking>t</thinking><{_SUBS}>a</{_SUBS}><topk>30</topk><{_RETRIEVE}>c;d;e</{_RETRIEVE}><topk>' || CASE WHEN conv_id % 2 = 0 THEN '7' ELSE 'x' END || '</topk>'
     WHEN (conv_id + turn) % 4 = 2 THEN '<video_reader>' || turn || '; 2;3</video_reader><video_reader_question>q' || conv_id || '</video_reader_question><subtitle_extractor>0:60;90:120</subtitle_extractor>'
     WHEN conv_id % 3 = 0 THEN '<answer>option (' || chr(CAST(65 + conv_id % 5 AS INTEGER)) || ')</answer>'
@@ -35,7 +35,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = F.lit
     said = (
         F.when(F.col("role") != "assistant", x)
-        .when(kind == 0, F.concat(lit("<thinking>"), F.substring(x, 1, 20), lit(f"</thinking><{_SUBS}>a"), t.cast("string"), lit(f";b</{_SUBS}><topk>"), (t + 3).cast("string"), lit("</topk>")))
+        .when(kind == 0, F.concat(lit("<thinking>"), x, lit(f"</thinking><{_SUBS}>a"), t.cast("string"), lit(f";b</{_SUBS}><topk>"), (t + 3).cast("string"), lit("</topk>")))
         .when(
             kind == 1,
             F.concat(lit(f"<thinking>t</thinking><{_SUBS}>a</{_SUBS}><topk>30</topk><{_RETRIEVE}>c;d;e</{_RETRIEVE}><topk>"), F.when(c % 2 == 0, "7").otherwise("x"), lit("</topk>")),
@@ -469,11 +469,12 @@ def loop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.step_events(toolcall.parse(_spoken(spark, sf_dir))).select("conv_id", "seq", "status", "tool")
 
 
-@query("loop10_prompt_choice", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'with_subtitles' WHEN lang = 'en' THEN 'english' ELSE 'plain' END AS prompt FROM documents WHERE doc_id % 2 = 0 OR lang IN ('en', 'de')")
+@query("loop10_prompt_choice", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'with_subtitles' WHEN lang = 'en' THEN 'english' WHEN lang IS NOT NULL THEN 'of ' || lang ELSE 'plain' END AS prompt FROM documents")
 def loop_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 or lang in ('en', 'de')")
-    choice = agent.prompt_choice(F.col("doc_id") % 2 == 0, F.when(F.col("lang") == "en", F.col("lang")), {"en": "english"}, "with_subtitles", "plain")
-    return rows.select("doc_id", choice.alias("prompt"))
+    """The language is the dataset, each known one with a prompt of its own."""
+    rows = table(spark, sf_dir, "documents")
+    known = {"en": "english"} | {lang: f"of {lang}" for lang in ("de", "fr", "es")}
+    return rows.select("doc_id", agent.prompt_choice(F.col("doc_id") % 2 == 0, F.col("lang"), known, "with_subtitles", "plain").alias("prompt"))
 
 
 @query(
@@ -506,10 +507,10 @@ def agg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(table(spark, sf_dir, "conversations"))
 
 
-@query("agg4_hours_left", "SELECT event_id, round(value * 10 / (event_id + 1) * (200000 - event_id - 1) / 3600, 6) AS hours FROM events")
+@query("agg4_hours_left", "SELECT event_id, round(value * 10 / (event_id + 1) * ((SELECT count(*) FROM events) - event_id - 1) / 3600, 6) AS hours FROM events")
 def agg_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = F.col("event_id") + 1
-    return table(spark, sf_dir, "events").select("event_id", F.round(evaluate.hours_left(F.col("value") * 10, done, F.lit(200000)), 6).alias("hours"))
+    rows, done = table(spark, sf_dir, "events"), F.col("event_id") + 1
+    return rows.select("event_id", F.round(evaluate.hours_left(F.col("value") * 10, done, F.lit(rows.count())), 6).alias("hours"))
 
 
 @query("agg8_tools_used", f"WITH {_PARSED} SELECT conv_id, count(DISTINCT tool) AS n_tools, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM calls GROUP BY 1")

@@ -95,3 +95,23 @@ def test_log_sum_exp_of_large_scales(spark):
         assert found[text].log_sum_exp == pytest.approx(x.max() + np.log(np.exp(x - x.max()).sum()))
         assert found[text].n_images == 40 and found[text].best_image == (0 if sign > 0 else 39)
     assert set(found) == {1, 2, 4} and found[4].n_images == 1
+
+
+def test_places_over_cells(spark):
+    """Places of a long video, with ties and missing times, are those of one sort."""
+    from temporis.operators import sample
+
+    rng = np.random.default_rng(8)
+    rows = [(int(v), None if rng.random() < 0.05 else float(t), k) for k, (v, t) in enumerate(zip(rng.choice([1, 1, 1, 2], 900), rng.integers(-50, 4000, 900) / 2, strict=True))] + [(None, 1.0, 900), (None, 0.5, 901)]
+    got = sample.placed(spark.createDataFrame(rows, "video_id long, t_s double, frame_no long"), ["video_id"], ["t_s", "frame_no"], "place", "n", cell=60.0).collect()
+    assert len(got) == 902
+    for video in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == video), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        mine = sorted((r for r in got if r.video_id == video), key=lambda r: r.place)
+        assert [r.frame_no for r in mine] == [r[2] for r in own] and [r.place for r in mine] == list(range(len(own))) and {r.n for r in mine} == {len(own)}
+
+
+def test_mean_pooling_sums_in_partitions(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", None), ("b", [1.0]), ("b", [3.0, 5.0]), ("c", []), (None, [1.0])]
+    got = {r.k: r.embedding for r in retrieval.pool_mean(spark.createDataFrame(rows, "k string, embedding array<double>").repartition(4), "k").collect()}
+    assert got == {"a": [2.0, 3.0], "b": [2.0, 5.0]}
