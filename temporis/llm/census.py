@@ -1,7 +1,7 @@
 """Census: tell each batch of documents, for each of its keys, what all batches together know of that key.
 
 Documents are dealt to batches by doc_id and text, so a later pass over the same documents meets the same batches. A batch sends its
-distinct keys (64-bit numbers, with more bits where a census needs them) in sorted order, cut to buckets by their first bits, as packed arrays: one row for each batch and
+distinct keys (64-bit numbers, with more bits where a census needs them) in sorted order, cut to buckets by their first bits, as packed differences: one row for each batch and
 bucket that has keys. A bucket's task joins the rows of all batches and answers each with one value a key, in
 the order the keys came. A key sends one entry a batch however often it occurs, so a hot key costs as much as there are
 batches, and the answer is small. A task holds one batch's text, or one bucket's keys; both have set sizes.
@@ -51,7 +51,7 @@ class Layout:
         answers as it is, in a row of its own."""
         used, cuts = self.cuts(keys)
         part = lambda x, k: _squeeze(x[cuts[k] : cuts[k + 1]]) if x is not None else None
-        out = [(int(b), batch, part(keys, k), part(extra, k), part(value, k)) for k, b in enumerate(used)]
+        out = [(int(b), batch, _squeeze(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=keys.dtype.type(0))), part(extra, k), part(value, k)) for k, b in enumerate(used)]
         if state is not None:
             out.append((-1 - batch % (1 << self.bits), batch, state, None, None))
         return pd.DataFrame(out, columns=["bucket", "batch", "keys", "extra", "low"])
@@ -78,7 +78,7 @@ def answer(asked: DataFrame, reply: Callable[..., np.ndarray], kind: str) -> Dat
     def run(p: pd.DataFrame) -> pd.DataFrame:
         if p.bucket.iloc[0] < 0:
             return pd.DataFrame({"batch": p.batch, "bucket": p.bucket, "reply": p["keys"]})
-        own = [_widen(x, "<u8") for x in p["keys"]]
+        own = [np.cumsum(_widen(x, "<u8"), dtype=np.uint64) for x in p["keys"]]  # sorted keys come as differences
         ends, keys = np.cumsum([len(x) for x in own]), np.concatenate(own)
         del own
         extra = np.concatenate([_widen(x, "<u4") for x in p["extra"]]) if p["extra"].notna().all() else None

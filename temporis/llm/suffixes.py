@@ -12,9 +12,9 @@ by two censuses of ranks over all documents:
    repeated, and their SPAN bytes go, on equal ranks, without a comparison of the bytes.
 
 Ranks are numbers computed from the pair, not dense numbers from a global sort: equal strings have equal ranks. The first
-census needs 64 bits, as equal names of different strings only leave positions for the second one. There a rank has 88 bits (64 of
-the pair and 24 of a linear hash of the same bytes): n positions are expected to hold n * n / 2**89 pairs of different strings
-of equal rank, one in six runs over 10**13 positions. Whole ranks never leave a batch but as distinct sorted arrays (see
+census needs 64 bits, as equal names of different strings only leave positions for the second one. There a rank has 96 bits (64 of
+the pair and 32 of a linear hash of the same bytes): n positions are expected to hold n * n / 2**97 pairs of different strings
+of equal rank, one in some 1,500 runs over 10**13 positions. Whole ranks never leave a batch but as distinct sorted arrays (see
 census.py); a passage that a third of all documents share costs one entry a batch. A batch is named once: its places left after the
 first census come back to it with the answers of the second.
 
@@ -110,7 +110,7 @@ class Batch:
             read = [self.eight[at[a:b] + k] for k in _READ]
             pairs = [mix(x, y) for x, y in zip(read[::2], read[1::2], strict=True)]
             rank[a:b] = mix(mix(*pairs[:2]), mix(*pairs[2:]))
-            extra[a:b] = sum(x * odd for x, odd in zip(read, _ODD, strict=True)) >> np.uint64(40)
+            extra[a:b] = sum(x * odd for x, odd in zip(read, _ODD, strict=True)) >> np.uint64(32)
         return at, rank, extra, self.ids[np.searchsorted(self.starts, at, "right") - 1]
 
 
