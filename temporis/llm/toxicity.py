@@ -2,8 +2,10 @@
 
 Terms of a text are its distinct words and their 4 and 5 letter prefixes (so that inflected insults share a term),
 hashed to 2**BITS buckets. Training takes at most TRAIN_ROWS labelled rows outside the held-out fold (a documented
-bound). Buckets whose class frequencies differ by SCREEN standard errors or more keep a weight, at most FEATURES of them;
-of these the machine learns linear weights and pairwise interactions as factors of rank RANK.
+bound). Buckets whose class frequencies differ by SCREEN standard errors or more keep a weight, at most FEATURES of them. So do buckets that
+matter only together: of the CANDIDATES most frequent ones all pairs are counted, and a pair whose rows are dealt to the classes otherwise than its
+two buckets' own frequencies say, by LIFT times what pairs usually stray, brings both in, at most PAIRS pairs.
+Of all of these the machine learns linear weights and pairwise interactions as factors of rank RANK.
 
 score = sigmoid(b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)).
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from temporis.llm import common
 
 BITS, TRAIN_ROWS, FEATURES, SCREEN, RANK = 18, 20_000, 1024, 2.5, 6
+CANDIDATES, PAIRS, LIFT, PAIR_ROWS = 2048, 256, 8.0, 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 15, 128, 0.1, 1e-4, 7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _CACHE_MAX = 100_000
@@ -61,6 +64,28 @@ def _screen(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] >= SCREEN])
 
 
+def _pair_screen(both: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Candidates of pairs that interact. both: rows of each class that hold both of a pair (2 x candidates x candidates), counts: that hold one.
+
+    In each class a pair is expected as often as its buckets' frequencies say. How a pair's rows should then be dealt to the two classes is a share;
+    how far they stray from it is counted in standard errors of that share, and these in what they usually are, as long texts hold many pairs.
+    """
+    expected = counts[:, :, None] * counts[:, None, :] / np.maximum(rows, 1)[:, None, None]
+    n, share = both.sum(0), expected[1] / np.maximum(expected.sum(0), 1e-9)
+    at = np.triu((n >= PAIR_ROWS) | (expected.min(0) >= PAIR_ROWS), 1)
+    i, j = np.nonzero(at & (share > 0) & (share < 1))
+    m, s = np.maximum(n[i, j], expected.sum(0)[i, j]), share[i, j]
+    z = (both[1, i, j] - n[i, j] * s) / np.sqrt(m * s * (1 - s))
+    if not len(z):
+        return np.zeros(0, np.int64)
+    middle = np.median(z)
+    usual = max(1.0, 1.4826 * np.median(np.abs(z - middle)))
+    z = np.abs(z - middle) / usual
+    best = np.lexsort((j, i, -z))[:PAIRS]
+    best = best[z[best] >= LIFT]
+    return np.unique(np.r_[i[best], j[best]])
+
+
 def _log_odds(i: np.ndarray, w: np.ndarray, v: np.ndarray, b: float) -> float:
     """Log-odds of one row, given as its feature numbers."""
     own = v[i]
@@ -123,6 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         counts += np.frombuffer(zlib.decompress(r.counts), "<i4").reshape(2, -1)
         seen += (r.clean, r.toxic)
     kept = _screen(counts, seen) if seen.all() else np.zeros(0, np.int64)
+    if seen.all():
+        total = counts.sum(0)
+        often = np.lexsort((np.arange(len(total)), -total))[:CANDIDATES]
+        often = np.sort(often[total[often] >= PAIR_ROWS])
+        kept = np.union1d(kept, often[_pair_screen(_pair_counts(rows, often), counts[:, often], seen)])
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -138,6 +168,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     return {"kept": kept, "w": w, "v": v, "b": b}
 
 
+def _pair_counts(rows: DataFrame, often: np.ndarray) -> np.ndarray:
+    """How many rows of each class hold both of each two of the buckets `often`: products of matrices, partition by partition."""
+    n = len(often)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = np.zeros((2, n, n), np.float32)  # whole numbers far below 2^24: rows are bounded
+        for p in batches:
+            for a in range(0, len(p), 512):
+                part = p.iloc[a : a + 512]
+                m = np.zeros((len(part), n), np.float32)
+                for k, t in enumerate(part.terms):
+                    m[k, np.searchsorted(often, np.intersect1d(np.frombuffer(t, "<i4"), often, assume_unique=True))] = 1
+                for y in (0, 1):
+                    own = m[(part.label.to_numpy() > 0) == y]
+                    both[y] += own.T @ own
+        yield pd.DataFrame({"both": [zlib.compress(both.astype("<i4").tobytes(), 1)]})
+        common.trim()
+
+    total = np.zeros((2, n, n), np.int64)
+    for r in rows.coalesce(8).mapInPandas(count, "both binary").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(r.both), "<i4").reshape(2, n, n)
+    return total
+
+
 def scorer(model: dict):
     """A function of a text column: the score of each text."""
     place = np.full(1 << BITS, -1, np.int64)
