@@ -13,8 +13,8 @@ need not give m * m pairs: in rounds, the texts that share a shingle are dealt t
 each is compared with its chunk's leader; linked texts become one component, and shingles all of whose texts are in one
 component drop out. So a frequent shingle is as many small groups, not one large. Rounds go on while they join components and the
 full join would still meet more than MEETS pairs for each row. The full join then ends it, between different
-components only, so no link between components is lost: it goes by shingle and range of sizes, as sizes of linked sets are within a
-quarter of each other, and Spark can split a frequent shingle's rows on both sides.
+components only, so no link between components is lost: two texts are paired at the first shingle that both hold, by ranges of sizes, as the smaller
+one of the two only where enough of it is left (see _all_pairs), and Spark can split a frequent shingle's rows on both sides.
 
 Numbers of shingles are 64-bit. A number that stands for two shingles can only matter where both are in one text or one compared
 pair: of m shingles about m * m / 2**65, one in a million over 10**9 texts of a thousand words. Counts that collide change the order
@@ -36,7 +36,7 @@ from temporis.llm import common
 from temporis.llm.census import ASKED, Layout, answer, mix, numbers
 
 WORDS, PERCENT, PARTS = 5, 80, 1024
-CHUNK, MEETS, MOST_ROUNDS = 256, 256, 2
+CHUNK, MEETS = 256, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -152,11 +152,17 @@ def _least_overlap(a: F.Column, b: F.Column) -> F.Column:
     return F.ceil(F.lit(PERCENT) * (a + b) / F.lit(100 + PERCENT))
 
 
-def _may_link(a: str, b: str) -> F.Column:
-    """Length, positional and suffix filter of two rows that share a shingle."""
+def _reach(n: F.Column, place: F.Column) -> F.Column:
+    """The largest set that one of n shingles can link with, if its first shingle that both hold is at this place."""
+    return F.floor(F.lit(100 + PERCENT) * (n - place) / F.lit(PERCENT)) - n
+
+
+def _may_link(a: str, b: str, first: bool = False) -> F.Column:
+    """Length, positional and suffix filter of two rows that share a shingle. first: none that comes before it is shared."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = _least_overlap(n, m)
-    room = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
+    room = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
+    room = room if first else room + F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
     differ = sum((F.bit_count(F.col(f"{a}.parts.b{k}").bitwiseXOR(F.col(f"{b}.parts.b{k}"))) for k in range(PARTS // 64)), F.lit(0))
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (room >= need) & (differ <= n + m - 2 * need)
 
@@ -201,8 +207,7 @@ def connect(nodes: DataFrame) -> DataFrame:
     """node, comp: for the nodes (node, n, tokens, places, members, parts) that links connect, the least node reachable."""
     parts = F.struct(*[F.get("parts", F.lit(k)).alias(f"b{k}") for k in range(PARTS // 64)]).alias("parts")
     rows = nodes.select("node", F.col("node").alias("comp"), "n", parts, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    # ranges are a little wider than the ratio of linked sizes, so a set meets those of its own range and of its neighbours only
-    rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", F.floor(F.log(100 / PERCENT + 0.05, F.col("n"))).alias("range"), F.col("t.places").alias("place"), "parts")
+    rows = rows.select(F.col("t.tokens").alias("token"), "node", "comp", "n", _range(F.col("n")).alias("range"), F.col("t.places").alias("place"), "parts")
     shared = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("token", "k")
     # what is joined with the rows is a table of its own, so that Spark can split the rows of a frequent shingle
     found = common.materialize(shared, "jaccard-shared")
@@ -211,21 +216,16 @@ def connect(nodes: DataFrame) -> DataFrame:
     known = nodes.select("node").distinct().withColumn("comp", F.col("node"))
     tested, number, last = None, 0, rows.isEmpty()
     while not last:
-        last = number >= MOST_ROUNDS or number > 0 and (not joined or _meets(rows) <= MEETS)
-        if last:  # all against those outside of the largest component of the shingle
-            size = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
-            most = common.materialize(size.groupBy("token").agg(F.max(F.struct("m", "comp"))["comp"].alias("most")), "jaccard-largest")
-            heads = rows.join(most, "token").where("comp <> most").drop("most")
-            heads = heads.withColumn("range", F.explode(F.array(*[F.col("range") + k for k in (-1, 0, 1)])))
-            by, dealt = "x.token = h.token and x.range = h.range", rows
+        last = number > 0 and (not joined or _meets(rows) <= MEETS)
+        if last:
+            heads, met = _all_pairs(rows)
         else:
             chunk = F.pmod(F.xxhash64(F.lit(number), "token", "node"), F.ceil(F.col("k") / CHUNK)).alias("chunk")
             dealt = rows.select("*", chunk)
             draw = F.struct(F.xxhash64(F.lit(number), "node").alias("draw"), "node", "comp", "n", "place", "parts")
             heads = dealt.groupBy("token", "chunk").agg(F.min(draw).alias("h")).select("token", "chunk", "h.node", "h.comp", "h.n", "h.place", "h.parts")
-            by = "x.token = h.token and x.chunk = h.chunk"
-        heads = common.materialize(heads, "jaccard-heads")
-        met = dealt.alias("x").join(heads.alias("h"), F.expr(f"{by} and x.comp <> h.comp") & _may_link("x", "h"))
+            heads = common.materialize(heads, "jaccard-heads")
+            met = dealt.alias("x").join(heads.alias("h"), F.expr("x.token = h.token and x.chunk = h.chunk and x.comp <> h.comp") & _may_link("x", "h"))
         pairs = met.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -250,11 +250,40 @@ def connect(nodes: DataFrame) -> DataFrame:
     return known
 
 
-def _meets(rows: DataFrame) -> float:
-    """Pairs that the full join would meet before its filters, as a multiple of the rows."""
+def _range(n: F.Column) -> F.Column:
+    """Ranges of sizes, a little wider than the ratio of linked ones."""
+    return F.floor(F.log(100 / PERCENT + 0.05, n))
+
+
+def _all_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows against those (heads) outside of the largest component of the shingle: heads, and pairs x, h that may link.
+
+    Two texts need to meet only at the first shingle that both hold, in the order that all texts share. There the smaller one must reach the larger
+    one's size, and so its own, which a row whose place is far down its prefix doesn't: it meets no one as the smaller text. So rows that
+    share frequent shingles only after rare ones of their own, as pages with one boilerplate do, are never paired.
+    """
     size = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    outside = size.groupBy("token").agg(F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("out"))
-    r = outside.agg(F.sum(F.col("all").cast("double") * F.col("out")).alias("pairs"), F.sum("all").alias("rows")).first()
+    most = size.groupBy("token").agg(F.max(F.struct("m", "comp"))["comp"].alias("most"))
+    heads = common.materialize(rows.join(most, "token").where("comp <> most").drop("most", "k", "range"), "jaccard-heads")
+    reach, n = _reach(F.col("n"), F.col("place")), F.col("n")
+    span = lambda least, largest: F.explode(F.sequence(_range(least), _range(largest))).alias("range")
+    smaller = heads.where(reach >= n).select("*", span(n, reach))
+    larger = heads.select("*", span(F.ceil(PERCENT * n / 100), n))
+    same = F.expr("x.token = h.token and x.range = h.range and x.comp <> h.comp") & _may_link("x", "h", True)
+    # of equal sizes both reach the other's, so the second join leaves them to the first, but where x is of the largest component, whose rows are no heads
+    up = rows.alias("x").join(smaller.alias("h"), same & F.expr("x.n >= h.n"))
+    down = rows.where(reach >= n).alias("x").join(larger.alias("h"), same & F.expr("x.n < h.n"))
+    pair = lambda df: df.select(F.struct("x.node").alias("x"), F.struct("h.node").alias("h"))
+    return heads, pair(up).unionByName(pair(down))
+
+
+def _meets(rows: DataFrame) -> float:
+    """Pairs that the full join would meet before its filters, as a multiple of the rows: of those that may be the smaller text with all others."""
+    small = F.count_if(_reach(F.col("n"), F.col("place")) >= F.col("n"))
+    size = rows.groupBy("token", "range", "comp").agg(F.count("*").alias("m"), small.alias("s"))
+    outside = size.groupBy("token", "range").agg(F.sum("m").alias("all"), F.sum("s").alias("small"), (F.sum("m") - F.max("m")).alias("out"), (F.sum("s") - F.max("s")).alias("out_small"))
+    pairs = F.col("all").cast("double") * F.col("out_small") + F.col("small").cast("double") * F.col("out")
+    r = outside.agg(F.sum(pairs).alias("pairs"), F.sum("all").alias("rows")).first()
     return r["pairs"] / r["rows"] if r["rows"] else 0.0
 
 
