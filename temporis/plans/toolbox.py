@@ -1,6 +1,6 @@
 """The tool executor: all six tools, for all live conversations of a round, as one plan.
 
-Calls are parsed once; each tool is a plan over all calls of its kind (frames by nearest-in-time joins, hits by block search within
+Calls are parsed once; each tool that a round asks for is a plan over all calls of its kind (frames by nearest-in-time joins, hits by block search within
 the call's video, subtitles by interval join), and the results, keyed by (conv_id, turn, priority, call_no, sub_no), are put together in the order
 in which tools run. A Toolbox is the `tools` of agent.run_rounds.
 """
@@ -54,8 +54,14 @@ class Toolbox:
         before, known = self._known, self.save(self.engine.calls(turns, self.topk).join(self.subjects, "conv_id"), "toolbox-calls")
         self.drop(before)  # the calls of the round before: its results are in the log
         self._known = known
-        parts = [self.read(known), self.search_clips(known), self.search_by_image(known), self.search_subtitles(known), self.extract_subtitles(known)]
-        return reduce(DataFrame.unionByName, (p.select(*RESULT) for p in parts))
+        asked = {r["tool"] for r in known.select("tool").distinct().collect()}  # six names at most
+        plans = {
+            self.read: {"video_reader", "video_browser"}, self.search_clips: {"video_segment_retriever_textual_query"}, self.search_by_image: {"video_segment_retriever_image_query"},
+            self.search_subtitles: {"subtitle_retriever"}, self.extract_subtitles: {"subtitle_extractor"},
+        }
+        parts = [plan(known).select(*RESULT) for plan, tools in plans.items() if tools & asked]
+        none = known.limit(0).select(*KEYS, F.lit(0).alias("sub_no"), "tool", F.lit("").alias("result"))
+        return reduce(DataFrame.unionByName, parts) if parts else none
 
     def read(self, known: DataFrame) -> DataFrame:
         """video_reader and video_browser: frames, asked about in one step over all calls of both."""
