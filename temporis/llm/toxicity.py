@@ -70,12 +70,17 @@ def _pair_screen(both: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.n
     In each class a pair is expected as often as its buckets' frequencies say. How a pair's rows should then be dealt to the two classes is a share;
     how far they stray from it is counted in standard errors of that share, and these in what they usually are, as long texts hold many pairs.
     """
-    expected = counts[:, :, None] * counts[:, None, :] / np.maximum(rows, 1)[:, None, None]
-    n, share = both.sum(0), expected[1] / np.maximum(expected.sum(0), 1e-9)
-    at = np.triu((n >= PAIR_ROWS) | (expected.min(0) >= PAIR_ROWS), 1)
-    i, j = np.nonzero(at & (share > 0) & (share < 1))
-    m, s = np.maximum(n[i, j], expected.sum(0)[i, j]), share[i, j]
-    z = (both[1, i, j] - n[i, j] * s) / np.sqrt(m * s * (1 - s))
+    found = []
+    for a in range(0, len(both[0]), 128):  # some rows of the square at a time: what is kept of it are pairs that are frequent enough
+        own = both[:, a : a + 128].astype(float)
+        expected = counts[:, a : a + 128, None] * counts[:, None, :] / np.maximum(rows, 1)[:, None, None]
+        n, usual = own.sum(0), expected.sum(0)
+        share = expected[1] / np.maximum(usual, 1e-9)
+        at = np.triu((n >= PAIR_ROWS) | (expected.min(0) >= PAIR_ROWS), 1 + a) & (share > 0) & (share < 1)
+        i, j = np.nonzero(at)
+        m, s = np.maximum(n, usual)[i, j], share[i, j]
+        found.append(((i + a).astype(np.int32), j.astype(np.int32), ((own[1][i, j] - n[i, j] * s) / np.sqrt(m * s * (1 - s))).astype(np.float32)))
+    i, j, z = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
     if not len(z):
         return np.zeros(0, np.int64)
     middle = np.median(z)
@@ -186,9 +191,11 @@ def _pair_counts(rows: DataFrame, often: np.ndarray) -> np.ndarray:
         yield pd.DataFrame({"both": [zlib.compress(both.astype("<i4").tobytes(), 1)]})
         common.trim()
 
-    total = np.zeros((2, n, n), np.int64)
+    total = np.zeros((2, n, n), np.int32)
     for r in rows.coalesce(8).mapInPandas(count, "both binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(r.both), "<i4").reshape(2, n, n)
+        own = zlib.decompress(r.both)
+        total += np.frombuffer(own, "<i4").reshape(2, n, n)
+        del own, r
     return total
 
 
