@@ -15,6 +15,10 @@ from temporis.functions import vector
 from temporis.operators.retrieval import encode
 
 
+#: What SQL's \w matches: no letter or digit outside ASCII.
+SQL_WORD = "[0-9A-Za-z_]"
+
+
 class Encoder(Protocol):
     """A batch of values -> a vector or None (unreadable) each."""
 
@@ -24,15 +28,17 @@ class Encoder(Protocol):
 class HashingEncoder:
     """Unit vectors of hashed words; equal texts have equal vectors. A null or empty value is unreadable.
 
-    Words after the first most_tokens take no part, as in the reference's tokenizer; with None all do."""
+    Words after the first most_tokens take no part, as in the reference's tokenizer; with None all do. Words are of any script; a value without a
+    match of `needs`, where given, is unreadable too."""
 
-    def __init__(self, dim: int = 64, most_tokens: int | None = 77) -> None:
-        self.dim, self.most_tokens = dim, most_tokens
+    def __init__(self, dim: int = 64, most_tokens: int | None = 77, needs: str | None = None) -> None:
+        self.dim, self.most_tokens, self.needs = dim, most_tokens, needs
 
     def __call__(self, values: list) -> list[list[float] | None]:
         out: list[list[float] | None] = []
         for value in values:
-            words = re.findall(r"\w+", (value or "").lower())[: self.most_tokens]
+            readable = self.needs is None or re.search(self.needs, value or "")
+            words = re.findall(r"\w+", value.lower())[: self.most_tokens] if value and readable else []
             v = np.zeros(self.dim)
             for w in words:
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
