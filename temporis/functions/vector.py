@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """Unit vector; NULL for a zero one."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # the norm is bound, and so worked out once, not for each component
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

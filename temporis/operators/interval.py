@@ -94,17 +94,18 @@ def nearest_join(points: DataFrame, items: DataFrame, key: str, point: str = "t"
     asked = p.where("_c is not null").select("_k", "_c").distinct()
     ends = i.groupBy("_k", "_c").agg(F.min(F.struct("_t", "_i")).alias("first"), F.max(F.struct("_t", "_i")).alias("last"))
     cells = ends.join(asked, ["_k", "_c"], "full")
-    order = Window.partitionBy("_k").orderBy("_c")
+    # what comes later is what came last in the opposite order: a frame that ends with its partition would be read again for each row
+    order, back = Window.partitionBy("_k").orderBy("_c"), Window.partitionBy("_k").orderBy(F.desc("_c"))
     before = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     beside = cells.select("_k", "_c", before.alias("before"), after.alias("after")).join(asked, ["_k", "_c"], "left_semi")
     carried = beside.select("_k", "_c", F.explode(F.array("before", "after")).alias("x")).where("x is not null").select("_k", "x._t", "x._i", "_c")
     here = i.join(asked, ["_k", "_c"], "left_semi").unionByName(carried)
     none, empty = F.lit(None).cast(i.schema["_i"].dataType), F.lit(None).cast(p.schema["_p"].dataType)
     both = p.select("_k", "_c", "_t", F.lit(1).alias("_side"), "_p", none.alias("_i")).unionByName(here.select("_k", "_c", "_t", F.lit(0).alias("_side"), empty.alias("_p"), "_i"))
-    inner = Window.partitionBy("_k", "_c").orderBy("_t", "_side")
+    inner, turned = Window.partitionBy("_k", "_c").orderBy("_t", "_side"), Window.partitionBy("_k", "_c").orderBy(F.desc("_t"), F.desc("_side"))
     earlier = F.last("_i", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first("_i", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    later = F.last("_i", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0))
     out = both.select("*", earlier.alias("_b"), later.alias("_a")).where("_side = 1")
     closer = (F.col("_t") - F.col(f"_b.{item}")) <= (F.col(f"_a.{item}") - F.col("_t"))
     nearest = F.when(F.col("_t").isNotNull(), F.when(F.col("_a").isNull() | closer, F.col("_b")).otherwise(F.col("_a")))

@@ -57,8 +57,10 @@ class Engine:
         return asked.select("conv_id", "turn", "video_id", "question").join(self._frames_at(points, frames, ["video_id"], compat), "video_id")
 
     def _frames_at(self, points: DataFrame, frames: DataFrame, keys: list[str], compat: str) -> DataFrame:
-        """keys, frames, points: the times of the readable frames nearest to the points (t), and those points, thinned and filled up."""
-        near = sample.readable_frames(points, frames).select(*keys, "t", F.col("nearest.t_s").alias("t_s"))
+        """keys, frames, points: the times of the readable frames nearest to the points (t), and those points, thinned and filled up. A time of a video
+        that several calls ask for is looked up once."""
+        found = sample.readable_frames(points.select("video_id", "t").distinct(), frames).select("video_id", "t", F.col("nearest.t_s").alias("t_s"))
+        near = points.join(found, ["video_id", "t"]).select(*keys, "t", "t_s")
         kept = sample.thinned(near, keys, ["t", "t_s"], "stride" if compat == "literal" else "uniform", self.settings.max_frames, self.settings.min_frames)
         return kept.select(*keys, F.transform("frames", lambda x: x["t_s"]).alias("frames"), F.transform("frames", lambda x: x["t"]).alias("points"))
 

@@ -92,12 +92,15 @@ class Toolbox:
         return texts.join(vectors.select(F.col("text").alias(column), "query"), column)
 
     def _hits(self, queries: DataFrame, items: DataFrame, item: str, normalised: bool = True, digits: int | None = None) -> DataFrame:
-        """KEYS, sub_no, item, rank: of each query (query, most) the most best items of its video."""
-        queries = queries.where("most > 0").withColumn("query_id", F.concat_ws(":", *KEYS, "sub_no"))
+        """KEYS, sub_no, item, rank: of each query (query, most) the most best items of its video. Calls that ask a video by the same vector are one
+        search, so the work grows with what is asked, not with how often."""
+        vector_text = F.array_join(F.transform("query", lambda x: x.cast("double").cast("string")), ",", "null")
+        queries = queries.where("most > 0").withColumn("query_id", F.concat_ws(":", "video_id", F.sha2(vector_text, 256)))
         most = queries.agg(F.max("most")).first()[0]
         if most is None:  # nobody asks
             return queries.drop("query").withColumns({item: F.lit(None).cast(dict(items.dtypes)[item]), "rank": F.lit(0)}).limit(0)
-        found = retrieval.search_blocks(queries.select("query_id", "video_id", "query"), items, most, item=item, on=["video_id"], normalised=normalised, digits=digits)
+        asked = queries.select("query_id", "video_id", "query").dropDuplicates(["query_id"])
+        found = retrieval.search_blocks(asked, items, most, item=item, on=["video_id"], normalised=normalised, digits=digits)
         return found.drop("video_id").join(queries.drop("query"), "query_id").where("rank <= most")
 
     def search_clips(self, known: DataFrame) -> DataFrame:
@@ -132,13 +135,15 @@ class Toolbox:
         return both.select(*KEYS, F.lit(0).alias("sub_no"), "tool", toolcall.result_text(F.col("tool"), F.col("body"), toolcall.listed(F.col("shown"))).alias("result"))
 
     def extract_subtitles(self, known: DataFrame) -> DataFrame:
-        """By range of a call: the subtitles that start in it, by a join on cells of time."""
+        """By range of a call: the subtitles that start in it, by a join on cells of time; a range of a video that several calls ask for is read once."""
         subs = self._subs(known, "subtitle_extractor")
         ends = F.split("sub_query", ":")
         number = lambda k: F.trim(F.get(ends, F.lit(k))).try_cast("double")
         asked = subs.withColumn("start_s", number(0) + F.col("offset_s")).withColumn("end_s", number(1) + F.col("offset_s")).where("start_s is not null and end_s is not null")
         points = self.subtitles.select("video_id", "start_s", F.col("start_s").alias("end_s"), F.struct("seq", "start_s", "end_s", "text").alias("s"))
-        pairs = interval.overlap_join(asked.select("video_id", *KEYS, "sub_no", "start_s", "end_s"), points, "video_id", self.engine.settings.clip_duration)
-        found = pairs.select(*(F.col(f"l.{c}").alias(c) for c in [*KEYS, "sub_no"]), "r.s.*")
-        both = asked.drop("start_s", "end_s").join(self._shown(found, "subtitle", ["start_s", "seq"], True, [*KEYS, "sub_no"]), [*KEYS, "sub_no"], "left")
+        spans = ["video_id", "begin_s", "until_s"]
+        asked = asked.withColumns({"begin_s": F.col("start_s"), "until_s": F.col("end_s")})
+        pairs = interval.overlap_join(asked.select(*spans, "start_s", "end_s").distinct(), points, "video_id", self.engine.settings.clip_duration)
+        found = pairs.select(*(F.col(f"l.{c}").alias(c) for c in spans), "r.s.*")
+        both = asked.drop("start_s", "end_s").join(self._shown(found, "subtitle", ["start_s", "seq"], True, spans), spans, "left")
         return both.select(*KEYS, "sub_no", "tool", toolcall.result_text(F.col("tool"), F.col("sub_query"), toolcall.listed(F.col("shown"))).alias("result"))
