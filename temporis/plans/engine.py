@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temporis.operators import retrieval, sample, segment, toolcall
+from temporis.operators import interval, retrieval, sample, segment, toolcall
 from temporis.sources.files import Settings
 
 
@@ -49,12 +49,17 @@ class Engine:
     def browser_plan(self, calls: DataFrame, videos: DataFrame, frames: DataFrame, compat: str = "fixed") -> DataFrame:
         """conv_id, turn, video_id, question, frames, points: as reader_plan, of the whole video, for each video_browser call.
 
-        The frames are those of [0, duration], found once for each video that is asked about.
+        The frames are those of [0, duration], found once for each video that is asked about: for each frame the run of points that it is nearest to, so
+        the work grows with frames, not with the points of long videos.
         """
-        asked = calls.where("tool = 'video_browser'")
+        asked, kept = calls.where("tool = 'video_browser'"), self.settings
         whole = videos.join(asked.select("video_id").distinct(), "video_id", "left_semi")
-        points = whole.select("video_id", F.explode(sample.interval_points(F.lit(0.0), F.col("duration"), self.settings.clip_fps)).alias("t"))
-        return asked.select("conv_id", "turn", "video_id", "question").join(self._frames_at(points, frames, ["video_id"], compat), "video_id")
+        span = interval.widen_short(F.lit(0.0), F.col("duration"))
+        grids = whole.select("video_id", span["start_s"].alias("start_s"), F.floor((span["end_s"] - span["start_s"]) * kept.clip_fps).cast("int").alias("n"))
+        runs = sample.grid_runs(grids, frames, kept.clip_fps).where("nearest.is_valid")
+        seen = sample.thinned_runs(runs, kept.clip_fps, "video_id", "stride" if compat == "literal" else "uniform", kept.max_frames, kept.min_frames)
+        seen = seen.select("video_id", F.transform("frames", lambda x: x["t_s"]).alias("frames"), F.transform("frames", lambda x: x["t"]).alias("points"))
+        return asked.select("conv_id", "turn", "video_id", "question").join(seen, "video_id")
 
     def _frames_at(self, points: DataFrame, frames: DataFrame, keys: list[str], compat: str) -> DataFrame:
         """keys, frames, points: the times of the readable frames nearest to the points (t), and those points, thinned and filled up. A time of a video
