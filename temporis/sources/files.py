@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ def probe_media(spark: SparkSession, path: str, probe, pattern: str = "*.mp4") -
     return rows.withColumn("video_id", F.substring_index(F.regexp_extract("path", r"([^/]+)$", 1), ".", 1))
 
 
+#: Rows that a decoder's task holds at once.
+DECODED = 50_000
+
+
 def decode_media(files: DataFrame, decode, schema: str) -> DataFrame:
     """Rows of pixel or sample arrays of files (path, content), by a plug-in: (path, bytes) -> rows of the schema."""
 
@@ -52,7 +57,9 @@ def decode_media(files: DataFrame, decode, schema: str) -> DataFrame:
 
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
         for p in batches:
-            yield pd.DataFrame([r for path, content in zip(p.path, p.content, strict=True) for r in decode(path, content)], columns=names)
+            rows = (r for path, content in zip(p.path, p.content, strict=True) for r in decode(path, content))
+            while part := list(islice(rows, DECODED)):  # a long file's rows are never held at once
+                yield pd.DataFrame(part, columns=names)
 
     return files.mapInPandas(run, schema)
 
