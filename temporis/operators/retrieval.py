@@ -15,6 +15,8 @@ from temporis.operators.interval import of_clip
 
 #: Fixed value: threshold modes look at this many candidates.
 THRESHOLD_CANDIDATES = 100
+#: Texts of a block whose logits a task holds at once.
+SLICE = 256
 
 
 def modes(top_k: int | None = None, threshold: float | None = None, top_k_similarity: int | None = None) -> tuple[int, float | None]:
@@ -128,13 +130,43 @@ def logit_rows(blocks: DataFrame) -> DataFrame:
     first = F.array_min(F.transform("p", lambda x: F.struct((0.0 - x["logits"]).alias("below"), x["image_ids"].alias("image_id"))))
     each = each.select("text_id", "p", first.alias("first")).withColumn("most", 0.0 - F.col("first.below"))
     rest = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.exp(x["logits"] - F.col("most")))
-    each = each.select("text_id", F.size("p").cast("long").alias("n"), "first", F.struct("most", rest.alias("e")).alias("x"))
+    return _rows_of_blocks(each.select("text_id", F.size("p").cast("long").alias("n"), "first", F.struct("most", rest.alias("e")).alias("x")))
+
+
+def _rows_of_blocks(each: DataFrame) -> DataFrame:
+    """text_id, n, first (below, image_id), x (most, e) of each block -> the columns of logit_rows."""
     # a number or two a block, shifted by the largest logit of all blocks: no scale overflows
     out = each.groupBy("text_id").agg(F.sum("n").alias("n_images"), F.min("first").alias("first"), F.collect_list("x").alias("x")).withColumn("most", 0.0 - F.col("first.below"))
     total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x["e"] * F.exp(x["most"] - F.col("most")))
     return out.select("text_id", "n_images", F.col("first.image_id").alias("best_image"), F.col("most").alias("best_logit"), (F.col("most") + F.log(total)).alias("log_sum_exp"))
 
 
+def logit_sums(texts: DataFrame, images: DataFrame, logit_scale: float, block: int = 2048) -> DataFrame:
+    """logit_rows of logits, without the logits: a cell sums up its own texts, a slice of them at a time, and yields a few numbers a text. So a
+    task holds a slice of logits, not a block's square. Images that tie for a text's best are compared by sums in order of components; the smallest id wins."""
+    left, right = tiles.dealt(images.select("image_id", F.col("image_embedding").alias("e")), texts.select("text_id", F.col("text_embedding").alias("e")), "image_id", "text_id", None, block)
+    names = ["text_id", "n", "below", "image_id", "e"]
+
+    def cell(i: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        i = i.sort_values("image_id")
+        for dim in _dims(t.e) if len(i) and len(t) else []:
+            (a, x), (b, y) = _whole(t.e, dim, True), _whole(i.e, dim, True)
+            asks, ids = t.text_id.to_numpy()[a], i.image_id.to_numpy()[b]
+            for k in range(0, len(asks) if len(ids) else 0, SLICE):
+                found = x[k : k + SLICE] @ y.T * np.exp(logit_scale)
+                for text, v, row in zip(asks[k : k + SLICE], x[k : k + SLICE], found, strict=True):
+                    bar = row.max()
+                    near = np.flatnonzero(row >= bar - 1e-9 * max(1.0, abs(bar)))
+                    s = (y[near] * v).sum(1) * np.exp(logit_scale)
+                    best = int(s.argmax())
+                    out.append((text, len(ids), -s[best], ids[near[best]], np.exp(row - s[best]).sum()))
+        return pd.DataFrame(out, columns=names)
+
+    got = left.groupBy(*tiles.TILE).cogroup(right.groupBy(*tiles.TILE)).applyInPandas(cell, "text_id long, n long, below double, image_id long, e double")
+    return _rows_of_blocks(got.select("text_id", "n", F.struct("below", "image_id").alias("first"), F.struct((0.0 - F.col("below")).alias("most"), "e").alias("x")))
+
+
 def search_blocks(
     queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "clip_no", on: list[str] | None = None, normalised: bool = True, digits: int | None = None, block: int = 8192
 ) -> DataFrame:
