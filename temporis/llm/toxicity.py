@@ -28,6 +28,8 @@ from temporis.llm import common
 
 BITS, TRAIN_ROWS, FEATURES, SCREEN, RANK = 18, 20_000, 1024, 2.5, 6
 CANDIDATES, PAIRS, LIFT, PAIR_ROWS = 2048, 256, 8.0, 20
+#: Candidates whose pairs with all others are screened at once.
+STRIPE = 128
 EPOCHS, BATCH, RATE, DECAY, SEED = 15, 128, 0.1, 1e-4, 7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _CACHE_MAX = 100_000
@@ -64,23 +66,25 @@ def _screen(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] >= SCREEN])
 
 
-def _pair_screen(both: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Candidates of pairs that interact. both: rows of each class that hold both of a pair (2 x candidates x candidates), counts: that hold one.
+def _strays(own: np.ndarray, a: int, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i, j of candidates that are frequent enough, i of those from a on, and how far each strays. own: rows of each class that hold both of a
+    pair (2 x some candidates x candidates), counts: that hold one.
 
     In each class a pair is expected as often as its buckets' frequencies say. How a pair's rows should then be dealt to the two classes is a share;
-    how far they stray from it is counted in standard errors of that share, and these in what they usually are, as long texts hold many pairs.
+    how far they stray from it is counted in standard errors of that share.
     """
-    found = []
-    for a in range(0, len(both[0]), 128):  # some rows of the square at a time: what is kept of it are pairs that are frequent enough
-        own = both[:, a : a + 128].astype(float)
-        expected = counts[:, a : a + 128, None] * counts[:, None, :] / np.maximum(rows, 1)[:, None, None]
-        n, usual = own.sum(0), expected.sum(0)
-        share = expected[1] / np.maximum(usual, 1e-9)
-        at = np.triu((n >= PAIR_ROWS) | (expected.min(0) >= PAIR_ROWS), 1 + a) & (share > 0) & (share < 1)
-        i, j = np.nonzero(at)
-        m, s = np.maximum(n, usual)[i, j], share[i, j]
-        found.append(((i + a).astype(np.int32), j.astype(np.int32), ((own[1][i, j] - n[i, j] * s) / np.sqrt(m * s * (1 - s))).astype(np.float32)))
-    i, j, z = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
+    own = own.astype(float)
+    expected = counts[:, a : a + STRIPE, None] * counts[:, None, :] / np.maximum(rows, 1)[:, None, None]
+    n, usual = own.sum(0), expected.sum(0)
+    share = expected[1] / np.maximum(usual, 1e-9)
+    at = np.triu((n >= PAIR_ROWS) | (expected.min(0) >= PAIR_ROWS), 1 + a) & (share > 0) & (share < 1)
+    i, j = np.nonzero(at)
+    m, s = np.maximum(n, usual)[i, j], share[i, j]
+    return (i + a).astype(np.int32), j.astype(np.int32), ((own[1][i, j] - n[i, j] * s) / np.sqrt(m * s * (1 - s))).astype(np.float32)
+
+
+def _interacting(i: np.ndarray, j: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Candidates of the pairs that stray by LIFT times what pairs usually do, as long texts hold many pairs."""
     if not len(z):
         return np.zeros(0, np.int64)
     middle = np.median(z)
@@ -88,7 +92,7 @@ def _pair_screen(both: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.n
     z = np.abs(z - middle) / usual
     best = np.lexsort((j, i, -z))[:PAIRS]
     best = best[z[best] >= LIFT]
-    return np.unique(np.r_[i[best], j[best]])
+    return np.unique(np.r_[i[best], j[best]]).astype(np.int64)
 
 
 def _log_odds(i: np.ndarray, w: np.ndarray, v: np.ndarray, b: float) -> float:
@@ -157,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         total = counts.sum(0)
         often = np.lexsort((np.arange(len(total)), -total))[:CANDIDATES]
         often = np.sort(often[total[often] >= PAIR_ROWS])
-        kept = np.union1d(kept, often[_pair_screen(_pair_counts(rows, often), counts[:, often], seen)])
+        met = pair_screen(rows, often, counts[:, often], seen).toPandas()["place"] if len(often) else []
+        kept = np.union1d(kept, often[np.asarray(met, np.int64)])
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -173,8 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     return {"kept": kept, "w": w, "v": v, "b": b}
 
 
-def _pair_counts(rows: DataFrame, often: np.ndarray) -> np.ndarray:
-    """How many rows of each class hold both of each two of the buckets `often`: products of matrices, partition by partition."""
+def pair_screen(rows: DataFrame, often: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """place: of the buckets `often` (held by counts rows of each class) those of pairs that interact.
+
+    Partitions count how many rows of each class hold both of each two buckets, as products of matrices. They send stripes of these squares; a
+    stripe is summed and screened by itself, and of all that only the pairs that are frequent enough, a number that CANDIDATES bounds,
+    meet to be ranked. No square reaches the driver.
+    """
     n = len(often)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,15 +198,26 @@ def _pair_counts(rows: DataFrame, often: np.ndarray) -> np.ndarray:
                 for y in (0, 1):
                     own = m[(part.label.to_numpy() > 0) == y]
                     both[y] += own.T @ own
-        yield pd.DataFrame({"both": [zlib.compress(both.astype("<i4").tobytes(), 1)]})
+        for a in range(0, n, STRIPE):
+            yield pd.DataFrame({"stripe": [a], "both": [zlib.compress(both[:, a : a + STRIPE].astype("<i4").tobytes(), 1)]})
+        del both
         common.trim()
 
-    total = np.zeros((2, n, n), np.int32)
-    for r in rows.coalesce(8).mapInPandas(count, "both binary").toLocalIterator():
-        own = zlib.decompress(r.both)
-        total += np.frombuffer(own, "<i4").reshape(2, n, n)
-        del own, r
-    return total
+    def screen(p: pd.DataFrame) -> pd.DataFrame:
+        a = int(p.stripe.iloc[0])
+        total = np.zeros((2, min(STRIPE, n - a), n), np.int32)
+        for own in p.both:
+            total += np.frombuffer(zlib.decompress(own), "<i4").reshape(total.shape)
+        i, j, z = (x.tobytes() for x in _strays(total, a, counts, seen))
+        return pd.DataFrame({"stripe": [a], "i": [i], "j": [j], "z": [z]})
+
+    def rank(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("stripe")
+        i, j, z = (np.frombuffer(b"".join(p[c]), kind) for c, kind in (("i", np.int32), ("j", np.int32), ("z", np.float32)))
+        return pd.DataFrame({"place": _interacting(i, j, z)})
+
+    stripes = rows.coalesce(8).mapInPandas(count, "stripe int, both binary").groupBy("stripe").applyInPandas(screen, "stripe int, i binary, j binary, z binary")
+    return stripes.groupBy().applyInPandas(rank, "place long")
 
 
 def scorer(model: dict):

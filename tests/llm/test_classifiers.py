@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -38,6 +39,42 @@ def test_pairs_survive_fit(spark):
     assert len(right) > 400 and np.mean(right) >= 0.9
 
 
+def test_pairs_are_screened_outside_of_the_driver(spark):
+    """The driver holds no square of candidates while it fits, and stripes choose what the whole square would."""
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(3000, 220, replace=False) for _ in range(900)]
+    letters = lambda x: "".join(chr(97 + int(c)) for c in f"{x:04d}")
+    rows, label = [(k, " ".join(map(letters, s))) for k, s in enumerate(sets)], [int(rng.random() < 0.4) for _ in sets]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(label)), "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        toxicity.fit(docs, marks)
+        assert tracemalloc.get_traced_memory()[1] < 25e6  # both squares of 2048 candidates take 34 MB
+    finally:
+        tracemalloc.stop()
+
+    n, often = 300, np.arange(0, 600, 2)
+    sets = [np.unique(np.r_[s[s > 2] % 597 + 3, [0] * (k % 2), [2] * (k // 2 % 2)].astype(int)) for k, s in enumerate(sets)]
+    label = [k % 2 ^ k // 2 % 2 for k in range(len(sets))]
+    held = np.array([np.isin(often, s) for s in sets], float)
+    y = np.array(label)
+    both = np.stack([held[y == c].T @ held[y == c] for c in (0, 1)])
+    counts, seen = np.stack([held[y == c].sum(0) for c in (0, 1)]), np.array([(y == 0).sum(), (y == 1).sum()], float)
+    expected = counts[:, :, None] * counts[:, None, :] / seen[:, None, None]
+    m, usual = both.sum(0), expected.sum(0)
+    share = expected[1] / usual
+    i, j = np.nonzero(np.triu((m >= 20) | (expected.min(0) >= 20), 1) & (share > 0) & (share < 1))
+    z = ((both[1] - m * share) / np.sqrt(np.maximum(m, usual) * share * (1 - share)))[i, j].astype(np.float32)
+    middle = np.median(z)
+    z = np.abs(z - middle) / max(1.0, 1.4826 * np.median(np.abs(z - middle)))
+    best = np.lexsort((j, i, -z))[:256]
+    best = best[z[best] >= 8]
+    table = spark.createDataFrame([(bytearray(np.sort(s).astype("<i4").tobytes()), c) for s, c in zip(sets, label, strict=True)], "terms binary, label int").repartition(5)
+    got = sorted(r.place for r in toxicity.pair_screen(table, often, counts, seen).collect())
+    assert len(got) and got == sorted({*i[best].tolist(), *j[best].tolist()})
+
+
 def test_pairs_without_interaction_bring_nothing(spark):
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(5, 80)))) for k in range(2000)]
